@@ -37,6 +37,6 @@ def key_id(key: Column) -> Column:
     return F.struct(key["id"].alias("id"), key["provider"].alias("provider"))
 
 
-def key_sign(key: Column, signature: Column, label: str = "sluice-sha1") -> Column:
+def key_sign(key: Column, signature: Column, label: str = "sha1") -> Column:
     """Add a signature to the version map of an external key."""
     return key.withField("versions", F.map_concat(key["versions"], F.create_map(F.lit(label), signature)))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.predicates import Origin
 from sluice.semantics import col
-from sluice.sources.snapshots import publish, read_snapshot
+from sluice.sources.snapshots import publish, read_batches, read_snapshot
 
 # The states of an action.
 STATES = (
@@ -39,7 +39,7 @@ def location(origin: Origin) -> Column:
 
 def action_id(type_: Column, params: Column) -> Column:
     """Identity of an action: its type and parameters."""
-    return F.concat(F.lit("action:"), F.upper(F.sha1(F.concat_ws("\0", type_, params).cast("binary"))))
+    return F.concat(F.lit("action:"), F.upper(F.sha1(F.concat_ws("\n", type_, params).cast("binary"))))
 
 
 def emit_actions(
@@ -75,8 +75,22 @@ def emit_actions(
     )
 
 
-def _flat_tags(merged: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(merged)))
+def fold_actions(rows: DataFrame) -> DataFrame:
+    """Several rows per id to one: earliest creation, latest addition, united tags and origins.
+
+    Tags are spread before grouping; repeating a row changes nothing.
+    """
+    spread = rows.withColumn("__tag", F.explode_outer("tags"))
+    return spread.groupBy("id", "type", "params").agg(
+        F.max("state").alias("state"),
+        F.array_sort(F.collect_set("__tag")).alias("tags"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
+        F.min("created").alias("created"),
+        F.max("last_added").alias("last_added"),
+        F.max("last_checked").alias("last_checked"),
+        F.min("last_state_transition").alias("last_state_transition"),
+        F.max("external_timestamp").alias("external_timestamp"),
+    )
 
 
 def merge_actions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -98,6 +112,7 @@ def merge_actions(old: DataFrame, new: DataFrame) -> DataFrame:
 
     merged = {
         "tags": united("tags"), "locations": united("locations"),
+        "created": F.least("__created", "created").alias("created"),
         "last_added": F.greatest(F.col("__last_added"), F.col("last_added")).alias("last_added"),
         "external_timestamp": F.coalesce("external_timestamp", "__external_timestamp").alias("external_timestamp"),
     }
@@ -110,9 +125,12 @@ def upsert_actions(path: str, new: DataFrame) -> int:
     return publish(new if old is None else merge_actions(old, new), path)
 
 
-def action_scan(spark, path: str) -> DataFrame:
-    """The action table as an input."""
-    table = read_snapshot(spark, path)
-    if table is None:
-        raise FileNotFoundError(path)
-    return table
+def action_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The action table as an input: its snapshot with the batches added since."""
+    table, batches = read_snapshot(spark, path), read_batches(spark, path)
+    if batches is None:
+        if table is None:
+            raise FileNotFoundError(path)
+        return table
+    added = fold_actions(batches)
+    return added if table is None else merge_actions(table, added)

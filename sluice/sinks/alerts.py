@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.predicates import Origin
 from sluice.semantics import col
 from sluice.sinks.actions import location
-from sluice.sources.snapshots import publish, read_snapshot
+from sluice.sources.snapshots import publish, read_batches, read_snapshot
 
 
 def _pairs(values: Mapping[str, Column | str]) -> Column:
@@ -50,7 +50,7 @@ def emit_alerts(
     return merged.select(
         alert_id(F.col("labels")).alias("id"), F.map_from_entries("labels").alias("labels"), "starts_at",
         F.col("__last.ends_at").alias("ends_at"), F.map_from_entries("__last.annotations").alias("annotations"),
-        F.array(location(origin)).alias("locations"),
+        F.array(location(origin)).alias("locations"), F.col("__last.at").alias("refreshed_at"),
     )
 
 
@@ -58,22 +58,27 @@ def live_alerts(alerts: DataFrame, now: Column | None = None) -> DataFrame:
     return alerts.filter(F.col("ends_at") > (F.current_timestamp() if now is None else now))
 
 
-def merge_alerts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Refresh alerts: the start stays, end and annotations are replaced."""
-    ours = old.withColumnsRenamed({c: f"__{c}" for c in old.columns if c != "id"})
-    both = ours.join(new, "id", "full_outer")
-
-    def latest(c: str) -> Column:
-        return F.coalesce(F.col(c), F.col(f"__{c}")).alias(c)
-
-    empty = F.array()
-    places = F.array_sort(F.array_union(F.coalesce("__locations", empty), F.coalesce("locations", empty)))
-    return both.select(
-        "id", latest("labels"), F.coalesce("__starts_at", "starts_at").alias("starts_at"), latest("ends_at"),
-        latest("annotations"), places.alias("locations"),
+def fold_alerts(rows: DataFrame) -> DataFrame:
+    """Several rows per id to one: the first start, end and annotations of the last refresh."""
+    return rows.groupBy("id").agg(
+        F.any_value("labels").alias("labels"),
+        F.min("starts_at").alias("starts_at"),
+        F.max_by("ends_at", "refreshed_at").alias("ends_at"),
+        F.max_by("annotations", "refreshed_at").alias("annotations"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
+        F.max("refreshed_at").alias("refreshed_at"),
     )
 
 
 def upsert_alerts(path: str, new: DataFrame) -> int:
+    """Refresh the alert table at ``path``; repeating the call changes nothing."""
     old = read_snapshot(new.sparkSession, path)
-    return publish(new if old is None else merge_alerts(old, new), path)
+    return publish(new if old is None else fold_alerts(old.unionByName(new)), path)
+
+
+def alert_scan(spark: SparkSession, path: str) -> DataFrame:
+    """The alert table: its snapshot with the batches added since."""
+    stored = [d for d in (read_snapshot(spark, path), read_batches(spark, path)) if d is not None]
+    if not stored:
+        raise FileNotFoundError(path)
+    return fold_alerts(stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1]))

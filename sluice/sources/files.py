@@ -27,8 +27,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def string_set_source(lines: DataFrame) -> DataFrame:
-    """Distinct lines, without comments and blank lines."""
-    return lines.filter(F.col("value").rlike(r"\A\s*[^#\s].*\z")).select("value").distinct()
+    """Distinct lines, without empty lines and lines that start with ``#``."""
+    return lines.filter((F.col("value") != "") & ~F.col("value").startswith("#")).select("value").distinct()
 
 
 def scan_string_set(spark: SparkSession, path: str) -> DataFrame:

@@ -37,6 +37,19 @@ def publish(df: DataFrame, path: str) -> int:
     return version
 
 
+def add_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Store one micro-batch beside the snapshot; storing it again replaces it."""
+    df.write.mode("overwrite").parquet(f"{path}/added/batch={batch}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of every stored micro-batch, or nothing if there is none."""
+    try:
+        return spark.read.parquet(f"{path}/added").drop("batch")
+    except AnalysisException:
+        return None
+
+
 def snapshot_replace(df: DataFrame, path: str) -> bool:
     """Replace the snapshot, or keep the old one if the new rows cannot be read."""
     try:

@@ -1,7 +1,9 @@
 """Streams into the action, alert and snapshot tables.
 
-Every sink is idempotent per micro-batch: a replayed batch leaves the tables
-as they are, so a lost executor or a restarted query never doubles a result.
+A micro-batch is reduced first and stored under its own number, so a replayed
+batch replaces itself and the stored tables are never rewritten per batch.
+Readers fold the batches; folding is the same in any order and any number of
+times.
 """
 
 from __future__ import annotations
@@ -13,65 +15,72 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sluice.sinks.actions import upsert_actions
-from sluice.sinks.alerts import upsert_alerts
-from sluice.sources.snapshots import incremental_merge, publish, read_snapshot
+from sluice.sources.snapshots import add_batch, publish, read_batches, read_snapshot
 
 Batch = Callable[[DataFrame], DataFrame]
 
 
-def follow(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", per_batch: int = 1000) -> DataFrame:
+def follow(
+    spark: SparkSession, path: str, schema: T.StructType | str, glob: str = "*.parquet", per_batch: int = 1000
+) -> DataFrame:
     """A folder of Parquet files as a stream."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch)
     return reader.parquet(path)
 
 
-def _start(stream: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(consume).option("checkpointLocation", checkpoint)
+def _start(
+    stream: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str, every: str | None, mode: str = "append"
+) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(consume).outputMode(mode).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
 def stream_rerun(
-    stream: DataFrame, run: Callable[[DataFrame], None], checkpoint: str, every: str | None = "5 minutes"
+    stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "5 minutes"
 ) -> StreamingQuery:
-    """Run a pipeline with idempotent sinks for every micro-batch."""
-    return _start(stream, lambda batch, _: run(batch), checkpoint, every)
+    """Run a pipeline with idempotent sinks for every micro-batch (and its number)."""
+    return _start(stream, run, checkpoint, every)
 
 
 def stream_actions(
     stream: DataFrame, to_actions: Batch, table: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Merge the actions of every micro-batch into the action table."""
-    return _start(stream, lambda batch, _: upsert_actions(table, to_actions(batch)) and None, checkpoint, every)
+    """Actions of every micro-batch; read the table with ``action_scan``."""
+    return _start(stream, lambda batch, n: add_batch(to_actions(batch), table, n), checkpoint, every)
 
 
 def stream_alerts(
     stream: DataFrame, to_alerts: Batch, table: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Refresh the alert table; an alert not refreshed in time is no longer live."""
-    return _start(stream, lambda batch, _: upsert_alerts(table, to_alerts(batch)) and None, checkpoint, every)
+    """Alerts of every micro-batch; read the table with ``alert_scan``.
+
+    An alert that is not refreshed before its end is no longer live.
+    """
+    return _start(stream, lambda batch, n: add_batch(to_alerts(batch), table, n), checkpoint, every)
+
+
+def newest_rows(rows: DataFrame, ids: Sequence[str], newest: str) -> DataFrame:
+    """The newest row per id."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    picked = rows.groupBy(*[F.col(i).alias(f"__{i}") for i in ids]).agg(F.max_by(row, F.struct(newest, row)).alias("r"))
+    return picked.select("r.*")
 
 
 def stream_incremental(
-    stream: DataFrame, ids: Sequence[str], table: str, checkpoint: str, newest: str, every: str | None = None
+    stream: DataFrame, ids: Sequence[str], newest: str, table: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the newest row per id (largest ``newest``), merged batch by batch."""
+    """Keep the newest row per id; read the table with ``incremental_scan``."""
+    return _start(stream, lambda batch, n: add_batch(newest_rows(batch, ids, newest), table, n), checkpoint, every)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        row = F.struct(*[F.col(c) for c in batch.columns])
-        rows = batch.groupBy(*[F.col(i).alias(f"__{i}") for i in ids]).agg(F.max_by(row, F.struct(newest, row)).alias("r"))
-        fresh = rows.select("r.*")
-        old = read_snapshot(batch.sparkSession, table)
-        publish(fresh if old is None else incremental_merge(old, fresh, ids), table)
 
-    return _start(stream, merge, checkpoint, every)
+def incremental_scan(spark: SparkSession, table: str, ids: Sequence[str], newest: str) -> DataFrame:
+    stored = [d for d in (read_snapshot(spark, table), read_batches(spark, table)) if d is not None]
+    if not stored:
+        raise FileNotFoundError(table)
+    return newest_rows(stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1]), ids, newest)
 
 
-def stream_group_reemit(
-    grouped: DataFrame, table: str, checkpoint: str, every: str | None = None
-) -> StreamingQuery:
+def stream_group_reemit(grouped: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Publish the whole grouped result again after every micro-batch."""
-    writer = grouped.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.foreachBatch(lambda batch, _: publish(batch, table) and None).trigger(**trigger).start()
+    return _start(grouped, lambda batch, _: publish(batch, table) and None, checkpoint, every, "complete")
