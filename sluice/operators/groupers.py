@@ -109,9 +109,9 @@ def powerset(
     # at most ``max_rows`` rows per group by the check above
     rows = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), _members(df, columns).alias("m"))))
     groups = df.groupBy(*by).agg(F.transform(rows, lambda r: r["m"]).alias("__rows"))
-    last = F.shiftleft(F.lit(1).cast("bigint"), F.size("__rows")) - (1 if include_full else 2)
+    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size("__rows")) - (1 if include_full else 2)
     subsets = groups.filter(last >= 1).withColumn("__bits", F.explode(F.sequence(F.lit(1).cast("bigint"), last)))
-    chosen = F.filter("__rows", lambda m, i: F.expr("__bits").bitwiseAND(F.shiftleft(F.lit(1).cast("bigint"), i)) != 0)
+    chosen = F.filter("__rows", lambda m, i: F.getbit(F.col("__bits"), i) == 1)
     return subsets.select(*by, F.col("__bits").alias("subset"), chosen.alias("members"))
 
 

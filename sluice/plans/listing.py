@@ -62,8 +62,8 @@ columns("l_source_zip", "part", PART, _zipped, {
     "v": "'1/' || p_brand || '/' || p_name || CASE WHEN p_size = 1 THEN '' ELSE ',' || p_size || '/' || p_type || '/?' END",
 })
 
-columns("l_map", "conversations", CONV, lambda: {"v": joined(l.mapped(words(), lambda w: F.upper(w)))}, {
-    "v": JOIN.format(f"list_transform({W}, lambda w: upper(w))"),
+columns("l_map", "conversations", CONV, lambda: {"v": joined(l.mapped(words(), lambda w: F.concat(F.length(w).cast("string"), w)))}, {
+    "v": JOIN.format(f"list_transform({W}, lambda w: length(w) || w)"),
 })
 columns("l_where", "conversations", CONV, lambda: {"v": joined(l.where(words(), lambda w: F.length(w) > 6))}, {
     "v": JOIN.format(f"list_filter({W}, lambda w: length(w) > 6)"),

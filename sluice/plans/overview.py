@@ -63,16 +63,16 @@ def crosstab_counts(t: Tables):
     return o.crosstab_counts(actions(t), "state", "type")
 
 
-WIDTH = """(SELECT min(epoch_ms(created)) AS lo0, min(epoch_ms(last_added)) AS lo1, max(epoch_ms(created)) AS hi0,
-    max(epoch_ms(last_added)) AS hi1 FROM a)"""
+WIDTH = """(SELECT min(epoch_us(created) // 1000) AS lo0, min(epoch_us(last_added) // 1000) AS lo1, max(epoch_us(created) // 1000) AS hi0,
+    max(epoch_us(last_added) // 1000) AS hi1 FROM a)"""
 FRAME = f"""f AS (SELECT least(lo0, lo1) AS lo, greatest(hi0, hi1) AS hi, (greatest(hi0, hi1) - least(lo0, lo1)) // 100 AS even FROM {WIDTH}),
     g AS (SELECT lo, hi, greatest(even, 60000) AS width, CASE WHEN even < 60000 THEN (hi - lo) // 60000 + 1 ELSE 100 END AS n FROM f)"""
 
 
 @plan("histogram", f"""
     WITH a AS (SELECT * FROM {ACTIONS}), {FRAME},
-    times AS (SELECT 'created' AS member, epoch_ms(created) AS at FROM a UNION ALL SELECT 'added', epoch_ms(last_added) FROM a)
-    SELECT member, least((at - lo) // width, n - 1) AS bucket, lo + least((at - lo) // width, n - 1) * width AS start_ms, count(*) AS n
+    times AS (SELECT 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT 'added', epoch_us(last_added) // 1000 FROM a)
+    SELECT member, least((moment - lo) // width, n - 1) AS bucket, lo + least((moment - lo) // width, n - 1) * width AS start_ms, count(*) AS n
     FROM times, g GROUP BY 1, 2, 3
 """)
 def histogram(t: Tables):
@@ -81,8 +81,8 @@ def histogram(t: Tables):
 
 @plan("histogram_by_property", f"""
     WITH a AS (SELECT * FROM {ACTIONS}), {FRAME},
-    times AS (SELECT state, 'created' AS member, epoch_ms(created) AS at FROM a UNION ALL SELECT state, 'added', epoch_ms(last_added) FROM a)
-    SELECT member, state AS value, least((at - lo) // width, n - 1) AS bucket, lo + least((at - lo) // width, n - 1) * width AS start_ms, count(*) AS n
+    times AS (SELECT state, 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT state, 'added', epoch_us(last_added) // 1000 FROM a)
+    SELECT member, state AS value, least((moment - lo) // width, n - 1) AS bucket, lo + least((moment - lo) // width, n - 1) * width AS start_ms, count(*) AS n
     FROM times, g GROUP BY 1, 2, 3, 4
 """)
 def histogram_by_property(t: Tables):
@@ -94,10 +94,10 @@ def oldest_by_state_type(t: Tables):
     return o.latest_transitions(actions(t), "state", "type", "last_state_transition")
 
 
-@plan("action_sort", f"SELECT id, state, coalesce(epoch_ms(external_timestamp), -1) AS at FROM {ACTIONS} ORDER BY external_timestamp DESC NULLS LAST, id")
+@plan("action_sort", f"SELECT id, state, coalesce(epoch_us(external_timestamp) // 1000, -1) AS moment FROM {ACTIONS} ORDER BY external_timestamp DESC NULLS LAST, id")
 def action_sort(t: Tables):
     ordered = o.action_sort(actions(t), "id", "external_timestamp")
-    return ordered.select("id", "state", F.coalesce(F.unix_millis("external_timestamp"), F.lit(-1)).alias("at"))
+    return ordered.select("id", "state", F.coalesce(F.unix_millis("external_timestamp"), F.lit(-1)).alias("moment"))
 
 
 @plan("tag_list", f"""

@@ -206,7 +206,7 @@ def extract_tsv(t: Tables):
 
 @plan("extract_json", f"""
     SELECT 'JSON' AS form, '{{"o_orderkey":' || o_orderkey || ',"o_orderdate":"' || {DATE_TEXT} || '"}}' AS line FROM orders
-    UNION ALL SELECT 'JSON_MILLIS', '{{"o_orderkey":' || o_orderkey || ',"o_orderdate":' || epoch_ms(o_orderdate) || '}}' FROM orders
+    UNION ALL SELECT 'JSON_MILLIS', '{{"o_orderkey":' || o_orderkey || ',"o_orderdate":' || epoch_us(o_orderdate) // 1000 || '}}' FROM orders
 """)
 def extract_json(t: Tables):
     frames = []

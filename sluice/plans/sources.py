@@ -50,7 +50,7 @@ def schema_from_descriptor(t: Tables):
     return rows.select(fmt.gangs.text("order").alias("gang"), "o_orderdate", "o_totalprice", F.lit(",".join(fmt.signable)).alias("signable"))
 
 
-@plan("time_decode", "SELECT event_id, epoch_us(ts) AS iso, epoch_us(ts) AS secs, epoch_ms(ts) * 1000 AS millis FROM events")
+@plan("time_decode", "SELECT event_id, epoch_us(ts) AS iso, epoch_us(ts) AS secs, epoch_us(ts) // 1000 * 1000 AS millis FROM events")
 def time_decode(t: Tables):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     secs = F.unix_micros("ts") / F.lit(1_000_000.0)

@@ -15,7 +15,7 @@ ZONE = "America/Toronto"
 LOCAL = f"(ts AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}')"
 
 columns("fn_date_to_seconds", "events", EVENT, lambda: {"v": dates.to_seconds("ts")}, {"v": "epoch_us(ts) // 1000000"})
-columns("fn_date_to_millis", "events", EVENT, lambda: {"v": dates.to_millis("ts")}, {"v": "epoch_ms(ts)"})
+columns("fn_date_to_millis", "events", EVENT, lambda: {"v": dates.to_millis("ts")}, {"v": "epoch_us(ts) // 1000"})
 
 _PARTS = {
     "year": (dates.year, "year({})"),
@@ -264,7 +264,7 @@ columns("fn_json_array_from_dict", "part", PART, lambda: {
 columns("fn_json_encode", "events", EVENT, lambda: {"v": d.encode(F.try_parse_json("props"))}, {
     "v": """'{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'""",
 })
-columns("fn_json_decode", "events", EVENT, lambda: {"good": d.decode("props").isNotNull(), "bad": d.decode(F.concat("props", F.lit("]"))).isNull()}, {
+columns("fn_json_decode", "events", EVENT, lambda: {"good": d.decode("props").isNotNull(), "bad": d.decode(F.concat(F.lit("["), "props")).isNull()}, {
     "good": "true", "bad": "true",
 })
 columns("fn_json_parse", "events", EVENT, lambda: {"v": d.parse("props"), "bad": d.parse("event_type").isNull()}, {

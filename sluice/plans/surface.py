@@ -17,11 +17,6 @@ from sluice.semantics import scratch_path
 from sluice.sinks.refills import refill_with
 
 
-def net_cents(price, discount):
-    """A user function: price after discount, in cents."""
-    return F.round(price * 100 * (1 - discount)).cast("bigint")
-
-
 @plan("udf_function", """
     SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity / 7) AS BIGINT) + l_linenumber AS shelf FROM lineitem
 """)
@@ -39,16 +34,21 @@ def udf_constant(t: Tables):
     return t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") > BULK).alias("bulk"), (F.col("l_partkey") * QUOTA).alias("quota"))
 
 
-def initials(names: pd.Series) -> pd.Series:
-    return names.str.replace(r"(\w)\w*\s*", r"\1", regex=True)
+def initials():
+    """A vectorised function, made here so that it travels to the workers by itself."""
+
+    def shorten(names: pd.Series) -> pd.Series:
+        return names.str.replace(r"(\w)\w*\s*", r"\1", regex=True)
 
+    return shorten
 
-@plan("udf_plugin", """
-    SELECT p_partkey, regexp_replace(p_name, '(\\w)\\w*\\s*', '\\1', 'g') AS initials, p_brand || '-' || p_type || '-' || p_name AS label FROM part
-""".replace("\\\\", "\\"))
+
+@plan("udf_plugin", r"""
+    SELECT p_partkey, regexp_replace(p_name, '(\w)\w*\s*', '\1', 'g') AS initials, p_brand || '-' || p_type || '-' || p_name AS label FROM part
+""")
 def udf_plugin(t: Tables):
     dashed = variadic(lambda a, b: F.concat(a, F.lit("-"), b))
-    return t.part.select("p_partkey", plugin(initials, "string")("p_name").alias("initials"), dashed(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("label"))
+    return t.part.select("p_partkey", plugin(initials(), "string")("p_name").alias("initials"), dashed(F.col("p_brand"), F.col("p_type"), F.col("p_name")).alias("label"))
 
 
 def spread(value):
@@ -74,7 +74,7 @@ def agg_stats(t: Tables):
 @plan("udtf_grouper", "SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")
 def udtf_grouper(t: Tables):
     returned = t.lineitem.filter("l_returnflag = 'R'").select("l_suppkey", "l_quantity")
-    return grouped_map(returned, ["l_suppkey"], tally, "l_suppkey bigint, n bigint, quantity double")
+    return grouped_map(returned, ["l_suppkey"], tally(), "l_suppkey bigint, n bigint, quantity double")
 
 
 @plan("udtf_define", "SELECT o_orderkey, o_orderpriority, o_custkey FROM orders WHERE o_orderpriority = '3-MEDIUM'")
