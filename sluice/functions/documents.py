@@ -46,7 +46,7 @@ def obj(fields: Column | str) -> Column:
 def array_from_dict(entries: Column | str) -> Column:
     """Dictionary of JSON texts as an array of [key, value], in key order."""
     pairs = F.transform(
-        F.array_sort(F.map_entries(col(entries))),
+        F.sort_array(F.map_entries(col(entries))),
         lambda e: F.concat(F.lit("["), _json_string(e["key"]), F.lit(","), e["value"], F.lit("]")),
     )
     return F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]"))

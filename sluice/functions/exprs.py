@@ -65,7 +65,7 @@ def match_optional(value: Column | str, some, none: Column) -> Column:
 
 def order(*items: Column) -> Column:
     """The items as a tuple in ascending order."""
-    ranked = F.array_sort(F.array(*items))
+    ranked = F.sort_array(F.array(*items))
     return F.struct(*[F.get(ranked, F.lit(i)).alias(f"_{i}") for i in range(len(items))])
 
 
@@ -100,7 +100,7 @@ def set_equal(a: Column | str, b: Column | str) -> Column:
 
 
 def dict_equal(a: Column | str, b: Column | str) -> Column:
-    return same(F.array_sort(F.map_entries(col(a))), F.array_sort(F.map_entries(col(b))))
+    return same(F.sort_array(F.map_entries(col(a))), F.sort_array(F.map_entries(col(b))))
 
 
 def matches(text: Column | str, pattern: str, flags: str = "") -> Column:
@@ -157,19 +157,19 @@ def interpolate(*parts: str | Column) -> Column:
 
 
 def set_union(a: Column | str, b: Column | str) -> Column:
-    return F.array_sort(F.array_union(col(a), col(b)))
+    return F.sort_array(F.array_union(col(a), col(b)))
 
 
 def set_add(a: Column | str, item: Column) -> Column:
-    return F.array_sort(F.array_union(col(a), F.array(item)))
+    return F.sort_array(F.array_union(col(a), F.array(item)))
 
 
 def set_diff(a: Column | str, b: Column | str) -> Column:
-    return F.array_sort(F.array_except(col(a), col(b)))
+    return F.sort_array(F.array_except(col(a), col(b)))
 
 
 def set_remove(a: Column | str, item: Column) -> Column:
-    return F.array_sort(F.array_except(col(a), F.array(item)))
+    return F.sort_array(F.array_except(col(a), F.array(item)))
 
 
 def contains(items: Column | str, item: Column) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.semantics import as_set, col
+from sluice.semantics import as_set, bind, col
 
 Fn = Callable[[Column], Column]
 
@@ -49,12 +49,12 @@ def span(start: Column, end: Column) -> Column:
 
 def split(text: Column | str, pattern: str) -> Column:
     """Split by a regular expression; empty pieces at the end are dropped."""
-    t = col(text)
-    pieces = F.split(t, pattern)
-    last = F.aggregate(
-        F.transform(pieces, lambda p, i: F.when(p != "", i + 1).otherwise(0)), F.lit(0), lambda a, i: F.greatest(a, i)
-    )
-    return F.when(F.size(pieces) == 1, pieces).otherwise(F.slice(pieces, F.lit(1), last))
+
+    def trimmed(pieces: Column) -> Column:
+        last = F.array_max(F.transform(pieces, lambda p, i: F.when(p != "", i + 1).otherwise(0)))
+        return F.when(F.size(pieces) == 1, pieces).otherwise(F.slice(pieces, F.lit(1), last))
+
+    return bind(F.split(col(text), pattern), trimmed)
 
 
 def zipped(left: Column | str, right: Column | str, left_width: int, right_width: int) -> Column:
@@ -63,18 +63,22 @@ def zipped(left: Column | str, right: Column | str, left_width: int, right_width
     Result: tuples of the key, the left fields and the right fields; a side
     without the key gives empty fields.
     """
-    a, b = col(left), col(right)
-    keys = F.array_union(F.transform(a, lambda t: t["_0"]), F.transform(b, lambda t: t["_0"]))
 
     def found(items: Column, key: Column) -> Column:
         return F.get(F.filter(items, lambda t: t["_0"].eqNullSafe(key)), F.lit(0))
 
-    def row(key: Column) -> Column:
-        fields = [found(a, key)[f"_{i}"] for i in range(1, left_width)]
-        fields += [found(b, key)[f"_{i}"] for i in range(1, right_width)]
-        return F.struct(key.alias("_0"), *[f.alias(f"_{i + 1}") for i, f in enumerate(fields)])
+    def rows(sides: Column) -> Column:
+        a, b = sides["a"], sides["b"]
 
-    return F.transform(keys, row)
+        def row(key: Column) -> Column:
+            fields = [found(a, key)[f"_{i}"] for i in range(1, left_width)]
+            fields += [found(b, key)[f"_{i}"] for i in range(1, right_width)]
+            return F.struct(key.alias("_0"), *[f.alias(f"_{i + 1}") for i, f in enumerate(fields)])
+
+        keys = F.array_union(F.transform(a, lambda t: t["_0"]), F.transform(b, lambda t: t["_0"]))
+        return F.transform(keys, row)
+
+    return bind(F.struct(col(left).alias("a"), col(right).alias("b")), rows)
 
 
 # ---------------------------------------------------------------- modifiers
@@ -99,7 +103,7 @@ def distinct(items: Column | str) -> Column:
 def sort(items: Column | str, key: Fn) -> Column:
     """Ascending by key; equal keys keep their order."""
     keyed = F.transform(col(items), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+    return F.transform(F.sort_array(keyed), lambda s: s["x"])
 
 
 def reverse(items: Column | str) -> Column:
@@ -140,20 +144,30 @@ class Squish:
     n: int
 
     def take(self, items: Column, at: Column) -> tuple[Column, Column]:
-        rest = F.slice(items, at + 1, F.greatest(F.size(items) - at, F.lit(0)))
-        step = F.floor(F.size(rest) / F.lit(self.n)).cast("int")
-        spaced = F.filter(rest, lambda x, i: (i % F.greatest(step, F.lit(1)) == 0) & (i < step * self.n))
-        few = F.size(rest) <= self.n
+        left = F.size(items) - at
+        few = left <= self.n
+        rest = F.slice(items, at + 1, F.greatest(left, F.lit(0)))
+        places = F.sequence(F.lit(0), F.lit(self.n - 1))
+        spaced = F.transform(places, lambda i: F.get(items, at + i * F.floor(left / self.n).cast("int")))
         return F.when(few, rest).otherwise(spaced), F.when(few, F.size(items)).otherwise(at + self.n)
 
 
 def subsample(items: Column | str, *samplers: Fixed | Squish) -> Column:
     """Run samplers one after another over a sorted list."""
-    source, at, taken = col(items), F.lit(0), []
-    for s in samplers:
-        chosen, at = s.take(source, at)
-        taken.append(chosen)
-    return F.concat(*taken)
+
+    def run(state: Column, rest: Sequence[Fixed | Squish]) -> Column:
+        source = state["items"]
+        chosen, at = rest[0].take(source, state["at"])
+        if len(rest) == 1:
+            return F.concat(state["taken"], chosen)
+        return bind(
+            F.struct(source.alias("items"), at.alias("at"), F.concat(state["taken"], chosen).alias("taken")),
+            lambda following: run(following, rest[1:]),
+        )
+
+    source = col(items)
+    start = F.struct(source.alias("items"), F.lit(0).alias("at"), F.slice(source, F.lit(1), F.lit(0)).alias("taken"))
+    return bind(start, lambda state: run(state, samplers))
 
 
 # --------------------------------------------------------------- collectors
@@ -198,7 +212,7 @@ def minimum(items: Column | str, key: Fn) -> Column:
 
 
 def lexical_concat(items: Column | str, delimiter: str) -> Column:
-    return F.array_join(F.array_sort(col(items)), delimiter)
+    return F.array_join(F.sort_array(col(items)), delimiter)
 
 
 def fixed_concat(items: Column | str, delimiter: str) -> Column:
@@ -213,12 +227,15 @@ def total(items: Column | str, zero: Column | None = None) -> Column:
 
 def stats(items: Column | str, kind: str = "double") -> Column:
     """Object of average, count, maximum, minimum and sum (``kind``: item type)."""
-    a = F.transform(col(items), lambda x: x.cast(kind))
-    s = F.aggregate(a, F.lit(0).cast(kind), lambda acc, x: acc + x)
-    return F.struct(
-        (s / F.nullif(F.size(a), F.lit(0))).cast("double").alias("average"), F.size(a).cast("bigint").alias("count"),
-        F.array_max(a).alias("maximum"), F.array_min(a).alias("minimum"), s.alias("sum"),
-    )
+
+    def summary(a: Column) -> Column:
+        s = F.aggregate(a, F.lit(0).cast(kind), lambda acc, x: acc + x)
+        return F.struct(
+            (s / F.nullif(F.size(a), F.lit(0))).cast("double").alias("average"), F.size(a).cast("bigint").alias("count"),
+            F.array_max(a).alias("maximum"), F.array_min(a).alias("minimum"), s.alias("sum"),
+        )
+
+    return bind(F.transform(col(items), lambda x: x.cast(kind)), summary)
 
 
 def reduce(items: Column | str, start: Column, fn: Callable[[Column, Column], Column]) -> Column:
@@ -247,8 +264,7 @@ def as_tuple(items: Column | str, n: int) -> Column:
 
 def obj(items: Column | str, **collectors: Callable[[Column], Column]) -> Column:
     """Several collectors over one list."""
-    a = col(items)
-    return F.struct(*[c(a).alias(n) for n, c in collectors.items()])
+    return bind(col(items), lambda a: F.struct(*[c(a).alias(n) for n, c in collectors.items()]))
 
 
 def present(items: Column | str) -> Column:

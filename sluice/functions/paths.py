@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.semantics import col
+from sluice.semantics import bind, col
 
 
 def to_path(text: Column | str) -> Column:
@@ -35,10 +35,13 @@ def file(path: Column | str) -> Column:
 
 def directory(path: Column | str) -> Column:
     """All but the last name, or empty if there is none."""
-    p = to_path(path)
-    found = names(p)
-    parent = _build(_absolute(p), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
-    return F.when((F.size(found) > 1) | (_absolute(p) & (F.size(found) == 1)), parent)
+
+    def parent(p: Column) -> Column:
+        found = names(p)
+        above = _build(_absolute(p), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
+        return F.when((F.size(found) > 1) | (_absolute(p) & (F.size(found) == 1)), above)
+
+    return bind(to_path(path), parent)
 
 
 def normalize(path: Column | str) -> Column:
@@ -68,13 +71,23 @@ def resolve(base: Column | str, other: Column | str) -> Column:
 
 def relativize(directory_: Column | str, path: Column | str) -> Column:
     """The way from a directory to a path."""
-    a, b = names(directory_), names(path)
-    shared = F.size(F.filter(
-        F.transform(a, lambda _, i: F.slice(a, F.lit(1), i + 1) == F.slice(b, F.lit(1), i + 1)), lambda same: same
-    ))
-    ups = F.array_repeat(F.lit(".."), F.size(a) - shared)
-    downs = F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0)))
-    return F.array_join(F.concat(ups, downs), "/")
+
+    def common(both: Column) -> Column:
+        """Number of leading names in both."""
+        paired = F.zip_with(both["a"], both["b"], lambda x, y: x.eqNullSafe(y) & x.isNotNull())
+        differs = F.array_position(paired, F.lit(False))
+        return F.struct(
+            both["a"].alias("a"), both["b"].alias("b"),
+            F.when(differs > 0, differs - 1).otherwise(F.size(paired)).cast("int").alias("shared"),
+        )
+
+    def way(p: Column) -> Column:
+        ups = F.array_repeat(F.lit(".."), F.size(p["a"]) - p["shared"])
+        downs = F.slice(p["b"], p["shared"] + 1, F.size(p["b"]) - p["shared"])
+        return F.array_join(F.concat(ups, downs), "/")
+
+    both = F.struct(names(directory_).alias("a"), names(path).alias("b"))
+    return bind(bind(both, common), way)
 
 
 def replace_home(path: Column | str, home: Column) -> Column:

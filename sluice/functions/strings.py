@@ -68,13 +68,18 @@ def truncate(text: Column | str, limit: int, method: str, ellipsis: str = "") ->
 
 def hash_code(text: Column | str) -> Column:
     """The 32-bit polynomial hash (base 31) of the UTF-16 text."""
-    units = F.regexp_extract_all(F.hex(F.encode(col(text), "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-    folded = F.aggregate(
-        units,
-        F.lit(0).cast("bigint"),
-        lambda h, u: (h * 31 + F.conv(u, 16, 10).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF)),
+
+    def step(h: Column, character: Column) -> Column:
+        c = F.ascii(character).cast("bigint")
+        # a character beyond 16 bits is two units of UTF-16
+        lead, trail = F.lit(0xD7C0) + F.floor(c / 1024), F.lit(0xDC00) + c % 1024
+        wide = (h * 31 + lead) * 31 + trail
+        return F.when(c > 0xFFFF, wide).otherwise(h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    characters = F.regexp_extract_all(col(text), F.lit("(?s)."), F.lit(0))
+    return F.aggregate(
+        characters, F.lit(0).cast("bigint"), step, lambda h: F.when(h >= 2**31, h - F.lit(2**32)).otherwise(h)
     )
-    return F.when(folded >= 2**31, folded - F.lit(2**32)).otherwise(folded)
 
 
 def url_decode(text: Column | str) -> Column:

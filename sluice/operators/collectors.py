@@ -197,10 +197,10 @@ def listing(value: Column | str, keep_empty: bool = False) -> Collector:
     """Sorted distinct list; ``keep_empty`` lets one empty optional through."""
     v = col(value)
     if not keep_empty:
-        return Collector((_set_part(v),), lambda p: F.coalesce(F.array_sort(p), F.array()))
+        return Collector((_set_part(v),), lambda p: F.coalesce(F.sort_array(p), F.array()))
     return Collector(
         (_set_part(F.struct(v.alias("v"))),),
-        lambda p: F.coalesce(F.array_sort(F.transform(p, lambda s: s["v"])), F.array()),
+        lambda p: F.coalesce(F.sort_array(F.transform(p, lambda s: s["v"])), F.array()),
     )
 
 
@@ -233,7 +233,7 @@ def dictionary(key: Column | str, value: Column | str) -> Collector:
     return Collector(
         (),
         lambda e: F.map_from_entries(
-            F.coalesce(F.array_sort(F.transform(e, lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v")))), F.array())
+            F.coalesce(F.sort_array(F.transform(e, lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v")))), F.array())
         ),
         entries=(
             Entries(lambda c: _given(c, F.array(F.struct(k.alias("k"), v.alias("v")))), F.min),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sluice.operators.collectors import Collector
 from sluice.operators.grouping import Keys, finish, merge_partials, partials
 from sluice.operators.lookups import hamming_collisions
-from sluice.semantics import all_of, bounded, col
+from sluice.semantics import all_of, bind, bounded, col
 
 SUBGROUP_LIMIT = 1_000_000
 
@@ -124,63 +124,68 @@ def merge_sets(
     group.  A lane joins the subgroup of the smallest lane of its set if that
     lane and all lanes between them went there; its identifiers must then be
     none, or those of that first lane.  Rows of joining lanes that carry an
-    identifier stay out.  Collectors may read ``merged_lanes``.
+    identifier stay out.
+
+    The rows are reduced once, per lane and per whether they are identified;
+    everything after that works on lanes.
     """
     by = list(by)
-    lanes_of = F.flatten("__merges")
-    groups = df.groupBy(*by).agg(F.min(permitted).alias("__merges"), F.max(permitted).alias("__other"))
-    sound = (
-        (F.col("__merges") == F.col("__other"))
-        & (F.size(lanes_of) > 0)
-        & (F.size(lanes_of) == F.size(F.array_distinct(lanes_of)))
+    rows = df.withColumns({
+        "__lane": F.col(lane), "__blank": F.col(identifier).isNull(), "__merges": F.col(permitted),
+    })
+    cells = partials(rows, [*by, "__lane", "__blank", "__merges"], into)
+    placed = _heads(cells, by)
+
+    # identifiers of a joining lane must be none, or exactly those of its head
+    ids = df.filter(F.col(identifier).isNotNull())
+    ids = ids.select(*by, F.col(lane).alias("__lane"), F.col(identifier).alias("__id")).distinct()
+    lanes = placed.select(*by, "__lane", "__head").distinct()
+    ids = ids.join(lanes, [*by, "__lane"], "inner")
+    in_head = F.max(F.col("__lane") == F.col("__head")).over(Window.partitionBy(*by, "__head", "__id"))
+    counts = ids.withColumn("__hit", in_head).groupBy(*by, "__head", "__lane").agg(
+        F.count(F.lit(1)).alias("__mine"), F.count_if("__hit").alias("__same")
     )
-    groups = groups.filter(sound).select(*by, "__merges")
-    lanes = df.select(*by, F.col(lane).alias("__lane")).distinct().join(groups, by, "inner")
-    own_set = F.filter("__merges", lambda s: F.array_contains(s, F.col("__lane")))
-    lanes = lanes.withColumn("__target", F.array_min(F.get(own_set, F.lit(0)))).drop("__merges")
+    theirs = F.sum(F.when(F.col("__lane") == F.col("__head"), F.col("__mine")).otherwise(0))
+    counts = counts.withColumn("__theirs", theirs.over(Window.partitionBy(*by, "__head")))
+    clash = counts.filter((F.col("__same") != F.col("__mine")) | (F.col("__theirs") != F.col("__mine")))
+    clash = clash.filter(F.col("__lane") != F.col("__head")).select(*by).distinct()
 
-    in_group = Window.partitionBy(*by).orderBy("__lane")
-    in_target = Window.partitionBy(*by, "__target").orderBy("__lane")
-    in_set = Window.partitionBy(*by, "__target")
+    # the lanes of one subgroup are bounded by the permitted-merges value itself
+    listed = F.sort_array(F.collect_set("__lane").over(Window.partitionBy(*by, "__head")))
+    placed = placed.withColumn("merged_lanes", listed).join(clash, by, "left_anti")
+    kept = placed.filter((F.col("__lane") == F.col("__head")) | F.col("__blank"))
+    parts = merge_partials(kept, [*by, "merged_lanes"], into)
+    parts, ok, out = finish(parts, [*by, "merged_lanes"], into)
+    return parts.filter(ok).select(*out)
+
+
+def _heads(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the first lane of each cell's subgroup; unsound groups disappear."""
     whole = Window.partitionBy(*by)
-    lanes = (
-        lanes.withColumn("__rank", F.row_number().over(in_group))
-        .withColumn("__step", F.row_number().over(in_target))
+    merges = F.col("__merges")
+    lanes_of = F.flatten(merges)
+    own_set = F.get(F.filter(merges, lambda s: F.array_contains(s, F.col("__lane"))), F.lit(0))
+    target = F.when(F.size(lanes_of) == F.size(F.array_distinct(lanes_of)), F.array_min(own_set))
+    cells = cells.withColumn("__target", target)
+    cells = (
+        cells.withColumn("__mixed", F.min("__merges").over(whole) != F.max("__merges").over(whole))
+        .withColumn("__lost", F.max(F.col("__target").isNull()).over(whole))
+        .withColumn("__rank", F.dense_rank().over(whole.orderBy("__lane")))
+    )
+    in_set = Window.partitionBy(*by, "__target")
+    cells = (
+        cells.filter(~F.col("__mixed") & ~F.col("__lost"))
+        .withColumn("__step", F.dense_rank().over(in_set.orderBy("__lane")))
         .withColumn("__lead_lane", F.min("__lane").over(in_set))
         .withColumn("__lead_rank", F.min("__rank").over(in_set))
-        .withColumn("__lost", F.max(F.col("__target").isNull()).over(whole))
     )
     joins = (
         (F.col("__lead_lane") == F.col("__target"))
         & (F.col("__rank") - F.col("__lead_rank") == F.col("__step") - 1)
     )
-    lanes = lanes.filter(~F.col("__lost")).withColumn("__head", F.when(joins, F.col("__target")).otherwise(F.col("__lane")))
-    lanes = lanes.select(*by, "__lane", "__head")
-
-    # identifiers of a joining lane must be none, or exactly those of the head
-    ids = df.filter(F.col(identifier).isNotNull()).select(*by, F.col(lane).alias("__lane"), F.col(identifier).alias("__id")).distinct()
-    counts = ids.groupBy(*by, "__lane").agg(F.count(F.lit(1)).alias("__n"))
-    headed = ids.join(lanes.filter(F.col("__lane") != F.col("__head")), [*by, "__lane"], "inner")
-    head_ids = ids.select(*by, F.col("__lane").alias("__head"), "__id", F.lit(1).alias("__hit"))
-    agreed = headed.join(head_ids, [*by, "__head", "__id"], "left").groupBy(*by, "__lane", "__head").agg(
-        F.count("__hit").alias("__same"), F.count(F.lit(1)).alias("__mine")
-    )
-    head_counts = counts.select(*by, F.col("__lane").alias("__head"), F.col("__n").alias("__theirs"))
-    agreed = agreed.join(head_counts, [*by, "__head"], "left")
-    clash = agreed.filter(
-        (F.col("__same") != F.col("__mine")) | (F.coalesce("__theirs", F.lit(0)) != F.col("__mine"))
-    ).select(*by).distinct()
-    lanes = lanes.join(clash, by, "left_anti")
-
-    # the lanes of one subgroup are bounded by the permitted-merges value itself
-    sets = lanes.groupBy(*by, "__head").agg(F.array_sort(F.collect_set("__lane")).alias("merged_lanes"))
-    rows = df.withColumn("__lane", F.col(lane)).join(lanes, [*by, "__lane"], "inner")
-    rows = rows.filter((F.col("__lane") == F.col("__head")) | F.col(identifier).isNull())
-    rows = rows.join(sets, [*by, "__head"], "inner")
-    keys = [*by, "merged_lanes"]
-    parts = merge_partials(partials(rows, keys, into), keys, into)
-    parts, ok, out = finish(parts, keys, into)
-    return parts.filter(ok).select(*out)
+    head = F.when(joins, F.col("__target")).otherwise(F.col("__lane"))
+    extra = ["__merges", "__target", "__mixed", "__lost", "__rank", "__step", "__lead_lane", "__lead_rank"]
+    return cells.withColumn("__head", head).drop(*extra)
 
 
 def barcodes(
@@ -214,7 +219,7 @@ def greedy_bins(costs: Column | str, limit: int) -> Column:
     """
     entries = F.map_entries(col(costs))
     dear = F.filter(entries, lambda e: e["value"] >= limit)
-    cheap = F.array_sort(
+    cheap = F.sort_array(
         F.transform(
             F.filter(entries, lambda e: e["value"] < limit),
             lambda e: F.struct((-e["value"]).cast("bigint").alias("c"), e["key"].alias("k")),
@@ -225,21 +230,24 @@ def greedy_bins(costs: Column | str, limit: int) -> Column:
     def place(bins: Column, item: Column) -> Column:
         cost = -item["c"]
         fits = F.transform(bins, lambda b: (b["room"] > 0) & (b["room"] >= cost))
-        at = F.array_position(fits, F.lit(True))
-        taken = F.transform(
-            bins,
-            lambda b, i: F.when(
-                i + 1 == at,
-                F.struct((b["room"] - cost).alias("room"), F.array_append(b["names"], item["k"]).alias("names")),
-            ).otherwise(b),
-        )
-        opened = F.array_append(
-            bins, F.struct((F.lit(limit).cast("bigint") - cost).alias("room"), F.array(item["k"]).alias("names"))
-        )
-        return F.when(at > 0, taken).otherwise(opened)
 
-    filled = F.aggregate(cheap, empty, place, lambda bins: F.transform(bins, lambda b: F.array_sort(b["names"])))
-    return F.array_sort(F.concat(F.transform(dear, lambda e: F.array(e["key"])), filled))
+        def put(at: Column) -> Column:
+            taken = F.transform(
+                bins,
+                lambda b, i: F.when(
+                    i + 1 == at,
+                    F.struct((b["room"] - cost).alias("room"), F.array_append(b["names"], item["k"]).alias("names")),
+                ).otherwise(b),
+            )
+            opened = F.array_append(
+                bins, F.struct((F.lit(limit).cast("bigint") - cost).alias("room"), F.array(item["k"]).alias("names"))
+            )
+            return F.when(at > 0, taken).otherwise(opened)
+
+        return bind(F.array_position(fits, F.lit(True)), put)
+
+    filled = F.aggregate(cheap, empty, place, lambda bins: F.transform(bins, lambda b: F.sort_array(b["names"])))
+    return F.sort_array(F.concat(F.transform(dear, lambda e: F.array(e["key"])), filled))
 
 
 def grouped_map(df: DataFrame, by: Sequence[str], split: Callable, schema: str) -> DataFrame:

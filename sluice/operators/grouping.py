@@ -73,7 +73,7 @@ def merge_partials(parts: DataFrame, keys: Sequence[str], into: Mapping[str, Col
     merged = []
     for name, k in into.items():
         merged += [p.merge(F.col(label)).alias(label) for p, label in zip(k.parts, labels[name][0])]
-        merged += [F.collect_set(F.col(label)).alias(label) for label in labels[name][1]]
+        merged += [F.collect_list(F.col(label)).alias(label) for label in labels[name][1]]
     return parts.groupBy(*keys).agg(*merged)
 
 

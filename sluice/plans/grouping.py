@@ -132,13 +132,13 @@ def agg_list(t: Tables):
 
 
 @plan("agg_flatten", """
-    SELECT lang, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS letters
-    FROM (SELECT DISTINCT lang, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY lang
+    SELECT lang, source, count(*) AS words, CAST(sum(length(word)) AS BIGINT) AS letters
+    FROM (SELECT DISTINCT lang, source, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY lang, source
 """)
 def agg_flatten(t: Tables):
-    merged = grp.group_by(t.documents, ["lang"], {"words": c.flattened(F.split("text", " "))})
+    merged = grp.group_by(t.documents, ["lang", "source"], {"words": c.flattened(F.split("text", " "))})
     letters = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w))
-    return merged.select("lang", F.size("words").cast("bigint").alias("words"), letters.alias("letters"))
+    return merged.select("lang", "source", F.size("words").cast("bigint").alias("words"), letters.alias("letters"))
 
 
 @plan("agg_dict", """
@@ -147,7 +147,7 @@ def agg_flatten(t: Tables):
 """)
 def agg_dict(t: Tables):
     built = grp.group_by(t.part, ["p_brand"], {"d": c.dictionary("p_type", "p_size")})
-    pairs = F.transform(F.array_sort(F.map_entries("d")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    pairs = F.transform(F.sort_array(F.map_entries("d")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return built.select("p_brand", F.array_join(pairs, ",").alias("smallest"))
 
 

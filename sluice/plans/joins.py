@@ -181,7 +181,7 @@ def equivalence_match(t: Tables):
     FROM part p LEFT JOIN wide w ON p.p_brand = w.key
 """)
 def string_expand(t: Tables):
-    wide = t.part.filter("p_size > 45").groupBy(F.col("p_brand").alias("key")).agg(F.array_sort(F.collect_set("p_type")).alias("kinds"))
+    wide = t.part.filter("p_size > 45").groupBy(F.col("p_brand").alias("key")).agg(F.sort_array(F.collect_set("p_type")).alias("kinds"))
     found = k.string_expand(t.part, "p_brand", wide, "key", "kinds", "expanded")
     return found.select("p_partkey", F.array_join("expanded", "|").alias("expanded"))
 

@@ -85,7 +85,7 @@ columns("l_skip", "conversations", CONV, lambda: {"v": joined(l.skip(words(), 3)
 
 
 def _sampled():
-    ordered = F.array_sort(words())
+    ordered = F.sort_array(words())
     return {
         "first": joined(l.subsample(ordered, l.Fixed(4))),
         "short": joined(l.subsample(ordered, l.Fixed(8, lambda w: F.length(w) < 4))),

@@ -159,11 +159,12 @@ columns("fn_string_lower", "documents", DOC, lambda: {"v": F.md5(strings.lower("
 columns("fn_string_upper", "part", PART, lambda: {"v": strings.upper("p_name")}, {"v": "upper(p_name)"})
 columns("fn_string_eq", "part", PART, lambda: {"v": strings.equal_ignoring_case(F.lower("p_type"), F.lit("PROMO"))}, {"v": "p_type = 'PROMO'"})
 columns("fn_string_length", "documents", DOC, lambda: {"v": strings.length("text")}, {"v": "length(text)"})
-columns("fn_string_hash", "documents", DOC, lambda: {"v": strings.hash_code("lang"), "w": strings.hash_code("text")}, {
-    "v": "(ascii(substring(lang, 1, 1)) * 31 + ascii(substring(lang, 2, 1)))",
-    "w": "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),"
-    " lambda h, c: (h * 31 + c) % 4294967296) - CASE WHEN list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''),"
-    " lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) >= 2147483648 THEN 4294967296 ELSE 0 END",
+_FOLD = (
+    "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),"
+    " lambda h, c: (h * 31 + c) % 4294967296)"
+)
+columns("fn_string_hash", "conversations", ["conv_id", "turn"], lambda: {"v": strings.hash_code("text")}, {
+    "v": f"{_FOLD} - CASE WHEN {_FOLD} >= 2147483648 THEN 4294967296 ELSE 0 END",
 })
 columns("fn_string_replace", "documents", DOC, lambda: {"v": F.md5(strings.replace("text", "e.", "E!").cast("binary"))}, {
     "v": "md5(replace(text, 'e.', 'E!'))",

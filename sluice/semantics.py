@@ -55,8 +55,16 @@ def same(a: Column | str, b: Column | str) -> Column:
 
 
 def as_set(items: Column | str) -> Column:
-    """Normalise a list: distinct items in ascending order (empties last)."""
-    return F.array_sort(F.array_distinct(col(items)))
+    """Normalise a list: distinct items in ascending order (an empty one first)."""
+    return F.sort_array(F.array_distinct(col(items)))
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate a column once per row and use it several times.
+
+    Inside a lambda, an expression would be evaluated again for every item.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def full_match(text: Column | str, pattern: str, flags: str = "") -> Column:

@@ -64,7 +64,7 @@ def emit_actions(
         F.min("__at").alias("created"),
         F.max("__at").alias("last_added"),
         F.max("__external").alias("external_timestamp"),
-        F.array_sort(F.collect_set("__tag")).alias("tags"),
+        F.sort_array(F.collect_set("__tag")).alias("tags"),
     )
     kind = F.lit(type_)
     return merged.select(
@@ -83,8 +83,8 @@ def fold_actions(rows: DataFrame) -> DataFrame:
     spread = rows.withColumn("__tag", F.explode_outer("tags"))
     return spread.groupBy("id", "type", "params").agg(
         F.max("state").alias("state"),
-        F.array_sort(F.collect_set("__tag")).alias("tags"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
+        F.sort_array(F.collect_set("__tag")).alias("tags"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
         F.min("created").alias("created"),
         F.max("last_added").alias("last_added"),
         F.max("last_checked").alias("last_checked"),
@@ -108,7 +108,7 @@ def merge_actions(old: DataFrame, new: DataFrame) -> DataFrame:
     def united(c: str) -> Column:
         empty = F.array()
         joined = F.array_union(F.coalesce(F.col(f"__{c}"), empty), F.coalesce(F.col(c), empty))
-        return F.array_sort(joined).alias(c)
+        return F.sort_array(joined).alias(c)
 
     merged = {
         "tags": united("tags"), "locations": united("locations"),

@@ -65,7 +65,7 @@ def fold_alerts(rows: DataFrame) -> DataFrame:
         F.min("starts_at").alias("starts_at"),
         F.max_by("ends_at", "refreshed_at").alias("ends_at"),
         F.max_by("annotations", "refreshed_at").alias("annotations"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
         F.max("refreshed_at").alias("refreshed_at"),
     )
 

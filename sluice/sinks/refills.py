@@ -25,16 +25,11 @@ def content_mark(df: DataFrame) -> DataFrame:
     """
     row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
     hashes = df.select(F.unhex(F.sha1(row.cast("binary"))).alias("h")).distinct()
-    piece = F.hex("h")
-
-    def word(start: int) -> Column:
-        return F.conv(F.substring(piece, start, 8), 16, 10).cast("bigint")
-
-    words = hashes.select(*[word(1 + 8 * i).alias(f"w{i}") for i in range(5)])
+    words = hashes.select(*[F.xxhash64("h", F.lit(i)).alias(f"w{i}") for i in range(3)])
     return words.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.coalesce(F.bit_xor(f"w{i}"), F.lit(0)).alias(f"x{i}") for i in range(5)],
-        *[F.coalesce(F.sum(F.col(f"w{i}").cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"s{i}") for i in range(5)],
+        *[F.coalesce(F.bit_xor(f"w{i}"), F.lit(0)).alias(f"x{i}") for i in range(3)],
+        F.coalesce(F.sum(F.col("w0").cast("decimal(20,0)")), F.lit(0)).cast("string").alias("s0"),
     ).select(F.sha1(F.to_json(F.struct("*")).cast("binary")).alias("mark"))
 
 

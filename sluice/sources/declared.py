@@ -115,7 +115,7 @@ def scan_declared(spark: SparkSession, fmt: Format, path: str, kind: str = "json
 
 def _as_list_set(f: T.StructField) -> Column:
     if isinstance(f.dataType, T.ArrayType):
-        return F.array_sort(F.array_distinct(F.col(f.name)))
+        return F.sort_array(F.array_distinct(F.col(f.name)))
     return F.col(f.name)
 
 

@@ -49,7 +49,7 @@ def scan_expansions(spark: SparkSession, path: str) -> DataFrame:
     lines = _lines(spark, path).select(F.trim("value").alias("value")).filter(~F.col("value").startswith("#"))
     cells = F.split("value", "\t")
     rest = F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
-    return lines.select(F.get(cells, F.lit(0)).alias("key"), F.array_sort(F.array_distinct(rest)).alias("values"))
+    return lines.select(F.get(cells, F.lit(0)).alias("key"), F.sort_array(F.array_distinct(rest)).alias("values"))
 
 
 def scan_intervals(spark: SparkSession, path: str) -> DataFrame:
