@@ -72,7 +72,8 @@ def intersection_join(
     _disjoint(left, right)
     a = _exploded(left, col(left_keys), "l")
     b = _exploded(right, col(right_keys), "r")
-    pairs = a.join(b, F.col("__lk").eqNullSafe(F.col("__rk")), "inner")
+    # both sides are exploded, so their planned sizes say nothing: never broadcast
+    pairs = a.hint("merge").join(b.hint("merge"), F.col("__lk").eqNullSafe(F.col("__rk")), "inner")
     smallest = ~F.coalesce(F.arrays_overlap("__ls", "__rs"), F.lit(False))
     return pairs.filter(smallest).select(*left.columns, *right.columns)
 
@@ -149,7 +150,7 @@ def left_intersection_join(
     """Every left row with the right rows of overlapping key sets collected.
 
     Matches are reduced per distinct left key set (and left columns read), so
-    no row identity is needed.
+    no row identity is needed, and only distinct sets are paired.
     """
     if prefix:
         right = prefixed(right, prefix)
@@ -157,5 +158,12 @@ def left_intersection_join(
     into = guarded(into, where)
     keyed = left.withColumn("__set", F.array_sort(F.array_distinct(col(left_keys))))
     by = ["__set", *reads]
-    pairs = intersection_join(keyed.select(*by).distinct(), right, "__set", right_keys)
-    return _attach(keyed, _reduced(pairs, by, into), by, ["__set"], into, left.columns)
+    sets = keyed.select(*by).distinct()
+    if reads:
+        pairs = intersection_join(sets, right, "__set", right_keys)
+        return _attach(keyed, _reduced(pairs, by, into), by, ["__set"], into, left.columns)
+    # right rows with the same key set are reduced before any pairing
+    keyed_right = right.withColumn("__rset", F.array_sort(F.array_distinct(col(right_keys))))
+    reduced = partials(keyed_right, ["__rset"], into)
+    pairs = intersection_join(sets, reduced, "__set", "__rset")
+    return _attach(keyed, merge_partials(pairs, by, into), by, ["__set"], into, left.columns)

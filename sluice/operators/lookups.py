@@ -13,8 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.ordered import running_at
-from sluice.semantics import all_of, col
+from sluice.operators.ordered import TIME_WIDTHS, running_at
+from sluice.semantics import all_of, bind, col
 
 MISSING_POSITION = 2**63 - 1
 
@@ -51,23 +51,25 @@ def micros(ts: Column | str) -> Column:
 
 def asof_lookup(
     df: DataFrame, at: str, table: DataFrame, start: str, value: str, name: str,
-    by: Mapping[str, str] | None = None, default: str = "", width_seconds: int = 86_400,
+    by: Mapping[str, str] | None = None, default: str = "", widths: Sequence[int] = TIME_WIDTHS,
 ) -> DataFrame:
     """Start and value of the latest window starting at or before a time.
 
     Before the first window: (epoch, default).  ``by`` maps columns of ``df``
-    to columns of ``table`` for a separate axis per key.
+    to columns of ``table`` for a separate axis per key.  Only the distinct
+    times are looked up; the rows then join their times.
     """
     by = dict(by or {})
     axes = [f"__by{i}" for i in range(len(by))]
     probes = df.select(*[F.col(k).alias(a) for k, a in zip(by, axes)], micros(at).alias("at")).distinct()
-    steps = table.select(
-        *[F.col(k).alias(a) for k, a in zip(by.values(), axes)],
-        micros(start).alias("at"),
-        F.lit(0).alias("rank"),
-        F.struct(F.col(start).alias("start"), F.col(value).alias("value")).alias("value"),
+    steps = table.groupBy(*[F.col(k).alias(a) for k, a in zip(by.values(), axes)], F.col(start).alias("start")).agg(
+        F.max(F.col(value)).alias("v")
     )
-    found = running_at(probes.withColumn("rank", F.lit(1)), steps, axes, width_seconds * 1_000_000, "last")
+    steps = steps.select(
+        *axes, micros("start").alias("at"), F.lit(0).alias("rank"),
+        F.struct("start", F.col("v").alias("value")).alias("value"),
+    )
+    found = running_at(probes.withColumn("rank", F.lit(1)), steps, axes, "last", widths)
     found = found.withColumnsRenamed({"at": "__at", "value": "__found"})
     on = all_of([micros(at) == F.col("__at"), *[F.col(k) == F.col(a) for k, a in zip(by, axes)]])
     out = df.join(found, on, "left")
@@ -79,7 +81,8 @@ def asof_lookup(
 
 
 def window_membership(
-    df: DataFrame, at: str, windows: DataFrame, start: str, end: str, name: str, width_seconds: int = 86_400
+    df: DataFrame, at: str, windows: DataFrame, start: str, end: str, name: str,
+    widths: Sequence[int] = TIME_WIDTHS,
 ) -> DataFrame:
     """Is a time strictly inside any window?
 
@@ -92,7 +95,7 @@ def window_membership(
     )
     steps = steps.groupBy("at", "rank").agg(F.sum("value").alias("value"))
     probes = df.select(micros(at).alias("at")).distinct().withColumn("rank", F.lit(1))
-    open_now = running_at(probes, steps, [], width_seconds * 1_000_000, "sum")
+    open_now = running_at(probes, steps, [], "sum", widths)
     open_now = open_now.select(F.col("at").alias("__at"), F.col("value").alias("__open"))
     out = df.join(open_now, micros(at) == F.col("__at"), "left")
     return out.select(*df.columns, (F.coalesce("__open", F.lit(0)) > 0).alias(name))
@@ -167,51 +170,89 @@ def config_lookup(
     return out.select(*df.columns, *[value(f).alias(n) for f, n in fields.items()])
 
 
-def _segments(text: Column, pieces: int) -> list[tuple[Column, Column]]:
-    """(0-based start, text) of ``pieces`` even segments."""
-    size = F.length(text)
-    cut = [F.floor(size * i / pieces).cast("int") for i in range(pieces + 1)]
-    return [(cut[i], F.substring(text, cut[i] + 1, cut[i + 1] - cut[i])) for i in range(pieces)]
+def _variants(text: Column, rounds: int, shorten) -> Column:
+    """Texts reached in up to ``rounds`` single-character steps (itself included)."""
+
+    def grow(state: Column, left: int) -> Column:
+        if not left:
+            return state["seen"]
+        steps = F.flatten(F.transform(state["last"], shorten))
+        return bind(
+            bind(F.array_distinct(steps), lambda new: F.struct(F.array_union(state["seen"], new).alias("seen"), new.alias("last"))),
+            lambda following: grow(following, left - 1),
+        )
+
+    start = F.struct(F.array(text).alias("seen"), F.array(text).alias("last"))
+    return bind(start, lambda state: grow(state, rounds))
+
+
+def _without_one(text: Column) -> Column:
+    """The text with each single character removed."""
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array())
+    return F.transform(places, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+
+
+def _masked(text: Column, marks: int) -> Column:
+    """The text with every choice of ``marks`` characters replaced by a mark."""
+    mark = "\1"
+
+    def put(left: int):
+        """Mask one more place after the last one, leaving room for the rest."""
+
+        def after(state: Column) -> Column:
+            places = F.sequence(state["next"], F.length(state["t"]) - (left - 1))
+            return F.transform(
+                places,
+                lambda i: F.struct(
+                    F.overlay(state["t"], F.lit(mark), i, F.lit(1)).alias("t"), (i + 1).alias("next")
+                ),
+            )
+
+        return after
+
+    def every(t: Column) -> Column:
+        states = F.array(F.struct(t.alias("t"), F.lit(1).alias("next")))
+        for left in range(marks, 0, -1):
+            states = F.flatten(F.transform(states, put(left)))
+        chosen = F.transform(states, lambda s: s["t"])
+        return F.when(F.length(t) > marks, chosen).otherwise(F.array(F.repeat(F.lit(mark), F.length(t))))
+
+    return bind(text, every)
 
 
 def _codes(df: DataFrame, group: Sequence[str], code: str) -> DataFrame:
     return df.groupBy(*group, F.col(code).alias("__code")).agg(F.count(F.lit(1)).alias("__n"))
 
 
+def _met(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    # both sides are exploded, so their planned sizes say nothing: never broadcast
+    return a.hint("merge").join(b.hint("merge"), list(keys), "inner")
+
+
+def _closer(pairs: DataFrame, distance: Column, minimum: int) -> DataFrame:
+    """Measure each pair once, after repeated meetings were folded."""
+    measured = pairs.withColumn("distance", F.when(F.col("n_pairs") > 0, distance))
+    return measured.filter(F.col("distance") < minimum)
+
+
 def edit_collisions(df: DataFrame, group: Sequence[str], code: str, minimum: int) -> DataFrame:
     """Codes of a group closer than ``minimum`` by Levenshtein distance.
 
     One row per unordered pair of distinct codes (``code_a < code_b``), or per
     repeated code, with the distance and the number of row pairs.  Two texts
-    within e edits share one of e+1 even segments of the shorter, shifted by
-    at most e, so candidates come from an equality join on segments.
+    within e edits become equal after at most e deletions from each, so
+    candidates meet in an equality join on what deletions leave; codes that
+    are far apart never meet.
     """
-    edits = minimum - 1
-    codes = _codes(df, group, code).withColumn("__len", F.length("__code"))
-    short = codes.select(
-        *group, F.col("__code").alias("__s"), F.col("__n").alias("__sn"), F.col("__len").alias("__slen"),
-        F.posexplode(F.array(*[F.struct(p.alias("p"), t.alias("t")) for p, t in _segments(F.col("__code"), edits + 1)])).alias("__i", "__seg"),
-    ).select(*group, "__s", "__sn", "__slen", "__i", F.col("__seg.t").alias("__t"))
-    # every segment a shorter (or equally long) text could have in common with this one
-    shapes = codes.withColumn(
-        "__slen", F.explode(F.sequence(F.greatest(F.col("__len") - edits, F.lit(0)), F.col("__len")))
-    ).withColumn("__i", F.explode(F.array(*[F.lit(i) for i in range(edits + 1)])))
-    p = F.floor(F.col("__slen") * F.col("__i") / (edits + 1)).cast("int")
-    q = F.floor(F.col("__slen") * (F.col("__i") + 1) / (edits + 1)).cast("int")
-    shapes = shapes.withColumn("__p", p).withColumn("__w", q - p)
-    shapes = shapes.withColumn("__at", F.explode(F.sequence(F.col("__p") - edits, F.col("__p") + edits)))
-    long = shapes.filter((F.col("__at") >= 0) & (F.col("__at") + F.col("__w") <= F.col("__len"))).select(
-        *group, F.col("__code").alias("__l"), F.col("__n").alias("__ln"), "__slen", "__i",
-        F.expr("substring(__code, __at + 1, __w)").alias("__t"),
-    ).distinct()
-    pairs = short.join(long, [*group, "__slen", "__i", "__t"], "inner").filter(F.col("__s") != F.col("__l"))
-    pairs = pairs.select(
-        *group,
-        F.least("__s", "__l").alias("code_a"), F.greatest("__s", "__l").alias("code_b"),
-        (F.col("__sn") * F.col("__ln")).alias("n_pairs"),
-    ).distinct()
-    pairs = pairs.withColumn("distance", F.levenshtein("code_a", "code_b")).filter(F.col("distance") < minimum)
-    repeats = _codes(df, group, code).filter(F.col("__n") > 1).select(
+    codes = _codes(df, group, code)
+    shrunk = codes.withColumn("__t", F.explode(_variants(F.col("__code"), minimum - 1, _without_one)))
+    other = shrunk.withColumnsRenamed({"__code": "__other", "__n": "__m"})
+    pairs = _met(shrunk, other, [*group, "__t"]).filter(F.col("__code") < F.col("__other"))
+    pairs = pairs.groupBy(*group, F.col("__code").alias("code_a"), F.col("__other").alias("code_b")).agg(
+        F.max(F.col("__n") * F.col("__m")).alias("n_pairs")
+    )
+    pairs = _closer(pairs, F.levenshtein("code_a", "code_b"), minimum)
+    repeats = codes.filter((F.col("__n") > 1) & F.lit(minimum > 0)).select(
         *group, F.col("__code").alias("code_a"), F.col("__code").alias("code_b"),
         F.expr("__n * (__n - 1) div 2").alias("n_pairs"), F.lit(0).alias("distance"),
     )
@@ -235,30 +276,30 @@ def truncated_hamming(target: Column, other: Column) -> Column:
 def hamming_collisions(df: DataFrame, group: Sequence[str], code: str, minimum: int) -> DataFrame:
     """Ordered (target, other) codes of a group closer than ``minimum``.
 
-    Codes within e mismatches over a common width share one of e+1 even
-    segments of that width, which gives the equality join.
+    Codes that differ in at most e places over a common width become equal
+    once the same e places are masked, which gives the equality join.  Only
+    widths that are the length of some code of the group matter.
     """
     edits = minimum - 1
     codes = _codes(df, group, code).withColumn("__len", F.length("__code"))
-
-    def shared(widths: Column, name: str, count: str) -> DataFrame:
-        shapes = codes.withColumn("__width", F.explode(widths)).withColumn(
-            "__i", F.explode(F.array(*[F.lit(i) for i in range(edits + 1)]))
-        )
-        p = F.floor(F.col("__width") * F.col("__i") / (edits + 1)).cast("int")
-        q = F.floor(F.col("__width") * (F.col("__i") + 1) / (edits + 1)).cast("int")
-        shapes = shapes.withColumn("__p", p).withColumn("__q", q)
-        return shapes.select(
-            *group, F.col("__code").alias(name), F.col("__n").alias(count), "__width", "__i",
-            F.expr("substring(__code, __p + 1, __q - __p)").alias("__t"),
+    # no more lengths than the longest code has characters
+    lengths = codes.groupBy(*group).agg(F.collect_set("__len").alias("__lengths"))
+    codes = codes.join(lengths, list(group), "inner")
+
+    def masked(widths: Column, name: str, count: str) -> DataFrame:
+        cut = F.expr("substring(__code, 1, __width)")
+        shaped = codes.withColumn("__width", F.explode(widths))
+        return shaped.select(
+            *group, F.col("__code").alias(name), F.col("__n").alias(count), "__width",
+            F.explode(_masked(cut, edits)).alias("__t"),
         )
 
-    targets = shared(F.sequence(F.greatest(F.col("__len") - edits, F.lit(0)), F.col("__len")), "target", "__tn")
-    others = shared(F.sequence(F.lit(0), F.col("__len")), "other", "__on")
-    pairs = targets.join(others, [*group, "__width", "__i", "__t"], "inner")
+    near = F.filter("__lengths", lambda n: (n <= F.col("__len")) & (n >= F.col("__len") - edits))
+    shorter = F.filter("__lengths", lambda n: n <= F.col("__len"))
+    targets, others = masked(near, "target", "__tn"), masked(shorter, "other", "__on")
+    pairs = _met(targets, others, [*group, "__width", "__t"])
     row_pairs = F.when(F.col("target") == F.col("other"), F.col("__tn") * (F.col("__tn") - 1)).otherwise(
         F.col("__tn") * F.col("__on")
     )
-    pairs = pairs.select(*group, "target", "other", row_pairs.alias("n_pairs")).filter("n_pairs > 0").distinct()
-    pairs = pairs.withColumn("distance", truncated_hamming(F.col("target"), F.col("other")))
-    return pairs.filter(F.col("distance") < minimum)
+    pairs = pairs.groupBy(*group, "target", "other").agg(F.max(row_pairs).alias("n_pairs"))
+    return _closer(pairs, truncated_hamming(F.col("target"), F.col("other")), minimum)

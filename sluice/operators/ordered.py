@@ -1,9 +1,10 @@
 """Running values along a long ordered axis without a global sort.
 
-The axis is cut into buckets of a fixed width.  Each bucket is folded to one
-row, the (few) bucket rows are accumulated, and a window inside each bucket
-adds the remainder.  No task ever sees more than one bucket; probe rows inside
-a bucket are further spread over salts.
+The axis is cut into buckets of a fixed width.  A window inside each bucket
+gives the local part, and each bucket is folded to one row; what earlier
+buckets carry in is found the same way, one level up, over the folded rows.
+Positions on the axis are distinct, so a bucket never holds more of them than
+its width, however the rows are spread, and no task sees more than one bucket.
 """
 
 from __future__ import annotations
@@ -13,62 +14,70 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+SECOND = 1_000_000
+# one minute of microseconds, then one day of minutes; the last level has one row per day
+TIME_WIDTHS = (60 * SECOND, 1440)
 
 
-def bucket_of(at: Column, width: int) -> Column:
-    return F.floor(at / F.lit(width)).cast("bigint")
+def _running(how: str, window) -> Column:
+    return (F.sum("value") if how == "sum" else F.last("value", ignorenulls=True)).over(window)
 
 
-def _fold(value: Column, at: Column, how: str) -> Column:
-    return F.sum(value) if how == "sum" else F.max_by(value, F.when(value.isNotNull(), at))
+def _combined(local: str, carry: str, how: str) -> Column:
+    if how == "sum":
+        return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
+    return F.coalesce(local, carry)
+
+
+def _bucketed(df: DataFrame, width: int) -> DataFrame:
+    return df.withColumn("__bucket", F.floor(F.col("at") / F.lit(width)).cast("bigint"))
+
+
+def _carried(rows: DataFrame, by: Sequence[str], how: str, widths: Sequence[int]) -> DataFrame:
+    """What comes before each row: by, at (one row each), carry."""
+    if not widths:
+        before = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*by, "at", _running(how, before).alias("carry"))
+    keys = [*by, "__bucket"]
+    inside = Window.partitionBy(*keys).orderBy("at")
+    placed = _bucketed(rows, widths[0])
+    local = placed.withColumn("__local", _running(how, inside.rowsBetween(Window.unboundedPreceding, -1)))
+    up = _folded(placed.withColumn("__local", _running(how, inside.rowsBetween(Window.unboundedPreceding, 0))), keys, "at")
+    above = _carried(up, by, how, widths[1:]).withColumnsRenamed({"at": "__bucket", "carry": "__carry"})
+    return local.join(above, keys, "left").select(*by, "at", _combined("__local", "__carry", how).alias("carry"))
+
 
+def _folded(running: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """One row per bucket: its index as ``at``, the running value at its end as ``value``.
 
-def _running(value: Column, how: str, window) -> Column:
-    return (F.sum(value) if how == "sum" else F.last(value, ignorenulls=True)).over(window)
+    The rows are already partitioned by the bucket, so this needs no exchange.
+    """
+    last = F.max_by("__local", F.struct(*order))
+    return running.groupBy(*keys).agg(last.alias("value")).withColumnRenamed("__bucket", "at")
 
 
 def running_at(
-    probes: DataFrame, steps: DataFrame, by: Sequence[str], width: int, how: str, salts: int = SALTS
+    probes: DataFrame, steps: DataFrame, by: Sequence[str], how: str, widths: Sequence[int] = TIME_WIDTHS
 ) -> DataFrame:
     """The running value of ``steps`` at each probe.
 
     Both frames have the ``by`` columns, ``at`` (bigint) and ``rank`` (order
-    among equal ``at``); ``steps`` also has ``value``.  ``how`` is ``sum`` or
-    ``last``.  Probes should be distinct.  Returns by, at, value.
+    among equal ``at``); ``steps`` also has ``value``.  Rows are distinct by
+    (by, at, rank).  ``how`` is ``sum`` or ``last``.  Returns by, at, value.
     """
-    steps = steps.withColumn("__bucket", bucket_of(F.col("at"), width))
-    probes = probes.withColumn("__bucket", bucket_of(F.col("at"), width))
+    rows = steps.unionByName(probes.withColumn("__probe", F.lit(True)), allowMissingColumns=True)
     keys = [*by, "__bucket"]
-
-    folded = steps.groupBy(*keys).agg(_fold(F.col("value"), F.col("at"), how).alias("__fold"))
-    needed = probes.select(*keys).distinct()
-    # one row per bucket: bounded by the span of the axis over the bucket width
-    marks = folded.unionByName(needed, allowMissingColumns=True)
-    marks = marks.groupBy(*keys).agg(F.first("__fold", ignorenulls=True).alias("__fold"))
-    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(*keys, _running(F.col("__fold"), how, earlier).alias("__carry"))
-
-    salted_steps = steps.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted_probes = probes.withColumn(
-        "__salt", F.pmod(F.xxhash64(*by, "at"), F.lit(salts)).cast("int")
-    ).withColumn("__probe", F.lit(True))
-    rows = salted_steps.unionByName(salted_probes, allowMissingColumns=True)
+    rows = _bucketed(rows, widths[0]) if widths else rows.withColumn("__bucket", F.lit(0).cast("bigint"))
     inside = (
-        Window.partitionBy(*keys, "__salt").orderBy("at", "rank")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys).orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.withColumn("__local", _running(F.col("value"), how, inside)).filter("__probe")
-    found = _join_on(local.drop("value", "__salt", "__probe", "rank"), carried, keys)
-    if how == "sum":
-        value = F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))
-    else:
-        value = F.coalesce("__local", "__carry")
-    return found.select(*by, "at", value.alias("value"))
-
-
-def _join_on(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return a.join(b, list(keys), "left")
+    running = rows.withColumn("__local", _running(how, inside))
+    found = running.filter("__probe").select(*keys, "at", "__local")
+    if not widths:
+        return found.select(*by, "at", _combined("__local", "__local", "last").alias("value"))
+    above = _carried(_folded(running, keys, "at", "rank"), by, how, widths[1:])
+    above = above.withColumnsRenamed({"at": "__bucket", "carry": "__carry"})
+    return found.join(above, keys, "left").select(*by, "at", _combined("__local", "__carry", how).alias("value"))
 
 
 def positions(df: DataFrame, by: Sequence[str], order: str, name: str, width: int = 100_000) -> DataFrame:
@@ -76,7 +85,7 @@ def positions(df: DataFrame, by: Sequence[str], order: str, name: str, width: in
 
     Ranks inside buckets of the order plus the row counts of earlier buckets.
     """
-    df = df.withColumn("__bucket", bucket_of(F.col(order), width))
+    df = df.withColumn("__bucket", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
     keys = [*by, "__bucket"]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

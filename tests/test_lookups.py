@@ -23,26 +23,28 @@ def plain(ts):
     return ts.replace(tzinfo=None)
 
 
-def test_asof_over_many_buckets(spark):
+@pytest.mark.parametrize("widths", [(), (3600 * 10**6,), (60 * 10**6, 1440), (7 * 10**6, 100, 100)])
+def test_asof_over_many_buckets(spark, widths):
     rnd = random.Random(5)
     steps = sorted(rnd.sample(range(0, 20000), 40))
     probes = [rnd.randint(-500, 21000) for _ in range(300)] + steps[:5]
     rows = spark.createDataFrame([(i, at(p)) for i, p in enumerate(probes)], "i int, t timestamp")
     table = spark.createDataFrame([(at(s), f"v{s}") for s in steps], "start timestamp, v string")
-    found = k.asof_lookup(rows, "t", table, "start", "v", "v", width_seconds=7200)
+    found = k.asof_lookup(rows, "t", table, "start", "v", "v", widths=widths)
     got = {r.i: (plain(r.v_start), r.v) for r in found.collect()}
     for i, p in enumerate(probes):
         before = [s for s in steps if s <= p]
         assert got[i] == ((at(before[-1]), f"v{before[-1]}") if before else (datetime(1970, 1, 1), ""))
 
 
-def test_window_membership_is_strict(spark):
+@pytest.mark.parametrize("widths", [(), (60 * 10**6, 1440), (7 * 10**6, 100, 100)])
+def test_window_membership_is_strict(spark, widths):
     rnd = random.Random(6)
     windows = [(s, s + rnd.randint(0, 600)) for s in (rnd.randint(0, 5000) for _ in range(25))]
     probes = [rnd.randint(-50, 6000) for _ in range(200)] + [w[0] for w in windows] + [w[1] for w in windows]
     rows = spark.createDataFrame([(i, at(p)) for i, p in enumerate(probes)], "i int, t timestamp")
     table = spark.createDataFrame([(at(a), at(b)) for a, b in windows], "a timestamp, b timestamp")
-    found = k.window_membership(rows, "t", table, "a", "b", "inside", width_seconds=3600)
+    found = k.window_membership(rows, "t", table, "a", "b", "inside", widths=widths)
     got = {r.i: r.inside for r in found.collect()}
     assert got == {i: any(a < p < b for a, b in windows) for i, p in enumerate(probes)}
 
