@@ -58,24 +58,40 @@ def _exploded(df: DataFrame, keys: Column, tag: str) -> DataFrame:
     return df.withColumn(f"__{tag}s", before).drop(f"__{tag}i")
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Exploded sides that share a key (empty keys too)."""
+    # planned sizes of exploded sides say nothing: never broadcast
+    return a.hint("merge").join(b.hint("merge"), F.col("__lk").eqNullSafe(F.col("__rk")), "inner")
+
+
+def _single_keys(df: DataFrame, ids: Sequence[str], keys: Column, name: str) -> DataFrame:
+    return df.select(*ids, F.explode(F.array_distinct(keys)).alias(name))
+
+
 def intersection_join(
     left: DataFrame, right: DataFrame, left_keys: Column | str, right_keys: Column | str,
-    prefix: str | None = None,
+    prefix: str | None = None, left_id: Sequence[str] = (), right_id: Sequence[str] = (),
 ) -> DataFrame:
     """Pair rows whose key sets overlap, each pair once.
 
     Equality join on single keys; a pair is kept only at its smallest common
-    key, so nothing has to be deduplicated afterwards.
+    key, so nothing has to be deduplicated afterwards.  Where both sides have
+    unique columns (``left_id``, ``right_id``; for wide key sets), only those
+    are paired, and the rows are fetched by them.
     """
     if prefix:
         right = prefixed(right, prefix)
     _disjoint(left, right)
+    if left_id and right_id:
+        a = _single_keys(left, left_id, col(left_keys), "__lk")
+        b = _single_keys(right, right_id, col(right_keys), "__rk")
+        pairs = _met(a, b).select(*left_id, *right_id).distinct()
+        found = pairs.join(left, list(left_id), "inner").join(right, list(right_id), "inner")
+        return found.select(*left.columns, *right.columns)
     a = _exploded(left, col(left_keys), "l")
     b = _exploded(right, col(right_keys), "r")
-    # both sides are exploded, so their planned sizes say nothing: never broadcast
-    pairs = a.hint("merge").join(b.hint("merge"), F.col("__lk").eqNullSafe(F.col("__rk")), "inner")
     smallest = ~F.coalesce(F.arrays_overlap("__ls", "__rs"), F.lit(False))
-    return pairs.filter(smallest).select(*left.columns, *right.columns)
+    return _met(a, b).filter(smallest).select(*left.columns, *right.columns)
 
 
 def membership_join(
@@ -145,17 +161,25 @@ def left_join(
 def left_intersection_join(
     left: DataFrame, right: DataFrame, left_keys: Column | str, right_keys: Column | str,
     into: Mapping[str, Collector], where: Column | str | None = None, reads: Sequence[str] = (),
-    prefix: str | None = None,
+    prefix: str | None = None, left_id: Sequence[str] = (), right_id: Sequence[str] = (),
 ) -> DataFrame:
     """Every left row with the right rows of overlapping key sets collected.
 
     Matches are reduced per distinct left key set (and left columns read), so
-    no row identity is needed, and only distinct sets are paired.
+    no row identity is needed, and only distinct sets are paired.  Where both
+    sides have unique columns (``left_id``, ``right_id``; for wide key sets),
+    matches are reduced per left id instead.
     """
     if prefix:
         right = prefixed(right, prefix)
     _disjoint(left, right)
     into = guarded(into, where)
+    if left_id and right_id:
+        by = list(left_id)
+        slim = left.select(*dict.fromkeys([*by, *reads]), col(left_keys).alias("__set"))
+        rows = right.withColumn("__rset", col(right_keys))
+        pairs = intersection_join(slim, rows, "__set", "__rset", left_id=by, right_id=right_id)
+        return _attach(left, _reduced(pairs, by, into), by, by, into, left.columns)
     keyed = left.withColumn("__set", F.array_sort(F.array_distinct(col(left_keys))))
     by = ["__set", *reads]
     sets = keyed.select(*by).distinct()

@@ -75,6 +75,7 @@ def bundles(t: Tables):
     return t.part.groupBy("p_brand", "p_type", "p_size").agg(F.collect_set("p_partkey").alias("bundle"))
 
 
+BUNDLE = ["p_brand", "p_type", "p_size"]
 BASKETS = "(SELECT l_orderkey, list(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey)"
 BUNDLES = "(SELECT p_brand, p_type, p_size, list(DISTINCT p_partkey) AS bundle FROM part GROUP BY p_brand, p_type, p_size)"
 PAIRED = """(SELECT DISTINCT l_orderkey, p_brand, p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"""
@@ -82,10 +83,16 @@ PAIRED = """(SELECT DISTINCT l_orderkey, p_brand, p_type, p_size FROM lineitem J
 
 @plan("intersection_join", f"SELECT l_orderkey, p_brand, p_type, p_size FROM {PAIRED}")
 def intersection_join(t: Tables):
-    pairs = j.intersection_join(baskets(t), bundles(t), "parts", "bundle")
+    pairs = j.intersection_join(baskets(t), bundles(t), "parts", "bundle", left_id=["l_orderkey"], right_id=BUNDLE)
     return pairs.select("l_orderkey", "p_brand", "p_type", "p_size")
 
 
+@plan("intersection_join_sets", f"SELECT l_orderkey, p_brand, p_type, p_size FROM {PAIRED}")
+def intersection_join_sets(t: Tables):
+    """The same pairs without row identities."""
+    return j.intersection_join(baskets(t), bundles(t), "parts", "bundle").select("l_orderkey", *BUNDLE)
+
+
 @plan("intersection_join_lift", """
     SELECT DISTINCT l_orderkey, p_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey
 """)
@@ -99,7 +106,9 @@ def intersection_join_lift(t: Tables):
 """)
 def left_intersection_join(t: Tables):
     into = {"n": c.count(), "brands": c.lexical_concat("p_brand", ",")}
-    met = j.left_intersection_join(baskets(t), bundles(t), "parts", "bundle", into, where=F.col("p_size") > 25)
+    met = j.left_intersection_join(
+        baskets(t), bundles(t), "parts", "bundle", into, where=F.col("p_size") > 25, left_id=["l_orderkey"], right_id=BUNDLE
+    )
     return met.select("l_orderkey", "n", "brands")
 
 

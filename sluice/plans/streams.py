@@ -14,7 +14,8 @@ from sluice.streaming import jobs
 
 
 def followed(t: Tables, name: str = "events"):
-    return jobs.follow(t.spark, t.folder, SCHEMAS[name], f"{name}.parquet")
+    # a pattern stands for a single file as well as for a folder of files
+    return jobs.follow(t.spark, f"{t.folder}/{{{name}.parquet}}", SCHEMAS[name])
 
 
 def _finish(query) -> None:

@@ -138,8 +138,14 @@ def test_intersection_joins_by_brute_force(spark):
     rdf = spark.createDataFrame(right, "o int, b array<int>")
     want = sorted((i, o) for (i, a), (o, b) in itertools.product(left, right) if set(a) & set(b))
     assert got(j.intersection_join(ldf, rdf, "a", "b"), "i", "o") == want
-    counted = j.left_intersection_join(ldf, rdf, "a", "b", {"n": c.count(), "os": c.listing("o")})
-    assert got(counted, "i", "n") == sorted((i, sum(1 for x, _ in want if x == i)) for i, _ in left)
+    assert got(j.intersection_join(ldf, rdf, "a", "b", left_id=["i"], right_id=["o"]), "i", "o") == want
+    into = {"n": c.count(), "os": c.listing("o")}
+    expected = sorted((i, sum(1 for x, _ in want if x == i)) for i, _ in left)
+    assert got(j.left_intersection_join(ldf, rdf, "a", "b", into), "i", "n") == expected
+    by_id = j.left_intersection_join(ldf, rdf, "a", "b", into, left_id=["i"], right_id=["o"])
+    assert got(by_id, "i", "n") == expected
+    later = j.left_intersection_join(ldf, rdf, "a", "b", {"n": c.count()}, where=F.col("o") > F.col("i"), reads=["i"])
+    assert got(later, "i", "n") == sorted((i, sum(1 for x, o in want if x == i and o > i)) for i, _ in left)
 
 
 def test_reject_and_require(gaps):

@@ -174,7 +174,7 @@ def test_extract_formats(spark, runs):
 
 def test_extract_checks(runs):
     with pytest.raises(ValueError):
-        extracts.extract_type_check(runs, "HOT_GARBAGE")
+        extracts.extract_type_check(runs, "NO_SUCH_FORMAT")
     with pytest.raises(TypeError):
         extracts.extract_type_check(runs.withColumn("v", F.struct("project")), "TSV")
     extracts.extract_type_check(runs.withColumn("v", F.struct("project")), "JSON")
