@@ -3,7 +3,7 @@
 BENCH_SF_DIR: folder of tables (default /root/testdata/sf0.1)
 BENCH_CPUS:   local cores (default: all)
 BENCH_PLANS:  comma-separated plan names, or ``all``
-BENCH_RUNS:   timed runs per plan after one warm run (default 3; the median counts)
+BENCH_RUNS:   timed runs per plan after one warm run (default 2; the median counts)
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     chosen = os.environ.get("BENCH_PLANS", "")
     names = list(PLANS) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("sluice-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.semantics import any_of, as_set, col, full_match, is_true, same
+from sluice.semantics import as_set, col, full_match, is_true, same
 
 # Integer suffix multipliers.
 UNITS = {
@@ -231,7 +231,3 @@ def epoch_seconds(n: int | Column) -> Column:
 
 def epoch_millis(n: int | Column) -> Column:
     return F.timestamp_millis(F.lit(n) if isinstance(n, int) else n)
-
-
-def any_equal(value: Column, options: Sequence[Column]) -> Column:
-    return any_of(same(value, o) for o in options)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.semantics import col
+from sluice.semantics import col, cut_lineage
 
 # Narrowest histogram bucket (ms) and the cross-table size limits.
 MIN_BUCKET_MS = 60_000
@@ -40,15 +40,42 @@ def _interesting(df: DataFrame, prop: Column) -> DataFrame:
     return values.filter(F.col("n") < df.agg(F.count(F.lit(1))).scalar()).select("v")
 
 
+def _marks(r: Column, c: Column) -> Column:
+    """What one row adds to a cross table: itself, its values, its pairs of values."""
+    kind = "struct<kind:string,r:string,c:string>"
+
+    def mark(name: str, row: Column | None, column: Column | None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(name).alias("kind"), (none if row is None else row).alias("r"), (none if column is None else column).alias("c")
+        ).cast(kind)
+
+    return F.concat(
+        F.array(mark("all", None, None)),
+        F.transform(r, lambda x: mark("row", x, None)),
+        F.transform(c, lambda y: mark("column", None, y)),
+        F.flatten(F.transform(r, lambda x: F.transform(c, lambda y: mark("cell", x, y)))),
+    )
+
+
 def crosstab_counts(df: DataFrame, row: Column | str, column: Column | str) -> DataFrame:
-    """Counts of two properties, the longer axis as rows.
+    """Counts of two properties (as text), the longer axis as rows.
 
     Values found on every row are left out.  Nothing is shown with fewer than
-    two values on an axis, or with more than the fixed size limits.
+    two values on an axis, or with more than the fixed size limits.  The rows
+    are read once; the counts are stored, and the rest works on them.
     """
-    r, c = _values(df, "r", col(row)), _values(df, "c", col(column))
-    both = df.select(F.array_distinct(r).alias("__r"), F.array_distinct(c).alias("__c"))
-    rows, columns = _interesting(both, F.col("__r")), _interesting(both, F.col("__c"))
+    r = F.array_distinct(_values(df, "r", col(row)).cast("array<string>"))
+    c = F.array_distinct(_values(df, "c", col(column)).cast("array<string>"))
+    marks = df.select(F.explode(_marks(r, c)).alias("m")).select("m.*")
+    counted = cut_lineage(marks.groupBy("kind", "r", "c").agg(F.count(F.lit(1)).alias("n")))
+
+    def only(kind: str) -> DataFrame:
+        return counted.filter(F.col("kind") == kind)
+
+    total = only("all").select("n")
+    rows = only("row").filter(F.col("n") < total.scalar()).select("r")
+    columns = only("column").filter(F.col("n") < total.scalar()).select("c")
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
     n_columns = columns.agg(F.count(F.lit(1))).scalar()
     shown = (
@@ -56,12 +83,9 @@ def crosstab_counts(df: DataFrame, row: Column | str, column: Column | str) -> D
         & (F.greatest(n_rows, n_columns) <= LONG_AXIS)
         & (F.least(n_rows, n_columns) <= SHORT_AXIS)
     )
-    pairs = both.select(F.explode("__r").alias("r"), "__c").select("r", F.explode("__c").alias("c"))
-    counted = pairs.groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
-    counted = counted.join(rows.withColumnRenamed("v", "r"), "r", "left_semi")
-    counted = counted.join(columns.withColumnRenamed("v", "c"), "c", "left_semi").filter(shown)
+    cells = only("cell").join(rows, "r", "left_semi").join(columns, "c", "left_semi").filter(shown)
     tall = n_rows >= n_columns
-    return counted.select(
+    return cells.select(
         F.when(tall, F.col("r")).otherwise(F.col("c")).alias("row_value"),
         F.when(tall, F.col("c")).otherwise(F.col("r")).alias("column_value"),
         "n",

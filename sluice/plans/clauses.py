@@ -76,11 +76,11 @@ def let_onlyif(t: Tables):
 
 
 @plan("let_univalued", """
-    SELECT conv_id, turn, list_distinct(string_split(role, 's'))[1] AS piece FROM conversations
-    WHERE len(list_distinct(string_split(role, 's'))) = 1
+    SELECT conv_id, turn, list_distinct(string_split(role, 'st'))[1] AS piece FROM conversations
+    WHERE len(list_distinct(string_split(role, 'st'))) = 1
 """)
 def let_univalued(t: Tables):
-    return q.let_univalued(t.conversations, ["conv_id", "turn"], piece=F.split("role", "s"))
+    return q.let_univalued(t.conversations, ["conv_id", "turn"], piece=F.split("role", "st"))
 
 
 @plan("let_prefix", """

@@ -51,11 +51,11 @@ def group_key_onlyif(t: Tables):
 
 
 @plan("group_key_univalued", """
-    SELECT list_distinct(string_split(role, 's'))[1] AS piece, count(*) AS n FROM conversations
-    WHERE len(list_distinct(string_split(role, 's'))) = 1 GROUP BY 1
+    SELECT list_distinct(string_split(role, 'st'))[1] AS piece, count(*) AS n FROM conversations
+    WHERE len(list_distinct(string_split(role, 'st'))) = 1 GROUP BY 1
 """)
 def group_key_univalued(t: Tables):
-    return grp.group_by(grp.single_item(t.conversations, piece=F.split("role", "s")), ["piece"], {"n": c.count()})
+    return grp.group_by(grp.single_item(t.conversations, piece=F.split("role", "st")), ["piece"], {"n": c.count()})
 
 
 @plan("group_key_gang", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type")
@@ -345,7 +345,19 @@ def grouper_powerset(t: Tables):
     return sets.select("n_regionkey", "subset", F.size("members").cast("bigint").alias("members"), total.alias("customers"))
 
 
-@plan("grouper_merge_sets")
+@plan("grouper_merge_sets", """
+    WITH rows AS (SELECT l_orderkey AS run, l_linenumber AS lane, l_quantity AS q, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS sample,
+        CASE WHEN l_orderkey % 2 = 1 OR l_linenumber <= 2 THEN 1 WHEN l_linenumber <= 4 THEN 3 ELSE 5 END AS target FROM lineitem),
+    lanes AS (SELECT run, lane, target, coalesce(string_agg(DISTINCT sample, ',' ORDER BY sample), '') AS ids FROM rows GROUP BY run, lane, target),
+    placed AS (SELECT a.*, CASE WHEN b.lane IS NULL THEN a.lane ELSE a.target END AS head, coalesce(b.ids, '') AS head_ids
+        FROM lanes a LEFT JOIN lanes b ON a.run = b.run AND b.lane = a.target),
+    bad AS (SELECT DISTINCT run FROM placed WHERE lane <> head AND ids <> '' AND ids <> head_ids),
+    merged AS (SELECT run, head, string_agg(CAST(lane AS VARCHAR), '+' ORDER BY lane) AS lanes FROM placed
+        WHERE run NOT IN (SELECT run FROM bad) GROUP BY run, head)
+    SELECT r.run AS l_orderkey, m.lanes, count(*) AS n, sum(r.q) AS quantity
+    FROM rows r JOIN placed p ON r.run = p.run AND r.lane = p.lane JOIN merged m ON m.run = p.run AND m.head = p.head
+    WHERE p.lane = p.head OR r.sample IS NULL GROUP BY r.run, m.head, m.lanes
+""")
 def grouper_merge_sets(t: Tables):
     # orders as flow cells, lines as lanes; even orders may merge 1-2, 3-4 and 5-7, odd ones 1-7
     pairs = F.array(*[F.array(*[F.lit(i).cast("bigint") for i in lanes]) for lanes in ((1, 2), (3, 4), (5, 6, 7))])
