@@ -143,7 +143,7 @@ def date_minus(ts: Column | str, seconds: Column | int) -> Column:
 def date_diff(a: Column | str, b: Column | str) -> Column:
     """Whole seconds from b to a, rounded down."""
     span = F.unix_micros(col(a)) - F.unix_micros(col(b))
-    return (span - F.pmod(span, F.lit(1_000_000))).cast("bigint").__truediv__(F.lit(1_000_000)).cast("bigint")
+    return int_div(span - F.pmod(span, F.lit(1_000_000)), F.lit(1_000_000))
 
 
 def pad(number: Column | str, width: int) -> Column:

@@ -26,7 +26,8 @@ def wildcard_lookup_join(
     """Decision table: the first row whose key columns are equal or empty (``*``).
 
     One equality join per combination of wildcard columns (at most 2^keys),
-    each against rules reduced to one row per exact key.
+    each against rules reduced to one row per exact key, so a hot key of the
+    rows only ever meets one rule per combination.
     """
     fields, columns = list(keys), df.columns
     best: list[Column] = []
