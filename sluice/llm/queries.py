@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import quality, sampled_pieces, shards, token_counts, toxicity
+from sluice.llm import decontaminate, quality, sampled_pieces, shards, token_counts, toxicity
 from sluice.llm.common import table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
@@ -65,6 +65,15 @@ SQL["op4_quality_rules"] = r"""
 """
 
 
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs, pieces = table(spark, folder, "documents").select("doc_id", "text"), load_pieces()
