@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, quality, sampled_pieces, shards, token_counts, toxicity
+from sluice.llm import decontaminate, jaccard, quality, sampled_pieces, shards, token_counts, toxicity
 from sluice.llm.common import table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
@@ -74,6 +74,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, folder, "documents"))
+
+
 @query
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs, pieces = table(spark, folder, "documents").select("doc_id", "text"), load_pieces()
