@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, jaccard, quality, sampled_pieces, shards, token_counts, toxicity
+from sluice.llm import decontaminate, jaccard, quality, repeats, sampled_pieces, shards, token_counts, toxicity
 from sluice.llm.common import table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
@@ -88,6 +88,11 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.removal_digest(table(spark, folder, "documents"))
+
+
 @query
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     dealt = shards.shuffle_into_shards(table(spark, folder, "documents"), shards=8)
