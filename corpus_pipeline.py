@@ -2,15 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; the runner writes
 it and the next stage reads it back.  All but the last return the columns of
-``documents``.
+``documents``; ``n_chars`` follows the text where a stage cuts it.  The key of
+a document is its ``doc_id``; rows without one are kept by the stages that
+compare documents, since they cannot be named.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import quality
+from sluice.llm import decontaminate, jaccard, quality, repeats, sampled_pieces
 from sluice.llm.common import saved, table
+from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
 
 
@@ -19,9 +23,46 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judged(docs).filter("rejected_by IS NULL").drop("rejected_by")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: that with the smallest id; of repeated rows one."""
+    found = jaccard.component_ids(docs)
+    others = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL"))
 
-#: No SQL counterpart: sampled segmentations cannot be said in SQL.
+
+def counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that stand anywhere else, too."""
+    return counted(repeats.without_repeats(docs))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that windows of the benchmark hit."""
+    return counted(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with sampled pieces, and whether the pieces give the text back."""
+    pieces = load_pieces()
+    decoded = sampled_pieces.decode_pieces(sampled_pieces.encode_sampled(docs, pieces), pieces)
+    return decoded.withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: Sampled segmentations have no SQL counterpart; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, jaccard, quality, repeats, sampled_pieces, shards, token_counts, toxicity
+from sluice.llm import decontaminate, jaccard, language, lm_scores, quality, repeats, sampled_pieces, shards, token_counts, toxicity
 from sluice.llm.common import table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
@@ -35,6 +35,11 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), load_pieces())
 
 
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measured_text(table(spark, folder, "documents"))
@@ -88,6 +93,12 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    target = table(spark, folder, "labels").filter("quality = 1")
+    return lm_scores.cross_entropy_difference(table(spark, folder, "documents"), target)
+
+
 @query
 def op9_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removal_digest(table(spark, folder, "documents"))
