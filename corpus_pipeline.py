@@ -20,7 +20,7 @@ from sluice.semantics import pin_session
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
-    return quality.judged(docs).filter("rejected_by IS NULL").drop("rejected_by")
+    return quality.kept(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,12 +136,24 @@ def text_rules(text: str = "text", words: str = "words_") -> dict[str, Column]:
     return standard_rules(n, word_chars(w), symbols(t), bind(lines, dup_lines), F.size(lines), repeat_words(w))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``rejected_by``, the rule that ended the cascade (null: kept)."""
-    listed = docs.select("*", words_of(F.col(text)).alias("words_"))
-    rules = text_rules(text)
-    order = cascade_order(measure(hashed_sample(docs.select(key, text), key).select(text, words_of(F.col(text)).alias("words_")), rules))
-    return listed.select(*docs.columns, first_rejection(rules, order).alias("rejected_by"))
+def cascade(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The columns of ``docs`` as c0, c1 and so on, the words, and ``verdict``: the rule that ended the cascade (null: kept)."""
+    names = docs.columns
+    listed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[text].alias("text_"), words_of(docs[text]).alias("words_"))
+    sample = hashed_sample(docs.select(docs[key].alias("key_"), docs[text].alias("text_")), "key_").select("text_", words_of(F.col("text_")).alias("words_"))
+    rules = text_rules("text_")
+    return listed.withColumn("verdict_", first_rejection(rules, cascade_order(measure(sample, rules))))
+
+
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", verdict: str = "rejected_by") -> DataFrame:
+    """All rows and columns of ``docs`` and the rule that rejects the row first (null: kept)."""
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != verdict]
+    return cascade(docs, key, text).select(*named, F.col("verdict_").alias(verdict))
+
+
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns."""
+    return cascade(docs, key, text).filter("verdict_ IS NULL").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def measured_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

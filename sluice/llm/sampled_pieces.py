@@ -158,11 +158,11 @@ def sample_rows(table: PieceTable, alpha: float, seeds: np.ndarray, bodies: list
 def encode_sampled(
     docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", seed: int = 7, alpha: float = 1.0, ids: str = "piece_ids"
 ) -> DataFrame:
-    """The rows of ``docs`` with a column of sampled piece ids (``array<int>``) at the end.
+    """The rows of ``docs`` with a column of sampled piece ids (``array<int>``) at the end, in place of one of that name.
 
     ``alpha`` flattens (below 1) or sharpens the distribution over segmentations.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != ids]
     rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], F.xxhash64(F.lit(seed), docs[key]).alias("seed_"), docs[text].cast("binary").alias("body_"))
     shared = docs.sparkSession.sparkContext.broadcast(pieces.plain())
     n = len(names)
@@ -187,7 +187,7 @@ def encode_sampled(
 
 def decode_pieces(rows: DataFrame, pieces: Pieces, ids: str = "piece_ids", text: str = "decoded") -> DataFrame:
     """The rows with the text their pieces stand for as a last column; null pieces give null."""
-    names = rows.columns
+    names = [c for c in rows.columns if c != text]
     numbered = rows.select(*[rows[c].alias(f"c{i}") for i, c in enumerate(names)], rows[ids].alias("ids_"))
     shared = rows.sparkSession.sparkContext.broadcast(pieces.surface)
     n = len(names)

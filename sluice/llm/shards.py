@@ -49,8 +49,8 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
 def shuffle_into_shards(
     docs: DataFrame, shards: int = 8, seed: int = 11, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """Whole records with two more columns, ``shard`` and ``slot``."""
-    names = docs.columns
+    """Whole records with two more columns, ``shard`` and ``slot`` (in place of columns of these names)."""
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     k, t = f"c{names.index(key)}", f"c{names.index(text)}"
     rows, total = plain.agg(F.count(F.lit(1)), F.sum(size_of(F.col(t)))).first()
