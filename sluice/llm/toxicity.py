@@ -2,17 +2,19 @@
 
 Severity is a grade from 0 to K.  One weight per word is shared by all grades
 and an ordered row of thresholds cuts the score: P(grade <= k) =
-sigmoid(theta_k - w.x), x being the set of a text's words.  The expected
-severity is the sum of P(grade > k) over k.
+sigmoid(theta_k - w.x).  The expected severity is the sum of P(grade > k) over
+k.  x is sparse: for each word, and each beginning of 4 to 8 bytes of longer
+words (written with a star), log2(1 + the number of the text's different words
+that have it), so that inflected and compound words count with their stem.
 
 The model is fitted on the driver to a bounded sample of labelled rows: the
-``per_class`` rows with the lowest hashed keys of each class (default 2,000),
-and the ``max_features`` words that tell the classes apart best (chi-square
-above ``least_chi2``).  Everything is scored: words are the maximal runs of
+``per_class`` rows with the lowest hashed keys of each class (default 1,500),
+and the ``max_features`` features whose presence tells the classes apart best
+(chi-square above ``least_chi2``).  Everything is scored: words are the maximal runs of
 ASCII letters and characters outside ASCII, lower-cased in ASCII.
 
 Binary labels carry no grades, so toxic rows of the sample are graded by how
-many different tell-tale words they use, in K equal parts (ties share the
+many tell-tale features they have, in K equal parts (ties share the
 lower grade); rows labelled clean have grade 0.
 
 Null and empty texts have no words and get the severity of the thresholds
@@ -23,6 +25,8 @@ severity is 0.  Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,8 +47,8 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that maximise the penalised likelihood (Adam on all rows at once).
+def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, ridge: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that maximise the penalised, weighted likelihood (Adam on all rows at once).
 
     Thresholds stay ordered as a first one plus exponentials of gaps.
     """
@@ -53,12 +57,13 @@ def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, ridge: fl
     parts = [w, first, gaps]
     mean, square = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     rows = np.arange(n)
+    weight = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     for t in range(1, rounds + 1):
         theta = first[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         below = np.hstack([np.zeros((n, 1)), sigmoid(theta[None, :] - (x @ w)[:, None]), np.ones((n, 1))])
         p = np.maximum(below[rows, grade + 1] - below[rows, grade], 1e-12)
         slope = below * (1 - below)
-        upper, lower = slope[rows, grade + 1] / p / n, slope[rows, grade] / p / n
+        upper, lower = weight * slope[rows, grade + 1] / p, weight * slope[rows, grade] / p
         d_theta = np.zeros(grades + 2)
         np.add.at(d_theta, grade + 1, -upper)
         np.add.at(d_theta, grade, lower)
@@ -76,8 +81,21 @@ def words_of(body: bytes | None) -> list[bytes]:
     return body.translate(LETTERS).split() if body else []
 
 
+_STEMS = range(4, 9)
+
+
+def features_of(words: list[bytes], known: frozenset[bytes] | None = None) -> Counter:
+    """Features of a text, of the known ones or all, and how many different words have each."""
+    distinct = set(words)
+    found = Counter(distinct if known is None else known.intersection(distinct))
+    for n in _STEMS:
+        stems = [w[:n] + b"*" for w in distinct if len(w) > n]
+        found.update(stems if known is None else filter(known.__contains__, stems))
+    return found
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, grades: int = 3, per_class: int = 2000, max_features: int = 2000, least_chi2: float = 25.0,
+    docs: DataFrame, labels: DataFrame, grades: int = 3, per_class: int = 1500, max_features: int = 1500, least_chi2: float = 25.0,
     key: str = "doc_id", text: str = "text", label: str = "toxic",
 ) -> OrdinalModel:
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("toxic"))
@@ -85,17 +103,21 @@ def fit(
     chosen = known.filter("toxic = 1").orderBy(*rank).limit(per_class).unionByName(known.filter("toxic = 0").orderBy(*rank).limit(per_class))
     sample = keyed_text(docs, key, text).join(F.broadcast(chosen), "key").dropDuplicates(["key"])  # at most 2 * per_class rows
 
-    def distinct_words(batches):
+    def features(batches):
         for batch in batches:
             for body, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([sorted(set(words_of(body)))], pa.list_(pa.binary()))], names=["toxic", "words"])
+                found = sorted(features_of(words_of(body)).items())
+                names, sizes = [f for f, _ in found], [n for _, n in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([toxic], pa.int32()), pa.array([names], pa.list_(pa.binary())), pa.array([sizes], pa.list_(pa.int32()))], names=["toxic", "names", "sizes"]
+                )
 
-    rows = sample.select("body", F.col("toxic").cast("int")).mapInArrow(distinct_words, "toxic int, words array<binary>").collect()
+    rows = sample.select("body", F.col("toxic").cast("int")).mapInArrow(features, "toxic int, names array<binary>, sizes array<int>").collect()
     toxic = np.array([r["toxic"] for r in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
         return OrdinalModel()
     index: dict[bytes, int] = {}
-    lists = [np.array([index.setdefault(bytes(w), len(index)) for w in r["words"]], np.int64) for r in rows]
+    lists = [np.array([index.setdefault(bytes(w), len(index)) for w in r["names"]], np.int64) for r in rows]
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     empty = np.zeros(0, np.int64)
     with1 = np.bincount(np.concatenate([empty, *[x for x, y in zip(lists, toxic) if y]]), minlength=len(index))
@@ -106,12 +128,13 @@ def fit(
     strong = sorted(np.flatnonzero(chi2 >= least_chi2), key=lambda i: (-chi2[i], names[i]))[:max_features]
     column = {int(f): j for j, f in enumerate(strong)}
     x = np.zeros((len(rows), len(strong)))
-    for i, found in enumerate(lists):
-        x[i, [column[f] for f in found.tolist() if f in column]] = 1
+    for i, (found, r) in enumerate(zip(lists, rows)):
+        own = [(column[f], n) for f, n in zip(found.tolist(), r["sizes"]) if f in column]
+        x[i, [j for j, _ in own]] = np.log2([1 + n for _, n in own])
     telling = x[:, [j for f, j in column.items() if with1[f] / n1 > with0[f] / n0]].sum(axis=1)
     cuts = np.quantile(telling[toxic], np.arange(1, grades) / grades)
     grade = np.where(toxic, 1 + (telling[:, None] > cuts[None, :]).sum(axis=1), 0)
-    w, theta = fit_cumulative_link(x, grade, grades)
+    w, theta = fit_cumulative_link(x, grade, grades, np.where(toxic, 1 / n1, 1 / n0))  # both classes count alike
     return OrdinalModel({names[f]: float(w[j]) for f, j in column.items()}, tuple(theta.tolist()))
 
 
@@ -128,7 +151,8 @@ def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str =
             for body in batch.column(1).to_pylist():
                 words = words_of(body)
                 n_words.append(len(words))
-                total.append(sum(map(weights.__getitem__, sorted(known.intersection(words)))))
+                found = features_of(words, known)
+                total.append(sum(weights[f] * math.log2(1 + found[f]) for f in sorted(found)))
             above = 1 - sigmoid(theta[None, :] - np.array(total)[:, None])  # P(grade > k)
             full = np.hstack([np.ones((len(total), 1)), above, np.zeros((len(total), 1))])
             p = above[:, 0] if len(theta) else np.zeros(len(total))
