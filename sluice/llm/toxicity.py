@@ -47,7 +47,7 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, ridge: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the penalised, weighted likelihood (Adam on all rows at once).
 
     Thresholds stay ordered as a first one plus exponentials of gaps.
