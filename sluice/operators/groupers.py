@@ -1,24 +1,27 @@
 """Sub-groupers: split every group into (possibly overlapping) subgroups.
 
-The combinatorial groupers give more subgroups than rows by definition.  They
-take a stated bound that is measured first; a group beyond it fails the job
-with a message, and nothing is left out of a result that is produced.
+The combinatorial groupers give a *long form*: one row per member of a subgroup
+(group keys, ``subgroup``, the row).  Rows are numbered within their group, a
+subgroup is a choice of numbers, and members are found by number in an equality
+join, so no group or subgroup is gathered; with collectors, long rows are
+reduced per subgroup.  Group keys may be empty optionals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.collectors import Collector
-from sluice.operators.grouping import Keys, finish, merge_partials, partials
+from sluice.operators.grouping import Keys, finish, group_by, merge_partials, partials
 from sluice.operators.lookups import hamming_collisions
-from sluice.semantics import all_of, bind, bounded, col
+from sluice.operators.ordered import positions
+from sluice.semantics import bind, col, join_same, same
 
-SUBGROUP_LIMIT = 1_000_000
+# subgroup numbers are made in two steps of this many, so that no array holds them all
+_STEP = 1 << 16
 
 
 def always_include(
@@ -26,7 +29,7 @@ def always_include(
 ) -> DataFrame:
     """One subgroup per key; rows whose key is ``include_when`` join every subgroup.
 
-    Collectors may read ``is_always``.  The replicated rows are reduced to
+    An empty key is a key like others, and ``include_when`` may be empty.  Collectors may read ``is_always``.  The replicated rows are reduced to
     partial results once per group, and only those are handed to subgroups.
     """
     names = list(by)
@@ -34,85 +37,89 @@ def always_include(
         raise ValueError("subgroups need at least one grouping key")
     df = df.withColumns(by) if isinstance(by, Mapping) else df
     df = df.withColumn("group_key", col(key))
-    own = partials(df.filter(col(key) != include_when).withColumn("is_always", F.lit(False)), [*names, "group_key"], into)
-    shared = partials(df.filter(col(key) == include_when).withColumn("is_always", F.lit(True)), names, into)
+    own = partials(df.filter(~same("group_key", include_when)).withColumn("is_always", F.lit(False)), [*names, "group_key"], into)
+    shared = partials(df.filter(same("group_key", include_when)).withColumn("is_always", F.lit(True)), names, into)
     subgroups = own.select(*names, "group_key").distinct()
-    copies = subgroups.join(shared, names, "inner")
+    copies = join_same(subgroups, shared, names)
     together = merge_partials(own.unionByName(copies), [*names, "group_key"], into)
     parts, ok, out = finish(together, [*names, "group_key"], into)
     return parts.filter(ok).select(*out)
 
 
-def _members(df: DataFrame, columns: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in columns])
+def _subgroups(chosen: DataFrame, rows: DataFrame, keys: Sequence[str], by: Sequence[str], into: Mapping[str, Collector] | None) -> DataFrame:
+    """Chosen members (group, subgroup, number) with their rows, reduced if there are collectors."""
+    long = join_same(chosen, rows, keys).drop(*[k for k in keys if k not in by])
+    return long if into is None else group_by(long, [*by, "subgroup"], into)
 
 
-def combinations(
-    df: DataFrame, by: Sequence[str], size: int, order: Sequence[str], columns: Sequence[str],
-    limit: int = SUBGROUP_LIMIT,
-) -> DataFrame:
-    """Every combination of ``size`` rows of a group, as a ``members`` array.
+def _numbers(df: DataFrame, last: Column) -> DataFrame:
+    """The rows, once for every ``subgroup`` from 0 to below ``last``."""
+    zero = F.lit(0).cast("bigint")
+    high = df.withColumn("__high", F.explode(F.sequence(zero, F.shiftright(last - 1, 16))))
+    low = F.explode(F.sequence(zero, F.least(F.lit(_STEP - 1).cast("bigint"), last - 1 - F.col("__high") * _STEP)))
+    return high.withColumn("__low", low).withColumn("subgroup", F.col("__high") * _STEP + F.col("__low")).drop("__high", "__low")
+
+
+def combinations(df: DataFrame, by: Sequence[str], size: int, order: str, into: Mapping[str, Collector] | None = None) -> DataFrame:
+    """Every combination of ``size`` rows of a group; ``subgroup`` lists their numbers.
 
-    ``order`` is unique within a group; combinations come from equality joins
-    on the group with increasing order, which adaptive execution may split.
+    ``order`` is a unique integer within a group.  Combinations come from
+    equality joins on the group with increasing numbers, which adaptive
+    execution may split.
     """
-    largest = df.groupBy(*by).count().agg(F.max("count").alias("n"))
-    n = F.col("n").cast("double")
-    ways = reduce(lambda a, i: a * (n - i) / (i + 1), range(size), F.lit(1.0))
-    df = bounded(df, largest.select(F.ceil(ways)), limit, "combinations in one group")
-    rows = df.select(*by, F.struct(*order).alias("__o"), _members(df, columns).alias("__m"))
-    found = rows.select(*by, F.col("__o").alias("__last"), F.array("__m").alias("members"))
+    by = list(by)
+    rows = positions(df, by, order, "__number")
+    numbers = rows.select(*by, "__number")
+    found = numbers.select(*by, F.array("__number").alias("subgroup"))
     for _ in range(size - 1):
-        other = rows.withColumnsRenamed({b: f"__{b}" for b in by})
-        on = all_of(F.col(b) == F.col(f"__{b}") for b in by) & (F.col("__last") < F.col("__o"))
-        found = found.join(other, on, "inner").select(
-            *by, F.col("__o").alias("__last"), F.concat("members", F.array("__m")).alias("members")
-        )
-    return found.drop("__last")
+        wider = join_same(found, numbers, by).filter(F.element_at("subgroup", -1) < F.col("__number"))
+        found = wider.select(*by, F.array_append("subgroup", F.col("__number")).alias("subgroup"))
+    chosen = found.select("*", F.explode("subgroup").alias("__number"))
+    return _subgroups(chosen, rows, [*by, "__number"], by, into)
 
 
-def crosstab(
-    df: DataFrame, by: Sequence[str], partition: str, axes: Sequence[object], columns: Sequence[str],
-    limit: int = SUBGROUP_LIMIT,
-) -> DataFrame:
+def crosstab(df: DataFrame, by: Sequence[str], partition: str, order: str, into: Mapping[str, Collector] | None = None) -> DataFrame:
     """Every choice of one row from each partition value present in a group.
 
-    ``axes`` lists all partition values; a value outside it fails the job.
+    A subgroup's number, written in the mixed radix of the counts of rows per
+    value, gives the number of the row to take from each value.  ``order`` is a
+    unique integer within a group and value; an empty value is a value.
     """
-    known = F.when(F.col(partition).isin(list(axes)), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("partition value not listed: "), F.col(partition).cast("string"))).cast("boolean")
+    by = list(by)
+    rows = positions(df.withColumn("__value", F.col(partition)), [*by, "__value"], order, "__number")
+    counts = df.groupBy(*by, F.col(partition).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    # one entry per value, and every value with two rows doubles the result
+    listed = F.sort_array(F.collect_list(F.struct("__value", "__n")))
+
+    def widen(state: Column, x: Column) -> Column:
+        axis = F.struct(state["ways"].alias("stride"), x["__n"].alias("n"), x["__value"].alias("value"))
+        return F.struct((state["ways"] * x["__n"]).alias("ways"), F.array_append(state["axes"], axis).alias("axes"))
+
+    groups = counts.groupBy(*by).agg(listed.alias("__listed"))
+    start = F.struct(
+        F.lit(1).cast("bigint").alias("ways"),
+        F.slice(F.transform("__listed", lambda x: F.struct(F.lit(0).cast("bigint").alias("stride"), x["__n"].alias("n"), x["__value"].alias("value"))), 1, 0).alias("axes"),
     )
-    sizes = df.groupBy(*by, partition).count().groupBy(*by).agg(F.sum(F.log2("count")).alias("bits"))
-    df = bounded(df.filter(known), sizes.agg(F.ceil(F.pow(F.lit(2.0), F.max("bits")))), limit, "cross-table subgroups in one group")
-    found = df.select(*by).distinct().withColumn("members", F.array().cast(_array_type(df, columns)))
-    for i, axis in enumerate(axes):
-        rows = df.filter(F.col(partition) == F.lit(axis)).select(
-            *[F.col(b).alias(f"__{b}") for b in by], _members(df, columns).alias(f"__m{i}")
-        )
-        on = all_of(F.col(b) == F.col(f"__{b}") for b in by)
-        picked = F.when(F.col(f"__m{i}").isNotNull(), F.concat("members", F.array(f"__m{i}"))).otherwise(F.col("members"))
-        found = found.join(rows, on, "left").select(*by, picked.alias("members"))
-    return found
-
+    groups = groups.select(*by, F.aggregate("__listed", start, widen).alias("__all"))
+    numbered = _numbers(groups, F.col("__all.ways")).select(*by, "subgroup", F.explode("__all.axes").alias("__axis"))
+    chosen = numbered.select(*by, "subgroup", F.col("__axis.value").alias("__value"), F.expr("(subgroup div __axis.stride) % __axis.n").alias("__number"))
+    return _subgroups(chosen, rows, [*by, "__value", "__number"], by, into)
 
-def _array_type(df: DataFrame, columns: Sequence[str]) -> str:
-    return f"array<{df.select(_members(df, columns).alias('m')).schema['m'].dataType.simpleString()}>"
 
+def powerset(df: DataFrame, by: Sequence[str], order: str, into: Mapping[str, Collector] | None = None, include_full: bool = False) -> DataFrame:
+    """Every non-empty proper subset of a group (optionally the whole group too).
 
-def powerset(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], max_rows: int = 16,
-    include_full: bool = False,
-) -> DataFrame:
-    """Every non-empty proper subset of a group (optionally the whole group too)."""
-    largest = df.groupBy(*by).count().agg(F.max("count"))
-    df = bounded(df, largest, max_rows, "rows in one powerset group")
-    # at most ``max_rows`` rows per group by the check above
-    rows = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), _members(df, columns).alias("m"))))
-    groups = df.groupBy(*by).agg(F.transform(rows, lambda r: r["m"]).alias("__rows"))
-    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size("__rows")) - (1 if include_full else 2)
-    subsets = groups.filter(last >= 1).withColumn("__bits", F.explode(F.sequence(F.lit(1).cast("bigint"), last)))
-    chosen = F.filter("__rows", lambda m, i: F.getbit(F.col("__bits"), i) == 1)
-    return subsets.select(*by, F.col("__bits").alias("subset"), chosen.alias("members"))
+    Bit i of ``subgroup`` tells whether row i is a member; ``order`` is a unique
+    integer within a group.
+    """
+    by = list(by)
+    rows = positions(df, by, order, "__number")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__n").cast("int")) - (0 if include_full else 1)
+    sets = _numbers(sizes.filter((F.col("__n") > 1) | F.lit(include_full)), last).filter("subgroup > 0")
+    bits = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1), lambda i: F.getbit(F.col("subgroup"), i.cast("int")) == 1)
+    chosen = sets.select(*by, "subgroup", F.explode(bits).alias("__number"))
+    return _subgroups(chosen, rows, [*by, "__number"], by, into)
 
 
 def merge_sets(
@@ -140,7 +147,7 @@ def merge_sets(
     ids = df.filter(F.col(identifier).isNotNull())
     ids = ids.select(*by, F.col(lane).alias("__lane"), F.col(identifier).alias("__id")).distinct()
     lanes = placed.select(*by, "__lane", "__head").distinct()
-    ids = ids.join(lanes, [*by, "__lane"], "inner")
+    ids = join_same(ids, lanes, [*by, "__lane"])
     in_head = F.max(F.col("__lane") == F.col("__head")).over(Window.partitionBy(*by, "__head", "__id"))
     counts = ids.withColumn("__hit", in_head).groupBy(*by, "__head", "__lane").agg(
         F.count(F.lit(1)).alias("__mine"), F.count_if("__hit").alias("__same")
@@ -152,7 +159,7 @@ def merge_sets(
 
     # the lanes of one subgroup are bounded by the permitted-merges value itself
     listed = F.sort_array(F.collect_set("__lane").over(Window.partitionBy(*by, "__head")))
-    placed = placed.withColumn("merged_lanes", listed).join(clash, by, "left_anti")
+    placed = join_same(placed.withColumn("merged_lanes", listed), clash, by, "left_anti")
     kept = placed.filter((F.col("__lane") == F.col("__head")) | F.col("__blank"))
     parts = merge_partials(kept, [*by, "merged_lanes"], into)
     parts, ok, out = finish(parts, [*by, "merged_lanes"], into)

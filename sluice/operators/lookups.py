@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.ordered import TIME_WIDTHS, running_at
-from sluice.semantics import all_of, bind, col
+from sluice.semantics import all_of, bind, col, join_same
 
 MISSING_POSITION = 2**63 - 1
 
@@ -119,8 +119,8 @@ def equivalence_match(
 
 
 def string_expand(df: DataFrame, text: str, table: DataFrame, key: str, values: str, name: str) -> DataFrame:
-    """The set a string stands for, or the set of just itself."""
-    table = table.select(F.col(key).alias("__key"), F.col(values).alias("__values"))
+    """The set a string stands for, or the set of just itself; a repeated string stands for its smallest set."""
+    table = table.groupBy(F.col(key).alias("__key")).agg(F.min(values).alias("__values"))
     out = df.join(table, F.col(text) == F.col("__key"), "left")
     return out.select(*df.columns, F.coalesce("__values", F.array(F.col(text))).alias(name))
 
@@ -129,12 +129,12 @@ def fallback_lookup(
     df: DataFrame, table: DataFrame, first_key: str, other_keys: Sequence[str], value: str, name: str,
     fallback: str = "ALL",
 ) -> DataFrame:
-    """Exact key, else the same key with its first part replaced by a fallback."""
+    """Exact key, else the same key with its first part replaced by a fallback; a repeated key has its smallest value."""
     keys = [first_key, *other_keys]
-    exact = table.select(*[F.col(k).alias(f"__x{i}") for i, k in enumerate(keys)], F.col(value).alias("__exact"))
-    general = table.filter(F.col(first_key) == fallback).select(
-        *[F.col(k).alias(f"__g{i}") for i, k in enumerate(other_keys)], F.col(value).alias("__general")
-    )
+    exact = table.groupBy(*[F.col(k).alias(f"__x{i}") for i, k in enumerate(keys)]).agg(F.min(value).alias("__exact"))
+    general = table.filter(F.col(first_key) == fallback).groupBy(
+        *[F.col(k).alias(f"__g{i}") for i, k in enumerate(other_keys)]
+    ).agg(F.min(value).alias("__general"))
     out = df.join(exact, all_of(F.col(k) == F.col(f"__x{i}") for i, k in enumerate(keys)), "left")
     out = out.join(general, all_of(F.col(k) == F.col(f"__g{i}") for i, k in enumerate(other_keys)), "left")
     return out.select(*df.columns, F.coalesce("__exact", "__general").alias(name))
@@ -144,9 +144,9 @@ def name_order_lookup(
     df: DataFrame, group: str, label: str, table: DataFrame, table_group: str, table_label: str, position: str,
     name: str,
 ) -> DataFrame:
-    """Position of a name in its file; a missing name sorts last."""
-    found = table.select(
-        F.col(table_group).alias("__group"), F.col(table_label).alias("__label"), F.col(position).alias("__position")
+    """Position of a name in its file (the first, if it is repeated); a missing name sorts last."""
+    found = table.groupBy(F.col(table_group).alias("__group"), F.col(table_label).alias("__label")).agg(
+        F.min(position).alias("__position")
     )
     out = df.join(found, (F.col(group) == F.col("__group")) & (F.col(label) == F.col("__label")), "left")
     return out.select(*df.columns, F.coalesce("__position", F.lit(MISSING_POSITION)).alias(name))
@@ -158,9 +158,11 @@ def config_lookup(
 ) -> DataFrame:
     """Keyed settings: stored field, else the field's default.
 
-    A key that is not in the table gives the defaults, or empty fields.
+    A key that is not in the table gives the defaults, or empty fields; of
+    repeated settings of a key the smallest count, field by field in order.
     """
-    stored = table.select(F.col(table_key).alias("__key"), *[F.col(f).alias(f"__{f}") for f in fields])
+    row = F.min(F.struct(*[F.col(f).alias(f"__{f}") for f in fields]))
+    stored = table.groupBy(F.col(table_key).alias("__key")).agg(row.alias("__row")).select("__key", "__row.*")
     out = df.join(stored, F.col(key) == F.col("__key"), "left")
     known = F.col("__key").isNotNull()
 
@@ -227,7 +229,7 @@ def _codes(df: DataFrame, group: Sequence[str], code: str) -> DataFrame:
 
 def _met(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     # both sides are exploded, so their planned sizes say nothing: never broadcast
-    return a.hint("merge").join(b.hint("merge"), list(keys), "inner")
+    return join_same(a, b, keys, hint="merge")
 
 
 def _closer(pairs: DataFrame, distance: Column, minimum: int) -> DataFrame:
@@ -285,7 +287,7 @@ def hamming_collisions(df: DataFrame, group: Sequence[str], code: str, minimum:
     codes = _codes(df, group, code).withColumn("__len", F.length("__code"))
     # no more lengths than the longest code has characters
     lengths = codes.groupBy(*group).agg(F.collect_set("__len").alias("__lengths"))
-    codes = codes.join(lengths, list(group), "inner")
+    codes = join_same(codes, lengths, list(group))
 
     def masked(widths: Column, name: str, count: str) -> DataFrame:
         cut = F.expr("substring(__code, 1, __width)")

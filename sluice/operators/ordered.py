@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.semantics import join_same
+
 SECOND = 1_000_000
 # one minute of microseconds, then one day of minutes; the last level has one row per day
 TIME_WIDTHS = (60 * SECOND, 1440)
@@ -81,7 +83,7 @@ def running_at(
 
 
 def positions(df: DataFrame, by: Sequence[str], order: str, name: str, width: int = 100_000) -> DataFrame:
-    """0-based position of each row within its group, for a unique integer order.
+    """0-based position of each row within its group (whose keys may be empty), for a unique integer order.
 
     Ranks inside buckets of the order plus the row counts of earlier buckets.
     """
@@ -92,7 +94,7 @@ def positions(df: DataFrame, by: Sequence[str], order: str, name: str, width: in
     counts = counts.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     return (
-        df.withColumn("__inside", inside).join(counts, keys, "left")
+        join_same(df.withColumn("__inside", inside), counts, keys, "left")
         .withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint"))
         .drop("__bucket", "__inside", "__before")
     )

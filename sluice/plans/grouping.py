@@ -308,41 +308,101 @@ def grouper_always_include(t: Tables):
 """)
 def grouper_combinations(t: Tables):
     orders = t.orders.withColumn("cents", cents("o_totalprice"))
-    pairs = g.combinations(orders, ["o_custkey"], 2, ["o_orderkey"], ["o_orderkey", "cents"])
-    m = F.col("members")
-    return pairs.select(
-        "o_custkey", m[0]["o_orderkey"].alias("first_order"), m[1]["o_orderkey"].alias("second_order"),
-        F.aggregate("members", F.lit(0).cast("bigint"), lambda a, x: a + x["cents"]).alias("cents"),
-    )
+    pairs = g.combinations(orders, ["o_custkey"], 2, "o_orderkey", {
+        "first_order": c.minimum("o_orderkey"), "second_order": c.maximum("o_orderkey"), "cents": c.total("cents"),
+    })
+    return pairs.drop("subgroup")
 
 
 @plan("grouper_crosstab", """
-    SELECT f.l_orderkey, f.l_partkey AS f_part, o.l_partkey AS o_part
-    FROM lineitem f JOIN lineitem o ON f.l_orderkey = o.l_orderkey AND f.l_linestatus = 'F' AND o.l_linestatus = 'O'
+    WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linestatus = 'F'),
+    o AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linestatus = 'O')
+    SELECT coalesce(f.l_orderkey, o.l_orderkey) AS l_orderkey, f.l_linenumber AS f_line, o.l_linenumber AS o_line, f.l_partkey AS f_part, o.l_partkey AS o_part
+    FROM f FULL JOIN o ON f.l_orderkey = o.l_orderkey
 """)
 def grouper_crosstab(t: Tables):
-    cells = g.crosstab(t.lineitem, ["l_orderkey"], "l_linestatus", ["F", "O"], ["l_partkey"])
-    m = F.col("members")
-    full = cells.filter(F.size("members") == 2)
-    return full.select("l_orderkey", m[0]["l_partkey"].alias("f_part"), m[1]["l_partkey"].alias("o_part"))
+    # orders with lines of one status give subgroups of one line
+
+    def only(status: str, value: str):
+        return c.where(F.col("l_linestatus") == status, c.maximum(value, default=F.lit(None).cast("bigint")))
+
+    lines = t.lineitem.withColumn("line", F.col("l_linenumber").cast("bigint"))
+    cells = g.crosstab(lines, ["l_orderkey"], "l_linestatus", "l_linenumber", {
+        "f_line": only("F", "line"), "o_line": only("O", "line"), "f_part": only("F", "l_partkey"), "o_part": only("O", "l_partkey"),
+    })
+    return cells.select("l_orderkey", F.col("f_line").cast("int").alias("f_line"), F.col("o_line").cast("int").alias("o_line"), "f_part", "o_part")
 
 
 @plan("grouper_powerset", """
     WITH rows AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
     sizes AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey),
-    subsets AS (SELECT n_regionkey, unnest(range(1, (1 << n) - 1)) AS subset FROM sizes)
-    SELECT s.n_regionkey, s.subset, count(*) AS members, CAST(sum(c.customers) AS BIGINT) AS customers
-    FROM subsets s JOIN rows r ON s.n_regionkey = r.n_regionkey AND (s.subset >> r.i) & 1 = 1
+    subsets AS (SELECT n_regionkey, unnest(range(1, (1 << n) - 1)) AS subgroup FROM sizes)
+    SELECT s.n_regionkey, s.subgroup, count(*) AS members, CAST(sum(c.customers) AS BIGINT) AS customers
+    FROM subsets s JOIN rows r ON s.n_regionkey = r.n_regionkey AND (s.subgroup >> r.i) & 1 = 1
     JOIN (SELECT n.n_nationkey, count(c_custkey) AS customers FROM nation n LEFT JOIN customer ON c_nationkey = n.n_nationkey GROUP BY 1) c
         ON c.n_nationkey = r.n_nationkey
-    GROUP BY s.n_regionkey, s.subset
+    GROUP BY s.n_regionkey, s.subgroup
 """)
 def grouper_powerset(t: Tables):
     per_nation = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
     nations = t.nation.join(per_nation, "n_nationkey", "left").fillna(0, ["customers"])
-    sets = g.powerset(nations, ["n_regionkey"], ["n_nationkey"], ["n_nationkey", "customers"])
-    total = F.aggregate("members", F.lit(0).cast("bigint"), lambda a, x: a + x["customers"])
-    return sets.select("n_regionkey", "subset", F.size("members").cast("bigint").alias("members"), total.alias("customers"))
+    return g.powerset(nations, ["n_regionkey"], "n_nationkey", {"members": c.count(), "customers": c.total("customers")})
+
+
+# group keys that may be empty: the quality of a document, where it was judged
+
+JUDGED = "WITH d AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def judged(t: Tables):
+    return t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+
+
+@plan("grouper_always_include_optional", f"""
+    {JUDGED}, own AS (SELECT lang, quality, n_chars FROM d WHERE quality IS DISTINCT FROM 0),
+    shared AS (SELECT lang, n_chars FROM d WHERE quality = 0),
+    rows AS (SELECT lang, quality, n_chars FROM own UNION ALL
+        SELECT k.lang, k.quality, s.n_chars FROM (SELECT DISTINCT lang, quality FROM own) k JOIN shared s ON k.lang = s.lang)
+    SELECT lang, quality AS group_key, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM rows GROUP BY lang, quality
+""")
+def grouper_always_include_optional(t: Tables):
+    # documents of low quality join the subgroup of each other quality, that of the unjudged ones too
+    return g.always_include(judged(t), ["lang"], "quality", F.lit(0), {"n": c.count(), "chars": c.total("n_chars")})
+
+
+@plan("grouper_always_include_optional_group", f"""
+    {JUDGED}, own AS (SELECT quality, lang, n_chars FROM d WHERE lang <> 'en'), shared AS (SELECT quality, n_chars FROM d WHERE lang = 'en'),
+    rows AS (SELECT quality, lang, n_chars FROM own UNION ALL SELECT k.quality, k.lang, s.n_chars
+        FROM (SELECT DISTINCT quality, lang FROM own) k JOIN shared s ON k.quality IS NOT DISTINCT FROM s.quality)
+    SELECT quality, lang AS group_key, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM rows GROUP BY quality, lang
+""")
+def grouper_always_include_optional_group(t: Tables):
+    return g.always_include(judged(t), ["quality"], "lang", F.lit("en"), {"n": c.count(), "chars": c.total("n_chars")})
+
+
+@plan("grouper_combinations_optional", f"""
+    {JUDGED}, per AS (SELECT quality, lang, row_number() OVER (PARTITION BY quality ORDER BY lang) AS i, count(*) AS n FROM d GROUP BY quality, lang)
+    SELECT a.quality, a.lang AS low, b.lang AS high, a.n + b.n AS n FROM per a JOIN per b ON a.quality IS NOT DISTINCT FROM b.quality AND a.i < b.i
+""")
+def grouper_combinations_optional(t: Tables):
+    per = judged(t).groupBy("quality", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    pairs = g.combinations(per, ["quality"], 2, "first", {"low": c.minimum("lang"), "high": c.maximum("lang"), "n": c.total("n")})
+    return pairs.drop("subgroup")
+
+
+@plan("grouper_crosstab_optional", f"""
+    {JUDGED}, per AS (SELECT quality, lang, source, count(*) AS n FROM d WHERE lang IN ('es', 'fr') GROUP BY quality, lang, source)
+    SELECT coalesce(e.quality, f.quality) AS quality, e.source AS es_source, f.source AS fr_source, coalesce(e.n, 0) + coalesce(f.n, 0) AS n
+    FROM (SELECT *, coalesce(quality, -1) AS q FROM per WHERE lang = 'es') e FULL JOIN (SELECT *, coalesce(quality, -1) AS q FROM per WHERE lang = 'fr') f ON e.q = f.q
+""")
+def grouper_crosstab_optional(t: Tables):
+    per = judged(t).filter(F.col("lang").isin("es", "fr")).groupBy("quality", "lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+    def only(lang: str):
+        return c.where(F.col("lang") == lang, c.maximum("source", default=F.lit(None).cast("string")))
+
+    cells = g.crosstab(per, ["quality"], "lang", "first", {"es_source": only("es"), "fr_source": only("fr"), "n": c.total("n")})
+    return cells.drop("subgroup")
 
 
 @plan("grouper_merge_sets", """

@@ -54,6 +54,14 @@ def same(a: Column | str, b: Column | str) -> Column:
     return col(a).eqNullSafe(col(b))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """Equality join on columns of one name, in which two empty optionals are equal; keys come once, from the left."""
+    other = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    if hint:
+        left, other = left.hint(hint), other.hint(hint)
+    return left.join(other, all_of(same(k, f"__same_{k}") for k in keys), how).drop(*[f"__same_{k}" for k in keys])
+
+
 def as_set(items: Column | str) -> Column:
     """Normalise a list: distinct items in ascending order (an empty one first)."""
     return F.sort_array(F.array_distinct(col(items)))
@@ -99,14 +107,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
-
-
-def bounded(df: DataFrame, measured: DataFrame, limit: int, what: str) -> DataFrame:
-    """Fail the job, before it does the work, when a measured size is over a limit.
-
-    ``measured`` has one row and one column.  No row is ever dropped: either
-    the whole result is produced or the job stops with a message.
-    """
-    size = F.coalesce(measured.scalar(), F.lit(0))
-    message = F.concat(F.lit(f"{what}: "), size.cast("string"), F.lit(f" exceeds {limit}"))
-    return df.filter(F.when(size <= F.lit(limit), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

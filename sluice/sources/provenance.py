@@ -24,9 +24,11 @@ def provenance_rows(
 
     A run without a record is ``missing``; a run whose record is to be skipped
     is ``skipped``; then ``stale`` if the versions differ, else ``good``.
-    ``is_stale`` is also told for skipped rows.
+    ``is_stale`` is also told for skipped rows.  Of records with one key the
+    largest version counts, so a run is told once.
     """
-    found = records.select(*key, record_version, skip, F.lit(True).alias("__found"))
+    latest = F.max(F.struct(record_version, skip))
+    found = records.groupBy(*key).agg(latest.alias("__record")).select(*key, "__record.*", F.lit(True).alias("__found"))
     joined = runs.join(found, list(key), "left")
     stale = F.coalesce(F.col(run_version) != F.col(record_version), F.lit(True))
     outcome = (

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.semantics import join_same
+
 
 def current_version(spark: SparkSession, path: str) -> int | None:
     try:
@@ -62,5 +64,5 @@ def snapshot_replace(df: DataFrame, path: str) -> bool:
 
 
 def incremental_merge(old: DataFrame, new: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Old rows with new ones added; the new row of an id wins."""
-    return old.join(new.select(*ids).distinct(), list(ids), "left_anti").unionByName(new)
+    """Old rows with new ones added; the new row of an id (empty ones too) wins."""
+    return join_same(old, new.select(*ids).distinct(), list(ids), "left_anti").unionByName(new)

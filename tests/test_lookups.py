@@ -112,37 +112,45 @@ def test_near_collisions(spark, minimum):
     assert found == ordered
 
 
+def members(long, by="g"):
+    """Sorted (group, items of the subgroup) of a long form."""
+    found = {}
+    for r in long.collect():
+        found.setdefault((r[by], str(r["subgroup"])), []).append(r["i"])
+    return sorted(((k[0], tuple(sorted(v))) for k, v in found.items()), key=repr)
+
+
 def test_combinations_of_three(spark):
-    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1), ("b", 2)], "g string, i int")
-    out = g.combinations(df, ["g"], 3, ["i"], ["i"])
-    got = sorted((r.g, *(m.i for m in r.members)) for r in out.collect())
-    assert got == sorted(("a", *t) for t in itertools.combinations(range(5), 3))
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 1), ("b", 2)] + [(None, i) for i in (7, 8, 9)], "g string, i int")
+    want = [("a", t) for t in itertools.combinations(range(5), 3)] + [(None, (7, 8, 9))]
+    assert members(g.combinations(df, ["g"], 3, "i")) == sorted(want, key=repr)
 
 
-def test_combinations_over_the_limit_fail(spark):
-    df = spark.createDataFrame([("a", i) for i in range(30)], "g string, i int")
-    with pytest.raises(Exception, match="combinations in one group"):
-        g.combinations(df, ["g"], 2, ["i"], ["i"], limit=100).collect()
+def test_pairs_of_a_large_group(spark):
+    df = spark.range(1500).select(F.lit(None).cast("int").alias("g"), F.col("id").alias("i"))
+    pairs = g.combinations(df, ["g"], 2, "i", {"total": c.total("i")})
+    assert tuple(pairs.agg(F.count("*"), F.sum("total")).first()) == (1500 * 1499 // 2, 1499 * 1499 * 1500 // 2)
 
 
 def test_crosstab(spark):
-    df = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", "x", 4)], "g string, axis string, i int")
-    out = g.crosstab(df, ["g"], "axis", ["x", "y", "z"], ["i"])
-    assert sorted((r.g, *(m.i for m in r.members)) for r in out.collect()) == [("a", 1, 3), ("a", 2, 3), ("b", 4)]
-    with pytest.raises(Exception, match="not listed"):
-        g.crosstab(df, ["g"], "axis", ["x"], ["i"]).collect()
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("a", None, 4), ("a", None, 5), ("b", "z", 6), (None, "x", 7), (None, "w", 8), (None, "w", 9)]
+    df = spark.createDataFrame(rows, "g string, axis string, i int")
+    want = [("a", (x, 3, y)) for x in (1, 2) for y in (4, 5)] + [("b", (6,)), (None, (7, 8)), (None, (7, 9))]
+    assert members(g.crosstab(df, ["g"], "axis", "i")) == sorted(want, key=repr)
+    sums = g.crosstab(df, ["g"], "axis", "i", {"total": c.total("i")}).collect()
+    assert sorted(r["total"] for r in sums) == sorted(sum(t) for _, t in want)
 
 
 @pytest.mark.parametrize("full", [False, True])
 def test_powerset(spark, full):
-    df = spark.createDataFrame([("a", i) for i in range(4)] + [("b", 9)], "g string, i int")
-    out = g.powerset(df, ["g"], ["i"], ["i"], include_full=full)
-    got = sorted((r.g, tuple(m.i for m in r.members)) for r in out.collect())
-    sizes = range(1, 5 if full else 4)
-    want = [("a", t) for n in sizes for t in itertools.combinations(range(4), n)] + ([("b", (9,))] if full else [])
-    assert got == sorted(want)
-    with pytest.raises(Exception, match="powerset"):
-        g.powerset(df, ["g"], ["i"], ["i"], max_rows=3).collect()
+    df = spark.createDataFrame([("a", i) for i in range(4)] + [("b", 9), (None, 1), (None, 2)], "g string, i int")
+    sets = [(k, t) for k, v in (("a", range(4)), ("b", (9,)), (None, (1, 2))) for n in range(1, len(v) + 1) for t in itertools.combinations(v, n) if full or n < len(v)]
+    assert members(g.powerset(df, ["g"], "i", include_full=full)) == sorted(sets, key=repr)
+
+
+def test_powerset_of_seventeen_rows(spark):
+    sizes = g.powerset(spark.range(17).withColumn("g", F.lit(1)), ["g"], "id", {"n": c.count()})
+    assert tuple(sizes.agg(F.count("*"), F.sum("n")).first()) == (2**17 - 2, 17 * 2**16 - 17)
 
 
 def first_fit(costs, limit):
