@@ -131,13 +131,13 @@ def int_mod(a: Column | str, b: Column | str) -> Column:
 
 
 def date_plus(ts: Column | str, seconds: Column | int) -> Column:
+    """The time some seconds (any 64-bit number of them) later."""
     s = F.lit(seconds) if isinstance(seconds, int) else seconds
-    return F.timestamp_add("SECOND", s.cast("int"), col(ts))
+    return F.timestamp_micros(F.unix_micros(col(ts)) + s.cast("bigint") * 1_000_000)
 
 
 def date_minus(ts: Column | str, seconds: Column | int) -> Column:
-    s = F.lit(seconds) if isinstance(seconds, int) else seconds
-    return F.timestamp_add("SECOND", (-s).cast("int"), col(ts))
+    return date_plus(ts, -(F.lit(seconds) if isinstance(seconds, int) else seconds).cast("bigint"))
 
 
 def date_diff(a: Column | str, b: Column | str) -> Column:

@@ -198,7 +198,9 @@ def listing(items: Column | str) -> Column:
 
 
 def dictionary(items: Column | str, key: Fn, value: Fn) -> Column:
-    return F.map_from_entries(F.transform(col(items), lambda x: F.struct(key(x).alias("k"), value(x).alias("v"))))
+    """Map of the items' keys and values; an item with an empty key is left out, as no key can find it."""
+    entries = F.transform(col(items), lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
+    return F.map_from_entries(F.filter(entries, lambda e: e["k"].isNotNull()))
 
 
 def maximum(items: Column | str, key: Fn) -> Column:
@@ -290,7 +292,7 @@ WIKI = TableStyle("|", "|", "|", "||", "||", "||")
 
 
 def table(items: Column | str, columns: Mapping[str, Fn], style: TableStyle) -> Column:
-    """A text table: header, optional underline, one line per item."""
+    """A text table: header, optional underline, one line per item; an empty cell stays a cell."""
     names: Sequence[str] = list(columns)
     header = style.header_start + style.header_separator.join(names) + style.header_end + "\n"
     if style.header_underline is not None:
@@ -299,7 +301,7 @@ def table(items: Column | str, columns: Mapping[str, Fn], style: TableStyle) ->
         col(items),
         lambda x: F.concat(
             F.lit(style.data_start),
-            F.concat_ws(style.data_separator, *[fn(x).cast("string") for fn in columns.values()]),
+            F.concat_ws(style.data_separator, *[F.coalesce(fn(x).cast("string"), F.lit("")) for fn in columns.values()]),
             F.lit(style.data_end),
         ),
     )

@@ -37,8 +37,11 @@ def clamp(low: Column, x: Column | str, high: Column) -> Column:
 
 
 def to_integer(x: Column | str) -> Column:
-    """Whole part, toward zero."""
-    return col(x).cast("bigint")
+    """Whole part, toward zero; not-a-number is 0, and what is out of range becomes the nearest bound."""
+    x = col(x).cast("double")
+    high, low = F.lit(2**63 - 1), F.lit(-(2**63))
+    inside = F.when((x < 2.0**63) & (x > -(2.0**63)), x).cast("bigint")
+    return F.when(F.isnan(x), F.lit(0).cast("bigint")).when(x >= 2.0**63, high).when(x <= -(2.0**63), low).otherwise(inside)
 
 
 def to_float(x: Column | str) -> Column:
@@ -52,8 +55,9 @@ def parse_integer(text: Column | str) -> Column:
 
 
 def parse_float(text: Column | str) -> Column:
-    """Decimal text (spaces around it allowed), or empty."""
-    return F.trim(col(text)).try_cast("double")
+    """Decimal text (white space around it allowed), or empty; infinities and not-a-number have their own spelling."""
+    t = F.regexp_replace(col(text), r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.when(t.rlike(r"\A[+-]?(NaN|Infinity|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)\z"), t.try_cast("double"))
 
 
 def parse_boolean(text: Column | str) -> Column:

@@ -62,10 +62,6 @@ def _both(a: Column | None, b: Column | None) -> Column | None:
     return a if b is None else a & b
 
 
-def _merge_sets(part: Column) -> Column:
-    return F.array_distinct(F.flatten(F.collect_list(part)))
-
-
 def _sum_part(value: Column) -> Part:
     return Part(lambda c: F.sum(_given(c, value)), F.sum)
 
@@ -78,10 +74,6 @@ def _count_part(condition: Column | None = None) -> Part:
     return Part(rows, F.sum)
 
 
-def _set_part(value: Column) -> Part:
-    return Part(lambda c: F.collect_set(_given(c, value)), _merge_sets)
-
-
 def _extreme(value: Column, fn: Callable[[Column], Column]) -> Part:
     return Part(lambda c: fn(_given(c, value)), fn)
 
@@ -178,38 +170,42 @@ def first(value: Column | str, default: Column | None = None, order: Column | No
 
 
 def univalued(value: Column | str, default: Column | None = None) -> Collector:
-    """The only distinct value; none or several reject the group (or give the default)."""
+    """The only distinct value; none or several reject the group (or give the default).
+
+    An empty optional is a value that is not another; ``drop_empty`` skips it.
+    """
     v = col(value)
-    parts = (_extreme(v, F.min), _extreme(v, F.max))
+    parts = (_extreme(v, F.min), _extreme(v, F.max), _extreme(v.isNull(), F.bool_or))
 
-    def single(lo: Column, hi: Column) -> Column:
-        return lo.isNotNull() & (lo == hi)
+    def single(lo: Column, hi: Column, gap: Column) -> Column:
+        return lo.isNotNull() & (lo == hi) & ~gap
 
     if default is None:
-        return Collector(parts, lambda lo, hi: lo, lambda lo, hi: is_true(single(lo, hi)))
-    return Collector(parts, lambda lo, hi: F.when(single(lo, hi), lo).otherwise(default))
+        return Collector(parts, lambda lo, hi, gap: lo, lambda *seen: is_true(single(*seen)))
+    return Collector(parts, lambda lo, hi, gap: F.when(single(lo, hi, gap), lo).otherwise(default))
 
 
 # ---------------------------------------------------------------- lists
 
 
+def _distinct(value: Column) -> Entries:
+    """Every value once per group, reduced by (group, value) before anything is gathered."""
+    return Entries(lambda c: _given(c, F.array(F.struct(value.alias("k"), F.lit(None).cast("boolean").alias("v")))), F.max)
+
+
+def _given_values(e: Column) -> Column:
+    return F.sort_array(F.filter(F.transform(e, lambda s: s["k"]), lambda k: k.isNotNull()))
+
+
 def listing(value: Column | str, keep_empty: bool = False) -> Collector:
     """Sorted distinct list; ``keep_empty`` lets one empty optional through."""
-    v = col(value)
-    if not keep_empty:
-        return Collector((_set_part(v),), lambda p: F.coalesce(F.sort_array(p), F.array()))
-    return Collector(
-        (_set_part(F.struct(v.alias("v"))),),
-        lambda p: F.coalesce(F.sort_array(F.transform(p, lambda s: s["v"])), F.array()),
-    )
+    read = (lambda e: F.sort_array(F.transform(e, lambda s: s["k"]))) if keep_empty else _given_values
+    return Collector((), lambda e: F.coalesce(read(e), F.array()), entries=(_distinct(col(value)),))
 
 
 def lexical_concat(value: Column | str, delimiter: str) -> Collector:
     """Distinct strings in ascending order, joined."""
-    return Collector(
-        (_set_part(col(value)),),
-        lambda p: F.coalesce(F.array_join(F.sort_array(p), delimiter), F.lit("")),
-    )
+    return Collector((), lambda e: F.coalesce(F.array_join(_given_values(e), delimiter), F.lit("")), entries=(_distinct(col(value)),))
 
 
 def flattened(items: Column | str) -> Collector:
@@ -228,7 +224,7 @@ def flattened(items: Column | str) -> Collector:
 
 
 def dictionary(key: Column | str, value: Column | str) -> Collector:
-    """Map of key to value; a repeated key keeps its smallest value."""
+    """Map of key to value; a repeated key keeps its smallest value, and rows with an empty key are left out."""
     k, v = col(key), col(value)
     return Collector(
         (),
@@ -236,7 +232,7 @@ def dictionary(key: Column | str, value: Column | str) -> Collector:
             F.coalesce(F.sort_array(F.transform(e, lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v")))), F.array())
         ),
         entries=(
-            Entries(lambda c: _given(c, F.array(F.struct(k.alias("k"), v.alias("v")))), F.min),
+            Entries(lambda c: _given(_both(c, k.isNotNull()), F.array(F.struct(k.alias("k"), v.alias("v")))), F.min),
         ),
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,35 +35,42 @@ def partials(df: DataFrame, keys: Keys, into: Mapping[str, Collector]) -> DataFr
     """Partial results: keys plus part columns, possibly several rows per group.
 
     Plain parts give one row per group.  Keyed entries give one row per
-    (group, entry key), reduced before the group is put together.
+    (group, entry key), reduced before the group is put together; both come
+    from one read of the rows and one exchange.
     """
     by = key_columns(keys)
     names = list(keys)
     labels = _part_names(into)
-    plain = [
-        p.rows(None).alias(label)
-        for name, k in into.items()
-        for p, label in zip(k.parts, labels[name][0])
-    ]
-    keyed = [
-        (e, label) for name, k in into.items() for e, label in zip(k.entries, labels[name][1])
-    ]
-    frames = []
-    if plain:
-        frames.append(df.groupBy(*by).agg(*plain))
-    elif names:
-        frames.append(df.select(*by).distinct())
+    keyed = [(e, label) for name, k in into.items() for e, label in zip(k.entries, labels[name][1])]
+
+    def plain(condition: Column | None) -> list[Column]:
+        return [p.rows(condition).alias(label) for name, k in into.items() for p, label in zip(k.parts, labels[name][0])]
+
     if not keyed:
-        return frames[0]
-    for e, label in keyed:
-        exploded = df.select(*by, F.explode(e.items(None)).alias("__entry"))
-        reduced = exploded.groupBy(*names, F.col("__entry.k").alias("__k")).agg(
-            e.resolve(F.col("__entry.v")).alias("__v")
-        )
-        frames.append(
-            reduced.select(*names, F.struct(F.col("__k").alias("k"), F.col("__v").alias("v")).alias(label))
-        )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        return df.groupBy(*by).agg(*plain(None)) if plain(None) else df.select(*by).distinct()
+    # one pass: a row gives itself (tag -1) and its entries, which are reduced by (group, tag, entry key)
+    items = [e.items(None) for e, _ in keyed]
+    kinds = [df.select(i.alias("x")).schema["x"].dataType.elementType.simpleString() for i in items]
+
+    def tagged(tag: int, entry: Column | None) -> Column:
+        cells = [entry if i == tag else F.lit(None).cast(kind) for i, kind in enumerate(kinds)]
+        return F.struct(F.lit(tag).alias("tag"), *[c.cast(kind).alias(f"e{i}") for i, (c, kind) in enumerate(zip(cells, kinds))])
+
+    own = F.array(tagged(-1, None))
+
+    def listed(tag: int) -> Column:
+        return F.coalesce(F.transform(items[tag], lambda x: tagged(tag, x)), F.slice(own, 1, 0))
+
+    exploded = df.withColumn("__e", F.explode(F.concat(own, *[listed(i) for i in range(len(items))])))
+    tag = F.col("__e.tag")
+    reduced = exploded.groupBy(*by, tag.alias("__tag"), *[F.col(f"__e.e{i}.k").alias(f"__ek{i}") for i in range(len(keyed))]).agg(
+        *plain(tag == -1), *[e.resolve(F.col(f"__e.e{i}.v")).alias(f"__ev{i}") for i, (e, _) in enumerate(keyed)]
+    )
+    return reduced.select(
+        *names,
+        *[F.when(F.col("__tag") == -1, F.col(label)).alias(label) for name in into for label in labels[name][0]],
+        *[F.when(F.col("__tag") == i, F.struct(F.col(f"__ek{i}").alias("k"), F.col(f"__ev{i}").alias("v"))).alias(label) for i, (_, label) in enumerate(keyed)],
+    )
 
 
 def merge_partials(parts: DataFrame, keys: Sequence[str], into: Mapping[str, Collector]) -> DataFrame:

@@ -34,12 +34,6 @@ def property_summary(df: DataFrame, id_: str, properties: Mapping[str, Column |
     return property_rows(df, id_, properties).groupBy("property", "value").agg(F.count(F.lit(1)).alias("total"))
 
 
-def _interesting(df: DataFrame, prop: Column) -> DataFrame:
-    """Values of a property that are not on every row."""
-    values = df.select(F.explode(F.array_distinct(prop)).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return values.filter(F.col("n") < df.agg(F.count(F.lit(1))).scalar()).select("v")
-
-
 def _marks(r: Column, c: Column) -> Column:
     """What one row adds to a cross table: itself, its values, its pairs of values."""
     kind = "struct<kind:string,r:string,c:string>"
@@ -61,9 +55,8 @@ def _marks(r: Column, c: Column) -> Column:
 def crosstab_counts(df: DataFrame, row: Column | str, column: Column | str) -> DataFrame:
     """Counts of two properties (as text), the longer axis as rows.
 
-    Values found on every row are left out.  Nothing is shown with fewer than
-    two values on an axis, or with more than the fixed size limits.  The rows
-    are read once; the counts are stored, and the rest works on them.
+    Values found on every row are left out.  The rows are read once; the
+    counts are stored, and the rest works on them.
     """
     r = F.array_distinct(_values(df, "r", col(row)).cast("array<string>"))
     c = F.array_distinct(_values(df, "c", col(column)).cast("array<string>"))
@@ -78,12 +71,7 @@ def crosstab_counts(df: DataFrame, row: Column | str, column: Column | str) -> D
     columns = only("column").filter(F.col("n") < total.scalar()).select("c")
     n_rows = rows.agg(F.count(F.lit(1))).scalar()
     n_columns = columns.agg(F.count(F.lit(1))).scalar()
-    shown = (
-        (F.least(n_rows, n_columns) >= 2)
-        & (F.greatest(n_rows, n_columns) <= LONG_AXIS)
-        & (F.least(n_rows, n_columns) <= SHORT_AXIS)
-    )
-    cells = only("cell").join(rows, "r", "left_semi").join(columns, "c", "left_semi").filter(shown)
+    cells = only("cell").join(rows, "r", "left_semi").join(columns, "c", "left_semi")
     tall = n_rows >= n_columns
     return cells.select(
         F.when(tall, F.col("r")).otherwise(F.col("c")).alias("row_value"),
@@ -92,61 +80,87 @@ def crosstab_counts(df: DataFrame, row: Column | str, column: Column | str) -> D
     )
 
 
-def _frame(df: DataFrame, members: Mapping[str, str], buckets: int) -> DataFrame:
-    """One row: start, end, bucket width (ms) and bucket count over all members."""
-    lo = F.least(*[F.min(F.unix_millis(F.col(c))) for c in members.values()]) if len(members) > 1 else F.min(
-        F.unix_millis(F.col(next(iter(members.values()))))
-    )
-    hi = F.greatest(*[F.max(F.unix_millis(F.col(c))) for c in members.values()]) if len(members) > 1 else F.max(
-        F.unix_millis(F.col(next(iter(members.values()))))
-    )
-    span = df.agg(lo.alias("lo"), hi.alias("hi"))
+def crosstab_display(counts: DataFrame) -> DataFrame:
+    """The table if it is fit to be shown: two values or more on each axis, and no more than the fixed size limits."""
+    size = counts.agg(F.count_distinct("row_value").alias("r"), F.count_distinct("column_value").alias("c"))
+    fit = (F.least("r", "c") >= 2) & (F.greatest("r", "c") <= LONG_AXIS) & (F.least("r", "c") <= SHORT_AXIS)
+    return counts.filter(size.select(fit).scalar())
+
+
+def _range(members: Mapping[str, str]) -> tuple[Column, Column]:
+    """First and last time (ms) over all members."""
+    times = [F.unix_millis(F.col(c)) for c in members.values()]
+    lows, highs = [F.min(t) for t in times], [F.max(t) for t in times]
+    return (F.least(*lows), F.greatest(*highs)) if len(times) > 1 else (lows[0], highs[0])
+
+
+def _frame(span: DataFrame, buckets: int) -> DataFrame:
+    """One row of lo, hi (ms) to a struct of start, bucket width (ms) and bucket count; no row without times."""
     even = F.expr(f"(hi - lo) div {buckets}")
     narrow = even < MIN_BUCKET_MS
-    return span.select(
-        "lo", "hi",
-        F.when(narrow, F.lit(MIN_BUCKET_MS)).otherwise(even).cast("bigint").alias("width"),
+    return span.filter("lo IS NOT NULL").select(F.struct(
+        "lo", "hi", F.when(narrow, F.lit(MIN_BUCKET_MS)).otherwise(even).cast("bigint").alias("width"),
         F.when(narrow, F.expr(f"(hi - lo) div {MIN_BUCKET_MS}") + 1).otherwise(F.lit(buckets)).cast("bigint").alias("n"),
-    )
+    ).alias("f"))
 
 
-def _bucketed(df: DataFrame, members: Mapping[str, str], buckets: int, extra: Sequence[Column]) -> DataFrame:
-    frame = _frame(df, members, buckets).select(F.struct("lo", "hi", "width", "n")).scalar()
-    times = F.array(*[
-        F.struct(F.lit(m).alias("member"), F.unix_millis(F.col(c)).alias("at")) for m, c in members.items()
-    ])
-    rows = df.select(*extra, F.explode(times).alias("t")).filter(F.col("t.at").isNotNull())
-    rows = rows.select("*", frame.alias("f"))
-    rows = rows.filter((F.col("f.lo") < F.col("f.hi")) & (F.col("f.n") >= 2))
-    index = F.expr("(t.at - f.lo) div f.width")
-    return rows.withColumn("bucket", F.least(index, F.col("f.n") - 1)).withColumn(
-        "start_ms", F.col("f.lo") + F.col("bucket") * F.col("f.width")
-    )
+def _counted(df: DataFrame, members: Mapping[str, str], frame: DataFrame, extra: Sequence[Column]) -> DataFrame:
+    """Rows per member, bucket and extra columns."""
+    times = F.array(*[F.struct(F.lit(m).alias("member"), F.unix_millis(F.col(c)).alias("at")) for m, c in members.items()])
+    rows = df.select(*extra, F.explode(times).alias("t"), frame.scalar().alias("f")).filter(F.col("t.at").isNotNull())
+    bucket = F.least(F.expr("(t.at - f.lo) div f.width"), F.col("f.n") - 1)
+    keys = [c for c in rows.columns if c not in ("t", "f")]
+    return rows.select(*keys, F.col("t.member").alias("member"), bucket.alias("bucket")).groupBy(*keys, "member", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grid(frame: DataFrame, members: Mapping[str, str]) -> DataFrame:
+    """Every bucket of every member with its boundaries (ms): members times ``buckets`` rows."""
+    each = frame.select("f", F.explode(F.array(*[F.lit(m) for m in members])).alias("member"))
+    each = each.select("f", "member", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("f.n") - 1)).alias("bucket"))
+    start = F.col("f.lo") + F.col("bucket") * F.col("f.width")
+    end = F.when(F.col("bucket") == F.col("f.n") - 1, F.greatest(F.col("f.hi"), start + F.col("f.width"))).otherwise(start + F.col("f.width"))
+    return each.select("member", "bucket", start.alias("start_ms"), end.alias("end_ms"))
 
 
 def histogram(df: DataFrame, members: Mapping[str, str], buckets: int = 100) -> DataFrame:
-    """Equal-width time buckets over the joint range of all members.
+    """Equal-width time buckets over the joint range of all members, with their boundaries.
 
-    Each member is counted by itself; empty buckets are not listed.
+    Each member is counted by itself, and every bucket is listed, empty ones
+    with zero.  The last bucket takes what the widths leave over.  One single
+    time has one bucket; without times there is none.
     """
-    rows = _bucketed(df, members, buckets, [])
-    return rows.groupBy(F.col("t.member").alias("member"), "bucket", "start_ms").agg(F.count(F.lit(1)).alias("n"))
+    lo, hi = _range(members)
+    frame = _frame(df.agg(lo.alias("lo"), hi.alias("hi")), buckets)
+    counted = _counted(df, members, frame, [])
+    return _grid(frame, members).join(counted, ["member", "bucket"], "left").fillna(0, ["n"])
 
 
 def histogram_by_property(
     df: DataFrame, members: Mapping[str, str], prop: Column | str, buckets: int = 100
 ) -> DataFrame:
-    """The same, split by the values of a property that is not on every row."""
-    values = F.array_distinct(_values(df, "p", col(prop)))
-    keyed = df.withColumn("__p", values)
-    shown = _interesting(keyed, F.col("__p"))
-    rows = _bucketed(keyed, members, buckets, [F.col("__p")])
-    counted = rows.select(F.explode("__p").alias("v"), F.col("t.member").alias("member"), "bucket", "start_ms")
-    counted = counted.groupBy("member", "v", "bucket", "start_ms").agg(F.count(F.lit(1)).alias("n"))
-    enough = shown.agg(F.count(F.lit(1))).scalar() >= 2
-    return counted.join(shown, "v", "left_semi").filter(enough).select(
-        "member", F.col("v").alias("value"), "bucket", "start_ms", "n"
+    """The same, split by the values of a property that is not on every row.
+
+    Nothing is listed with fewer than two such values.  One read gives the
+    range and the rows per value, another the counts.
+    """
+    keyed = df.withColumn("__p", F.array_distinct(_values(df, "p", col(prop))))
+    lo, hi = _range(members)
+    no_value = F.when(F.lit(False), F.get("__p", F.lit(0)))
+    marks = F.concat(
+        F.array(F.struct(F.lit(True).alias("all"), no_value.alias("v"))), F.transform("__p", lambda x: F.struct(F.lit(False).alias("all"), x.alias("v")))
     )
+    spans = keyed.withColumn("__m", F.explode(marks)).groupBy(F.col("__m.all").alias("all"), F.col("__m.v").alias("v")).agg(
+        F.count(F.lit(1)).alias("rows"), lo.alias("lo"), hi.alias("hi")
+    )
+    spans = cut_lineage(spans)
+    frame = _frame(spans.filter("all").select("lo", "hi"), buckets)
+    shown = spans.filter(~F.col("all")).filter(F.col("rows") < spans.filter("all").select("rows").scalar()).select("v")
+    enough = shown.agg(F.count(F.lit(1))).scalar() >= 2
+    counted = _counted(keyed.withColumn("v", F.explode("__p")), members, frame, [F.col("v")])
+    buckets_of = F.array_agg(F.struct("member", "bucket", "start_ms", "end_ms"))  # members times buckets entries
+    grid = shown.filter(enough).select("v", F.explode(_grid(frame, members).agg(buckets_of).scalar()).alias("g")).select("v", "g.*")
+    full = grid.join(counted, ["v", "member", "bucket"], "left").fillna(0, ["n"])
+    return full.select("member", F.col("v").alias("value"), "bucket", "start_ms", "end_ms", "n")
 
 
 def latest_transitions(df: DataFrame, state: str, type_: str, at: str) -> DataFrame:

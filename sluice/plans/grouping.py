@@ -457,7 +457,7 @@ def greedy_bins(t: Tables):
     return orders.select("l_orderkey", F.array_join(bins, " | ").alias("bins"), F.size(bins).alias("n"))
 
 
-def tally():
+def tally(*keys: str):
     """A user grouper: count and total per group, batch by batch.
 
     The function is made here so that it travels to the workers by itself.
@@ -468,7 +468,7 @@ def tally():
         for batch in batches:
             rows += batch.num_rows
             total += pc.sum(batch.column("l_quantity")).as_py() or 0.0
-        yield pa.RecordBatch.from_pydict({"l_suppkey": [key[0].as_py()], "n": [rows], "quantity": [total]})
+        yield pa.RecordBatch.from_pydict({**{k: [v.as_py()] for k, v in zip(keys, key)}, "n": [rows], "quantity": [total]})
 
     return split
 
@@ -476,7 +476,7 @@ def tally():
 @plan("grouped_map", "SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey")
 def grouped_map(t: Tables):
     lines = t.lineitem.select("l_suppkey", "l_quantity")
-    return g.grouped_map(lines, ["l_suppkey"], tally(), "l_suppkey bigint, n bigint, quantity double")
+    return g.grouped_map(lines, ["l_suppkey"], tally("l_suppkey"), "l_suppkey bigint, n bigint, quantity double")
 
 
 @plan("span_length_by_name", """

@@ -57,10 +57,19 @@ def property_summary(t: Tables):
 
 
 @plan("crosstab_counts", f"""
-    SELECT type AS row_value, state AS column_value, count(*) AS n FROM {ACTIONS} GROUP BY 1, 2
+    WITH t AS (SELECT state, tag_user AS tag FROM {ACTIONS} UNION ALL SELECT state, tag_kind FROM {ACTIONS})
+    SELECT tag AS row_value, state AS column_value, count(*) AS n FROM t GROUP BY 1, 2
 """)
 def crosstab_counts(t: Tables):
-    return o.crosstab_counts(actions(t), "state", "type")
+    # far more tags than a screen would hold
+    return o.crosstab_counts(actions(t), "state", "tags")
+
+
+@plan("crosstab_display", f"""
+    SELECT type AS row_value, state AS column_value, count(*) AS n FROM {ACTIONS} GROUP BY 1, 2
+""")
+def crosstab_display(t: Tables):
+    return o.crosstab_display(o.crosstab_counts(actions(t), "state", "type"))
 
 
 WIDTH = """(SELECT min(epoch_us(created) // 1000) AS lo0, min(epoch_us(last_added) // 1000) AS lo1, max(epoch_us(created) // 1000) AS hi0,
@@ -69,21 +78,39 @@ FRAME = f"""f AS (SELECT least(lo0, lo1) AS lo, greatest(hi0, hi1) AS hi, (great
     g AS (SELECT lo, hi, greatest(even, 60000) AS width, CASE WHEN even < 60000 THEN (hi - lo) // 60000 + 1 ELSE 100 END AS n FROM f)"""
 
 
+GRID = """grid AS (SELECT member, bucket, lo + bucket * width AS start_ms,
+        CASE WHEN bucket = n - 1 THEN greatest(hi, lo + (bucket + 1) * width) ELSE lo + (bucket + 1) * width END AS end_ms
+        FROM (SELECT g.*, unnest(range(0, n)) AS bucket FROM g) CROSS JOIN (VALUES ('created'), ('added')) AS m(member))"""
+
+
 @plan("histogram", f"""
-    WITH a AS (SELECT * FROM {ACTIONS}), {FRAME},
-    times AS (SELECT 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT 'added', epoch_us(last_added) // 1000 FROM a)
-    SELECT member, least((moment - lo) // width, n - 1) AS bucket, lo + least((moment - lo) // width, n - 1) * width AS start_ms, count(*) AS n
-    FROM times, g GROUP BY 1, 2, 3
+    WITH a AS (SELECT * FROM {ACTIONS}), {FRAME}, {GRID},
+    times AS (SELECT 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT 'added', epoch_us(last_added) // 1000 FROM a),
+    counted AS (SELECT member, least((moment - lo) // width, n - 1) AS bucket, count(*) AS n FROM times, g GROUP BY 1, 2)
+    SELECT member, bucket, start_ms, end_ms, coalesce(c.n, 0) AS n FROM grid LEFT JOIN counted c USING (member, bucket)
 """)
 def histogram(t: Tables):
     return o.histogram(actions(t), {"created": "created", "added": "last_added"})
 
 
+@plan("histogram_sparse", f"""
+    WITH a0 AS (SELECT * FROM {ACTIONS}), a AS (SELECT * FROM a0 WHERE epoch_us(created) // 1000 % 5000 = 0), {FRAME}, {GRID},
+    times AS (SELECT 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT 'added', epoch_us(last_added) // 1000 FROM a),
+    counted AS (SELECT member, least((moment - lo) // width, n - 1) AS bucket, count(*) AS n FROM times, g GROUP BY 1, 2)
+    SELECT member, bucket, start_ms, end_ms, coalesce(c.n, 0) AS n FROM grid LEFT JOIN counted c USING (member, bucket)
+""")
+def histogram_sparse(t: Tables):
+    # few enough times that buckets stay empty
+    rare = actions(t).filter(F.pmod(F.unix_millis("created"), F.lit(5000)) == 0)
+    return o.histogram(rare, {"created": "created", "added": "last_added"})
+
+
 @plan("histogram_by_property", f"""
-    WITH a AS (SELECT * FROM {ACTIONS}), {FRAME},
-    times AS (SELECT state, 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT state, 'added', epoch_us(last_added) // 1000 FROM a)
-    SELECT member, state AS value, least((moment - lo) // width, n - 1) AS bucket, lo + least((moment - lo) // width, n - 1) * width AS start_ms, count(*) AS n
-    FROM times, g GROUP BY 1, 2, 3, 4
+    WITH a AS (SELECT * FROM {ACTIONS}), {FRAME}, {GRID},
+    times AS (SELECT state, 'created' AS member, epoch_us(created) // 1000 AS moment FROM a UNION ALL SELECT state, 'added', epoch_us(last_added) // 1000 FROM a),
+    counted AS (SELECT member, state, least((moment - lo) // width, n - 1) AS bucket, count(*) AS n FROM times, g GROUP BY 1, 2, 3)
+    SELECT member, s.state AS value, bucket, start_ms, end_ms, coalesce(c.n, 0) AS n
+    FROM (SELECT DISTINCT state FROM a) s CROSS JOIN grid LEFT JOIN counted c USING (member, bucket, state)
 """)
 def histogram_by_property(t: Tables):
     return o.histogram_by_property(actions(t), {"created": "created", "added": "last_added"}, "state")
@@ -214,7 +241,7 @@ def join_each_and(t: Tables):
 
 
 def alerts(t: Tables):
-    """Large events as alerts, one per event."""
+    """Events as alerts, one per event."""
     labels = F.map_filter(
         F.create_map(
             F.lit("kind"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"),
@@ -222,7 +249,7 @@ def alerts(t: Tables):
         ),
         lambda k, v: v.isNotNull(),
     )
-    return t.events.filter("value > 50").select(
+    return t.events.select(
         F.col("event_id").cast("string").alias("id"), labels.alias("labels"), F.col("ts").alias("starts_at"),
         F.timestamp_add("HOUR", F.floor("value").cast("int"), F.col("ts")).alias("ends_at"),
         F.array(F.struct(
@@ -233,7 +260,7 @@ def alerts(t: Tables):
 
 
 ALERTS = """(SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CAST(user_id AS VARCHAR) AS usr, value > 100 AS grave,
-    ts + INTERVAL 1 HOUR * CAST(floor(value) AS INTEGER) AS ends_at, minute(ts) AS line FROM events WHERE value > 50)"""
+    ts + INTERVAL 1 HOUR * CAST(floor(value) AS INTEGER) AS ends_at, minute(ts) AS line FROM events)"""
 
 
 def alert_predicate(name: str, test, sql: str) -> None:

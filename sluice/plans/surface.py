@@ -71,10 +71,10 @@ def agg_stats(t: Tables):
     return group_by(t.lineitem, ["l_suppkey"], {"s": c.stats("l_linenumber")}).select("l_suppkey", "s.*")
 
 
-@plan("udtf_grouper", "SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")
+@plan("udtf_grouper", "SELECT l_returnflag, l_suppkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag, l_suppkey")
 def udtf_grouper(t: Tables):
-    returned = t.lineitem.filter("l_returnflag = 'R'").select("l_suppkey", "l_quantity")
-    return grouped_map(returned, ["l_suppkey"], tally(), "l_suppkey bigint, n bigint, quantity double")
+    lines = t.lineitem.select("l_returnflag", "l_suppkey", "l_quantity")
+    return grouped_map(lines, ["l_returnflag", "l_suppkey"], tally("l_returnflag", "l_suppkey"), "l_returnflag string, l_suppkey bigint, n bigint, quantity double")
 
 
 @plan("udtf_define", "SELECT o_orderkey, o_orderpriority, o_custkey FROM orders WHERE o_orderpriority = '3-MEDIUM'")

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.exprs import date_plus
 from sluice.operators.predicates import Origin
 from sluice.semantics import col
 from sluice.sinks.actions import location
@@ -41,7 +42,7 @@ def emit_alerts(
         labels.setdefault("instance", F.lit(instance))
     ttl = F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else ttl_seconds
     at = col(at)
-    ends = F.timestamp_add("SECOND", ttl.cast("int"), at)
+    ends = date_plus(at, ttl)
     rows = df.select(
         _pairs(labels).alias("labels"), at.alias("__at"),
         F.struct(at.alias("at"), ends.alias("ends_at"), _pairs(annotations).alias("annotations")).alias("__last"),
@@ -63,10 +64,12 @@ def fold_alerts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(
         F.any_value("labels").alias("labels"),
         F.min("starts_at").alias("starts_at"),
-        F.max_by("ends_at", "refreshed_at").alias("ends_at"),
-        F.max_by("annotations", "refreshed_at").alias("annotations"),
+        # end and annotations of one and the same row, whatever the order of rows with equal times
+        F.max(F.struct("refreshed_at", "ends_at", F.sort_array(F.map_entries("annotations")).alias("annotations"))).alias("last"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("locations")))).alias("locations"),
-        F.max("refreshed_at").alias("refreshed_at"),
+    ).select(
+        "id", "labels", "starts_at", F.col("last.ends_at").alias("ends_at"), F.map_from_entries("last.annotations").alias("annotations"), "locations",
+        F.col("last.refreshed_at").alias("refreshed_at"),
     )
 
 
