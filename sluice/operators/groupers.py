@@ -14,11 +14,12 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.masks import code_length, narrowed_mask, parse_code, parse_mask, trim_code, write_code, write_mask
 from sluice.operators.collectors import Collector
 from sluice.operators.grouping import Keys, finish, group_by, merge_partials, partials
 from sluice.operators.lookups import hamming_collisions
 from sluice.operators.ordered import positions
-from sluice.semantics import bind, col, join_same, same
+from sluice.semantics import as_set, bind, col, cut_lineage, join_same, same
 
 # subgroup numbers are made in two steps of this many, so that no array holds them all
 _STEP = 1 << 16
@@ -196,24 +197,41 @@ def _heads(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def barcodes(
-    df: DataFrame, by: Sequence[str], mask: str, code: str, minimum: int, into: Mapping[str, Collector]
+    df: DataFrame, by: Sequence[str], mask: str, codes: str, minimum: int, into: Mapping[str, Collector]
 ) -> DataFrame:
-    """Subgroups by code length, for groups with one mask and no colliding codes.
-
-    A group with several masks, an empty code or two rows closer than
-    ``minimum`` (truncated Hamming distance) is rejected as a whole.
+    """Subgroups by ``code_length``, for groups with one mask and no colliding codes.
+
+    ``codes`` is a list of codes (``ACGT``, ``ACGT-TTGA``, ``NoIndex``) per row;
+    the mask trims them, and a row joins a subgroup per length of its trimmed
+    codes.  Collectors may read ``trimmed_codes`` (those of that length, as a
+    set) and ``new_mask`` (the mask cut to them, the smallest if they differ).
+    A group with several masks, an unparseable mask or code, a code of which
+    the mask leaves nothing, or two codes closer than ``minimum`` (truncated
+    Hamming distance; a code listed twice is two codes) is rejected as a whole.
     """
     by = list(by)
-    uniform = df.groupBy(*by).agg(
-        F.min(mask).alias("__lo"), F.max(mask).alias("__hi"),
-        F.bool_or(F.col(mask).isNull() | F.col(code).isNull()).alias("__bad"),
-    )
-    uniform = uniform.filter((F.col("__lo") == F.col("__hi")) & ~F.col("__bad")).select(*by)
-    candidates = df.join(uniform, by, "left_semi")
-    clash = hamming_collisions(candidates, by, code, minimum).select(*by).distinct()
-    good = candidates.join(clash, by, "left_anti").withColumn("code_length", F.length(code))
+    parsed = F.transform(col(codes), lambda c: trim_code(parse_code(c), F.col("__mask")))
+    rows = df.withColumn("__mask", parse_mask(mask)).withColumn("__codes", F.coalesce(parsed, F.array().cast("array<struct<one:string,two:string>>")))
+    # the rows are read once for the verdict and once for the subgroups; the verdict works on distinct codes
+    seen = rows.select(*by, F.col(mask).alias("__text"), F.col("__mask").isNull().alias("__bad"), F.explode_outer("__codes").alias("__code"), (F.size("__codes") > 0).alias("__some"))
+    seen = seen.groupBy(*by, "__text", "__bad", "__some", F.col("__code.one").alias("__one"), F.col("__code.two").alias("__two")).agg(F.count(F.lit(1)).alias("__times"))
+    seen = cut_lineage(seen)
+    unsound = F.bool_or(F.col("__bad") | (F.col("__some") & F.col("__one").isNull()))
+    sound = seen.groupBy(*by).agg(F.min("__text").alias("__lo"), F.max("__text").alias("__hi"), unsound.alias("__unsound"))
+    sound = sound.filter((F.col("__lo") == F.col("__hi")) & ~F.col("__unsound")).select(*by)
+    each = join_same(seen.filter("__some"), sound, by, "left_semi")
+    twice = each.filter((F.col("__times") > 1) & F.lit(minimum > 0)).select(*by)
+    clash = hamming_collisions(each, by, "__one", minimum, "__two").select(*by).union(twice).distinct()
+    good = join_same(sound, clash, by, "left_anti")
+
+    kept = join_same(rows, good, by, "left_semi").withColumn("code_length", F.explode(F.array_distinct(F.transform("__codes", code_length))))
+    own = F.filter("__codes", lambda c: code_length(c) == F.col("code_length"))
+    kept = kept.withColumns({
+        "trimmed_codes": as_set(F.transform(own, write_code)),
+        "new_mask": F.array_min(F.transform(own, lambda c: write_mask(narrowed_mask(c, F.col("__mask"))))),
+    })
     keys = [*by, "code_length"]
-    parts = merge_partials(partials(good, keys, into), keys, into)
+    parts = merge_partials(partials(kept, keys, into), keys, into)
     parts, ok, out = finish(parts, keys, into)
     return parts.filter(ok).select(*out)
 

@@ -276,33 +276,38 @@ def truncated_hamming(target: Column, other: Column) -> Column:
     return F.greatest(F.length(target) - F.length(other), F.lit(0)) + mismatches
 
 
-def hamming_collisions(df: DataFrame, group: Sequence[str], code: str, minimum: int) -> DataFrame:
+def hamming_collisions(df: DataFrame, group: Sequence[str], code: str, minimum: int, second: str | None = None) -> DataFrame:
     """Ordered (target, other) codes of a group closer than ``minimum``.
 
     Codes that differ in at most e places over a common width become equal
     once the same e places are masked, which gives the equality join.  Only
-    widths that are the length of some code of the group matter.
+    widths that are the length of some code of the group matter.  With a
+    ``second`` part (which may be empty) distances and widths are per part, and
+    codes are written with a dash.
     """
     edits = minimum - 1
-    codes = _codes(df, group, code).withColumn("__len", F.length("__code"))
+    part_two = F.coalesce(F.col(second), F.lit("")) if second else F.lit("")
+    codes = df.groupBy(*group, F.col(code).alias("__one"), part_two.alias("__two")).agg(F.count(F.lit(1)).alias("__n"))
     # no more lengths than the longest code has characters
-    lengths = codes.groupBy(*group).agg(F.collect_set("__len").alias("__lengths"))
-    codes = join_same(codes, lengths, list(group))
-
-    def masked(widths: Column, name: str, count: str) -> DataFrame:
-        cut = F.expr("substring(__code, 1, __width)")
-        shaped = codes.withColumn("__width", F.explode(widths))
+    lengths = codes.groupBy(*group).agg(F.collect_set(F.length("__one")).alias("__ones"), F.collect_set(F.length("__two")).alias("__twos"))
+    codes = join_same(codes, lengths, list(group)).withColumn("__code", F.struct("__one", "__two"))
+
+    def masked(slack: int | None, name: str, count: str) -> DataFrame:
+        shaped = codes.withColumn("__w1", F.explode(F.filter("__ones", lambda n: n <= F.length("__one"))))
+        shaped = shaped.withColumn("__w2", F.explode(F.filter("__twos", lambda n: n <= F.length("__two"))))
+        if slack is not None:
+            shaped = shaped.filter(F.length("__one") + F.length("__two") - F.col("__w1") - F.col("__w2") <= slack)
+        cut = F.expr("concat(substring(__one, 1, __w1), substring(__two, 1, __w2))")
         return shaped.select(
-            *group, F.col("__code").alias(name), F.col("__n").alias(count), "__width",
-            F.explode(_masked(cut, edits)).alias("__t"),
+            *group, F.col("__code").alias(name), F.col("__n").alias(count), "__w1", "__w2", F.explode(_masked(cut, edits)).alias("__t"),
         )
 
-    near = F.filter("__lengths", lambda n: (n <= F.col("__len")) & (n >= F.col("__len") - edits))
-    shorter = F.filter("__lengths", lambda n: n <= F.col("__len"))
-    targets, others = masked(near, "target", "__tn"), masked(shorter, "other", "__on")
-    pairs = _met(targets, others, [*group, "__width", "__t"])
+    pairs = _met(masked(edits, "target", "__tn"), masked(None, "other", "__on"), [*group, "__w1", "__w2", "__t"])
     row_pairs = F.when(F.col("target") == F.col("other"), F.col("__tn") * (F.col("__tn") - 1)).otherwise(
         F.col("__tn") * F.col("__on")
     )
     pairs = pairs.groupBy(*group, "target", "other").agg(F.max(row_pairs).alias("n_pairs"))
-    return _closer(pairs, truncated_hamming(F.col("target"), F.col("other")), minimum)
+    distance = truncated_hamming(F.col("target.__one"), F.col("other.__one")) + truncated_hamming(F.col("target.__two"), F.col("other.__two"))
+    written = lambda c: F.concat_ws("-", F.col(f"{c}.__one"), F.nullif(F.col(f"{c}.__two"), F.lit(""))).alias(c)
+    close = _closer(pairs, distance, minimum)
+    return close.select(*group, written("target"), written("other"), "n_pairs", "distance")

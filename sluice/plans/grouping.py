@@ -433,20 +433,37 @@ def grouper_merge_sets(t: Tables):
     return merged.select("l_orderkey", F.array_join("merged_lanes", "+").alias("lanes"), "n", "quantity")
 
 
-@plan("grouper_barcodes", """
-    WITH rows AS (SELECT p_brand || '/' || p_type AS run, p_name AS code, p_size FROM part),
-    codes AS (SELECT run, code, count(*) AS n FROM rows GROUP BY run, code),
-    clash AS (SELECT DISTINCT a.run FROM codes a JOIN codes b ON a.run = b.run AND (a.code <> b.code OR a.n > 1)
-        WHERE greatest(length(a.code) - length(b.code), 0) + CASE WHEN length(a.code) = 0 OR length(b.code) = 0 THEN 0 ELSE
-            hamming(left(a.code, least(length(a.code), length(b.code))), left(b.code, least(length(a.code), length(b.code)))) END < 2)
-    SELECT run, length(code) AS code_length, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size
-    FROM rows WHERE run NOT IN (SELECT run FROM clash) GROUP BY run, length(code)
+BASES = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+def libraries(t: Tables):
+    """Parts as sequenced libraries: short codes on single-index runs, pairs of codes on dual ones; some odd masks and codes."""
+    bases = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    dual = F.col("p_partkey") % 3 == 0
+    code = F.when(F.col("p_size") == 33, F.lit("ANNA")).when(dual, F.concat_ws("-", F.substring(bases, 1, 10), F.substring(bases, 11, 6))).otherwise(F.substring(bases, 1, 10))
+    mask = F.when(F.col("p_size") == 17, F.lit("y50")).when(dual, F.lit("y*,i8,i4n*,y*")).otherwise(F.lit("y*n1,i6n*"))
+    run = F.when(dual, F.col("p_partkey") % 1000).otherwise(F.when(F.col("p_partkey") % 50 != 1, F.col("p_partkey") % 1000))
+    return t.part.select(run.alias("run"), mask.alias("mask"), F.array(code).alias("codes"), "p_size", "p_partkey")
+
+
+@plan("grouper_barcodes", f"""
+    WITH rows AS (SELECT CASE WHEN p_partkey % 3 = 0 OR p_partkey % 50 <> 1 THEN p_partkey % 1000 END AS run, p_partkey, p_size, p_partkey % 3 = 0 AS dual,
+            {BASES.format("CAST(p_partkey AS VARCHAR)")} AS bases FROM part),
+    codes AS (SELECT run, p_partkey, p_size, dual, CASE WHEN dual THEN left(bases, 8) ELSE left(bases, 6) END AS one, CASE WHEN dual THEN substr(bases, 11, 4) ELSE '' END AS two,
+            CASE WHEN p_size = 17 THEN 'y50' WHEN dual THEN 'd' ELSE 's' END AS mask FROM rows),
+    bad AS (SELECT coalesce(run, -1) AS r FROM codes GROUP BY 1 HAVING count(DISTINCT mask) > 1 OR min(mask) = 'y50' OR max(CASE WHEN p_size = 33 THEN 1 ELSE 0 END) = 1),
+    clash AS (SELECT DISTINCT coalesce(a.run, -1) AS r FROM codes a JOIN codes b ON coalesce(a.run, -1) = coalesce(b.run, -1) AND a.p_partkey < b.p_partkey
+        WHERE length(a.one) = length(b.one) AND hamming(a.one || a.two, b.one || b.two) < 4)
+    SELECT run, CASE WHEN dual THEN '8x4' ELSE '6' END AS code_length, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size,
+        string_agg(CASE WHEN dual THEN one || '-' || two ELSE one END, ' ' ORDER BY CASE WHEN dual THEN one || '-' || two ELSE one END) AS codes,
+        min(CASE WHEN dual THEN 'y*,i8n*,i4n*,y*' ELSE 'y*n1,i6n*' END) AS mask
+    FROM codes WHERE coalesce(run, -1) NOT IN (SELECT r FROM bad UNION SELECT r FROM clash) GROUP BY run, 2
 """)
 def grouper_barcodes(t: Tables):
-    rows = t.part.select(
-        F.concat_ws("/", "p_brand", "p_type").alias("run"), F.col("p_name").alias("code"), "p_size", F.lit("y*").alias("mask")
-    )
-    return g.barcodes(rows, ["run"], "mask", "code", 2, {"n": c.count(), "size": c.total("p_size")})
+    # a group has one kind of run, so codes of unlike lengths never meet here
+    return g.barcodes(libraries(t), ["run"], "mask", "codes", 4, {
+        "n": c.count(), "size": c.total("p_size"), "codes": c.lexical_concat(F.array_join("trimmed_codes", "+"), " "), "mask": c.univalued("new_mask"),
+    })
 
 
 @plan("greedy_bins")

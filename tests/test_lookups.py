@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions import masks
 from sluice.operators import collectors as c
 from sluice.operators import groupers as g
 from sluice.operators import lookups as k
@@ -236,11 +237,80 @@ def test_always_include(spark):
     assert got == [("a", "x", 13, 2, ("*", "x")), ("a", "y", 14, 2, ("*", "y")), ("c", "x", 32, 0, ("x",))]
 
 
+def runs_of_codes(spark, rows):
+    return spark.createDataFrame(rows, "run string, mask string, codes array<string>")
+
+
 def test_barcodes(spark):
-    rows = [("r1", "m", "ACGT"), ("r1", "m", "TTTTT"), ("r2", "m", "ACGT"), ("r2", "m", "ACGA"), ("r3", "m", "AA"), ("r3", "n", "TT"), ("r4", "m", None)]
-    df = spark.createDataFrame(rows, "run string, mask string, code string")
-    out = g.barcodes(df, ["run"], "mask", "code", 2, {"n": c.count()})
-    assert sorted(map(tuple, out.collect())) == [("r1", 4, 1), ("r1", 5, 1)]
+    m = "y*,i6"
+    rows = [
+        ("good", m, ["ACGTTT"]), ("good", m, ["TTTAAATA"]), ("close", m, ["CTTTTT"]), ("close", m, ["ATTTTT"]), ("masks", m, ["AAAAAA"]), ("masks", "y*,i8", ["TTTTTT"]),
+        ("junk", m, ["ACGX"]), ("junk", m, ["ACGTTT"]), ("nomask", "zz", ["ACGT"]), ("twice", m, ["ACGTAC"]), ("twice", m, ["acgtac"]), ("gone", "y*", ["ACGT"]),
+        (None, m, ["AAAAAA"]), (None, m, ["CCCCCC", "GG"]), ("none", m, ["NoIndex"]), ("only", m, []),
+    ]
+    out = g.barcodes(runs_of_codes(spark, rows), ["run"], "mask", "codes", 2, {
+        "n": c.count(), "codes": c.flattened("trimmed_codes"), "mask": c.univalued("new_mask"),
+    })
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([
+        ("good", "6", 2, ["ACGTTT", "TTTAAA"], "y*,i6n*"), (None, "6", 2, ["AAAAAA", "CCCCCC"], "y*,i6n*"), (None, "2", 1, ["GG"], "y*,i2n*"),
+        ("none", "NoIndex", 1, [""], "y*,n*"),
+    ], key=repr)
+
+
+def test_dual_barcodes(spark):
+    m = "y*,i4,i3n2,y9"
+    rows = [("a", m, ["ACGTA-TTT"]), ("a", m, ["ACGTA-AAA"]), ("b", m, ["ACGT-TTT"]), ("b", m, ["ACGA-TTA"]), ("c", m, ["ACGT-TTT", "GGGG"]), ("d", m, ["ACGT-TTT", "ACGT"])]
+    out = g.barcodes(runs_of_codes(spark, rows), ["run"], "mask", "codes", 3, {"codes": c.flattened("trimmed_codes"), "mask": c.univalued("new_mask")})
+    assert sorted(map(tuple, out.collect())) == [
+        ("a", "4x3", ["ACGT-AAA", "ACGT-TTT"], "y*,i4n*,i3n2,y9"), ("c", "4", ["GGGG"], "y*,i4n*,n2,y9"), ("c", "4x3", ["ACGT-TTT"], "y*,i4n*,i3n2,y9"),
+    ]
+
+
+def test_masks(spark):
+    texts = {
+        "y1n1,i1n1,y1n1": "y1n1,i1n1,y1n1", "y*n0,i1n1,y*n0": "y*,i1n1,y*", "Y*,i6n*,y*": "y*,i6n*,y*", "y*,i6n2,i6n2,y*": "y*,i6n2,i6n2,y*",
+        "y*n0,i6n0,i6n0": "y*,i6,i6", "y51": "y51", "i6": None, "y": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.w for r in df.select("t", masks.write_mask(masks.parse_mask("t")).alias("w")).collect()} == texts
+    segments = df.sparkSession.createDataFrame([("y5n1,I8,i*n2,y7",)], "t string").select(masks.parse_bases_mask("t").alias("s"))
+    got = [(s.cycle_end, s.cycle_start, s.group, s.length, s.ordinal, s.position, s.type) for s in segments.first().s]
+    assert got == [
+        (5, 0, 0, 5, 0, 0, "Y"), (6, 5, 0, 1, 0, 1, "N"), (14, 6, 1, 8, 0, 0, "I"), (-1, 14, 2, -1, 1, 0, "I"), (-1, -1, 2, 2, 1, 1, "N"), (-1, -1, 3, 7, 1, 0, "Y"),
+    ]
+    assert segments.select(masks.pack_bases_mask(F.transform("s", masks.convert_mask))).first()[0] == "Y5N1,I8,I*N2,Y7"
+    cells = spark.range(1).select(masks.flowcell_geometry(F.lit(3), F.lit(True)), masks.flowcell_geometry(F.lit(3), F.lit(False)), masks.is_workflow_type_joined(F.lit("NovaSeqStandard")))
+    assert tuple(cells.first()) == ([[1, 2, 3]], [[1], [2], [3]], True)
+
+
+def test_collisions_of_dual_codes(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("AC", k=n))
+    rows = [(rng.choice(["a", None]), word(rng.randrange(2, 5)), rng.choice([None, word(rng.randrange(1, 4))])) for _ in range(40)]
+
+    def distance(x, y):
+        y = y[: len(x)]
+        return len(x) - len(y) + sum(p != q for p, q in zip(x, y))
+
+    df = spark.createDataFrame(rows, "g string, one string, two string")
+    want = set()
+    for i, (g1, a, b) in enumerate(rows):
+        for j, (g2, x, y) in enumerate(rows):
+            if i != j and g1 == g2 and distance(a, x) + distance(b or "", y or "") < 2:
+                want.add((g1, "-".join(filter(None, (a, b))), "-".join(filter(None, (x, y)))))
+    found = k.hamming_collisions(df, ["g"], "one", 2, "two")
+    assert {(r.g, r.target, r.other) for r in found.collect()} == want
+
+
+def test_repeated_lookup_keys_give_one_row(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "x")], "k string, l string")
+    table = spark.createDataFrame([("a", "x", 5), ("a", "x", 3), ("ALL", "y", 2), ("ALL", "y", 1)], "t string, u string, v int")
+    sets = table.select("t", F.array("u").alias("s"))
+    assert {(r.k, tuple(r.s)) for r in k.string_expand(df, "k", sets, "t", "s", "s").collect()} == {("a", ("x",)), ("b", ("b",)), (None, (None,))}
+    renamed = df.withColumnsRenamed({"k": "t", "l": "u"})
+    assert sorted((str(r.t), r.found) for r in k.fallback_lookup(renamed, table, "t", ["u"], "v", "found").collect()) == [("None", None), ("a", 3), ("b", 1)]
+    assert sorted((str(r.k), r.p) for r in k.name_order_lookup(df, "k", "l", table, "t", "u", "v", "p").collect()) == [("None", k.MISSING_POSITION), ("a", 3), ("b", k.MISSING_POSITION)]
+    assert sorted((str(r.k), r.n) for r in k.config_lookup(df, "k", table, "t", {"v": "n"}, {"v": F.lit(9)}).collect()) == [("None", 9), ("a", 3), ("b", 9)]
 
 
 def test_config_lookup(spark):

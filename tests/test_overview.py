@@ -22,23 +22,36 @@ def test_crosstab_leaves_out_universal_values(spark):
     assert rows(o.crosstab_counts(df, "state", F.lit("same"))) == []
 
 
-def test_crosstab_limits(spark):
-    wide = spark.range(30).select(F.col("id").cast("string").alias("a"), (F.col("id") % 25).cast("string").alias("b"))
-    assert rows(o.crosstab_counts(wide, "a", "b")) == []
-    assert len(rows(o.crosstab_counts(wide.withColumn("b", (F.col("a").cast("int") % 20).cast("string")), "a", "b"))) == 30
+def test_crosstab_of_any_size_and_its_display(spark):
+    wide = spark.range(90).select(F.col("id").cast("string").alias("a"), (F.col("id") % 25).cast("string").alias("b"))
+    counts = o.crosstab_counts(wide, "a", "b")
+    assert counts.count() == 90 and o.crosstab_display(counts).count() == 0
+    small = o.crosstab_counts(wide.filter("a < 30").withColumn("b", (F.col("a").cast("int") % 20).cast("string")), "a", "b")
+    assert o.crosstab_display(small).count() == small.count() == 30
 
 
 def test_histogram_bounds(spark):
     start = datetime(2024, 1, 1)
     times = [start + timedelta(seconds=s) for s in (0, 59, 60, 119, 150)]
     df = spark.createDataFrame([(t, start + timedelta(seconds=200)) for t in times], "a timestamp, b timestamp")
-    counted = {(r.member, r.bucket): r.n for r in o.histogram(df, {"a": "a", "b": "b"}, 100).collect()}
+    found = o.histogram(df, {"a": "a", "b": "b"}, 100).collect()
     # narrow spans use one-minute buckets
-    assert counted == {("a", 0): 2, ("a", 1): 2, ("a", 2): 1, ("b", 3): 5}
+    assert {(r.member, r.bucket): r.n for r in found} == {("a", 0): 2, ("a", 1): 2, ("a", 2): 1, ("a", 3): 0, ("b", 0): 0, ("b", 1): 0, ("b", 2): 0, ("b", 3): 5}
+    assert all(r.end_ms - r.start_ms == 60_000 for r in found)
     same = spark.createDataFrame([(start,), (start,)], "a timestamp")
-    assert o.histogram(same, {"a": "a"}).count() == 0
+    assert [(r.bucket, r.n) for r in o.histogram(same, {"a": "a"}).collect()] == [(0, 2)]
+    assert o.histogram(same.limit(0), {"a": "a"}).count() == 0
     wide = spark.createDataFrame([(start,), (start + timedelta(hours=1),)], "a timestamp")
-    assert {r.bucket: r.n for r in o.histogram(wide, {"a": "a"}, 10).collect()} == {0: 1, 9: 1}
+    assert {r.bucket: r.n for r in o.histogram(wide, {"a": "a"}, 10).collect()} == {0: 1, 9: 1, **{i: 0 for i in range(1, 9)}}
+
+
+def test_histogram_by_property(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(start, ["x", "all"]), (start + timedelta(minutes=3), ["y", "all"]), (start, ["all"])]
+    df = spark.createDataFrame(rows, "a timestamp, tags array<string>")
+    found = {(r.value, r.bucket): r.n for r in o.histogram_by_property(df, {"a": "a"}, "tags").collect()}
+    assert found == {("x", 0): 1, ("x", 1): 0, ("x", 2): 0, ("x", 3): 0, ("y", 0): 0, ("y", 1): 0, ("y", 2): 0, ("y", 3): 1}
+    assert o.histogram_by_property(df.filter("a > timestamp'2024-01-01 00:01:00'"), {"a": "a"}, "tags").count() == 0
 
 
 def test_time_bounds_are_inclusive(spark):
