@@ -102,11 +102,12 @@ def flatten(t: Tables):
 
 
 @plan("flatten_json", """
-    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+    SELECT event_id, unnest([CAST(json_extract(props, '$.k') AS BIGINT), user_id, 7]) AS k FROM events
     WHERE json_extract(props, '$.k') IS NOT NULL
 """)
 def flatten_json(t: Tables):
-    items = F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit("]"))
+    # lists of three numbers; without the first there is no valid list
+    items = F.concat(F.lit("["), F.get_json_object("props", "$.k"), F.lit(","), F.col("user_id").cast("string"), F.lit(",7]"))
     return q.flatten_json(t.events, "k", items).select("event_id", F.col("k").cast("bigint").alias("k"))
 
 

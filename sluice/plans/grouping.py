@@ -8,10 +8,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from sluice.functions import masks
+from sluice.functions.lists import MARKDOWN
 from sluice.operators import clauses as q
 from sluice.operators import collectors as c
 from sluice.operators import groupers as g
+from sluice.operators import grouped_lists as gl
 from sluice.operators import grouping as grp
+from sluice.operators.lookups import edit_collisions
 from sluice.plans.clauses import cents
 from sluice.plans.registry import Tables, plan
 
@@ -349,6 +353,50 @@ def grouper_powerset(t: Tables):
     return g.powerset(nations, ["n_regionkey"], "n_nationkey", {"members": c.count(), "customers": c.total("customers")})
 
 
+@plan("group_table", """
+    WITH rows AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS line FROM nation)
+    SELECT n_regionkey, line, '|' || n_nationkey || '|' || CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END || '|' AS text FROM rows
+    UNION ALL SELECT DISTINCT n_regionkey, 0, '|Key|Name|' FROM nation UNION ALL SELECT DISTINCT n_regionkey, 1, '|---|---' FROM nation
+""")
+def group_table(t: Tables):
+    return gl.table_lines(t.nation, ["n_regionkey"], "n_nationkey", {"Key": F.col("n_nationkey"), "Name": F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))}, MARKDOWN)
+
+
+@plan("group_subsample", """
+    WITH rows AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    stops AS (SELECT o_custkey, coalesce(min(CASE WHEN i < 5 AND o_totalprice >= 300000 THEN i END), least(5, max(n))) AS stop FROM rows GROUP BY 1),
+    placed AS (SELECT r.*, s.stop, r.n - s.stop AS rest FROM rows r JOIN stops s USING (o_custkey))
+    SELECT o_custkey, o_orderkey, 0 AS sampled FROM placed WHERE i < stop
+    UNION ALL SELECT o_custkey, o_orderkey, 1 FROM placed WHERE i >= stop AND (rest <= 3 OR ((i - stop) % (rest // 3) = 0 AND i - stop < (rest // 3) * 3))
+""")
+def group_subsample(t: Tables):
+    # the first orders of a customer up to a dear one, five at most, then three spread over the others
+    sampled = gl.sample_rows(t.orders, ["o_custkey"], "o_orderkey", gl.Take(5, F.col("o_totalprice") < 300000), gl.Spread(3))
+    return sampled.select("o_custkey", "o_orderkey", "sampled")
+
+
+@plan("flowcell_geometry", """
+    SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN array_to_string(range(1, p_size % 5 + 2), ',') ELSE array_to_string(range(1, p_size % 5 + 2), '|') END AS lanes FROM part
+""")
+def flowcell_geometry(t: Tables):
+    kind = F.when(F.col("p_size") % 3 == 0, F.lit("NovaSeqStandard")).otherwise(F.lit("Other"))
+    lanes = masks.flowcell_geometry(F.col("p_size") % 5 + 1, masks.is_workflow_type_joined(kind))
+    return t.part.select("p_partkey", F.array_join(F.transform(lanes, lambda s: F.array_join(F.transform(s, lambda n: n.cast("string")), ",")), "|").alias("lanes"))
+
+
+@plan("bases_mask", """
+    SELECT p_partkey, 'Y' || p_size || 'N1,I' || (p_partkey % 9 + 1) || 'N*,Y*' AS packed, p_size + 1 + p_partkey % 9 + 1 AS index_end, 5 AS segments, 2 AS reads FROM part
+""")
+def bases_mask(t: Tables):
+    text = F.concat(F.lit("y"), F.col("p_size"), F.lit("n1, i"), F.col("p_partkey") % 9 + 1, F.lit("n*,y*"))
+    parsed = t.part.select("p_partkey", masks.parse_bases_mask(text).alias("s"))
+    reads = F.size(F.filter("s", lambda s: s["type"] == "Y"))
+    return parsed.select(
+        "p_partkey", masks.pack_bases_mask(F.transform("s", masks.convert_mask)).alias("packed"), F.col("s")[2]["cycle_end"].alias("index_end"),
+        F.size("s").alias("segments"), reads.alias("reads"),
+    )
+
+
 # group keys that may be empty: the quality of a document, where it was judged
 
 JUDGED = "WITH d AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -405,6 +453,37 @@ def grouper_crosstab_optional(t: Tables):
     return cells.drop("subgroup")
 
 
+@plan("near_collision_pairs_optional", f"""
+    {JUDGED}, codes AS (SELECT quality, left(md5(lang || n_chars), 3) AS code FROM d),
+    counted AS (SELECT quality, code, count(*) AS n FROM codes GROUP BY 1, 2)
+    SELECT a.quality, a.code AS code_a, b.code AS code_b, CASE WHEN a.code = b.code THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n_pairs,
+        CASE WHEN a.code = b.code THEN 0 ELSE levenshtein(a.code, b.code) END AS distance
+    FROM counted a JOIN counted b ON a.quality IS NOT DISTINCT FROM b.quality AND a.code <= b.code
+    WHERE levenshtein(a.code, b.code) < 2 AND (a.code <> b.code OR a.n > 1)
+""")
+def near_collision_pairs_optional(t: Tables):
+    codes = judged(t).select("quality", F.substring(F.md5(F.concat(F.col("lang"), F.col("n_chars").cast("string"))), 1, 3).alias("code"))
+    return edit_collisions(codes, ["quality"], "code", 2).select("quality", "code_a", "code_b", "n_pairs", "distance")
+
+
+@plan("grouper_merge_sets_optional", """
+    WITH rows AS (SELECT l_linenumber AS lane, l_quantity AS q, CASE WHEN l_orderkey % 50 = 7 THEN NULL ELSE l_orderkey END AS run FROM lineitem),
+    kept AS (SELECT coalesce(run, -1) AS r, run, lane, q FROM rows),
+    lanes AS (SELECT DISTINCT r, lane FROM kept),
+    heads AS (SELECT r, lane, CASE WHEN lane % 2 = 0 AND (r, lane - 1) IN (SELECT (r, lane) FROM lanes) THEN lane - 1 ELSE lane END AS head FROM lanes),
+    named AS (SELECT r, head, string_agg(CAST(lane AS VARCHAR), '+' ORDER BY lane) AS lanes FROM heads GROUP BY 1, 2)
+    SELECT run, lanes, count(*) AS n, sum(q) AS quantity FROM kept JOIN heads USING (r, lane) JOIN named USING (r, head) GROUP BY run, lanes
+""")
+def grouper_merge_sets_optional(t: Tables):
+    pairs = F.array(*[F.array(*[F.lit(i).cast("bigint") for i in lanes]) for lanes in ((1, 2), (3, 4), (5, 6), (7, 8))])
+    lines = t.lineitem.select(
+        F.when(F.col("l_orderkey") % 50 != 7, F.col("l_orderkey")).alias("run"), F.col("l_linenumber").cast("bigint").alias("lane"), "l_quantity",
+        F.lit(None).cast("string").alias("sample"), pairs.alias("permitted"),
+    )
+    merged = g.merge_sets(lines, ["run"], "permitted", "sample", "lane", {"n": c.count(), "quantity": c.total("l_quantity")})
+    return merged.select("run", F.array_join("merged_lanes", "+").alias("lanes"), "n", "quantity")
+
+
 @plan("grouper_merge_sets", """
     WITH rows AS (SELECT l_orderkey AS run, l_linenumber AS lane, l_quantity AS q, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS sample,
         CASE WHEN l_orderkey % 2 = 1 OR l_linenumber <= 2 THEN 1 WHEN l_linenumber <= 4 THEN 3 ELSE 5 END AS target FROM lineitem),
@@ -466,7 +545,22 @@ def grouper_barcodes(t: Tables):
     })
 
 
-@plan("greedy_bins")
+@plan("greedy_bins", """
+    WITH RECURSIVE entries AS (SELECT l_orderkey AS o, CAST(l_linenumber AS VARCHAR) AS k, min(CAST(trunc(l_quantity) AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2),
+    cheap AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY v DESC, k) AS i FROM entries WHERE v < 50),
+    steps AS (
+        SELECT o, 0 AS i, [] :: STRUCT(room BIGINT, names VARCHAR[])[] AS bins FROM (SELECT DISTINCT o FROM entries)
+        UNION ALL
+        SELECT s.o, s.i + 1, CASE WHEN f.at = 0 THEN list_append(s.bins, {'room': 50 - c.v, 'names': [c.k]})
+            ELSE list_transform(s.bins, lambda b, j: CASE WHEN j = f.at THEN {'room': b.room - c.v, 'names': list_append(b.names, c.k)} ELSE b END) END
+        FROM steps s JOIN cheap c ON c.o = s.o AND c.i = s.i + 1,
+            LATERAL (SELECT coalesce(list_position(list_transform(s.bins, lambda b: b.room > 0 AND b.room >= c.v), true), 0) AS at) f
+    ),
+    filled AS (SELECT o, arg_max(bins, i) AS bins FROM steps GROUP BY o),
+    dear AS (SELECT o, list([k]) AS bins FROM entries WHERE v >= 50 GROUP BY o),
+    every AS (SELECT f.o, list_sort(list_concat(coalesce(d.bins, []), list_transform(f.bins, lambda b: list_sort(b.names)))) AS bins FROM filled f LEFT JOIN dear d USING (o))
+    SELECT o AS l_orderkey, array_to_string(list_transform(bins, lambda b: array_to_string(b, '+')), ' | ') AS bins, CAST(len(bins) AS INTEGER) AS n FROM every
+""")
 def greedy_bins(t: Tables):
     costs = c.dictionary(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint"))
     orders = grp.group_by(t.lineitem, ["l_orderkey"], {"costs": costs})

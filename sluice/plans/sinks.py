@@ -43,25 +43,23 @@ def emit_actions(t: Tables):
 
 @plan("optional_params", """
     SELECT CASE WHEN p_size > 30 THEN '{"brand":"' || p_brand || '","size":' || p_size || '}' ELSE '{"brand":"' || p_brand || '"}' END AS params,
-        count(*) > 0 AS seen
+        epoch_us(to_timestamp(min(p_partkey))) AS created, epoch_us(to_timestamp(max(p_partkey))) AS added
     FROM part GROUP BY 1
 """)
 def optional_params(t: Tables):
     at = F.timestamp_seconds("p_partkey")
     size = a.optional_param(F.col("p_size") > 30, F.col("p_size"))
     return a.emit_actions(t.part, "stock", {"brand": "p_brand", "size": size}, at, ORIGIN).select(
-        "params", (F.col("created") <= F.col("last_added")).alias("seen")
+        "params", F.unix_micros("created").alias("created"), F.unix_micros("last_added").alias("added")
     )
 
 
 @plan("dynamic_tags", """
-    SELECT p_partkey, array_to_string(list_distinct(list_concat([p_type], string_split(p_name, ' '))), ',') IS NOT NULL AS tagged,
-        len(list_distinct(list_concat([p_type, 'red'], string_split(p_name, ' ')))) AS n
-    FROM part
+    SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat([p_type, 'red'], string_split(p_name, ' ')))), ',') AS tags FROM part
 """)
 def dynamic_tags(t: Tables):
     tags = a.tags(F.col("p_type"), F.lit("red"), lists=(F.split("p_name", " "),))
-    return t.part.select("p_partkey", (F.size(tags) > 0).alias("tagged"), F.size(tags).cast("bigint").alias("n"))
+    return t.part.select("p_partkey", F.array_join(F.sort_array(tags), ",").alias("tags"))
 
 
 def failures(events):
@@ -100,8 +98,9 @@ def live_alerts(t: Tables):
 def refill_table(t: Tables):
     path = scratch_path(t.spark, "refill")
     r.refill_table(t.orders.select("o_custkey"), path)
-    r.refill_table(t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")), path)
-    return t.spark.read.parquet(path)
+    # the second content is made from the first
+    r.refill_table(read_snapshot(t.spark, path).groupBy("o_custkey").agg(F.count("*").alias("n")), path)
+    return read_snapshot(t.spark, path)
 
 
 @plan("refill_if_changed", """
@@ -122,12 +121,13 @@ def refill_if_changed(t: Tables):
 
 @plan("refill_dictionary", """
     SELECT l.l_orderkey, l.l_linenumber, coalesce(d.value, -1) AS smallest FROM lineitem l
-    LEFT JOIN (SELECT o_orderkey AS key, min(o_custkey) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) d ON d.key = l.l_orderkey
+    LEFT JOIN (SELECT o_orderkey AS key, min(o_custkey) AS value FROM orders GROUP BY 1) d ON d.key = l.l_orderkey + 3
 """)
 def refill_dictionary(t: Tables):
     path = scratch_path(t.spark, "dictionary")
-    r.refill_dictionary(t.orders.filter("o_orderstatus = 'O'"), "o_orderkey", "o_custkey", path)
-    found = r.dictionary_lookup(t.lineitem.select("l_orderkey", "l_linenumber"), "l_orderkey", path, "value")
+    r.refill_dictionary(t.orders, "o_orderkey", "o_custkey", path)
+    # the last orders have no successor
+    found = r.dictionary_lookup(t.lineitem.select("l_orderkey", "l_linenumber"), F.col("l_orderkey") + 3, path, "value")
     return found.select("l_orderkey", "l_linenumber", F.coalesce("value", F.lit(-1)).alias("smallest"))
 
 
@@ -207,6 +207,7 @@ def extract_tsv(t: Tables):
 @plan("extract_json", f"""
     SELECT 'JSON' AS form, '{{"o_orderkey":' || o_orderkey || ',"o_orderdate":"' || {DATE_TEXT} || '"}}' AS line FROM orders
     UNION ALL SELECT 'JSON_MILLIS', '{{"o_orderkey":' || o_orderkey || ',"o_orderdate":' || epoch_us(o_orderdate) // 1000 || '}}' FROM orders
+    UNION ALL SELECT 'JSON_SECS', '{{"o_orderkey":' || o_orderkey || ',"o_orderdate":' || epoch_us(o_orderdate) // 1000000 || '}}' FROM orders
 """)
 def extract_json(t: Tables):
     frames = []
@@ -214,15 +215,43 @@ def extract_json(t: Tables):
         path = scratch_path(t.spark, "extract")
         extract(t.orders.select("o_orderkey", "o_orderdate"), path, form)
         frames.append(t.spark.read.text(path).select(F.lit(form).alias("form"), F.col("value").alias("line")))
-    return frames[0].unionByName(frames[1])
+    # seconds are floating point; these dates are whole ones
+    path = scratch_path(t.spark, "extract")
+    extract(t.orders.select("o_orderkey", "o_orderdate"), path, "JSON_SECS")
+    back = t.spark.read.schema("o_orderkey bigint, o_orderdate double").json(path)
+    line = F.concat(F.lit('{"o_orderkey":'), F.col("o_orderkey"), F.lit(',"o_orderdate":'), F.col("o_orderdate").cast("bigint"), F.lit("}"))
+    frames.append(back.select(F.lit("JSON_SECS").alias("form"), line.alias("line")))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@plan("extract_xml", f"SELECT o_orderkey, o_orderpriority, {DATE_TEXT} AS o_orderdate FROM orders")
+@plan("extract_xml", f"""
+    SELECT unnest(['XML', 'XML_MILLIS', 'XML_SECS']) AS form, o_orderkey, o_orderpriority,
+        unnest([{DATE_TEXT}, CAST(epoch_us(o_orderdate) // 1000 AS VARCHAR), CAST(epoch_us(o_orderdate) // 1000000 AS VARCHAR)]) AS o_orderdate FROM orders
+""")
 def extract_xml(t: Tables):
+    frames = []
+    for form in ("XML", "XML_MILLIS", "XML_SECS"):
+        path = scratch_path(t.spark, "extract")
+        extract(t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate"), path, form)
+        back = t.spark.read.format("xml").option("rowTag", "record").schema("o_orderkey bigint, o_orderpriority string, o_orderdate string").load(path)
+        # seconds are floating point; these dates are whole ones
+        date = F.col("o_orderdate").cast("double").cast("bigint").cast("string") if form == "XML_SECS" else F.col("o_orderdate")
+        frames.append(back.select(F.lit(form).alias("form"), "o_orderkey", "o_orderpriority", date.alias("o_orderdate")))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@plan("extract_xml_text", f"""
+    SELECT '<o_orderkey>' || o_orderkey || '</o_orderkey><o_orderpriority>' || o_orderpriority || '</o_orderpriority><o_orderdate>' || {DATE_TEXT} || '</o_orderdate>' AS record FROM orders
+""")
+def extract_xml_text(t: Tables):
+    """The text itself, record by record."""
     path = scratch_path(t.spark, "extract")
     extract(t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate"), path, "XML")
-    back = t.spark.read.format("xml").option("rowTag", "record")
-    return back.schema("o_orderkey bigint, o_orderpriority string, o_orderdate string").load(path)
+    records = t.spark.read.option("lineSep", "</record>").text(path).filter(F.col("value").contains("<record>"))
+    inner = F.regexp_extract("value", r"(?s)<record>(.*)\z", 1)
+    return records.select(F.regexp_replace(inner, r">\s+<|\A\s+|\s+\z", "><").alias("r")).select(F.regexp_replace("r", r"\A><|><\z", "").alias("r")).select(
+        F.when(F.col("r").startswith("<"), F.col("r")).otherwise(F.concat(F.lit("<"), "r")).alias("r")
+    ).select(F.when(F.col("r").endswith(">"), F.col("r")).otherwise(F.concat("r", F.lit(">"))).alias("record"))
 
 
 @plan("extract_type_check", """

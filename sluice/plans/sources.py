@@ -10,10 +10,10 @@ from sluice.plans.registry import Tables, plan
 from sluice.plans.sinks import notices
 from sluice.semantics import scratch_path
 from sluice.sinks.actions import action_scan as read_actions
-from sluice.sinks.actions import upsert_actions
+from sluice.sinks.actions import action_view, upsert_actions
 from sluice.sources import declared as s
-from sluice.sources.files import scan_unix_file as list_files
 from sluice.sources.files import string_set_source as line_set
+from sluice.sources.files import unix_files
 from sluice.sources.provenance import provenance_rows
 from sluice.sources.snapshots import incremental_merge as merge_by_id
 from sluice.sources.snapshots import read_snapshot
@@ -72,13 +72,20 @@ def scan_union(t: Tables):
     return s.scan_union([customers, suppliers])
 
 
-@plan("scan_unix_file")
+@plan("scan_unix_file", """
+    WITH files AS (SELECT '/srv/site' || regexp_replace(regexp_replace(url, '^https?:/', ''), '/$', '') AS file, strlen(html) AS size, page_id FROM pages),
+    owners AS (SELECT l.file, min(u) AS usr FROM (SELECT '/srv/site' || regexp_replace(regexp_replace(url, '^https?:/', ''), '/$', '') AS file, 'u' || page_id % 7 AS u FROM pages WHERE page_id % 3 > 0) l GROUP BY 1)
+    SELECT f.file, f.size, (f.page_id * 1000 + 500) * 1000 AS mtime, 420 AS perms, coalesce(o.usr, '-') AS "user", true AS rest_empty
+    FROM files f LEFT JOIN owners o USING (file)
+""")
 def scan_unix_file(t: Tables):
-    """The files of the data folder, with an owner table added by name."""
-    files = list_files(t.spark, t.folder)
-    owners = files.select("file").withColumns({"user": F.lit("spark"), "group": F.lit("data"), "host": F.lit("local"), "perms": F.lit(292).cast("bigint")})
-    listed = list_files(t.spark, t.folder, owners)
-    return listed.select(F.regexp_extract("file", "[^/]+$", 0).alias("name"), "size", "user", "group", "perms", (F.col("mtime") <= F.col("fetched")).alias("settled"))
+    """Pages as the listing of a web root, with an owner table that lacks every third file."""
+    path = F.concat(F.lit("/srv//site/."), F.regexp_replace("url", "^https?:/", ""))
+    listing = t.pages.select(path.alias("file"), F.octet_length("html").alias("size"), (F.col("page_id") + 0.5).alias("mtime"), F.lit("0644").alias("perms"))
+    owners = t.pages.filter("page_id % 3 > 0").select(path.alias("file"), F.concat(F.lit("u"), (F.col("page_id") % 7).cast("string")).alias("user"))
+    listed = unix_files(listing, owners)
+    empty = F.col("group").isNull() & F.col("host").isNull() & F.col("atime").isNull() & F.col("ctime").isNull()
+    return listed.select("file", "size", F.unix_micros("mtime").alias("mtime"), "perms", F.coalesce("user", F.lit("-")).alias("user"), empty.alias("rest_empty"))
 
 
 @plan("snapshot_replace", """
@@ -121,12 +128,22 @@ def provenance_join(t: Tables):
 
 
 @plan("action_scan", """
-    SELECT 'notify' AS type, 'UNKNOWN' AS state, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)
+    SELECT 'action:' || upper(sha1('notify' || chr(10) || p)) AS id, 'notify' AS type, 'UNKNOWN' AS state, p AS info, epoch_us(min(ts)) AS created,
+        epoch_us(max(ts)) AS generated, 0 AS checked, epoch_us(coalesce(min(ts) FILTER (WHERE event_id % 2 = 0), min(ts))) AS moved, epoch_us(max(ts)) AS changed, 0 AS priority, 10 AS retry,
+        'kind-' || event_type || CASE WHEN max(value) > 100 THEN ',loud' ELSE '' END AS tags, 1 AS places, true AS no_external
+    FROM (SELECT *, '{"kind":"' || event_type || '","user":' || user_id || '}' AS p FROM events) GROUP BY p, event_type
 """)
 def action_scan(t: Tables):
     path = scratch_path(t.spark, "actions")
-    upsert_actions(path, notices(t.events))
-    return read_actions(t.spark, path).groupBy("type", "state").agg(F.count("*").alias("n"))
+    # added in two halves, the second of which meets known actions
+    upsert_actions(path, notices(t.events.filter("event_id % 2 = 0")))
+    upsert_actions(path, notices(t.events.filter("event_id % 2 = 1")))
+    table = action_view(read_actions(t.spark, path))
+    return table.select(
+        "id", "type", "state", "info", F.unix_micros("created").alias("created"), F.unix_micros("generated").alias("generated"),
+        F.unix_micros("checked").alias("checked"), F.unix_micros("last_state_transition").alias("moved"), F.unix_micros("changed").alias("changed"), "priority", "retry",
+        F.array_join("tags", ",").alias("tags"), F.size("locations").alias("places"), F.col("external_timestamp").isNull().alias("no_external"),
+    )
 
 
 @plan("string_set_source", r"""

@@ -265,8 +265,11 @@ columns("fn_json_array_from_dict", "part", PART, lambda: {
 columns("fn_json_encode", "events", EVENT, lambda: {"v": d.encode(F.try_parse_json("props"))}, {
     "v": """'{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'""",
 })
-columns("fn_json_decode", "events", EVENT, lambda: {"good": d.decode("props").isNotNull(), "bad": d.decode(F.concat(F.lit("["), "props")).isNull()}, {
-    "good": "true", "bad": "true",
+columns("fn_json_decode", "events", EVENT, lambda: {
+    "k": F.get_json_object(d.decode("props"), "$.k").cast("bigint"), "pair": F.get_json_object(d.decode(F.concat(F.lit("["), "props", F.lit(",3]"))), "$[1]").cast("bigint"),
+    "bad": d.decode(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("["), "props")).otherwise(F.col("props"))).isNull(),
+}, {
+    "k": "CAST(json_extract(props, '$.k') AS BIGINT)", "pair": "3::BIGINT", "bad": "user_id % 2 = 0",
 })
 columns("fn_json_parse", "events", EVENT, lambda: {"v": d.parse("props"), "bad": d.parse("event_type").isNull()}, {
     "v": """'{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}'""", "bad": "true",

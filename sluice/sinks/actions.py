@@ -44,14 +44,16 @@ def action_id(type_: Column, params: Column) -> Column:
 
 def emit_actions(
     df: DataFrame, type_: str, params: Mapping[str, Column | str], at: Column | str, origin: Origin,
-    tag_list: Column | None = None, external: Column | None = None,
+    tag_list: Column | None = None, external: Column | None = None, priority: int = 0, retry_minutes: int = 10,
 ) -> DataFrame:
     """One action per distinct parameter set.
 
     Repeated rows are merged: tags and origins are united, the earliest time
     is ``created`` and the latest ``last_added``.  Empty parameters are left out
     of the identity.  Tags are spread before grouping, so a heavily repeated
-    action is reduced on the map side and never gathered.
+    action is reduced on the map side and never gathered.  ``priority`` and
+    ``retry`` (minutes) are the action type's; ``changed`` is when its row was
+    changed last.
     """
     ordered = F.to_json(F.struct(*[col(params[n]).alias(n) for n in sorted(params)]))
     tag_list = F.array().cast("array<string>") if tag_list is None else tag_list
@@ -71,7 +73,8 @@ def emit_actions(
         action_id(kind, F.col("params")).alias("id"), kind.alias("type"), "params",
         F.lit("UNKNOWN").alias("state"), "tags", F.array(location(origin)).alias("locations"), "created",
         "last_added", F.timestamp_seconds(F.lit(0)).alias("last_checked"),
-        F.col("created").alias("last_state_transition"), "external_timestamp",
+        F.col("created").alias("last_state_transition"), "external_timestamp", F.lit(priority).cast("bigint").alias("priority"),
+        F.lit(retry_minutes).cast("bigint").alias("retry"), F.col("last_added").alias("changed"),
     )
 
 
@@ -90,6 +93,15 @@ def fold_actions(rows: DataFrame) -> DataFrame:
         F.max("last_checked").alias("last_checked"),
         F.min("last_state_transition").alias("last_state_transition"),
         F.max("external_timestamp").alias("external_timestamp"),
+        F.max("priority").alias("priority"), F.min("retry").alias("retry"), F.max("changed").alias("changed"),
+    )
+
+
+def action_view(actions: DataFrame) -> DataFrame:
+    """The action table under the column names of the action input format."""
+    return actions.select(
+        "changed", F.col("last_checked").alias("checked"), "created", F.col("last_added").alias("generated"), "last_state_transition", "external_timestamp",
+        "id", "state", "type", F.col("params").alias("info"), "locations", "priority", "retry", "tags",
     )
 
 
@@ -115,6 +127,8 @@ def merge_actions(old: DataFrame, new: DataFrame) -> DataFrame:
         "created": F.least("__created", "created").alias("created"),
         "last_added": F.greatest(F.col("__last_added"), F.col("last_added")).alias("last_added"),
         "external_timestamp": F.coalesce("external_timestamp", "__external_timestamp").alias("external_timestamp"),
+        "priority": F.coalesce("priority", "__priority").alias("priority"), "retry": F.coalesce("retry", "__retry").alias("retry"),
+        "changed": F.greatest(F.col("__changed"), F.col("changed")).alias("changed"),
     }
     return both.select("id", *[merged.get(c, kept(c)) for c in old.columns if c != "id"])
 

@@ -18,7 +18,7 @@ def _pairs(values: Mapping[str, Column | str]) -> Column:
     """Entries with a value, in name order."""
     entries = F.array(*[
         F.struct(F.lit(n).alias("key"), col(values[n]).cast("string").alias("value")) for n in sorted(values)
-    ])
+    ]).cast("array<struct<key:string,value:string>>")
     return F.filter(entries, lambda e: e["value"].isNotNull())
 
 

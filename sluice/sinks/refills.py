@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.semantics import col
-from sluice.sources.snapshots import publish, read_snapshot
+from sluice.sources.snapshots import publish, read_snapshot, when_written
 
 
-def refill_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite a store with these rows."""
-    df.write.mode("overwrite").format(fmt).save(path)
+def refill_table(df: DataFrame, path: str, fmt: str = "parquet") -> int:
+    """Make these rows the content of a store; read it with ``read_snapshot``.
+
+    The rows may come from the store itself, and readers see the old content
+    until the new one is whole.
+    """
+    return publish(df, path, fmt=fmt)
 
 
 def content_mark(df: DataFrame) -> DataFrame:
@@ -34,12 +37,9 @@ def content_mark(df: DataFrame) -> DataFrame:
 
 
 def _last_mark(df: DataFrame, path: str) -> str | None:
-    try:
-        row = df.sparkSession.read.schema("version bigint, mark string").json(f"{path}/marks")
-        last = row.agg(F.max_by("mark", "version")).first()
-    except AnalysisException:
-        return None
-    return last[0]
+    marks = lambda: df.sparkSession.read.schema("version bigint, mark string").json(f"{path}/marks").agg(F.max_by("mark", "version")).first()
+    last = when_written(marks)
+    return last[0] if last else None
 
 
 def refill_if_changed(df: DataFrame, path: str) -> bool:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.paths import normalize
+
 
 def scan_unix_file(spark: SparkSession, path: str, listing: DataFrame | None = None) -> DataFrame:
     """File metadata: file, size, mtime, fetched, and what a listing table adds.
@@ -22,6 +24,26 @@ def scan_unix_file(spark: SparkSession, path: str, listing: DataFrame | None = N
     return files if listing is None else files.join(listing, "file", "left")
 
 
+def unix_files(listing: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """A file listing given as a table: paths normalised, times from (fractional) epoch seconds, modes from octal text.
+
+    ``details`` adds what the listing lacks, keyed by ``file`` (of repeated
+    keys the smallest row counts); columns that neither has are empty.
+    """
+    kinds = {"file": "string", "size": "bigint", "perms": "string", "user": "string", "group": "string", "host": "string", **{t: "double" for t in ("atime", "ctime", "mtime")}}
+
+    def typed(df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    rows = typed(listing).withColumn("file", normalize("file"))
+    if details is not None:
+        others = [c for c in kinds if c != "file"]
+        more = typed(details).withColumn("file", normalize("file")).groupBy(F.col("file").alias("__file")).agg(F.min(F.struct(*others)).alias("__more"))
+        rows = rows.join(more, F.col("file") == F.col("__file"), "left").select("file", *[F.coalesce(F.col(c), F.col(f"__more.{c}")).alias(c) for c in others])
+    times = {t: F.timestamp_micros(F.round(F.col(t) * 1_000_000).cast("bigint")) for t in ("atime", "ctime", "mtime")}
+    return rows.withColumns({**times, "perms": F.conv("perms", 8, 10).cast("bigint")})
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 

@@ -1,64 +1,139 @@
-"""Versioned snapshots of a table and merge by id.
+"""Versioned snapshots of a table, batches added beside them, and merge by id.
 
-A snapshot folder holds ``v=<n>`` folders and a ``current`` log.  A version
-becomes visible when its number is appended to the log, after its data was
-written in full; readers of the earlier version are not disturbed.
+Data are written in full to a folder of their own; then one line of a log names
+the folder, and only then do readers see it.  Nothing that was written is ever
+changed, so a reader, a failed writer and a second writer do not disturb each
+other: of two snapshots with one number, and of two writings of one batch, the
+line with the greater stamp counts.  ``expire`` removes what no line needs.
 """
 
 from __future__ import annotations
 
+import logging
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.semantics import join_same
 
+log = logging.getLogger("sluice")
 
-def current_version(spark: SparkSession, path: str) -> int | None:
+_LINE = "version bigint, stamp string, folder string, format string, upto bigint"
+_BATCH = "batch bigint, stamp string, folder string"
+# The error classes of a folder that has not been written yet.
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def when_written(read):
+    """The result of ``read()``, or nothing if its folder does not exist yet; other errors are errors."""
     try:
-        row = spark.read.schema("version bigint").json(f"{path}/current").agg(F.max("version")).first()
-    except AnalysisException:
-        return None
-    return row[0]
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() in _ABSENT:
+            return None
+        raise
+
+
+def _stamp() -> str:
+    """Ascending with time, different for every writer."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+
+
+def _append(spark: SparkSession, path: str, **values) -> None:
+    spark.createDataFrame([Row(**values)]).coalesce(1).write.mode("append").json(path)
+
+
+def _current(spark: SparkSession, path: str) -> Row | None:
+    line = when_written(lambda: spark.read.schema(_LINE).json(f"{path}/current").agg(F.max(F.struct("version", "stamp", "folder", "format", "upto")).alias("l")).first())
+    return line["l"] if line else None
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    line = _current(spark, path)
+    return line["version"] if line else None
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    version = current_version(spark, path)
-    return None if version is None else spark.read.parquet(f"{path}/v={version}")
+    line = _current(spark, path)
+    return None if line is None else spark.read.format(line["format"]).load(f"{path}/{line['folder']}")
+
 
+def publish(df: DataFrame, path: str, upto: int | None = None, fmt: str = "parquet") -> int:
+    """Write the next version and make it the current one.
 
-def publish(df: DataFrame, path: str) -> int:
-    """Write the next version and make it the current one."""
+    ``upto`` is the number of the last batch the version holds (default: as before).
+    """
     spark = df.sparkSession
-    version = (current_version(spark, path) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
-    mark = spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-    mark.coalesce(1).write.mode("append").json(f"{path}/current")
+    line = _current(spark, path)
+    version = (line["version"] if line else 0) + 1
+    stamp = _stamp()
+    folder = f"v={version}-{stamp}"
+    df.write.format(fmt).save(f"{path}/{folder}")
+    if upto is None:
+        upto = line["upto"] if line else -1
+    _append(spark, f"{path}/current", version=version, stamp=stamp, folder=folder, format=fmt, upto=upto)
     return version
 
 
 def add_batch(df: DataFrame, path: str, batch: int) -> None:
     """Store one micro-batch beside the snapshot; storing it again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/added/batch={batch}")
+    stamp = _stamp()
+    folder = f"added/batch-{batch}-{stamp}"
+    df.write.parquet(f"{path}/{folder}")
+    _append(df.sparkSession, f"{path}/batches", batch=batch, stamp=stamp, folder=folder)
+
+
+def _batches(spark: SparkSession, path: str) -> list[Row]:
+    """The last writing of each batch that the snapshot does not hold yet."""
+    line = _current(spark, path)
+    held = line["upto"] if line else -1
+    read = lambda: spark.read.schema(_BATCH).json(f"{path}/batches").filter(F.col("batch") > held).groupBy("batch").agg(F.max_by("folder", "stamp").alias("folder")).collect()
+    return when_written(read) or []
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame | None:
-    """Rows of every stored micro-batch, or nothing if there is none."""
-    try:
-        return spark.read.parquet(f"{path}/added").drop("batch")
-    except AnalysisException:
-        return None
+    """Rows of the stored micro-batches, or nothing if there is none."""
+    folders = [f"{path}/{r['folder']}" for r in _batches(spark, path)]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def compact(spark: SparkSession, path: str, scan) -> int | None:
+    """Put the batches into a new snapshot; ``scan()`` reads the table whole.
+
+    A batch that comes again later is known by its number and left out.
+    """
+    batches = _batches(spark, path)
+    return publish(scan(), path, upto=max(r["batch"] for r in batches)) if batches else None
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete the data of all but the last ``keep`` versions, and of batches that the current one holds.
+
+    Readers of older versions must be done; the log stays.
+    """
+    line = _current(spark, path)
+    if line is None:
+        return
+    old = spark.read.schema(_LINE).json(f"{path}/current").orderBy(F.desc("version"), F.desc("stamp")).collect()[keep:]
+    held = when_written(lambda: spark.read.schema(_BATCH).json(f"{path}/batches").filter(F.col("batch") <= line["upto"]).collect()) or []
+    jvm = spark.sparkContext._jvm
+    for r in [*old, *held]:
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{r['folder']}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def snapshot_replace(df: DataFrame, path: str) -> bool:
-    """Replace the snapshot, or keep the old one if the new rows cannot be read."""
+    """Replace the snapshot, or keep the old one (and say why in the log) if the new rows cannot be read."""
     try:
         publish(df, path)
     except Exception:  # whatever made the source bad, the earlier version stays current
         if current_version(df.sparkSession, path) is None:
             raise
+        log.warning("kept the snapshot at %s", path, exc_info=True)
         return False
     return True
 

@@ -3,7 +3,8 @@
 A micro-batch is reduced first and stored under its own number, so a replayed
 batch replaces itself and the stored tables are never rewritten per batch.
 Readers fold the batches; folding is the same in any order and any number of
-times.
+times, so ``compact_*`` may put them into the snapshot at any time, and a batch
+that is replayed afterwards is known by its number.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sluice.sources.snapshots import add_batch, publish, read_batches, read_snapshot
+from sluice.sinks.actions import action_scan
+from sluice.sinks.alerts import alert_scan
+from sluice.sources.snapshots import add_batch, compact, publish, read_batches, read_snapshot
 
 Batch = Callable[[DataFrame], DataFrame]
 
@@ -81,6 +84,18 @@ def incremental_scan(spark: SparkSession, table: str, ids: Sequence[str], newest
     return newest_rows(stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1]), ids, newest)
 
 
+def compact_actions(spark: SparkSession, table: str) -> int | None:
+    return compact(spark, table, lambda: action_scan(spark, table))
+
+
+def compact_alerts(spark: SparkSession, table: str) -> int | None:
+    return compact(spark, table, lambda: alert_scan(spark, table))
+
+
+def compact_incremental(spark: SparkSession, table: str, ids: Sequence[str], newest: str) -> int | None:
+    return compact(spark, table, lambda: incremental_scan(spark, table, ids, newest))
+
+
 def stream_group_reemit(grouped: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Publish the whole grouped result again after every micro-batch."""
     return _start(grouped, lambda batch, _: publish(batch, table) and None, checkpoint, every, "complete")

@@ -157,3 +157,30 @@ def test_match_and_order(spark):
     grid = value(spark, x.tabulate(m=[F.lit(5), F.lit(10)]))
     assert grid["m"] == {"0": 5, "1": 10}
     assert value(spark, x.dictionary((F.lit("a"), F.lit(2)), spread=[F.create_map(F.lit("a"), F.lit(1))])) == {"a": 2}
+
+
+@pytest.mark.parametrize("number,expected", [
+    ("NaN", 0), ("Infinity", 2**63 - 1), ("-Infinity", -(2**63)), ("1e30", 2**63 - 1), ("-1e30", -(2**63)), ("-2.9", -2), ("2.9", 2), (None, None),
+])
+def test_to_integer_never_fails(spark, number, expected):
+    assert value(spark, numbers.to_integer(F.lit(number).cast("double"))) == expected
+
+
+@pytest.mark.parametrize("text,expected", [
+    (" 1.5\t\n", 1.5), ("inf", None), ("Infinity", float("inf")), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0), ("", None), ("1 2", None), ("0x1", None), ("nan", None), (None, None),
+])
+def test_parse_float(spark, text, expected):
+    assert value(spark, numbers.parse_float(F.lit(text).cast("string"))) == expected
+
+
+def test_seconds_beyond_32_bits(spark):
+    start = F.timestamp_seconds(F.lit(0))
+    assert value(spark, F.unix_seconds(x.date_plus(start, F.lit(3_000_000_000)))) == 3_000_000_000
+    assert value(spark, F.unix_seconds(x.date_minus(start, 3_000_000_000))) == -3_000_000_000
+
+
+def test_empty_cells_and_keys(spark):
+    items = ints(1, 2)
+    table = l.table(items, {"A": lambda v: F.when(v == 2, v), "B": lambda v: v}, l.MARKDOWN)
+    assert value(spark, table).split("\n")[2:] == ["||1|", "|2|2|"]
+    assert value(spark, l.dictionary(items, lambda v: F.when(v == 1, F.lit("one")), lambda v: v)) == {"one": 1}

@@ -165,3 +165,56 @@ def test_gang_text(spark):
 def test_extract_rules_need_the_same_columns(runs):
     with pytest.raises(ValueError):
         q.extract_rules(runs, [(None, ["project"]), (None, ["workflow"])])
+
+
+def test_univalued_counts_empties(gaps):
+    assert got(group_by(gaps, ["g"], {"v": c.univalued("v")})) == [("b", 2)]
+    assert got(group_by(gaps, ["g"], {"v": c.drop_empty(["v"], c.univalued("v"))})) == [("a", 1), ("b", 2)]
+    assert got(group_by(gaps, ["g"], {"v": c.univalued("v", default=F.lit(-1))})) == [("a", -1), ("b", 2), ("c", -1)]
+
+
+def test_dictionary_leaves_out_empty_keys(spark):
+    df = spark.createDataFrame([("a", "k", 2), ("a", "k", 1), ("a", None, 3), ("b", None, 4)], "g string, k string, v int")
+    assert {r.g: r.d for r in group_by(df, ["g"], {"d": c.dictionary("k", "v")}).collect()} == {"a": {"k": 1}, "b": {}}
+
+
+def test_keyed_and_plain_collectors_in_one_read(spark, tmp_path):
+    spark.createDataFrame([(g, i % 3, ["x", str(i)]) for g in "ab" for i in range(50)], "g string, k int, l array<string>").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = group_by(df, ["g"], {"n": c.count(), "ks": c.listing("k"), "ls": c.flattened("l"), "d": c.dictionary("k", F.lit(1)), "top": c.maximum("k")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 + plan.count("Initial Plan")
+    assert [(r.g, r.n, r.ks, len(r.ls), r.d, r.top) for r in out.orderBy("g").collect()] == [(g, 50, [0, 1, 2], 51, {0: 1, 1: 1, 2: 1}, 2) for g in "ab"]
+
+
+def test_always_include_with_empty_keys(spark):
+    from sluice.operators.groupers import always_include
+
+    df = spark.createDataFrame([("a", None), ("a", 1), ("a", 0), (None, 1), (None, 0), (None, 0)], "g string, k int")
+    out = always_include(df, ["g"], "k", F.lit(0), {"n": c.count()})
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("a", None, 2), ("a", 1, 2), (None, 1, 3)], key=repr)
+
+
+def test_merge_sets_rejects_clashes_in_empty_groups(spark):
+    from sluice.operators.groupers import merge_sets
+
+    rows = [(None, 1, "x"), (None, 2, "y"), ("a", 1, "x"), ("a", 2, None)]
+    df = spark.createDataFrame(rows, "g string, lane long, s string").withColumn("p", F.array(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    out = merge_sets(df, ["g"], "p", "s", "lane", {"n": c.count()})
+    assert [(r.g, r.merged_lanes, r.n) for r in out.collect()] == [("a", [1, 2], 2)]
+
+
+def test_group_tables_and_samplers(spark):
+    from sluice.functions.lists import WIKI
+    from sluice.operators.grouped_lists import Spread, Take, sample_rows, table_lines
+
+    df = spark.createDataFrame([("a", i) for i in range(-4, 16)] + [(None, i) for i in (3, 1, 2)], "g string, i long")
+    lines = table_lines(df, ["g"], "i", {"I": F.col("i"), "None": F.when(F.col("i") > 1, F.lit("x"))}, WIKI)
+    assert [r.text for r in lines.filter("g IS NULL").orderBy("line").collect()] == ["||I||None||", "|1||", "|2|x|", "|3|x|"]
+    even = sample_rows(df, ["g"], "i", Spread(10))
+    assert [r.i for r in even.filter("g = 'a'").orderBy("i").collect()] == list(range(-4, 16, 2))
+    assert even.filter("g IS NULL").count() == 3
+    both = sample_rows(df, ["g"], "i", Take(8, F.col("i") < 2), Take(3), Take(100))
+    assert [(r.i, r.sampled) for r in both.filter("g = 'a'").orderBy("sampled", "i").collect()] == [
+        *[(i, 0) for i in range(-4, 2)], *[(i, 1) for i in (2, 3, 4)], *[(i, 2) for i in range(5, 16)],
+    ]

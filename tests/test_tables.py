@@ -13,6 +13,7 @@ from sluice.sinks import alerts as al
 from sluice.sinks import dumps, extracts, refills
 from sluice.sources import declared, files
 from sluice.sources.provenance import provenance_join
+from sluice.sources import snapshots as sn
 from sluice.sources.snapshots import current_version, publish, read_snapshot, snapshot_replace
 from sluice.streaming import jobs
 
@@ -199,3 +200,94 @@ def test_stream_picks_up_new_files(spark, folder):
         jobs.stream_incremental(stream, ["user"], "ts", folder, f"{folder}-offsets").awaitTermination()
     got = jobs.incremental_scan(spark, folder, ["user"], "ts")
     assert sorted((r.user, r.tag) for r in got.collect()) == [("u", "z"), ("w", "b")]
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, folder, runs, monkeypatch):
+    publish(runs, folder)
+    stale = sn._current(spark, folder)
+    publish(runs.limit(1), folder)
+    with monkeypatch.context() as m:  # a writer that read the log before the other one wrote
+        m.setattr(sn, "_current", lambda *a: stale)
+        assert publish(runs.union(runs), folder) == 2
+    assert current_version(spark, folder) == 2 and read_snapshot(spark, folder).count() == 4
+    versions = spark.read.schema("version bigint, folder string").json(f"{folder}/current")
+    assert sorted(spark.read.parquet(f"{folder}/{r.folder}").count() for r in versions.collect()) == [1, 2, 4]
+
+
+def test_a_store_can_be_refilled_from_itself(spark, folder, runs):
+    refills.refill_table(runs, folder)
+    refills.refill_table(read_snapshot(spark, folder).filter("library_size > 300"), folder)
+    assert [r.library_size for r in read_snapshot(spark, folder).collect()] == [307]
+    refills.refill_table(runs, folder, "json")
+    assert read_snapshot(spark, folder).count() == 2
+
+
+def test_other_errors_do_not_count_as_no_data(spark, folder, runs):
+    assert read_snapshot(spark, folder) is None and sn.read_batches(spark, folder) is None
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        sn.when_written(lambda: runs.select("no_such_column"))
+
+
+def test_compaction_and_replay(spark, folder):
+    for n, hour in ((0, 1), (1, 2), (1, 3)):  # batch 1 comes twice, and the second writing counts
+        sn.add_batch(emitted(events(spark, ("u", hour, f"t{hour}"))), folder, n)
+    before = a.action_scan(spark, folder).collect()
+    assert [sorted(r.tags) for r in before] == [["t1", "t3"]]
+    assert jobs.compact_actions(spark, folder) == 1 and sn.read_batches(spark, folder) is None
+    assert a.action_scan(spark, folder).collect() == before
+    sn.add_batch(emitted(events(spark, ("u", 2, "late"))), folder, 1)  # replayed after it was compacted
+    assert a.action_scan(spark, folder).collect() == before
+    sn.add_batch(emitted(events(spark, ("u", 5, "t5"))), folder, 2)
+    assert [sorted(r.tags) for r in a.action_scan(spark, folder).collect()] == [["t1", "t3", "t5"]]
+    a.upsert_actions(folder, emitted(events(spark, ("w", 5, "x"))))  # keeps what the snapshot holds
+    assert jobs.compact_actions(spark, folder) == 3 and jobs.compact_actions(spark, folder) is None
+    sn.expire(spark, folder, keep=1)
+    assert a.action_scan(spark, folder).count() == 2
+
+
+def test_alert_fold_takes_one_row(spark, folder):
+    at = datetime(2024, 1, 1)
+    row = "struct<file:string,line:bigint,column:bigint,hash:string>"
+    df = spark.createDataFrame(
+        [("i", {"k": "v"}, at, datetime(2024, 1, d), {"n": n}, [], at) for d, n in ((2, "early"), (3, "late"))],
+        f"id string, labels map<string,string>, starts_at timestamp, ends_at timestamp, annotations map<string,string>, locations array<{row}>, refreshed_at timestamp",
+    )
+    for order in (df, df.orderBy("ends_at"), df.orderBy(F.desc("ends_at"))):
+        out = al.fold_alerts(order).first()
+        assert (out.ends_at, out.annotations) == (datetime(2024, 1, 3), {"n": "late"})
+
+
+def test_alerts_may_last_for_ever(spark):
+    df = spark.createDataFrame([("u", datetime(2024, 1, 1), 3_000_000_000)], "user string, ts timestamp, ttl long")
+    out = al.emit_alerts(df, {"user": "user"}, {}, F.col("ttl"), "ts", HERE).select(F.unix_seconds("ends_at") - F.unix_seconds("starts_at"))
+    assert out.first()[0] == 3_000_000_000
+
+
+def test_action_view_has_the_input_names(spark):
+    view = a.action_view(emitted(events(spark, ("u", 1, "a"))))
+    assert set(view.columns) == {
+        "changed", "checked", "created", "generated", "last_state_transition", "external_timestamp", "id", "state", "type", "info", "locations", "priority", "retry", "tags",
+    }
+    assert tuple(view.select("priority", "retry").first()) == (0, 10)
+
+
+def test_unix_files(spark):
+    listing = spark.createDataFrame([("/a//b/./c", 5, 1.5, "0755"), ("/x", None, None, None)], "file string, size long, mtime double, perms string")
+    details = spark.createDataFrame([("/a/b/c", "z"), ("/a/b/c", "b"), ("/x", None)], "file string, user string")
+    rows = {r.file: r for r in files.unix_files(listing, details).collect()}
+    assert (rows["/a/b/c"].user, rows["/a/b/c"].perms, rows["/a/b/c"].size, rows["/a/b/c"].mtime.microsecond) == ("b", 493, 5, 500000)
+    assert rows["/x"].user is None and rows["/x"].perms is None
+
+
+def test_merge_replaces_rows_with_an_empty_id(spark):
+    old, new = spark.createDataFrame([(None, "old"), (1, "old")], "id long, v string"), spark.createDataFrame([(None, "new")], "id long, v string")
+    assert sorted((str(r.id), r.v) for r in sn.incremental_merge(old, new, ["id"]).collect()) == [("1", "old"), ("None", "new")]
+
+
+def test_repeated_records_do_not_multiply_runs(spark):
+    runs = spark.createDataFrame([(1, "a")], "k long, rv string")
+    records = spark.createDataFrame([(1, "a", False), (1, "b", False)], "k long, v string, skip boolean")
+    streams = provenance_join(runs, records, ["k"], "rv", "v", "skip")
+    assert (streams.good.count(), streams.stale.count()) == (0, 1)
