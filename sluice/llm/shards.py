@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sluice.llm.common import saved
+
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 24 << 20
 
@@ -57,13 +59,15 @@ def shuffle_into_shards(
     buckets = max(1, math.ceil((total or 0) / bucket_bytes))
     crowd = max(1000, rows // buckets // 4)
     hot = plain.groupBy(F.col(k).alias("hot_key")).count().filter(F.col("count") > crowd).select("hot_key", F.lit(True).alias("hot_"))
-    own = F.pmod(F.xxhash64(F.lit(seed), F.col(k)), F.lit(buckets))
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col("row_")), F.lit(buckets))
-    scattered = (
-        plain.withColumn("row_", F.monotonically_increasing_id())
-        .join(F.broadcast(hot), F.col(k).eqNullSafe(F.col("hot_key")), "left")  # at most 4 * buckets keys
-        .select(*plain.columns, F.when(F.col("hot_"), spread).otherwise(own).cast("int").alias("bucket_"))
-    )
+    own = F.pmod(F.xxhash64(F.lit(seed), F.col(k)), F.lit(buckets)).cast("int")
+    if hot.isEmpty():
+        scattered = plain.withColumn("bucket_", own)
+    else:
+        spread = F.pmod(F.xxhash64(F.lit(seed), F.col("row_")), F.lit(buckets)).cast("int")
+        numbered = plain.withColumn("row_", F.monotonically_increasing_id())
+        marked = numbered.join(F.broadcast(hot), F.col(k).eqNullSafe(F.col("hot_key")), "left")  # at most 4 * buckets keys
+        # row numbers are given once, so what is counted below is what is dealt out
+        scattered = saved(marked.select(*plain.columns, F.when(F.col("hot_"), spread).otherwise(own).alias("bucket_")), "scattered")
     by_rank = [F.col(k), F.xxhash64(t), F.octet_length(t)]
     # the numbers of rows of the buckets, and of rows before each: a few rows, taken without the texts
     before = scattered.groupBy("bucket_").count().select(
