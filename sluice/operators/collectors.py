@@ -194,12 +194,13 @@ def _distinct(value: Column) -> Entries:
 
 
 def _given_values(e: Column) -> Column:
-    return F.sort_array(F.filter(F.transform(e, lambda s: s["k"]), lambda k: k.isNotNull()))
+    """The set of values (merged parts may have one twice)."""
+    return as_set(F.filter(F.transform(e, lambda s: s["k"]), lambda k: k.isNotNull()))
 
 
 def listing(value: Column | str, keep_empty: bool = False) -> Collector:
     """Sorted distinct list; ``keep_empty`` lets one empty optional through."""
-    read = (lambda e: F.sort_array(F.transform(e, lambda s: s["k"]))) if keep_empty else _given_values
+    read = (lambda e: as_set(F.transform(e, lambda s: s["k"]))) if keep_empty else _given_values
     return Collector((), lambda e: F.coalesce(read(e), F.array()), entries=(_distinct(col(value)),))
 
 
@@ -229,7 +230,8 @@ def dictionary(key: Column | str, value: Column | str) -> Collector:
     return Collector(
         (),
         lambda e: F.map_from_entries(
-            F.coalesce(F.sort_array(F.transform(e, lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v")))), F.array())
+            # merged parts may have a key twice: the last entry wins, so the smallest value stands last
+            F.coalesce(F.sort_array(F.transform(e, lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v"))), False), F.array())
         ),
         entries=(
             Entries(lambda c: _given(_both(c, k.isNotNull()), F.array(F.struct(k.alias("k"), v.alias("v")))), F.min),

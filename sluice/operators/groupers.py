@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.masks import code_length, narrowed_mask, parse_code, parse_mask, trim_code, write_code, write_mask
-from sluice.operators.collectors import Collector
-from sluice.operators.grouping import Keys, finish, group_by, merge_partials, partials
+from sluice.operators.collectors import Collector, listing
+from sluice.operators.grouping import Keys, finish, group_by, merge_partials, part_labels, partials
 from sluice.operators.lookups import hamming_collisions
 from sluice.operators.ordered import positions
 from sluice.semantics import as_set, bind, col, cut_lineage, join_same, same
@@ -134,37 +134,46 @@ def merge_sets(
     none, or those of that first lane.  Rows of joining lanes that carry an
     identifier stay out.
 
-    The rows are reduced once, per lane and per whether they are identified;
-    everything after that works on lanes.
+    The rows are read and reduced once, per lane and per whether they are
+    identified; everything after that works on lanes, under one partitioning by
+    the group.
     """
     by = list(by)
     rows = df.withColumns({
         "__lane": F.col(lane), "__blank": F.col(identifier).isNull(), "__merges": F.col(permitted),
     })
-    cells = partials(rows, [*by, "__lane", "__blank", "__merges"], into)
-    placed = _heads(cells, by)
-
-    # identifiers of a joining lane must be none, or exactly those of its head
-    ids = df.filter(F.col(identifier).isNotNull())
-    ids = ids.select(*by, F.col(lane).alias("__lane"), F.col(identifier).alias("__id")).distinct()
-    lanes = placed.select(*by, "__lane", "__head").distinct()
-    ids = join_same(ids, lanes, [*by, "__lane"])
-    in_head = F.max(F.col("__lane") == F.col("__head")).over(Window.partitionBy(*by, "__head", "__id"))
-    counts = ids.withColumn("__hit", in_head).groupBy(*by, "__head", "__lane").agg(
-        F.count(F.lit(1)).alias("__mine"), F.count_if("__hit").alias("__same")
-    )
-    theirs = F.sum(F.when(F.col("__lane") == F.col("__head"), F.col("__mine")).otherwise(0))
-    counts = counts.withColumn("__theirs", theirs.over(Window.partitionBy(*by, "__head")))
-    clash = counts.filter((F.col("__same") != F.col("__mine")) | (F.col("__theirs") != F.col("__mine")))
-    clash = clash.filter(F.col("__lane") != F.col("__head")).select(*by).distinct()
-
+    keys = [*by, "__lane", "__blank", "__merges"]
+    parts = {**into, "__ids": listing(F.col(identifier))}
+    cells = merge_partials(partials(rows, keys, parts), keys, parts)
+    ids = next(n for n in cells.columns if n.startswith("____ids_e"))
+    names = F.sort_array(F.filter(F.transform(F.col(ids), lambda e: e["k"]), lambda k: k.isNotNull()))
+    placed = _heads(cells.withColumn("__own", names).drop(ids), by)
+
+    # identifiers of a joining lane must be none, or exactly those of its head (an empty set is the smallest)
+    placed = placed.withColumn("__mine", F.max("__own").over(Window.partitionBy(*by, "__lane")))
+    theirs = F.max(F.when(F.col("__lane") == F.col("__head"), F.col("__mine")))
+    placed = placed.withColumn("__theirs", theirs.over(Window.partitionBy(*by, "__head")))
+    clash = (F.col("__lane") != F.col("__head")) & (F.size("__mine") > 0) & (F.col("__mine") != F.col("__theirs"))
     # the lanes of one subgroup are bounded by the permitted-merges value itself
     listed = F.sort_array(F.collect_set("__lane").over(Window.partitionBy(*by, "__head")))
-    placed = join_same(placed.withColumn("merged_lanes", listed), clash, by, "left_anti")
-    kept = placed.filter((F.col("__lane") == F.col("__head")) | F.col("__blank"))
-    parts = merge_partials(kept, [*by, "merged_lanes"], into)
-    parts, ok, out = finish(parts, [*by, "merged_lanes"], into)
-    return parts.filter(ok).select(*out)
+    placed = placed.withColumn("merged_lanes", listed).withColumn("__clash", F.max(clash).over(Window.partitionBy(*by)))
+    kept = placed.filter(~F.col("__clash") & ((F.col("__lane") == F.col("__head")) | F.col("__blank")))
+    merged = _merged_again(kept, [*by, "merged_lanes"], into)
+    merged, ok, out = finish(merged, [*by, "merged_lanes"], into)
+    return merged.filter(ok).select(*out)
+
+
+def _merged_again(parts: DataFrame, keys: Sequence[str], into: Mapping[str, Collector]) -> DataFrame:
+    """Merge groups whose keyed entries were gathered already: spread them first, so that equal entries meet."""
+    labels = [v for n in into for v in part_labels(into)[n][1]]
+    if not labels:
+        return merge_partials(parts, keys, into)
+    plain = parts.drop(*labels)
+    frames = [plain, *[parts.select(*keys, F.explode(label).alias(label)) for label in labels]]
+    together = frames[0]
+    for f in frames[1:]:
+        together = together.unionByName(f, allowMissingColumns=True)
+    return merge_partials(together, keys, into)
 
 
 def _heads(cells: DataFrame, by: Sequence[str]) -> DataFrame:

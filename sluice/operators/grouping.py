@@ -21,7 +21,7 @@ def key_columns(keys: Keys) -> list[Column]:
     return [F.col(k) for k in keys]
 
 
-def _part_names(into: Mapping[str, Collector]) -> dict[str, tuple[list[str], list[str]]]:
+def part_labels(into: Mapping[str, Collector]) -> dict[str, tuple[list[str], list[str]]]:
     return {
         name: (
             [f"__{name}_p{i}" for i in range(len(k.parts))],
@@ -40,7 +40,7 @@ def partials(df: DataFrame, keys: Keys, into: Mapping[str, Collector]) -> DataFr
     """
     by = key_columns(keys)
     names = list(keys)
-    labels = _part_names(into)
+    labels = part_labels(into)
     keyed = [(e, label) for name, k in into.items() for e, label in zip(k.entries, labels[name][1])]
 
     def plain(condition: Column | None) -> list[Column]:
@@ -75,7 +75,7 @@ def partials(df: DataFrame, keys: Keys, into: Mapping[str, Collector]) -> DataFr
 
 def merge_partials(parts: DataFrame, keys: Sequence[str], into: Mapping[str, Collector]) -> DataFrame:
     """One row per group from partial results."""
-    labels = _part_names(into)
+    labels = part_labels(into)
     merged = []
     for name, k in into.items():
         merged += [p.merge(F.col(label)).alias(label) for p, label in zip(k.parts, labels[name][0])]
@@ -84,7 +84,7 @@ def merge_partials(parts: DataFrame, keys: Sequence[str], into: Mapping[str, Col
 
 
 def part_values(into: Mapping[str, Collector]) -> dict[str, list[Column]]:
-    return {n: [F.col(x) for x in (*ps, *es)] for n, (ps, es) in _part_names(into).items()}
+    return {n: [F.col(x) for x in (*ps, *es)] for n, (ps, es) in part_labels(into).items()}
 
 
 def has_entries(into: Mapping[str, Collector]) -> bool:

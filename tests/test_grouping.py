@@ -218,3 +218,13 @@ def test_group_tables_and_samplers(spark):
     assert [(r.i, r.sampled) for r in both.filter("g = 'a'").orderBy("sampled", "i").collect()] == [
         *[(i, 0) for i in range(-4, 2)], *[(i, 1) for i in (2, 3, 4)], *[(i, 2) for i in range(5, 16)],
     ]
+
+
+def test_keyed_collectors_over_merged_lanes(spark):
+    from sluice.operators.groupers import merge_sets
+
+    rows = [("a", 1, "x", 5, "v"), ("a", 2, None, 3, "v"), ("a", 2, None, 4, "w"), ("a", 3, None, 9, "v")]
+    df = spark.createDataFrame(rows, "g string, lane long, s string, n int, t string").withColumn("p", F.array(F.array(*[F.lit(i).cast("bigint") for i in (1, 2)]), F.array(F.lit(3).cast("bigint"))))
+    out = merge_sets(df, ["g"], "p", "s", "lane", {"ts": c.listing("t"), "all": c.lexical_concat("t", ","), "d": c.dictionary("t", "n"), "n": c.count()})
+    found = {tuple(r.merged_lanes): (r.ts, r["all"], r.d, r.n) for r in out.collect()}
+    assert found == {(1, 2): (["v", "w"], "v,w", {"v": 3, "w": 4}, 3), (3,): (["v"], "v", {"v": 9}, 1)}
