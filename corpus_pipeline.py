@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccard, quality, repeats, sampled_pieces
-from sluice.llm.common import saved, table
+from sluice.llm.common import saved, small_batches, table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
 
@@ -25,6 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: that with the smallest id; of repeated rows one."""
+    small_batches(spark)
     found = jaccard.component_ids(docs)
     others = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
     kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
@@ -39,16 +40,19 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that stand anywhere else, too."""
+    small_batches(spark)
     return counted(repeats.without_repeats(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that windows of the benchmark hit."""
+    small_batches(spark)
     return counted(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with sampled pieces, and whether the pieces give the text back."""
+    small_batches(spark)
     pieces = load_pieces()
     decoded = sampled_pieces.decode_pieces(sampled_pieces.encode_sampled(docs, pieces), pieces)
     return decoded.withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")

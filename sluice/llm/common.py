@@ -21,6 +21,16 @@ from sluice.semantics import scratch_path
 SLICE_BYTES = 4_000_000
 
 
+#: Bytes of a batch that Spark hands to a task's Python at once.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of this session, so that long texts do not fill the executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

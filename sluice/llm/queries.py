@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccard, language, lm_scores, quality, repeats, sampled_pieces, shards, token_counts, toxicity
-from sluice.llm.common import table
+from sluice.llm.common import small_batches, table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
 
@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def pinned(spark: SparkSession, folder: str) -> DataFrame:
-        return run(pin_session(spark), folder)
+        return run(small_batches(pin_session(spark)), folder)
 
     QUERIES[run.__name__] = pinned
     return run

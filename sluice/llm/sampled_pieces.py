@@ -34,7 +34,7 @@ from sluice.llm.pieces import Pieces
 
 _CHUNK = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _GRAIN = 2**26
-SLICE = 6_000_000
+SLICE = 4_000_000
 
 
 class Lattices:

@@ -22,7 +22,7 @@ from sluice.llm.common import body_sizes, keyed_text, schema_with_key, slices
 from sluice.llm.lattice import TALL, PieceTable, Trie, deepened, endings, utf8_length
 from sluice.llm.pieces import Pieces
 
-SLICE = 12_000_000
+SLICE = 8_000_000
 _FAR = 2**40
 
 
