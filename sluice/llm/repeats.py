@@ -5,7 +5,11 @@ anywhere else, in the same text or another.
 
 1. Every string of ``length`` bytes holds an *anchor*: of each run of its
    GRAM-byte substrings the one with the smallest hash is chosen (all of them
-   on ties), so equal strings hold equal anchors at equal offsets.
+   on ties), so equal strings hold equal anchors at equal offsets.  Substrings
+   with a period of PERIOD bytes or less (rows of dashes, one word over and
+   over) would tie at every step and are passed over; a string that holds
+   nothing else is its own anchor, of which a stretch has as many as the period,
+   and a stretch longer than the string and its period repeats itself.
 2. Anchors whose hash stands at two places or more keep their *context*, all
    bytes that a string of ``length`` around the anchor can reach.  Equal
    contexts are counted and kept once.
@@ -44,9 +48,9 @@ from pyspark.sql import Window
 from sluice.llm.bloom import bloom_filter, bloom_flags, let_through
 from sluice.llm.common import body_sizes, key_type, mixed, saved, slices
 
-LENGTH, GRAM = 400, 100
+LENGTH, GRAM, PERIOD = 400, 100, 12
 #: Contexts that a task sorts at a time.
-CONTEXTS = 30_000
+CONTEXTS = 16_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _BYTE_HASH = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -85,14 +89,72 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc, pad: int) -> np.ndarray:
     return pick(back[: n - width + 1], ahead[width - 1 : n])
 
 
+_NONE = np.uint64(2**64 - 1)
+
+
+def short_periods(b: np.ndarray, gram: int) -> np.ndarray | None:
+    """The smallest period up to PERIOD of the substring of ``gram`` bytes at each place (0: none); None if there is none at all."""
+    n, step = len(b), max(1, gram // 12)
+    sparse = [q for q in range(1, min(PERIOD, gram // 2) + 1) if _has_run(b[:-q:step] == b[q::step], (gram - q) // step - 1)]
+    found = None
+    for q in reversed(sparse):
+        run = np.concatenate([[0], np.cumsum(b[:-q] == b[q:])])
+        same = run[gram - q :] - run[: -(gram - q)] == gram - q
+        places = np.flatnonzero(same[: n - gram + 1])
+        if len(places):
+            found = np.zeros(n - gram + 1, np.int64) if found is None else found
+            found[places] = q
+    return found
+
+
+def _has_run(flags: np.ndarray, size: int) -> bool:
+    """Whether ``size`` flags in a row are set."""
+    gaps = np.flatnonzero(np.concatenate([[True], ~flags, [True]]))
+    return bool((np.diff(gaps) > size).any())
+
+
 def anchors_of(x: np.ndarray, width: int) -> np.ndarray:
     """Places whose value is the smallest of some run of ``width`` values."""
     low = sliding(x, width, np.minimum, 2**64 - 1)
     around = np.zeros(len(low) + 2 * (width - 1), np.uint64)
     around[width - 1 : width - 1 + len(low)] = low
+    around[around == _NONE] = 0
     return np.flatnonzero(sliding(around, width, np.maximum, 0) == x)
 
 
+def periodic_strings(x: np.ndarray, period: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(first string, number of strings, period) of stretches of strings that hold periodic substrings alone."""
+    alone = sliding(x, length - gram + 1, np.minimum, 2**64 - 1) == _NONE
+    edge = np.diff(np.concatenate([[0], alone.astype(np.int8), [0]]))
+    return [(a, b - a, int(period[a])) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
+
+
+def all_anchors(body: bytes, grams: GramHashes, strings: GramHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes, and reach: 0, or for a string that is its own anchor its length (or that of the stretch that repeats itself)."""
+    gram, length = grams.gram, strings.gram
+    x = grams(body)
+    period = short_periods(np.frombuffer(body, np.uint8), gram)
+    if period is None:
+        at = anchors_of(x, length - gram + 1)
+        return at, x[at], np.zeros(len(at), np.int64)
+    x = np.where(period > 0, _NONE, x)
+    at = anchors_of(x, length - gram + 1)
+    places, reach = [at], [np.zeros(len(at), np.int64)]
+    for first, count, q in periodic_strings(x, period, length, gram):
+        own = np.arange(first, first + min(count, q))
+        places.append(own)
+        reach.append(np.full(len(own), length))
+        if count > q:
+            reach[-1][0] = length + count - 1
+    where, far = np.concatenate(places), np.concatenate(reach)
+    whole = far > 0
+    hashes = np.empty(len(where), np.uint64)
+    hashes[~whole] = x[where[~whole]]
+    if whole.any():
+        hashes[whole] = strings(body)[where[whole]]
+    return where, hashes, far
+
+
 def sorted_columns(columns: np.ndarray, group: np.ndarray, length: int) -> Iterator[np.ndarray]:
     """For each column from the last that starts a string of ``length`` to the first: which contexts have a repeated string there.
 
@@ -146,29 +208,29 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     key_sql = key_type(rows).simpleString()
 
     def choose(batches):
-        grams, seen = GramHashes(gram), Seen()
+        grams, strings, seen = GramHashes(gram), GramHashes(length), Seen()
         for batch in batches:
             for a, b in slices(body_sizes(batch.column(1))):
                 part = batch.slice(a, b - a)
-                where, values, counts, taken = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [], []
+                found, taken = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], []
                 for i, (body, digest) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                     if len(body) >= length and seen.fresh(digest):
-                        x = grams(body)
-                        at = anchors_of(x, length - gram + 1)
-                        where.append(at), values.append(x[at]), counts.append(len(at)), taken.append(i)
-                rep = pa.array(np.repeat(np.array(taken, np.int64), np.array(counts, np.int64)))
+                        found.append(all_anchors(body, grams, strings))
+                        taken.append(i)
+                rep = pa.array(np.repeat(np.array(taken, np.int64), np.array([len(f[0]) for f in found[1:]], np.int64)))
+                places, hashes, reach = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(rep), part.column(2).take(rep), pa.array(np.concatenate(where), pa.int32()), pa.array(np.concatenate(values).view(np.int64))],
-                    names=["key", "digest", "place", "hash"],
+                    [part.column(0).take(rep), part.column(2).take(rep), pa.array(places, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(reach, pa.int32())],
+                    names=["key", "digest", "place", "hash", "reach"],
                 )
 
-    anchors = rows.select("key", "body", "digest").mapInArrow(choose, f"key {key_sql}, digest binary, place int, hash bigint")
-    again = anchors.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("hash"))).filter("met > 1")
-    return again.groupBy("digest").agg(F.min("key").alias("key"), F.collect_set(F.struct("place", "hash")).alias("anchors"))
+    anchors = rows.select("key", "body", "digest").mapInArrow(choose, f"key {key_sql}, digest binary, place int, hash bigint, reach int")
+    again = anchors.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("hash"))).filter((F.col("met") > 1) | (F.col("reach") > length))
+    return again.groupBy("digest").agg(F.min("key").alias("key"), F.collect_set(F.struct("place", "hash", "reach")).alias("anchors"))
 
 
 def contexts(rows: DataFrame, anchors: DataFrame, length: int, gram: int) -> DataFrame:
-    """hash, context (digest of the bytes and their place), digest and place of each anchor; the bytes once per task."""
+    """hash, context (digest of the bytes and their place), digest, place and reach of each anchor; the bytes once per task."""
     shared = bloom_filter(anchors.select("digest"))
 
     def few(batches):
@@ -186,22 +248,22 @@ def contexts(rows: DataFrame, anchors: DataFrame, length: int, gram: int) -> Dat
         for batch in batches:
             for a, b in slices(body_sizes(batch.column(1))):
                 part = batch.slice(a, b - a)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[] for _ in range(7)]
                 for digest, body, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     if not seen.fresh(digest):
                         continue
                     for x in sorted(found, key=lambda x: x["place"]):
                         place = x["place"]
-                        before = min(left, place)
+                        before = 0 if x["reach"] else min(left, place)
                         piece = body[place - before : place + length]
                         name = xxhash.xxh3_128_digest(before.to_bytes(4, "big") + piece)
                         fresh = known.fresh(name + x["hash"].to_bytes(8, "big", signed=True))
-                        for column, value in zip(out, (x["hash"], name, digest, place, before, piece if fresh else None)):
+                        for column, value in zip(out, (x["hash"], name, digest, place, x["reach"], before, piece if fresh else None)):
                             column.append(value)
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["hash", "context", "digest", "place", "before", "piece"])
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["hash", "context", "digest", "place", "reach", "before", "piece"])
 
-    cuts = met.select("r.digest", "r.body", "a.anchors").mapInArrow(cut, "hash bigint, context binary, digest binary, place int, before int, piece binary")
+    cuts = met.select("r.digest", "r.body", "a.anchors").mapInArrow(cut, "hash bigint, context binary, digest binary, place int, reach int, before int, piece binary")
     return saved(cuts, "contexts")
 
 
@@ -282,7 +344,8 @@ def removals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
     spans = found.select("hash", "context", "digest", "place").join(every, ["hash", "context"]).select(
         "digest", F.struct((F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end")).alias("span")
     )
-    listed = spans.groupBy("digest").agg(F.collect_set("span").alias("spans"))
+    stretches = found.filter(F.col("reach") > length).select("digest", F.struct(F.col("place").alias("start"), (F.col("place") + F.col("reach")).alias("end")).alias("span"))
+    listed = spans.union(stretches).groupBy("digest").agg(F.collect_set("span").alias("spans"))
     return copies.join(listed, "digest", "left").filter("copies > 1 OR spans IS NOT NULL")
 
 
@@ -370,7 +433,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     removed = saved(removals(content(docs, key, text), length, gram), "removals")
     rows = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[text].cast("binary").alias("body"))
     rows = rows.withColumn("digest", F.unhex(F.md5(F.coalesce("body", F.lit(b"")))))
-    joined = rows.join(removed, "digest", "left").select(*rows.columns[: n + 1], "copies", "spans")
+    shared = bloom_filter(removed.select("digest"))
+
+    def asked(wanted: bool):
+        """Rows that may be in the table of removals, or those that are not."""
+
+        def choose(batches):
+            flags = bloom_flags(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array(let_through(flags, batch.column(n + 2).to_numpy()) == wanted)).select(list(range(n + 2)))
+
+        return rows.withColumn("h", F.xxhash64("digest")).mapInArrow(choose, ", ".join([*kinds, "body binary, digest binary"]))
+
+    kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:n])]
+    likely = asked(True)
+    joined = likely.join(removed, "digest", "left").select(*likely.columns[: n + 1], "copies", "spans")
 
     def cut(batches):
         for batch in batches:
@@ -380,6 +457,6 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(bodies, pa.binary())], names=[*[f"c{i}" for i in range(n)], "body"])
 
-    kinds = ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[:n])], "body binary"])
-    made = joined.mapInArrow(cut, kinds)
+    # texts that nothing is removed from never move
+    made = joined.mapInArrow(cut, ", ".join([*kinds, "body binary"])).unionByName(asked(False).drop("digest"))
     return made.select(*[(F.col("body").cast("string") if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])

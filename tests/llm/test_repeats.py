@@ -34,6 +34,8 @@ def cases(seed=4):
     rows = [(i, some(rng.randrange(0, 200)) + passage[rng.randrange(0, 40) : rng.randrange(50, 90)] + some(rng.randrange(0, 100))) for i in range(60)]
     rows += [(100 + i, some(20) + long + some(20)) for i in range(5)]
     rows += [(200, some(70) * 3), (201, "z" * 500), (202, "z" * 30 + some(40) + "z" * 45), (203, "ab" * 100), (204, some(40)), (205, some(39))]
+    rows += [(210, some(30) + "-" * 38 + some(30)), (211, some(30) + "-" * 38 + some(30)), (212, some(9) + "-" * 40 + some(9)), (213, "-" * 60), (214, some(9) + "ab" * 20)]
+    rows += [(215, "ba" * 20 + "b"), (216, some(3) + "abcdefg" * 6), (217, "cdefgab" * 6 + "zz"), (218, "x" * 45 + "y" * 45), (219, "abc" * 9 + "abd" * 9)]
     copy = some(150)
     rows += [(300 + i, copy) for i in range(7)] + [(310, copy[5:120]), (311, "q" * 39), (312, "q" * 39)]
     for i in range(8):  # near copies
