@@ -74,7 +74,7 @@ def shuffle_into_shards(
         F.col("bucket_").alias("b_"), (F.sum("count").over(Window.orderBy("bucket_")) - F.col("count")).alias("before_")
     )
     starts = {r["b_"]: r["before_"] for r in before.collect()}
-    arranged = scattered.repartition(buckets, "bucket_").sortWithinPartitions("bucket_", *by_rank)
+    arranged = scattered.repartitionById(buckets, "bucket_").sortWithinPartitions("bucket_", *by_rank)
     n = len(names)
 
     def deal(batches):
