@@ -112,25 +112,25 @@ def fit(
                     [pa.array([toxic], pa.int32()), pa.array([names], pa.list_(pa.binary())), pa.array([sizes], pa.list_(pa.int32()))], names=["toxic", "names", "sizes"]
                 )
 
-    rows = sample.select("body", F.col("toxic").cast("int")).mapInArrow(features, "toxic int, names array<binary>, sizes array<int>").collect()
-    toxic = np.array([r["toxic"] for r in rows], bool)
-    if not len(rows) or toxic.all() or not toxic.any():
+    rows = sample.select("body", F.col("toxic").cast("int")).mapInArrow(features, "toxic int, names array<binary>, sizes array<int>").toArrow()
+    toxic = rows.column("toxic").to_numpy().astype(bool)
+    if not len(toxic) or toxic.all() or not toxic.any():
         return OrdinalModel()
-    index: dict[bytes, int] = {}
-    lists = [np.array([index.setdefault(bytes(w), len(index)) for w in r["names"]], np.int64) for r in rows]
+    listed = rows.column("names").combine_chunks()
+    coded = listed.flatten().dictionary_encode()
+    names, codes, sizes = coded.dictionary.to_pylist(), coded.indices.to_numpy(), rows.column("sizes").combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(toxic)), listed.value_lengths().to_numpy())
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    empty = np.zeros(0, np.int64)
-    with1 = np.bincount(np.concatenate([empty, *[x for x, y in zip(lists, toxic) if y]]), minlength=len(index))
-    with0 = np.bincount(np.concatenate([empty, *[x for x, y in zip(lists, toxic) if not y]]), minlength=len(index))
+    with1, with0 = (np.bincount(codes[toxic[row] == side], minlength=len(names)) for side in (True, False))
     share = (with1 + with0) / (n1 + n0)
     chi2 = (with1 / n1 - with0 / n0) ** 2 / np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12)
-    names = list(index)
     strong = sorted(np.flatnonzero(chi2 >= least_chi2), key=lambda i: (-chi2[i], names[i]))[:max_features]
     column = {int(f): j for j, f in enumerate(strong)}
-    x = np.zeros((len(rows), len(strong)))
-    for i, (found, r) in enumerate(zip(lists, rows)):
-        own = [(column[f], n) for f, n in zip(found.tolist(), r["sizes"]) if f in column]
-        x[i, [j for j, _ in own]] = np.log2([1 + n for _, n in own])
+    place = np.full(len(names), -1)
+    place[list(column)] = list(column.values())
+    x = np.zeros((len(toxic), len(strong)))
+    own = place[codes] >= 0
+    x[row[own], place[codes[own]]] = np.log2(1 + sizes[own])
     telling = x[:, [j for f, j in column.items() if with1[f] / n1 > with0[f] / n0]].sum(axis=1)
     cuts = np.quantile(telling[toxic], np.arange(1, grades) / grades)
     grade = np.where(toxic, 1 + (telling[:, None] > cuts[None, :]).sum(axis=1), 0)
