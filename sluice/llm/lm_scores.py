@@ -29,12 +29,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sluice.llm.common import ALPHANUMERIC, body_sizes, keyed_text, saved, schema_with_key, slices
 
-TARGET_ROWS, LEAST_WORD, LEAST_PAIR, DISCOUNT = 20_000, 5e-6, 2e-6, 0.5
+#: Bytes of text in a part.
+PART_BYTES = 16 << 20
+LEAST_WORD, LEAST_PAIR, DISCOUNT = 5e-6, 2e-6, 0.5
 _UNKNOWN, _START = 0, 1
 
 
@@ -42,11 +46,23 @@ def words_of(body: bytes | None) -> list[bytes]:
     return body.translate(ALPHANUMERIC).split() if body else []
 
 
-def marked(docs: DataFrame, target: DataFrame, key: str, text: str, target_rows: int) -> DataFrame:
-    """body and whether the row is of the target, of which ``target_rows`` keys (lowest hashes) count at most."""
-    chosen = target.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(target_rows)
-    rows = keyed_text(docs, key, text).join(F.broadcast(chosen.withColumn("hit", F.lit(True))), "key", "left")  # bounded by target_rows
-    return rows.select("body", F.coalesce("hit", F.lit(False)).alias("target"))
+def marked(docs: DataFrame, target: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """part (rows of about ``part_bytes`` bytes of text), key, body and whether the row is of the target, saved."""
+    chosen = target.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().withColumn("hit", F.lit(True))
+    rows = keyed_text(docs, key, text).join(chosen.hint("merge"), "key", "left").select("key", "body", F.coalesce("hit", F.lit(False)).alias("target"))
+
+    def dealt(batches):
+        part, total = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            parts = []
+            for n in body_sizes(batch.column(1)).tolist():
+                if total and total + n > part_bytes:
+                    part, total = part + 1, 0
+                total += n
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *batch.columns], names=["part", "key", "body", "target"])
+
+    return saved(rows.mapInArrow(dealt, StructType([StructField("part", LongType()), *rows.schema.fields])), "rows")
 
 
 def counted_words(rows: DataFrame) -> DataFrame:
@@ -73,7 +89,7 @@ def counted_words(rows: DataFrame) -> DataFrame:
                     every, target = Counter(), Counter()
         yield flushed()
 
-    return rows.mapInArrow(count, "word binary, every bigint, target bigint").groupBy("word").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+    return rows.select("body", "target").mapInArrow(count, "word binary, every bigint, target bigint").groupBy("word").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
 
 
 def numbered(body: bytes | None, numbers: dict[bytes, int]) -> np.ndarray:
@@ -112,7 +128,7 @@ def counted_pairs(rows: DataFrame, vocabulary) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in reduced()], names=["pair", "every", "target"])
 
-    return rows.mapInArrow(count, "pair bigint, every bigint, target bigint").groupBy("pair").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+    return rows.select("body", "target").mapInArrow(count, "pair bigint, every bigint, target bigint").groupBy("pair").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
 
 
 def share(every: int, target: int):
@@ -173,13 +189,13 @@ def fitted(rows: DataFrame, least_word: float = LEAST_WORD, least_pair: float =
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", target_rows: int = TARGET_ROWS, least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR
+    docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, target_loss, background_loss (nats per word), score (their difference).
 
     ``target`` lists, in a column named like the key, rows of ``docs`` that are the target.
     """
-    vocabulary, numbers = fitted(marked(docs, target, key, text, target_rows), least_word, least_pair)
+    vocabulary, numbers = fitted(marked(docs, target, key, text), least_word, least_pair)
     rows = keyed_text(docs, key, text)
 
     def score(batches):

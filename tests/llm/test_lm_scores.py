@@ -81,3 +81,10 @@ def test_target_like_rows_score_lower(spark, documents, keys):
 
 def test_empty_table(spark, documents, keys):
     assert cross_entropy_difference(documents([]), keys([1])).collect() == []
+
+
+def test_every_target_row_counts(spark, documents, keys):
+    rows = [(i, "alpha" if i % 3 else "beta") for i in range(20_500)]
+    found = {r["doc_id"]: tuple(r)[2:] for r in cross_entropy_difference(documents(rows), keys(range(20_400))).collect()}
+    for r in list(brute(rows, set(range(20_400)), 0, 0))[-3:]:
+        assert found[r[0]] == pytest.approx(r[2:], abs=1e-9)
