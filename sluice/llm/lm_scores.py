@@ -6,46 +6,70 @@ target's number of tokens, so the models differ in the text alone.  A row's
 score is its mean loss per token under the target model less that under the
 background model: the lower, the more like the target.
 
-Counts cover every row: words first, then pairs of vocabulary words, reduced
-in tasks before they are shuffled.  The models keep words and pairs whose share
-of tokens, averaged over both corpora, reaches ``least_word`` and
-``least_pair``; so a model has at most 1/least_word words and 1/least_pair
-pairs, whatever the size of the corpus, and can be broadcast.  Other words are
-one unknown word, and other pairs are left to the words: absolute discounting
-gives what is taken from the pairs of a word back to the words' add-one
-shares, so both models sum to one.
+Counts cover every row, every target row and every word and pair, and stay
+distributed tables that grow with the corpus.  Rows are dealt into slices of
+bounded size; a slice's pairs are reduced in its task, summed over all slices
+by a shuffle, and come back to the slice, where its rows are scored.  So the
+driver sees totals only.  Absolute discounting gives what is taken from the
+pairs of a word back to the words' add-one shares, so both models sum to one.
+``least_word`` and ``least_pair`` leave out words (they become one unknown
+word) and pairs with a smaller share of tokens, averaged over both corpora; by
+default nothing is left out.
 
 Words are maximal runs of ASCII letters, digits and characters outside ASCII,
-lower-cased in ASCII; a row begins with a start mark.  Rows without words
-(null, empty) have null scores.  Without target rows its model is uniform over
-words.  Repeated rows count and are scored repeatedly; repeated target keys
-count once.
+lower-cased in ASCII, and are told apart by 64-bit hashes; a row begins with a
+start mark.  Rows without words (null, empty) have null scores.  Without target
+rows its model is uniform over words.  Repeated rows count and are scored
+repeatedly; repeated target keys count once.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sluice.llm.common import ALPHANUMERIC, body_sizes, keyed_text, saved, schema_with_key, slices
 
-#: Bytes of text in a part.
+#: Bytes of text whose pairs are counted, and whose rows are scored, together.
 PART_BYTES = 16 << 20
-LEAST_WORD, LEAST_PAIR, DISCOUNT = 5e-6, 2e-6, 0.5
+DISCOUNT = 0.5
 _UNKNOWN, _START = 0, 1
+#: In place of a word's hash.
+_START_HASH = 0
+
+
+class WordHashes(dict):
+    """Word to a signed 64-bit hash, remembered for a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = h - 2**64 if h >= 2**63 else h
+        return h
 
 
 def words_of(body: bytes | None) -> list[bytes]:
     return body.translate(ALPHANUMERIC).split() if body else []
 
 
+def hashed(bodies: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per row, and the hash of each word and of the word before it."""
+    found = [words_of(b) for b in bodies]
+    sizes = np.array([len(x) for x in found], np.int64)
+    after = np.fromiter((h for x in found for h in map(hashes.__getitem__, x)), np.int64, sizes.sum())
+    before = np.concatenate([np.full(1, _START_HASH), after[:-1]])[: len(after)]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START_HASH
+    return sizes, before, after
+
+
 def marked(docs: DataFrame, target: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """part (rows of about ``part_bytes`` bytes of text), key, body and whether the row is of the target, saved."""
     chosen = target.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().withColumn("hit", F.lit(True))
@@ -65,99 +89,115 @@ def marked(docs: DataFrame, target: DataFrame, key: str, text: str, part_bytes:
     return saved(rows.mapInArrow(dealt, StructType([StructField("part", LongType()), *rows.schema.fields])), "rows")
 
 
-def counted_words(rows: DataFrame) -> DataFrame:
-    """word, every (count in all rows), target (count in target rows)."""
+def counted_pairs(rows: DataFrame) -> DataFrame:
+    """part, a, b (hashes of a word and of the next), every (count in all rows), target (count in target rows)."""
+
+    def reduced(held):
+        a, b, every, target = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        if not len(first):
+            return a, b, every, target
+        return a[first], b[first], np.add.reduceat(every[order], first), np.add.reduceat(target[order], first)
 
     def count(batches):
-        every, target = Counter(), Counter()
+        hashes, held, at = WordHashes(), [], None
 
         def flushed():
-            words = list(every)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([target[w] for w in words], pa.int64())],
-                names=["word", "every", "target"],
-            )
+            columns = reduced(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), at)), *map(pa.array, columns)], names=["part", "a", "b", "every", "target"])
 
         for batch in batches:
-            for body, hit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(body)
-                every.update(words)
-                if hit:
-                    target.update(words)
-                if len(every) > 400_000:
+            parts = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for x, y in zip(bounds, bounds[1:]):
+                if held and parts[x] != at:
                     yield flushed()
-                    every, target = Counter(), Counter()
-        yield flushed()
-
-    return rows.select("body", "target").mapInArrow(count, "word binary, every bigint, target bigint").groupBy("word").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+                    held = []
+                for i, j in slices(body_sizes(batch.column(1).slice(x, y - x))):
+                    at = parts[x]
+                    sizes, before, after = hashed(batch.column(1).slice(x + i, j - i).to_pylist(), hashes)
+                    hits = np.repeat(batch.column(2).slice(x + i, j - i).to_numpy(zero_copy_only=False), sizes).astype(np.int64)
+                    held.append(reduced([(before, after, np.ones(len(after), np.int64), hits)]))
+                    if len(held) > 8:
+                        held = [reduced(held)]
+        if held:
+            yield flushed()
 
+    return rows.select("part", "body", "target").mapInArrow(count, "part bigint, a bigint, b bigint, every bigint, target bigint")
 
-def numbered(body: bytes | None, numbers: dict[bytes, int]) -> np.ndarray:
-    """The start mark and the words' numbers."""
-    words = words_of(body)
-    out = np.empty(len(words) + 1, np.int64)
-    out[0] = _START
-    out[1:] = np.fromiter(map(numbers.get, words, repeat(_UNKNOWN)), np.int64, len(words))
-    return out
 
+def share(every: int, target: int):
+    """Mean share of a count in both corpora (in the one that there is)."""
+    both = [F.col(c) / F.lit(float(n)) for c, n in (("every", every), ("target", target)) if n]
+    return sum(both[1:], both[0]) / F.lit(float(len(both)))
 
-def counted_pairs(rows: DataFrame, vocabulary) -> DataFrame:
-    """pair (previous * 2**32 + next, both known), every, target."""
 
-    def count(batches):
-        numbers = {w: i + 2 for i, w in enumerate(vocabulary.value)}
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+@dataclass
+class Counts:
+    """Both models' counts: ``pairs`` (part, a, b, every, target, copy: over all parts, in each part that has the pair; copy 1 is one of each pair),
+    ``words`` (word, every, target, and what is taken from its pairs) and ``asked`` (part, word: the words of each part), all distributed; and totals."""
 
-        def reduced():
-            keys, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, *(np.bincount(back, np.concatenate([h[i] for h in held]), len(keys)).astype(np.int64) for i in (1, 2))
+    pairs: DataFrame
+    words: DataFrame
+    asked: DataFrame
+    size: int
+    unknown: np.ndarray
+    totals: np.ndarray
+    starts: np.ndarray
+    taken: np.ndarray
 
-        for batch in batches:
-            for a, b in slices(body_sizes(batch.column(0))):
-                bodies, hits = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
-                texts = [numbered(x, numbers) for x in bodies]
-                flat, hit = np.concatenate(texts), np.repeat(hits, [len(x) for x in texts])
-                pair = flat[:-1] << 32 | flat[1:]
-                known = (flat[:-1] > _UNKNOWN) & (flat[1:] > _START)  # nothing stands before a start mark
-                keys, back = np.unique(pair[known], return_inverse=True)
-                held.append((keys, np.bincount(back, minlength=len(keys)), np.bincount(back, hit[1:][known], len(keys))))
-                if sum(len(h[0]) for h in held) > 4_000_000:
-                    held = [reduced()]
-                    if len(held[0][0]) > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["pair", "every", "target"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in reduced()], names=["pair", "every", "target"])
 
-    return rows.select("body", "target").mapInArrow(count, "pair bigint, every bigint, target bigint").groupBy("pair").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+def scales(totals) -> np.ndarray:
+    """The background is brought to the size of the target."""
+    return np.array([totals[1] / max(totals[0], 1) if totals[1] else 1.0, 1.0])
 
 
-def share(every: int, target: int):
-    """Mean share of a count in both corpora (in the one that there is)."""
-    both = [F.col(c) / F.lit(float(n)) for c, n in (("every", every), ("target", target)) if n]
-    return sum(both[1:], both[0]) / F.lit(float(len(both)))
+def counts_of(rows: DataFrame, least_word: float, least_pair: float) -> Counts:
+    whole = Window.partitionBy("a", "b").orderBy("part")
+    total = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = counted_pairs(rows).select(
+        "part", "a", "b", F.sum("every").over(total).alias("every"), F.sum("target").over(total).alias("target"), F.row_number().over(whole).alias("copy")
+    )
+    pairs = saved(summed, "pairs")
+    asked = pairs.select("part", F.col("b").alias("word")).distinct()
+    each = pairs.filter("copy = 1")
+    words = each.groupBy(F.col("b").alias("word")).agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+    words = saved(words, "words")
+    totals = np.array([x or 0 for x in words.agg(F.sum("every"), F.sum("target")).first()])
+    if totals[0] and least_word:
+        words = words.filter(share(*totals.tolist()) >= least_word)
+        each = each.join(words.select(F.col("word").alias("b")).hint("merge"), "b")
+    if totals[0] and least_pair:
+        enough = share(*totals.tolist()) >= least_pair
+        pairs, each = pairs.filter(enough), each.filter(enough)
+    taken = [F.sum(F.greatest(F.col(c) * F.lit(float(x)) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"{c}_taken") for c, x in zip(("every", "target"), scales(totals))]
+    taken = saved(each.groupBy(F.col("a").alias("word")).agg(*taken), "taken")
+    words = saved(words.join(taken.hint("merge"), "word", "left").na.fill(0.0, ["every_taken", "target_taken"]), "words")
+    size, *known = words.agg(F.count(F.lit(1)), F.sum("every"), F.sum("target")).first()
+    start = taken.filter(F.col("word") == _START_HASH).first()
+    return Counts(
+        pairs, words, asked, size, totals - np.array([x or 0 for x in known]), totals, np.array(rows.agg(F.count(F.lit(1)), F.count_if("target")).first()),
+        np.array([start.every_taken, start.target_taken] if start else [0.0, 0.0]),
+    )
 
 
 class Models:
-    """Word and pair probabilities of both models as arrays, over the same words and pairs."""
-
-    def __init__(self, unknown: np.ndarray, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray, starts: np.ndarray):
-        """words: counts [model, word from number 2 on]; pairs: sorted; counts: [model, pair]; starts: rows per model."""
-        totals = words.sum(axis=1) + unknown
-        scale = np.array([totals[1] / max(totals[0], 1) if totals[1] else 1.0, 1.0])  # the background to the size of the target
-        words, counts = words * scale[:, None], counts * scale[:, None]
-        size = words.shape[1] + 1
-        self.word = np.concatenate([(unknown * scale)[:, None], np.zeros((2, 1)), words], axis=1) + 1.0
+    """Word and pair probabilities of both models as arrays, over some of the words and their pairs."""
+
+    def __init__(self, words: np.ndarray, taken: np.ndarray, pairs: np.ndarray, counts: np.ndarray, size: int, unknown: np.ndarray, totals: np.ndarray, starts: np.ndarray, start_taken: np.ndarray):
+        """words: counts [model, word from number 2 on]; taken: from their pairs; pairs: sorted; counts: [model, pair]; then those of ``Counts``."""
+        scale = scales(totals)
+        self.word = np.concatenate([(unknown * scale)[:, None], np.zeros((2, 1)), words * scale[:, None]], axis=1) + 1.0
         self.word[:, _START] = 0
-        self.word /= self.word.sum(axis=1, keepdims=True)
-        context = np.concatenate([np.ones((2, 1)), (starts * scale)[:, None], words], axis=1)
-        first = pairs >> 32
-        kept = np.maximum(counts - DISCOUNT, 0) / np.maximum(context[:, first], 1e-9)
-        self.pairs, self.pair = pairs, kept
-        self.rest = 1 - np.stack([np.bincount(first, kept[m], size + 1) for m in (0, 1)])
-
-    def losses(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each word after the first under the background and the target."""
-        before, after = ids[:-1], ids[1:]
+        self.word /= (totals * scale + size + 1)[:, None]
+        context = np.maximum(np.concatenate([np.ones((2, 1)), (starts * scale)[:, None], words * scale[:, None]], axis=1), 1e-9)
+        self.pairs, self.pair = pairs, np.maximum(counts * scale[:, None] - DISCOUNT, 0) / context[:, pairs >> 32]
+        self.rest = 1 - np.concatenate([np.zeros((2, 1)), start_taken[:, None], taken], axis=1) / context
+
+    def losses(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Loss of each word, of which the one before is known, under the background and the target."""
         key = before << 32 | after
         at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
         found = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
@@ -169,50 +209,65 @@ class Models:
         return out[0], out[1]
 
 
-def fitted(rows: DataFrame, least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR):
-    """Broadcasts of the vocabulary and of the numbers that ``Models`` is made of."""
+def numbers_of(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each hash in a sorted vocabulary, from 2 on."""
+    at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
+    known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+    return np.where(hashes == _START_HASH, _START, np.where(known, at + 2, _UNKNOWN))
+
+
+def arrays(words: pa.Table, pairs: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The sorted vocabulary, and what ``Models`` needs of words (word, every, target, every_taken, target_taken) and pairs (a, b, every, target)."""
+
+    def of(t, *names):
+        return np.stack([t.column(c).to_numpy() for c in names])
+
+    words = words.sort_by("word")
+    vocabulary = words.column("word").to_numpy()
+    before, after = (numbers_of(pairs.column(c).to_numpy(), vocabulary) for c in ("a", "b"))
+    known = np.flatnonzero((before > _UNKNOWN) & (after > _START))
+    key, first = np.unique(before[known] << 32 | after[known], return_index=True)
+    return vocabulary, (of(words, "every", "target"), of(words, "every_taken", "target_taken"), key, of(pairs, "every", "target")[:, known[first]])
+
+
+def fitted(rows: DataFrame, least_word: float = 0.0, least_pair: float = 0.0):
+    """The models of a small corpus in memory, as broadcasts of the vocabulary and of the numbers that ``Models`` is made of."""
+    c = counts_of(rows, least_word, least_pair)
+    vocabulary, numbers = arrays(c.words.toArrow(), c.pairs.toArrow())
     context = rows.sparkSession.sparkContext
-    words = saved(counted_words(rows), "words")
-    every, target = words.agg(F.sum("every"), F.sum("target")).first()
-    every, target = every or 0, target or 0
-    kept = words.filter(share(every, target) >= least_word).orderBy(F.desc("every"), "word").toArrow() if every else None  # 1/least_word rows at most
-    vocabulary = kept.column("word").to_pylist() if kept else []
-    counts = np.stack([kept.column(c).to_numpy() for c in ("every", "target")]) if kept else np.zeros((2, 0), np.int64)
-    listed = context.broadcast(vocabulary)
-    pairs = counted_pairs(rows, listed).filter(share(every, target) >= least_pair).orderBy("pair").toArrow() if every else None  # 1/least_pair rows at most
-    starts = rows.agg(F.count(F.lit(1)), F.count_if("target")).first()
-    numbers = (
-        np.array([every, target]) - counts.sum(axis=1), counts, pairs.column("pair").to_numpy() if pairs else np.zeros(0, np.int64),
-        np.stack([pairs.column(c).to_numpy() for c in ("every", "target")]) if pairs else np.zeros((2, 0), np.int64), np.array(starts),
-    )
-    return listed, context.broadcast(numbers)
+    return context.broadcast(vocabulary), context.broadcast((*numbers, c.size, c.unknown, c.totals, c.starts, c.taken))
 
 
-def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", least_word: float = LEAST_WORD, least_pair: float = LEAST_PAIR
-) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", least_word: float = 0.0, least_pair: float = 0.0) -> DataFrame:
     """One row per row of ``docs``: key, n_words, target_loss, background_loss (nats per word), score (their difference).
 
     ``target`` lists, in a column named like the key, rows of ``docs`` that are the target.
     """
-    vocabulary, numbers = fitted(marked(docs, target, key, text), least_word, least_pair)
-    rows = keyed_text(docs, key, text)
-
-    def score(batches):
-        index = {w: i + 2 for i, w in enumerate(vocabulary.value)}
-        models = Models(*numbers.value)
-        for batch in batches:
-            for a, b in slices(body_sizes(batch.column(1))):
-                texts = [numbered(x, index) for x in batch.column(1).slice(a, b - a).to_pylist()]
-                sizes = np.array([len(x) - 1 for x in texts], np.int64)
-                flat = np.concatenate(texts)
-                real = flat[1:] != _START
-                row = np.repeat(np.arange(len(texts)), sizes)
-                means = [np.bincount(row, loss[real], len(texts)) / np.maximum(sizes, 1) for loss in models.losses(flat)]
-                none = sizes == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), *(pa.array(x, pa.float64(), mask=none) for x in (means[1], means[0], means[1] - means[0]))],
-                    names=[key, "n_words", "target_loss", "background_loss", "score"],
-                )
-
-    return rows.mapInArrow(score, schema_with_key(rows, key, "n_words bigint, target_loss double, background_loss double, score double"))
+    rows = marked(docs, target, key, text)
+    c = counts_of(rows, least_word, least_pair)
+    asked = c.asked.join(c.words.hint("merge"), "word").select("part", F.lit(None).cast("bigint").alias("a"), F.col("word").alias("b"), "every", "target", "every_taken", "target_taken")
+    pairs = c.pairs.select("part", "a", "b", "every", "target", *(F.lit(None).cast("double").alias(x) for x in ("every_taken", "target_taken")))
+    totals = (c.size, c.unknown, c.totals, c.starts, c.taken)
+    schema = schema_with_key(rows, key, "n_words bigint, target_loss double, background_loss double, score double")
+    names = schema.names
+
+    def score(texts, found):
+        import pyarrow.compute as pc
+
+        is_word = pc.is_null(found.column("a"))
+        words = found.filter(is_word).rename_columns({"b": "word"})
+        vocabulary, numbers = arrays(words, found.filter(pc.invert(is_word)))
+        models, hashes, out = Models(*numbers, *totals), WordHashes(), []
+        texts = texts.combine_chunks()
+        bodies = texts.column("body")
+        for a, b in slices(body_sizes(bodies.combine_chunks())):
+            sizes, before, after = hashed(bodies.slice(a, b - a).to_pylist(), hashes)
+            row = np.repeat(np.arange(b - a), sizes)
+            losses = models.losses(numbers_of(before, vocabulary), numbers_of(after, vocabulary))
+            means = [np.bincount(row, loss, b - a) / np.maximum(sizes, 1) for loss in losses]
+            none = sizes == 0
+            columns = [texts.column("key").slice(a, b - a).combine_chunks(), pa.array(sizes), *(pa.array(x, pa.float64(), mask=none) for x in (means[1], means[0], means[1] - means[0]))]
+            out.append(pa.Table.from_arrays(columns, names=names))
+        return pa.concat_tables(out)
+
+    return rows.select("part", "key", "body").groupBy("part").cogroup(asked.unionByName(pairs).groupBy("part")).applyInArrow(score, schema)

@@ -88,3 +88,22 @@ def test_every_target_row_counts(spark, documents, keys):
     found = {r["doc_id"]: tuple(r)[2:] for r in cross_entropy_difference(documents(rows), keys(range(20_400))).collect()}
     for r in list(brute(rows, set(range(20_400)), 0, 0))[-3:]:
         assert found[r[0]] == pytest.approx(r[2:], abs=1e-9)
+
+
+def test_pairs_seen_twice_count_in_a_large_corpus(spark, documents, keys):
+    rows = [(i, "the cat sat " * 1000) for i in range(800)] + [(1000, "rare event"), (1001, "rare event"), (1002, "event rare")]
+    found = {r["doc_id"]: r for r in cross_entropy_difference(documents(rows).repartition(3), keys([1000, 1001, *range(400)])).collect()}
+    assert found[1000]["score"] == found[1001]["score"] < found[1002]["score"]
+    for r in (r for r in brute(rows, {1000, 1001, *range(400)}, 0, 0) if r[0] >= 1000):
+        assert tuple(found[r[0]])[2:] == pytest.approx(r[2:], abs=1e-9)
+
+
+def test_parts_are_scored_alike(spark, documents, keys, monkeypatch):
+    from sluice.llm import lm_scores
+
+    whole = {(r["doc_id"], r["n_words"]): tuple(r)[2:] for r in cross_entropy_difference(documents(ROWS), keys([1, 3])).collect()}
+    monkeypatch.setattr(lm_scores.marked, "__defaults__", (12,))
+    parts = cross_entropy_difference(documents(ROWS).repartition(3), keys([1, 3])).collect()
+    assert len(parts) == len(ROWS)
+    for r in parts:
+        assert tuple(r)[2:] == pytest.approx(whole[r["doc_id"], r["n_words"]], abs=1e-9)
