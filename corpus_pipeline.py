@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame; the runner writes
 it and the next stage reads it back.  All but the last return the columns of
 ``documents``; ``n_chars`` follows the text where a stage cuts it.  The key of
-a document is its ``doc_id``; rows without one are kept by the stages that
+a document is its ``doc_id``, and rows that share one are judged each by its
+own text; rows without one are kept by the stages that
 compare documents, since they cannot be named.
 """
 
@@ -24,11 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: that with the smallest id; of repeated rows one."""
+    """One row of each group of linked rows: that with the smallest id (of one id, hash of the text); of repeated rows one."""
     small_batches(spark)
-    found = jaccard.component_ids(docs)
-    others = saved(found.filter("doc_id <> component_id").select("doc_id").distinct(), "others")
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    others = saved(jaccard.copies(docs), "others")
+    kept = docs.join(others, (docs["doc_id"] == others["copy_key"]) & (jaccard.digest("text") == others["copy_digest"]), "left_anti").select(*docs.columns)
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL"))

@@ -113,3 +113,15 @@ def test_entry_lists_the_dealt_queries():
     names = e.queries()
     assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 11)] == [1] * 10
     assert "pipeline" in names
+
+
+def test_rows_of_one_id_are_judged_apart(spark, documents):
+    some = passages(5)
+    a, b, c = some(80), some(90), some(100)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c + " more"), (3, c), (None, a), (2, None), (4, b)]
+    kept = corpus_pipeline.jaccard_join(spark, documents(rows).repartition(3), "").collect()
+    found = Counter((r["doc_id"], r["text"]) for r in kept)
+    for k, texts in ((1, {a}), (2, {b}), (3, {c, c + " more"})):
+        assert sum(n for (i, t), n in found.items() if i == k and t in texts) == 1
+    assert found[None, a] == 1 and found[2, None] == 1
+    assert sum(found.values()) == 5
