@@ -111,12 +111,13 @@ def powerset(df: DataFrame, by: Sequence[str], order: str, into: Mapping[str, Co
     """Every non-empty proper subset of a group (optionally the whole group too).
 
     Bit i of ``subgroup`` tells whether row i is a member; ``order`` is a unique
-    integer within a group.
+    integer within a group.  A group of 63 rows or more is an error.
     """
     by = list(by)
     rows = positions(df, by, order, "__number")
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__n").cast("int")) - (0 if include_full else 1)
+    ways = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__n").cast("int"))
+    last = F.when(F.col("__n") < 63, ways).otherwise(F.raise_error(F.lit("powerset: a group has 63 rows or more"))) - (0 if include_full else 1)
     sets = _numbers(sizes.filter((F.col("__n") > 1) | F.lit(include_full)), last).filter("subgroup > 0")
     bits = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1), lambda i: F.getbit(F.col("subgroup"), i.cast("int")) == 1)
     chosen = sets.select(*by, "subgroup", F.explode(bits).alias("__number"))

@@ -228,3 +228,12 @@ def test_keyed_collectors_over_merged_lanes(spark):
     out = merge_sets(df, ["g"], "p", "s", "lane", {"ts": c.listing("t"), "all": c.lexical_concat("t", ","), "d": c.dictionary("t", "n"), "n": c.count()})
     found = {tuple(r.merged_lanes): (r.ts, r["all"], r.d, r.n) for r in out.collect()}
     assert found == {(1, 2): (["v", "w"], "v,w", {"v": 3, "w": 4}, 3), (3,): (["v"], "v", {"v": 9}, 1)}
+
+
+def test_powerset_of_a_large_group_is_an_error(spark):
+    from sluice.operators.groupers import powerset
+
+    for size in (63, 64, 65):
+        rows = spark.range(size).selectExpr("1 AS g", "id")
+        with pytest.raises(Exception, match="63 rows or more"):
+            powerset(rows, ["g"], "id").count()
