@@ -18,11 +18,15 @@ from sluice.sources.snapshots import read_snapshot
 ORIGIN = Origin("notices.rules", 4, 1, "v1")
 
 
-def notices(events):
-    """One notice per user and kind of event; loud ones carry extra tags."""
+def notice_rows(events):
+    """A notice per user and kind of event; loud ones carry extra tags."""
     loud = F.when(F.col("value") > 100, F.array(F.lit("loud"))).otherwise(F.array())
     tags = a.tags(F.concat(F.lit("kind-"), "event_type"), lists=(loud,))
-    return a.emit_actions(events, "notify", {"user": "user_id", "kind": "event_type"}, "ts", ORIGIN, tags)
+    return a.action_rows(events, "notify", {"user": "user_id", "kind": "event_type"}, "ts", tags)
+
+
+def notices(events):
+    return a.merge_rows(notice_rows(events), "notify", ORIGIN)
 
 
 NOTICE_PARAMS = """'{"kind":"' || event_type || '","user":' || user_id || '}'"""

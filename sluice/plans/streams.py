@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.plans.registry import SCHEMAS, Tables, plan
-from sluice.plans.sinks import failures, notices
+from sluice.plans.sinks import ORIGIN, failures, notice_rows, notices
 from sluice.semantics import scratch_path
-from sluice.sinks.actions import action_scan
-from sluice.sinks.alerts import alert_scan, live_alerts
+from sluice.sinks.actions import action_scan, merge_rows
+from sluice.sinks.alerts import alert_refreshes, alert_scan, live_alerts
 from sluice.sources.snapshots import add_batch, read_batches, read_snapshot
 from sluice.streaming import jobs
 
@@ -77,3 +77,51 @@ def stream_group_reemit(t: Tables):
     grouped = followed(t).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("top"))
     _finish(jobs.stream_group_reemit(grouped, table, scratch_path(t.spark, "offsets")))
     return read_snapshot(t.spark, table)
+
+
+@plan("stream_new_actions", """
+    SELECT '{"kind":"' || event_type || '","user":' || user_id || '}' AS params, 1 AS stored,
+        'kind-' || event_type || CASE WHEN max(value) > 100 THEN ',loud' ELSE '' END AS tags
+    FROM events GROUP BY event_type, user_id
+""")
+def stream_new_actions(t: Tables):
+    table = scratch_path(t.spark, "new-actions")
+    rows = notice_rows(followed(t))
+    _finish(jobs.stream_new_actions(rows, lambda batch: merge_rows(batch, "notify", ORIGIN), "40 days", table, scratch_path(t.spark, "offsets")))
+    stored = read_batches(t.spark, table).groupBy("id").agg(F.count("*").cast("int").alias("stored"))
+    return action_scan(t.spark, table).join(stored, "id").select("params", "stored", F.array_join("tags", ",").alias("tags"))
+
+
+@plan("stream_alert_expiry", """
+    WITH r AS (
+        SELECT event_type AS kind, user_id, value > 100 AS large, ts, ts - lag(ts) OVER (PARTITION BY event_type, user_id, value > 100 ORDER BY ts) AS gap FROM events
+    ), e AS (
+        SELECT *, sum(CASE WHEN gap < INTERVAL 3600 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY kind, user_id, large ORDER BY ts) AS n FROM r
+    ), s AS (
+        SELECT kind, user_id, large, min(ts) AS starts_at, max(ts) + INTERVAL 3600 SECOND AS ends_at FROM e GROUP BY kind, user_id, large, n
+    )
+    SELECT kind, user_id, coalesce(large, false) AS large, epoch_us(starts_at) AS starts_at, epoch_us(ends_at) AS ends_at
+    FROM s WHERE epoch_us(ends_at) <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM events)
+""")
+def stream_alert_expiry(t: Tables):
+    table = scratch_path(t.spark, "expiry")
+    labels = {"kind": "event_type", "user": "user_id", "large": F.when(F.col("value") > 100, F.lit("yes"))}
+    refreshes = alert_refreshes(followed(t), labels, 3600, "ts", "here")
+    _finish(jobs.stream_alert_expiry(refreshes, "10 minutes", table, scratch_path(t.spark, "offsets")))
+    over = jobs.expiry_scan(t.spark, table).withColumn("labels", F.from_json("labels", "map<string,string>"))
+    return over.select(
+        F.col("labels")["kind"].alias("kind"), F.col("labels")["user"].cast("bigint").alias("user_id"), F.map_contains_key("labels", "large").alias("large"),
+        F.unix_micros("starts_at").alias("starts_at"), F.unix_micros("ends_at").alias("ends_at"),
+    )
+
+
+@plan("stream_group_changes", """
+    SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS hour, event_type, count(*) AS n, max(value) AS top, count(value) AS valued
+    FROM events GROUP BY 1, 2
+""")
+def stream_group_changes(t: Tables):
+    table = scratch_path(t.spark, "changes")
+    values = [F.count("*").alias("n"), F.max("value").alias("top"), F.count("value").alias("valued")]
+    groups = jobs.recent_groups(followed(t), "ts", "1 hour", "1 hour", ["event_type"], values)
+    _finish(jobs.stream_group_changes(groups, table, scratch_path(t.spark, "offsets")))
+    return jobs.group_scan(t.spark, table, ["event_type"]).select(F.unix_micros("span_start").alias("hour"), "event_type", "n", "top", "valued")

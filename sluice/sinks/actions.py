@@ -55,18 +55,28 @@ def emit_actions(
     ``retry`` (minutes) are the action type's; ``changed`` is when its row was
     changed last.
     """
+    return merge_rows(action_rows(df, type_, params, at, tag_list, external), type_, origin, priority, retry_minutes)
+
+
+def action_rows(
+    df: DataFrame, type_: str, params: Mapping[str, Column | str], at: Column | str, tag_list: Column | None = None, external: Column | None = None,
+) -> DataFrame:
+    """One row per row and tag, with the id of its action; nothing is grouped yet, so it may be a stream."""
     ordered = F.to_json(F.struct(*[col(params[n]).alias(n) for n in sorted(params)]))
-    tag_list = F.array().cast("array<string>") if tag_list is None else tag_list
     rows = df.select(
-        ordered.alias("params"), col(at).alias("__at"),
-        (F.lit(None).cast("timestamp") if external is None else external).alias("__external"),
-        F.explode_outer(tag_list).alias("__tag"),
+        ordered.alias("params"), col(at).alias("at"), (F.lit(None).cast("timestamp") if external is None else external).alias("external"),
+        F.explode_outer(F.array().cast("array<string>") if tag_list is None else tag_list).alias("tag"),
     )
+    return rows.withColumn("id", action_id(F.lit(type_), F.col("params")))
+
+
+def merge_rows(rows: DataFrame, type_: str, origin: Origin, priority: int = 0, retry_minutes: int = 10) -> DataFrame:
+    """The rows of ``action_rows`` as one action per id."""
     merged = rows.groupBy("params").agg(
-        F.min("__at").alias("created"),
-        F.max("__at").alias("last_added"),
-        F.max("__external").alias("external_timestamp"),
-        F.sort_array(F.collect_set("__tag")).alias("tags"),
+        F.min("at").alias("created"),
+        F.max("at").alias("last_added"),
+        F.max("external").alias("external_timestamp"),
+        F.sort_array(F.collect_set("tag")).alias("tags"),
     )
     kind = F.lit(type_)
     return merged.select(

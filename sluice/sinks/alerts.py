@@ -55,6 +55,19 @@ def emit_alerts(
     )
 
 
+def alert_refreshes(
+    df: DataFrame, labels: Mapping[str, Column | str], ttl_seconds: int | Column, at: Column | str, instance: str | None = None
+) -> DataFrame:
+    """One row per row: the alert that it refreshes, from when and until when; may be a stream."""
+    labels = dict(labels)
+    if instance is not None:
+        labels.setdefault("instance", F.lit(instance))
+    ttl = F.lit(ttl_seconds) if isinstance(ttl_seconds, int) else ttl_seconds
+    return df.select(_pairs(labels).alias("pairs"), col(at).alias("at"), date_plus(col(at), ttl).alias("ends_at")).select(
+        alert_id(F.col("pairs")).alias("id"), F.map_from_entries("pairs").alias("labels"), "at", "ends_at"
+    )
+
+
 def live_alerts(alerts: DataFrame, now: Column | None = None) -> DataFrame:
     return alerts.filter(F.col("ends_at") > (F.current_timestamp() if now is None else now))
 

@@ -9,9 +9,10 @@ that is replayed afterwards is known by its number.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sluice.sinks.actions import action_scan
 from sluice.sinks.alerts import alert_scan
 from sluice.sources.snapshots import add_batch, compact, publish, read_batches, read_snapshot
+from sluice.streaming.expiry import expired_alerts, with_timers
 
 Batch = Callable[[DataFrame], DataFrame]
 
@@ -31,6 +33,19 @@ def follow(
     return reader.parquet(path)
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings while a stream is started; the stream keeps them, the session does not."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _start(
     stream: DataFrame, consume: Callable[[DataFrame, int], None], checkpoint: str, every: str | None, mode: str = "append"
 ) -> StreamingQuery:
@@ -53,6 +68,44 @@ def stream_actions(
     return _start(stream, lambda batch, n: add_batch(to_actions(batch), table, n), checkpoint, every)
 
 
+def stream_new_actions(
+    rows: DataFrame, merge: Batch, delay: str, table: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Actions of a stream of ``action_rows``, each stored once while it is repeated.
+
+    A row whose action and tag came before, within ``delay`` of event time, stops
+    at the state of the stream, so what is written grows with new actions and
+    not with rows.  The state is dropped when the watermark has passed.  An
+    action that is repeated for longer is stored again, so its ``last_added`` is
+    true to ``delay``; rows that come later than that count as new.
+    """
+    fresh = rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["id", "tag"])
+    return _start(fresh, lambda batch, n: add_batch(merge(batch), table, n), checkpoint, every)
+
+
+def stream_alert_expiry(refreshes: DataFrame, delay: str, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """An event whenever an alert of a stream of ``alert_refreshes`` has run out; read them with ``expiry_scan``.
+
+    Events come from timers in the state of the stream, one per label set.  A
+    restart goes on with the timers of the last batch, and a batch that is
+    replayed stores its events in its own place again.
+    """
+    with _settings(refreshes.sparkSession, with_timers(refreshes.sparkSession)):
+        return _start(expired_alerts(refreshes, delay), lambda batch, n: add_batch(batch, table, n), checkpoint, every)
+
+
+def expiry_scan(spark: SparkSession, table: str) -> DataFrame:
+    """All expiry events; an episode ends once, so nothing is folded."""
+    stored = [d for d in (read_snapshot(spark, table), read_batches(spark, table)) if d is not None]
+    if not stored:
+        raise FileNotFoundError(table)
+    return stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1])
+
+
+def compact_expiry(spark: SparkSession, table: str) -> int | None:
+    return compact(spark, table, lambda: expiry_scan(spark, table))
+
+
 def stream_alerts(
     stream: DataFrame, to_alerts: Batch, table: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
@@ -99,3 +152,37 @@ def compact_incremental(spark: SparkSession, table: str, ids: Sequence[str], new
 def stream_group_reemit(grouped: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Publish the whole grouped result again after every micro-batch."""
     return _start(grouped, lambda batch, _: publish(batch, table) and None, checkpoint, every, "complete")
+
+
+def recent_groups(
+    stream: DataFrame, at: str, delay: str, length: str, keys: Sequence[str], values: Sequence[Column]
+) -> DataFrame:
+    """Groups by a span of event time and keys, kept until the watermark has passed the span.
+
+    Rows of a span that is over are late and are left out; the state holds the
+    spans of the last ``delay`` only, however long the stream runs.
+    """
+    grouped = stream.withWatermark(at, delay).groupBy(F.window(at, length).alias("__span"), *keys).agg(*values)
+    return grouped.select(F.col("__span.start").alias("span_start"), F.col("__span.end").alias("span_end"), *[c for c in grouped.columns if c != "__span"])
+
+
+def stream_group_changes(groups: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Publish, after every micro-batch, the groups that it changed; read them with ``group_scan``."""
+
+    def store(batch: DataFrame, n: int) -> None:
+        add_batch(batch.withColumn("__batch", F.lit(n).cast("bigint")), table, n)
+
+    return _start(groups, store, checkpoint, every, "update")
+
+
+def _newest_groups(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
+    return incremental_scan(spark, table, ["span_start", "span_end", *keys], "__batch")
+
+
+def group_scan(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
+    """Every group as its last change left it."""
+    return _newest_groups(spark, table, keys).drop("__batch")
+
+
+def compact_groups(spark: SparkSession, table: str, keys: Sequence[str]) -> int | None:
+    return compact(spark, table, lambda: _newest_groups(spark, table, keys))
