@@ -14,6 +14,7 @@ from sluice.plans.clauses import cents, priority_orders
 from sluice.plans.grouping import tally
 from sluice.plans.registry import Tables, plan
 from sluice.semantics import scratch_path
+from sluice.sinks.partitioned import FilesSink, refill_partitions
 from sluice.sinks.refills import refill_with
 
 
@@ -89,3 +90,15 @@ def udf_refiller(t: Tables):
     path = scratch_path(t.spark, "custom")
     refill_with(t.orders, lambda rows: rows.write.partitionBy("o_orderstatus").parquet(path))
     return t.spark.read.parquet(path).groupBy("o_orderstatus").agg(F.sum(cents("o_totalprice")).alias("cents"))
+
+
+@plan("udf_refiller_partitions", """
+    SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY o_orderstatus
+""")
+def udf_refiller_partitions(t: Tables):
+    sink = FilesSink(scratch_path(t.spark, "sink"))
+    # the second content replaces the first whole
+    refill_partitions(t.orders.select("o_orderkey"), sink)
+    refill_partitions(t.orders.select("o_orderstatus", cents("o_totalprice").alias("cents")), sink)
+    found = sink.read(t.spark, "o_orderstatus string, cents bigint")
+    return found.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))

@@ -8,10 +8,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def pin_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def travels(module: str) -> None:
+    """Send what a module defines to the tasks by value, so that executors need not have this library."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

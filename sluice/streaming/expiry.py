@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from sluice.semantics import travels
+
+travels(__name__)
+
 EVENTS = "id string, labels string, starts bigint, ends bigint"
 
 
