@@ -12,6 +12,7 @@ from sluice.semantics import scratch_path
 from sluice.sinks.actions import action_scan as read_actions
 from sluice.sinks.actions import action_view, upsert_actions
 from sluice.sources import declared as s
+from sluice.sources.arrays import write_arrays
 from sluice.sources.files import string_set_source as line_set
 from sluice.sources.files import unix_files
 from sluice.sources.provenance import provenance_rows
@@ -29,6 +30,15 @@ def scan_declared(t: Tables):
     return s.scan_declared(t.spark, fmt, path, "jsonl")
 
 
+@plan("scan_declared_array", "SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate, l_linestatus FROM lineitem")
+def scan_declared_array(t: Tables):
+    """Rows written as JSON arrays, one to a file, and read back by byte range."""
+    path = scratch_path(t.spark, "arrays")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_linestatus")
+    write_arrays(rows, path)
+    return s.scan_declared(t.spark, s.Format(rows.schema), path, "json")
+
+
 ORDER_FILE = json.dumps({
     "timeFormat": "ISO8660_STRING",
     "variables": {

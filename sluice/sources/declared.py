@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from sluice.operators.clauses import Gangs
 from sluice.semantics import col
+from sluice.sources.arrays import array_items
 
 ISO, SECONDS, MILLIS = "iso", "seconds", "millis"
 
@@ -96,16 +97,20 @@ def time_decode(value: Column | str, encoding: str) -> Column:
 def scan_declared(spark: SparkSession, fmt: Format, path: str, kind: str = "json") -> DataFrame:
     """Read a format.
 
-    ``json`` files hold one array of objects per file; ``jsonl`` has a row per
-    line and splits.  A record that does not fit the schema fails the read.
+    ``json`` files hold one array of objects per file and are read by byte
+    range; ``jsonl`` has a row per line.  A record that does not fit the schema
+    fails the read.
     """
     if kind == "parquet":
         return spark.read.schema(fmt.schema).parquet(path)
     reader = spark.read.schema(fmt.wire_schema()).option("mode", "FAILFAST")
     if kind == "csv":
         df = reader.option("header", True).csv(path)
+    elif kind == "json":
+        record = F.from_json("item", fmt.wire_schema(), {"mode": "FAILFAST"})
+        df = array_items(spark, path).select(record.alias("r")).select("r.*")
     else:
-        df = reader.option("multiLine", kind == "json").json(path)
+        df = reader.json(path)
     dates = {f.name for f in fmt.schema if isinstance(f.dataType, T.TimestampType)}
     return df.select(*[
         time_decode(f.name, fmt.time).alias(f.name) if f.name in dates else _as_list_set(f).alias(f.name)
