@@ -13,9 +13,7 @@ from sluice.semantics import bind, col
 
 # The formats of masks and codes, the name of an empty code, joined workflow types.
 PARTS = ("read_one", "read_one_ignored", "index_one", "index_one_ignored", "index_two", "index_two_ignored", "read_two", "read_two_ignored")
-_COUNT = r"(\*|[0-9]+)"
-_INDEX = rf"(?:i{_COUNT})?(?:n{_COUNT})?"
-MASK = rf"(?i)\Ay{_COUNT}(?:n{_COUNT})?(?:,{_INDEX})?(?:,?{_INDEX})?(?:,?(?:y{_COUNT})?(?:n{_COUNT})?)?\z"
+TOKEN = r"([yin](?:\*|[0-9]+)|,)"
 SEGMENT = r"([iIyYnN])\s*(\*|[0-9]*)"
 CODE = r"(?i)\A([ACGT]+)(?:-([ACGT]+))?\z"
 NO_INDEX = "NoIndex"
@@ -24,14 +22,46 @@ JOINED = ("NovaSeqStandard", "OnBoardClustering", "HISEQ_ONBOARD")
 
 
 def parse_mask(text: Column | str) -> Column:
-    """Struct of the eight cycle counts (``ALL`` for a star, empty for none or 0), or empty if the text is no mask."""
-    t = col(text)
-
-    def part(i: int) -> Column:
-        found = F.nullif(F.regexp_extract(t, MASK, i + 1), F.lit(""))
-        return F.when(found == "*", F.lit(ALL)).otherwise(F.nullif(found.try_cast("int"), F.lit(0)))
-
-    return F.when(t.rlike(MASK), F.struct(*[part(i).alias(name) for i, name in enumerate(PARTS)]))
+    """Struct of the eight cycle counts (``ALL`` for a star, empty for none or 0), or empty if the text is no mask.
+
+    The text is read token by token.  There are four reads: first, two
+    indices, last.  A comma moves on by one; ``y`` stands in the first read and
+    in the last, ``i`` in an index; ``n`` follows in the same read, or begins
+    one.  A count that finds its place taken, or out of its read, moves on to
+    the next read that can have it (from the first read to the second index,
+    since the first needs its comma).
+    """
+    t = F.lower(col(text))
+    tokens = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(1))
+    start = F.struct(F.lit(0).alias("read"), F.lit(True).alias("good"), F.array(*[F.lit(None).cast("string")] * len(PARTS)).alias("counts"))
+
+    def free(state: Column, place: Column) -> Column:
+        return F.get(state["counts"], place).isNull()
+
+    def step(state: Column, token: Column) -> Column:
+        read, letter = state["read"], F.substring(token, 1, 1)
+        begun = ~free(state, F.lit(0))
+        both = free(state, 2 * read) & free(state, 2 * read + 1)
+        after = F.when(read < 2, 2).otherwise(read + 1)
+        to = (
+            F.when(letter == ",", read + 1).when(letter == "y", F.when(begun, 3).otherwise(0))
+            .when(letter == "i", F.when(read.isin(1, 2) & both, read).when(read < 2, 2).otherwise(4))
+            .otherwise(F.when(free(state, 2 * read + 1), read).otherwise(after))
+        )
+        place = 2 * to + F.when(letter == "n", 1).otherwise(0)
+        fits = F.when(letter == ",", True).when(letter == "n", free(state, place)).otherwise(free(state, 2 * to) & free(state, 2 * to + 1))
+        good = state["good"] & (to < 4) & (begun | (letter == "y")) & fits
+        counts = F.transform(state["counts"], lambda x, i: F.when((i == place) & (letter != ","), F.substring(token, 2, F.length(token))).otherwise(x))
+        return F.struct(F.least(to, F.lit(3)).alias("read"), good.alias("good"), counts.alias("counts"))
+
+    def part(counts: Column, i: int) -> Column:
+        return F.when(counts[i] == "*", F.lit(ALL)).otherwise(F.nullif(counts[i].try_cast("int"), F.lit(0)))
+
+    def read_out(state: Column) -> Column:
+        whole = state["good"] & ~F.get(state["counts"], F.lit(0)).isNull()
+        return F.when(whole, F.struct(*[part(state["counts"], i).alias(name) for i, name in enumerate(PARTS)]))
+
+    return F.when(F.array_join(tokens, "") == t, F.aggregate(tokens, start, step, read_out))
 
 
 def write_mask(mask: Column) -> Column:

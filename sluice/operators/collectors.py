@@ -32,10 +32,27 @@ class Part:
 
 @dataclass(frozen=True)
 class Entries:
-    """Keyed entries of a row: ``items`` is an array of struct<k, v>."""
+    """Keyed entries of a row: ``items`` is an array of struct<k, v>.
+
+    Where a row has one entry at most, ``one`` gives (is there one, k, v).
+    """
 
     items: Callable[[Column | None], Column]
     resolve: Callable[[Column], Column]
+    one: Callable[[Column | None], tuple[Column, Column, Column]] | None = None
+
+
+def _single(key: Column, value: Column, resolve: Callable[[Column], Column], needed: Column | None = None) -> Entries:
+    """Entries of rows that have one each, or none where ``needed`` does not hold."""
+
+    def items(c: Column | None) -> Column:
+        return _given(_both(c, needed), F.array(F.struct(key.alias("k"), value.alias("v"))))
+
+    def one(c: Column | None) -> tuple[Column, Column, Column]:
+        both = _both(c, needed)
+        return F.lit(True) if both is None else is_true(both), key, value
+
+    return Entries(items, resolve, one)
 
 
 @dataclass(frozen=True)
@@ -190,7 +207,7 @@ def univalued(value: Column | str, default: Column | None = None) -> Collector:
 
 def _distinct(value: Column) -> Entries:
     """Every value once per group, reduced by (group, value) before anything is gathered."""
-    return Entries(lambda c: _given(c, F.array(F.struct(value.alias("k"), F.lit(None).cast("boolean").alias("v")))), F.max)
+    return _single(value, F.lit(None).cast("boolean"), F.max)
 
 
 def _given_values(e: Column) -> Column:
@@ -233,9 +250,7 @@ def dictionary(key: Column | str, value: Column | str) -> Collector:
             # merged parts may have a key twice: the last entry wins, so the smallest value stands last
             F.coalesce(F.sort_array(F.transform(e, lambda s: F.struct(s["k"].alias("k"), s["v"].alias("v"))), False), F.array())
         ),
-        entries=(
-            Entries(lambda c: _given(_both(c, k.isNotNull()), F.array(F.struct(k.alias("k"), v.alias("v")))), F.min),
-        ),
+        entries=(_single(k, v, F.min, k.isNotNull()),),
     )
 
 
@@ -250,7 +265,7 @@ def where(condition: Column | str, inner: Collector) -> Collector:
         return Part(lambda c: p.rows(_both(c, keep)), p.merge)
 
     def narrowed_entries(e: Entries) -> Entries:
-        return Entries(lambda c: e.items(_both(c, keep)), e.resolve)
+        return Entries(lambda c: e.items(_both(c, keep)), e.resolve, (lambda c: e.one(_both(c, keep))) if e.one else None)
 
     return replace(
         inner,

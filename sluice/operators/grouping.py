@@ -48,20 +48,32 @@ def partials(df: DataFrame, keys: Keys, into: Mapping[str, Collector]) -> DataFr
 
     if not keyed:
         return df.groupBy(*by).agg(*plain(None)) if plain(None) else df.select(*by).distinct()
-    # one pass: a row gives itself (tag -1) and its entries, which are reduced by (group, tag, entry key)
+    cells = [F.col(label).alias(label) for name in into for label in labels[name][0]]
+    if len(keyed) == 1 and (keyed[0][0].one or not cells):
+        # plain parts are merged later, so they may be reduced by (group, entry key) along with the entries
+        (e, label), rows = keyed[0], df
+        if e.one:
+            has, k, v = e.one(None)
+        else:
+            rows = df.select("*", F.explode_outer(e.items(None)).alias("__x"))
+            has, k, v = F.col("__x").isNotNull(), F.col("__x.k"), F.col("__x.v")
+        reduced = rows.groupBy(*by, has.alias("__has"), F.when(has, k).alias("__ek")).agg(*plain(None), e.resolve(F.when(has, v)).alias("__ev"))
+        return reduced.select(*names, *cells, F.when(F.col("__has"), F.struct(F.col("__ek").alias("k"), F.col("__ev").alias("v"))).alias(label))
+    # one pass: a row gives its entries, and itself (tag -1) for plain parts or if it has none; they are reduced by (group, tag, entry key)
     items = [e.items(None) for e, _ in keyed]
     kinds = [df.select(i.alias("x")).schema["x"].dataType.elementType.simpleString() for i in items]
 
     def tagged(tag: int, entry: Column | None) -> Column:
-        cells = [entry if i == tag else F.lit(None).cast(kind) for i, kind in enumerate(kinds)]
-        return F.struct(F.lit(tag).alias("tag"), *[c.cast(kind).alias(f"e{i}") for i, (c, kind) in enumerate(zip(cells, kinds))])
+        places = [entry if i == tag else F.lit(None).cast(kind) for i, kind in enumerate(kinds)]
+        return F.struct(F.lit(tag).alias("tag"), *[p.cast(kind).alias(f"e{i}") for i, (p, kind) in enumerate(zip(places, kinds))])
 
     own = F.array(tagged(-1, None))
 
     def listed(tag: int) -> Column:
         return F.coalesce(F.transform(items[tag], lambda x: tagged(tag, x)), F.slice(own, 1, 0))
 
-    exploded = df.withColumn("__e", F.explode(F.concat(own, *[listed(i) for i in range(len(items))])))
+    entries = F.concat(*[listed(i) for i in range(len(items))])
+    exploded = df.withColumn("__e", F.explode(F.concat(own, entries) if cells else F.when(F.size(entries) > 0, entries).otherwise(own)))
     tag = F.col("__e.tag")
     reduced = exploded.groupBy(*by, tag.alias("__tag"), *[F.col(f"__e.e{i}.k").alias(f"__ek{i}") for i in range(len(keyed))]).agg(
         *plain(tag == -1), *[e.resolve(F.col(f"__e.e{i}.v")).alias(f"__ev{i}") for i, (e, _) in enumerate(keyed)]

@@ -223,6 +223,40 @@ def _masked(text: Column, marks: int) -> Column:
     return bind(text, every)
 
 
+#: Codes of up to so many characters for each of e + 1 parts meet by deletions or masks, longer ones by a part they share.
+SHORT = 6
+
+
+def _span(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
+    """Where part i of a text begins (from 0), and its length."""
+    begin = F.floor(i * length / parts).cast("int")
+    return begin, (F.floor((i + 1) * length / parts).cast("int") - begin)
+
+
+def _parts(text: Column, edits: int) -> Column:
+    """The text in e + 1 parts, each named by the text's length and its number."""
+
+    def part(i: Column) -> Column:
+        begin, size = _span(F.length(text), i, edits + 1)
+        return F.concat_ws("\2", F.length(text), i, F.substring(text, begin + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(edits)), part)
+
+
+def _places(text: Column, edits: int) -> Column:
+    """What a text has where a part of a text at most e shorter may stand in it, at most e places aside, so named."""
+
+    def part(length: Column, i: Column) -> Column:
+        begin, size = _span(length, i, edits + 1)
+        fits = F.filter(F.sequence(begin - edits, begin + edits), lambda at: (at >= 0) & (at + size <= F.length(text)))
+        return F.transform(fits, lambda at: F.concat_ws("\2", length, i, F.substring(text, at + 1, size)))
+
+    def parts(length: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: part(length, i)))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.length(text) - edits, F.length(text)), parts)))
+
+
 def _codes(df: DataFrame, group: Sequence[str], code: str) -> DataFrame:
     return df.groupBy(*group, F.col(code).alias("__code")).agg(F.count(F.lit(1)).alias("__n"))
 
@@ -242,16 +276,24 @@ def edit_collisions(df: DataFrame, group: Sequence[str], code: str, minimum: int
     """Codes of a group closer than ``minimum`` by Levenshtein distance.
 
     One row per unordered pair of distinct codes (``code_a < code_b``), or per
-    repeated code, with the distance and the number of row pairs.  Two texts
-    within e edits become equal after at most e deletions from each, so
-    candidates meet in an equality join on what deletions leave; codes that
-    are far apart never meet.
+    repeated code, with the distance and the number of row pairs.  Candidates
+    meet in an equality join.  Short texts within e edits become equal after at
+    most e deletions from each.  Of a long text cut into e + 1 parts, e edits
+    leave one whole, and it stands in the other text at most e places aside, so
+    a code has some (e + 1)^3 keys however long it is.
     """
-    codes = _codes(df, group, code)
-    shrunk = codes.withColumn("__t", F.explode(_variants(F.col("__code"), minimum - 1, _without_one)))
-    other = shrunk.withColumnsRenamed({"__code": "__other", "__n": "__m"})
-    pairs = _met(shrunk, other, [*group, "__t"]).filter(F.col("__code") < F.col("__other"))
-    pairs = pairs.groupBy(*group, F.col("__code").alias("code_a"), F.col("__other").alias("code_b")).agg(
+    codes, edits = _codes(df, group, code), minimum - 1
+    text, short = F.col("__code"), SHORT * minimum
+    nothing = F.array().cast("array<string>")
+
+    def keyed(long: Column) -> Column:
+        # pairs whose longer text is short meet by deletions, all others by parts
+        left = F.when(F.length(text) <= short, _variants(text, edits, _without_one)).otherwise(nothing)
+        return codes.withColumn("__t", F.explode(F.concat(left, F.when(F.length(text) > short - edits, long).otherwise(nothing))))
+
+    other = keyed(_places(text, edits)).withColumnsRenamed({"__code": "__other", "__n": "__m"})
+    pairs = _met(keyed(_parts(text, edits)), other, [*group, "__t"]).filter(text != F.col("__other"))
+    pairs = pairs.groupBy(*group, F.least(text, F.col("__other")).alias("code_a"), F.greatest(text, F.col("__other")).alias("code_b")).agg(
         F.max(F.col("__n") * F.col("__m")).alias("n_pairs")
     )
     pairs = _closer(pairs, F.levenshtein("code_a", "code_b"), minimum)
@@ -280,8 +322,8 @@ def hamming_collisions(df: DataFrame, group: Sequence[str], code: str, minimum:
     """Ordered (target, other) codes of a group closer than ``minimum``.
 
     Codes that differ in at most e places over a common width become equal
-    once the same e places are masked, which gives the equality join.  Only
-    widths that are the length of some code of the group matter.  With a
+    once the same e places are masked, which gives the equality join; over a
+    long width they share one of its e + 1 parts instead.  Only widths that are the length of some code of the group matter.  With a
     ``second`` part (which may be empty) distances and widths are per part, and
     codes are written with a dash.
     """
@@ -299,7 +341,8 @@ def hamming_collisions(df: DataFrame, group: Sequence[str], code: str, minimum:
             shaped = shaped.filter(F.length("__one") + F.length("__two") - F.col("__w1") - F.col("__w2") <= slack)
         cut = F.expr("concat(substring(__one, 1, __w1), substring(__two, 1, __w2))")
         return shaped.select(
-            *group, F.col("__code").alias(name), F.col("__n").alias(count), "__w1", "__w2", F.explode(_masked(cut, edits)).alias("__t"),
+            *group, F.col("__code").alias(name), F.col("__n").alias(count), "__w1", "__w2",
+            F.explode(F.when(F.length(cut) > SHORT * minimum, _parts(cut, edits)).otherwise(_masked(cut, edits))).alias("__t"),
         )
 
     pairs = _met(masked(edits, "target", "__tn"), masked(None, "other", "__on"), [*group, "__w1", "__w2", "__t"])

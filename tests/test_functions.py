@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sluice.functions import documents as d
 from sluice.functions import exprs as x
 from sluice.functions import lists as l
-from sluice.functions import numbers, paths, signatures, strings
+from sluice.functions import masks, numbers, paths, signatures, strings
 
 
 def value(spark, column):
@@ -184,3 +184,14 @@ def test_empty_cells_and_keys(spark):
     table = l.table(items, {"A": lambda v: F.when(v == 2, v), "B": lambda v: v}, l.MARKDOWN)
     assert value(spark, table).split("\n")[2:] == ["||1|", "|2|2|"]
     assert value(spark, l.dictionary(items, lambda v: F.when(v == 1, F.lit("one")), lambda v: v)) == {"one": 1}
+
+
+@pytest.mark.parametrize("text, counts", [
+    ("y100", (100,)), ("Y*", (masks.ALL,)), ("y*,i8n*,i8,y100", (masks.ALL, None, 8, masks.ALL, 8, None, 100)), ("y5n2,i0,y7", (5, 2, None, None, None, None, 7)),
+    ("y5,y7", (5, None, None, None, None, None, 7)), ("y5,n3,i4", (5, None, None, 3, 4)), ("y5i8", (5, None, None, None, 8)), ("y5n2n3n4", (5, 2, None, None, None, 3, None, 4)),
+    ("y5,i8i9y3", (5, None, 8, None, 9, None, 3)), ("y5,,,", (5,)), ("y5,,i8", (5, None, None, None, 8)), ("y5,i8,i9,n2", (5, None, 8, None, 9, None, None, 2)),
+    *[(x, None) for x in (None, "", "i8", "n5", ",y5", "y", "y5x", "y5,,,,", "y5,y6,y7", "y5,i1,i2,i3", "y5,n2i3i4i5", "y 5", "y5n1n2n3n4", "y5,y6,i3")],
+])
+def test_masks(spark, text, counts):
+    (row,) = spark.createDataFrame([(text,)], "t string").select(masks.parse_mask("t").alias("m")).collect()
+    assert row["m"] == (None if counts is None else (*counts, *[None] * (8 - len(counts))))

@@ -113,6 +113,31 @@ def test_near_collisions(spark, minimum):
     assert found == ordered
 
 
+def changed(rng, text, edits):
+    for _ in range(edits):
+        i = rng.randint(0, len(text))
+        text = rng.choice([text[:i] + rng.choice("ACGT") + text[i:], text[: max(i - 1, 0)] + text[i:], text[: max(i - 1, 0)] + rng.choice("ACGT") + text[i:]])
+    return text
+
+
+@pytest.mark.parametrize("lengths, minimum", [((195, 205), 4), ((17, 30), 4), ((4, 9), 2), ((9, 16), 3)])
+def test_near_collisions_of_long_codes(spark, lengths, minimum):
+    rnd = random.Random(minimum)
+    seeds = ["".join(rnd.choice("ACGT") for _ in range(rnd.randint(*lengths))) for _ in range(12)]
+    codes = seeds + [changed(rnd, rnd.choice(seeds), rnd.randint(1, minimum + 1)) for _ in range(60)]
+    codes += ["".join(rnd.choice("ACGT") if rnd.random() < 0.01 else c for c in s) for s in seeds]
+    df = spark.createDataFrame([(1, s) for s in codes], "g int, s string")
+    edits, ordered = {}, {}
+    for a, b in itertools.combinations(codes, 2):
+        if abs(len(a) - len(b)) < minimum and levenshtein(a, b) < minimum:
+            edits[min(a, b), max(a, b)] = edits.get((min(a, b), max(a, b)), 0) + 1
+    for a, b in itertools.permutations(codes, 2):
+        if hamming(a, b) < minimum:
+            ordered[a, b] = ordered.get((a, b), 0) + 1
+    assert {(r.code_a, r.code_b): r.n_pairs for r in k.edit_collisions(df, ["g"], "s", minimum).collect()} == edits
+    assert {(r.target, r.other): r.n_pairs for r in k.hamming_collisions(df, ["g"], "s", minimum).collect()} == ordered
+
+
 def members(long, by="g"):
     """Sorted (group, items of the subgroup) of a long form."""
     found = {}
