@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators.predicates import Origin
 from sluice.semantics import col
-from sluice.sources.snapshots import publish, read_batches, read_snapshot
+from sluice.sources.snapshots import read_batches, read_snapshot, update
 
 # The states of an action.
 STATES = (
@@ -145,8 +145,7 @@ def merge_actions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_actions(path: str, new: DataFrame) -> int:
     """Merge actions into the table at ``path``; repeating the call changes nothing."""
-    old = read_snapshot(new.sparkSession, path)
-    return publish(new if old is None else merge_actions(old, new), path)
+    return update(new.sparkSession, path, lambda old: new if old is None else merge_actions(old, new))
 
 
 def action_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from sluice.functions.exprs import date_plus
 from sluice.operators.predicates import Origin
 from sluice.semantics import col
 from sluice.sinks.actions import location
-from sluice.sources.snapshots import publish, read_batches, read_snapshot
+from sluice.sources.snapshots import read_batches, read_snapshot, update
 
 
 def _pairs(values: Mapping[str, Column | str]) -> Column:
@@ -88,8 +88,7 @@ def fold_alerts(rows: DataFrame) -> DataFrame:
 
 def upsert_alerts(path: str, new: DataFrame) -> int:
     """Refresh the alert table at ``path``; repeating the call changes nothing."""
-    old = read_snapshot(new.sparkSession, path)
-    return publish(new if old is None else fold_alerts(old.unionByName(new)), path)
+    return update(new.sparkSession, path, lambda old: new if old is None else fold_alerts(old.unionByName(new)))
 
 
 def alert_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -95,11 +95,11 @@ def stream_alert_expiry(refreshes: DataFrame, delay: str, table: str, checkpoint
 
 
 def expiry_scan(spark: SparkSession, table: str) -> DataFrame:
-    """All expiry events; an episode ends once, so nothing is folded."""
+    """All expiry events, one per episode (a batch may come in while another is compacted)."""
     stored = [d for d in (read_snapshot(spark, table), read_batches(spark, table)) if d is not None]
     if not stored:
         raise FileNotFoundError(table)
-    return stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1])
+    return (stored[0] if len(stored) == 1 else stored[0].unionByName(stored[1])).dropDuplicates(["id", "ends_at"])
 
 
 def compact_expiry(spark: SparkSession, table: str) -> int | None:

@@ -1,6 +1,9 @@
 """Sources, snapshots, sinks and streams."""
 
 import json
+import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -11,7 +14,8 @@ from sluice.semantics import scratch_path
 from sluice.sinks import actions as a
 from sluice.sinks import alerts as al
 from sluice.sinks import dumps, extracts, refills
-from sluice.sources import declared, files
+from sluice.sources import declared, files, folders
+from sluice.sources.folders import put_new
 from sluice.sources.provenance import provenance_join
 from sluice.sources import snapshots as sn
 from sluice.sources.snapshots import current_version, publish, read_snapshot, snapshot_replace
@@ -204,16 +208,76 @@ def test_stream_picks_up_new_files(spark, folder):
 
 def test_two_writers_do_not_overwrite_each_other(spark, folder, runs, monkeypatch):
     publish(runs, folder)
-    stale = sn._current(spark, folder)
     publish(runs.limit(1), folder)
-    with monkeypatch.context() as m:  # a writer that read the log before the other one wrote
-        m.setattr(sn, "_current", lambda *a: stale)
-        assert publish(runs.union(runs), folder) == 2
-    assert current_version(spark, folder) == 2 and read_snapshot(spark, folder).count() == 4
+    real, seen = sn._current, []
+
+    def stale(*where):
+        """At first what a writer saw that read the log before the second version was there."""
+        seen.append(1)
+        line = real(*where)
+        return line if len(seen) > 1 else type(line)(**{**line.asDict(), "version": 1})
+
+    with monkeypatch.context() as m:
+        m.setattr(sn, "_current", stale)
+        assert publish(runs.union(runs), folder) == 3
+    assert len(seen) == 2 and current_version(spark, folder) == 3 and read_snapshot(spark, folder).count() == 4
     versions = spark.read.schema("version bigint, folder string").json(f"{folder}/current")
     assert sorted(spark.read.parquet(f"{folder}/{r.folder}").count() for r in versions.collect()) == [1, 2, 4]
 
 
+def test_two_upserts_at_once_lose_no_row(spark, folder, monkeypatch):
+    a.upsert_actions(folder, emitted(events(spark, ("old", 1, "x"))))
+    real, together, calls = sn._written, threading.Barrier(2, timeout=120), []
+
+    def written(*what):
+        done = real(*what)
+        calls.append(1)
+        if len(calls) <= 2:
+            together.wait()  # both have read version 1 and written their data before either is named
+        return done
+
+    monkeypatch.setattr(sn, "_written", written)
+    new = [emitted(events(spark, (user, 2, "y"))) for user in ("one", "two")]
+    with ThreadPoolExecutor(2) as pool:
+        versions = sorted(pool.map(lambda df: a.upsert_actions(folder, df), new))
+    assert versions == [2, 3] and len(calls) == 3
+    assert sorted(json.loads(r.params)["user"] for r in a.action_scan(spark, folder).collect()) == ["old", "one", "two"]
+    # the data that lost the race are gone
+    data = [p for p in os.listdir(folder.removeprefix("file://")) if p.startswith("v=")]
+    assert len(data) == 3
+
+
+def test_a_writer_gives_up_in_the_end(spark, folder, runs, monkeypatch):
+    publish(runs, folder)
+    monkeypatch.setattr(sn, "_named", lambda *a: False)
+    with pytest.raises(sn.Overtaken):
+        sn.update(spark, folder, lambda old: old, tries=2)
+    assert read_snapshot(spark, folder).count() == 2
+
+
+def test_small_files_are_made_once_on_any_file_system(spark, folder):
+    assert put_new(spark, f"{folder}/log/1.json", "one") and not put_new(spark, f"{folder}/log/1.json", "two")
+    # the way of file systems without links
+    for name, made in (("1.json", False), ("2.json", True), ("2.json", False)):
+        assert folders._renamed(spark, *folders._system(spark, f"{folder}/log/{name}"), "three") == made
+    assert sorted((r.value) for r in spark.read.text(f"{folder}/log").collect()) == ["one", "three"]
+    assert [f for f in os.listdir(f"{folder.removeprefix('file://')}/log") if not f.endswith(".crc")] != []
+    folders.remove(spark, f"{folder}/log")
+    folders.remove(spark, f"{folder}/log")
+    assert not os.path.exists(f"{folder.removeprefix('file://')}/log")
+
+
+def test_expiry_shortens_the_log(spark, folder, runs):
+    for _ in range(4):
+        publish(runs, folder)
+    sn.expire(spark, folder, keep=2)
+    plain = folder.removeprefix("file://")
+    assert sorted(f for f in os.listdir(f"{plain}/current") if f.endswith(".json")) == [f"{v:020d}.json" for v in (3, 4)]
+    assert len([f for f in os.listdir(plain) if f.startswith("v=")]) == 2
+    sn.expire(spark, folder, keep=2)
+    assert current_version(spark, folder) == 4 and publish(runs, folder) == 5
+
+
 def test_a_store_can_be_refilled_from_itself(spark, folder, runs):
     refills.refill_table(runs, folder)
     refills.refill_table(read_snapshot(spark, folder).filter("library_size > 300"), folder)
