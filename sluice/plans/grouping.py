@@ -439,18 +439,19 @@ def grouper_combinations_optional(t: Tables):
 
 
 @plan("grouper_crosstab_optional", f"""
-    {JUDGED}, per AS (SELECT quality, lang, source, count(*) AS n FROM d WHERE lang IN ('es', 'fr') GROUP BY quality, lang, source)
-    SELECT coalesce(e.quality, f.quality) AS quality, e.source AS es_source, f.source AS fr_source, coalesce(e.n, 0) + coalesce(f.n, 0) AS n
-    FROM (SELECT *, coalesce(quality, -1) AS q FROM per WHERE lang = 'es') e FULL JOIN (SELECT *, coalesce(quality, -1) AS q FROM per WHERE lang = 'fr') f ON e.q = f.q
+    {JUDGED}, per AS (SELECT quality, lang = 'en' AS english, source, count(*) AS n FROM d GROUP BY quality, lang = 'en', source)
+    SELECT coalesce(e.quality, f.quality) AS quality, e.source AS english_source, f.source AS other_source, coalesce(e.n, 0) + coalesce(f.n, 0) AS n
+    FROM (SELECT *, coalesce(quality, -1) AS q FROM per WHERE english) e FULL JOIN (SELECT *, coalesce(quality, -1) AS q FROM per WHERE NOT english) f ON e.q = f.q
 """)
 def grouper_crosstab_optional(t: Tables):
-    per = judged(t).filter(F.col("lang").isin("es", "fr")).groupBy("quality", "lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    english = judged(t).withColumn("english", F.col("lang") == "en")
+    per = english.groupBy("quality", "english", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
-    def only(lang: str):
-        return c.where(F.col("lang") == lang, c.maximum("source", default=F.lit(None).cast("string")))
+    def only(condition):
+        return c.where(condition, c.maximum("source", default=F.lit(None).cast("string")))
 
-    cells = g.crosstab(per, ["quality"], "lang", "first", {"es_source": only("es"), "fr_source": only("fr"), "n": c.total("n")})
-    return cells.drop("subgroup")
+    members = {"english_source": only(F.col("english")), "other_source": only(~F.col("english")), "n": c.total("n")}
+    return g.crosstab(per, ["quality"], "english", "first", members).drop("subgroup")
 
 
 @plan("near_collision_pairs_optional", f"""

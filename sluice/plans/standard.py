@@ -71,7 +71,11 @@ columns("fn_date_start_of_day", "events", EVENT, lambda: {"v": dates.start_of_da
 columns("d_epoch", "events", EVENT, lambda: {"v": dates.to_seconds("ts") - dates.to_seconds(dates.epoch())}, {
     "v": "epoch_us(ts) // 1000000",
 })
-columns("d_now", "events", EVENT, lambda: {"past": F.col("ts") < dates.now()}, {"past": "ts < now()::TIMESTAMP"})
+columns("d_now", "events", EVENT, lambda: {
+    "past": F.col("ts") < dates.now(), "later": F.col("ts") + F.make_interval(years=(F.col("event_id") % 9).cast("int")) < dates.now(),
+}, {
+    "past": "ts < now()::TIMESTAMP", "later": "ts + to_years(CAST(event_id % 9 AS INTEGER)) < now()::TIMESTAMP",
+})
 
 # ------------------------------------------------------------------ numbers
 
