@@ -34,7 +34,7 @@ from sluice.llm.pieces import Pieces
 
 _CHUNK = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 _GRAIN = 2**26
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 class Lattices:
@@ -53,13 +53,13 @@ class Lattices:
         trie = Trie([s for s in strings if len(s) <= TALL], table)
         parts: list[tuple[np.ndarray, ...]] = []
         forward, sums = np.zeros(1), np.zeros((1, 0))
-        number, numbers = np.full(1, -1, np.int64), np.zeros((1, 0), np.int64)
+        number, numbers = np.full(1, -1, np.int32), np.zeros((1, 0), np.int32)
         score = alpha * table.score
         for level in trie.levels():
             sums, numbers = deepened(sums, forward, level.parent, pieces.longest), deepened(numbers, number, level.parent, pieces.longest)
             edge = level.piece >= 0
             weight = np.where(edge, sums + score[level.piece], -np.inf)
-            ids = np.where(edge, table.ids[level.piece], -1)
+            ids = np.where(edge, table.ids[level.piece], np.int32(-1))
             spelled = np.flatnonzero(~table.known[level.char])
             if len(spelled):
                 raw = [chr(c).encode("utf-8", "surrogateescape") for c in level.char[spelled].tolist()]
@@ -69,10 +69,10 @@ class Lattices:
             top = weight.max(axis=1)
             share = np.exp(weight - top[:, None]).cumsum(axis=1)
             forward = top + np.log(share[:, -1])
-            number = level.first + np.arange(len(level.char))
+            number = level.first + np.arange(len(level.char), dtype=np.int32)
             share /= share[:, -1:]
             cum = number[:, None] + np.round(share * _GRAIN) / _GRAIN
-            parts.append((cum[edge], numbers[edge].astype(np.int32), ids[edge]))
+            parts.append((cum[edge], numbers[edge], ids[edge].astype(np.int32)))
         self.ends = np.empty(len(strings), np.int64)
         self.ends[short] = trie.ends
         states = trie.nodes
@@ -179,6 +179,8 @@ def encode_sampled(
                 missing = pa.array([x is None for x in bodies], pa.bool_())
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=missing)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], column], names=[*[f"c{i}" for i in range(n)], "ids"])
+                del flat, column
+                pa.default_memory_pool().release_unused()
 
     kinds = [*rows.schema.fields[:n]]
     made = rows.mapInArrow(encode, ", ".join([*[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)], "ids array<int>"]))
