@@ -61,20 +61,28 @@ def _numbers(df: DataFrame, last: Column) -> DataFrame:
     return high.withColumn("__low", low).withColumn("subgroup", F.col("__high") * _STEP + F.col("__low")).drop("__high", "__low")
 
 
-def combinations(df: DataFrame, by: Sequence[str], size: int, order: str, into: Mapping[str, Collector] | None = None) -> DataFrame:
+def combinations(
+    df: DataFrame, by: Sequence[str], size: int, order: str, into: Mapping[str, Collector] | None = None, block: int = 1024
+) -> DataFrame:
     """Every combination of ``size`` rows of a group; ``subgroup`` lists their numbers.
 
-    ``order`` is a unique integer within a group.  Combinations come from
-    equality joins on the group with increasing numbers, which adaptive
-    execution may split.
+    ``order`` is a unique integer within a group.  Combinations grow by
+    equality joins with increasing numbers.  Numbers are cut into blocks, and
+    the key is (group, block of the last number, block of the next), so that a
+    large group is spread over its pairs of blocks; a row is sent once for each
+    block it may meet.
     """
     by = list(by)
     rows = positions(df, by, order, "__number")
-    numbers = rows.select(*by, "__number")
-    found = numbers.select(*by, F.array("__number").alias("subgroup"))
+    numbers = rows.select(*by, "__number", F.floor(F.col("__number") / block).alias("__b"))
+    last = df.groupBy(*by).agg(F.floor((F.count(F.lit(1)) - 1) / block).alias("__last"))
+    zero = F.lit(0).cast("bigint")
+    others = numbers.select(*by, "__number", F.explode(F.sequence(zero, F.col("__b"))).alias("__a"), "__b")
+    found = numbers.select(*by, F.array("__number").alias("subgroup"), F.col("__b").alias("__a"))
     for _ in range(size - 1):
-        wider = join_same(found, numbers, by).filter(F.element_at("subgroup", -1) < F.col("__number"))
-        found = wider.select(*by, F.array_append("subgroup", F.col("__number")).alias("subgroup"))
+        sent = join_same(found, last, by).select(*by, "subgroup", "__a", F.explode(F.sequence("__a", "__last")).alias("__b"))
+        wider = join_same(sent, others, [*by, "__a", "__b"], hint="merge").filter(F.element_at("subgroup", -1) < F.col("__number"))
+        found = wider.select(*by, F.array_append("subgroup", F.col("__number")).alias("subgroup"), F.col("__b").alias("__a"))
     chosen = found.select("*", F.explode("subgroup").alias("__number"))
     return _subgroups(chosen, rows, [*by, "__number"], by, into)
 
@@ -84,7 +92,8 @@ def crosstab(df: DataFrame, by: Sequence[str], partition: str, order: str, into:
 
     A subgroup's number, written in the mixed radix of the counts of rows per
     value, gives the number of the row to take from each value.  ``order`` is a
-    unique integer within a group and value; an empty value is a value.
+    unique integer within a group and value; an empty value is a value.  A group
+    with 2^63 choices or more is an error.
     """
     by = list(by)
     rows = positions(df.withColumn("__value", F.col(partition)), [*by, "__value"], order, "__number")
@@ -94,7 +103,9 @@ def crosstab(df: DataFrame, by: Sequence[str], partition: str, order: str, into:
 
     def widen(state: Column, x: Column) -> Column:
         axis = F.struct(state["ways"].alias("stride"), x["__n"].alias("n"), x["__value"].alias("value"))
-        return F.struct((state["ways"] * x["__n"]).alias("ways"), F.array_append(state["axes"], axis).alias("axes"))
+        few = state["ways"] <= F.expr("9223372036854775807L") / x["__n"]
+        ways = F.when(few, state["ways"] * x["__n"]).otherwise(F.raise_error(F.lit("crosstab: a group has 2^63 choices or more")).cast("bigint"))
+        return F.struct(ways.alias("ways"), F.array_append(state["axes"], axis).alias("axes"))
 
     groups = counts.groupBy(*by).agg(listed.alias("__listed"))
     start = F.struct(

@@ -152,6 +152,46 @@ def test_combinations_of_three(spark):
     assert members(g.combinations(df, ["g"], 3, "i")) == sorted(want, key=repr)
 
 
+def test_a_crosstab_without_end_is_named(spark):
+    df = spark.createDataFrame([("g", v, i) for v in range(64) for i in (0, 1)], "g string, v int, i int")
+    with pytest.raises(Exception, match="2\\^63 choices"):
+        g.crosstab(df, ["g"], "v", "i").count()
+
+
+@pytest.mark.parametrize("size, block", [(2, 3), (3, 2), (3, 4), (4, 3)])
+def test_combinations_over_block_borders(spark, size, block):
+    groups = {"a": 9, None: 5, "b": block, "c": 2}
+    df = spark.createDataFrame([(n, 10 * i) for n, many in groups.items() for i in range(many)], "g string, i int")
+    want = [(n, t) for n, many in groups.items() for t in itertools.combinations(range(0, 10 * many, 10), size)]
+    assert members(g.combinations(df, ["g"], size, "i", block=block)) == sorted(want, key=repr)
+
+
+def test_one_group_is_spread_over_its_pairs_of_blocks(spark):
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(600).select(F.lit("hot").alias("g"), F.col("id").alias("i"))
+        made = []
+
+        def seen(a, b, keys, hint=None):
+            joined = joins_same(a, b, keys, hint=hint)
+            if "__a" in keys:
+                made.append(joined.groupBy(F.spark_partition_id().alias("task")).count())
+            return joined
+
+        joins_same = g.join_same
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(g, "join_same", seen)
+            pairs = g.combinations(df, ["g"], 2, "i", block=30)
+        tasks = [r["count"] for r in made[0].collect()]
+        # 20 blocks make 210 pairs of blocks
+        assert len(tasks) > 60 and max(tasks) < sum(tasks) / 10 and pairs.count() == 600 * 599
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_pairs_of_a_large_group(spark):
     df = spark.range(1500).select(F.lit(None).cast("int").alias("g"), F.col("id").alias("i"))
     pairs = g.combinations(df, ["g"], 2, "i", {"total": c.total("i")})
