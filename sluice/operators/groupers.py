@@ -103,8 +103,7 @@ def crosstab(df: DataFrame, by: Sequence[str], partition: str, order: str, into:
 
     def widen(state: Column, x: Column) -> Column:
         axis = F.struct(state["ways"].alias("stride"), x["__n"].alias("n"), x["__value"].alias("value"))
-        few = state["ways"] <= F.expr("9223372036854775807L") / x["__n"]
-        ways = F.when(few, state["ways"] * x["__n"]).otherwise(F.raise_error(F.lit("crosstab: a group has 2^63 choices or more")).cast("bigint"))
+        ways = F.coalesce(F.try_multiply(state["ways"], x["__n"]), F.raise_error(F.lit("crosstab: a group has 2^63 choices or more")).cast("bigint"))
         return F.struct(ways.alias("ways"), F.array_append(state["axes"], axis).alias("axes"))
 
     groups = counts.groupBy(*by).agg(listed.alias("__listed"))
