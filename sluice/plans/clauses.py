@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators import clauses as q
 from sluice.operators import collectors as c
 from sluice.plans.registry import Tables, plan
+from sluice.semantics import scratch_path
+from sluice.sinks.streams import deal, require_once
 
 CENTS = "CAST(round({} * 100) AS BIGINT)"
 
@@ -46,6 +51,28 @@ def require(t: Tables):
     return kept.unionByName(rejected.select("doc_id", "lang", F.lit("rejected").alias("stream"), F.lit(-1).alias("quality")))
 
 
+@plan("reject_once", """
+    SELECT CASE WHEN value > 100 THEN 'loud' WHEN event_type = 'error' THEN 'faulty' ELSE 'kept' END AS stream, user_id, count(*) AS n, max(event_id) AS last
+    FROM events GROUP BY 1, 2
+""")
+def reject_once(t: Tables):
+    """Three streams from one read of the events and one write."""
+    streams = deal(t.events, scratch_path(t.spark, "streams"), {"loud": F.col("value") > 100, "faulty": F.col("event_type") == "error"})
+    parts = [d.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last")).withColumn("stream", F.lit(s)) for s, d in streams.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@plan("require_once", """
+    SELECT d.doc_id, d.lang, CASE WHEN l.quality IS NULL THEN 'rejected' ELSE 'kept' END AS stream, coalesce(l.quality, -1) AS quality
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
+def require_once_plan(t: Tables):
+    labelled = t.documents.select("doc_id", "lang").join(t.labels.withColumnRenamed("quality", "q"), "doc_id", "left")
+    kept, rejected = require_once(labelled, "quality", F.col("q"), scratch_path(t.spark, "required"))
+    kept = kept.select("doc_id", "lang", F.lit("kept").alias("stream"), "quality")
+    return kept.unionByName(rejected.select("doc_id", "lang", F.lit("rejected").alias("stream"), F.lit(-1).alias("quality")))
+
+
 @plan("let", """
     SELECT l_orderkey, l_linenumber AS line, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents,
         l_returnflag || l_linestatus AS flags

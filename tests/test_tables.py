@@ -13,7 +13,7 @@ from sluice.operators.predicates import Origin
 from sluice.semantics import scratch_path
 from sluice.sinks import actions as a
 from sluice.sinks import alerts as al
-from sluice.sinks import dumps, extracts, refills
+from sluice.sinks import dumps, extracts, refills, streams
 from sluice.sources import declared, files, folders
 from sluice.sources.folders import put_new
 from sluice.sources.provenance import provenance_join
@@ -353,5 +353,35 @@ def test_merge_replaces_rows_with_an_empty_id(spark):
 def test_repeated_records_do_not_multiply_runs(spark):
     runs = spark.createDataFrame([(1, "a")], "k long, rv string")
     records = spark.createDataFrame([(1, "a", False), (1, "b", False)], "k long, v string, skip boolean")
-    streams = provenance_join(runs, records, ["k"], "rv", "v", "skip")
-    assert (streams.good.count(), streams.stale.count()) == (0, 1)
+    joined = provenance_join(runs, records, ["k"], "rv", "v", "skip")
+    assert (joined.good.count(), joined.stale.count()) == (0, 1)
+
+
+def test_streams_come_from_one_read_of_the_source(spark, folder):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).mapInArrow(counted, "id bigint")
+    bad, odd = F.col("id") % 10 == 0, F.col("id") % 2 == 1
+    parts = streams.deal(df, folder, {"bad": bad, "odd": odd, "never": F.col("id") < 0})
+    assert {n: d.count() for n, d in parts.items()} == {"bad": 100, "odd": 500, "never": 0, "kept": 400}
+    assert parts["odd"].agg(F.sum("id")).first()[0] == sum(range(1, 1000, 2))
+    assert reads.value == 1000
+    with pytest.raises(ValueError):
+        streams.deal(df, folder + "2", {"a/b": bad})
+
+
+def test_rejected_and_drained_rows(spark, folder):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 200)], "id int, v int")
+    kept, rejected = streams.reject_once(df, F.col("v") > 100, folder + "a")
+    # an unknown condition does not reject
+    assert sorted(r.id for r in kept.collect()) == [1, 2] and [r.id for r in rejected.collect()] == [3]
+    bound, empty = streams.require_once(df, "w", F.col("v") * 2, folder + "b")
+    assert sorted((r.id, r.w) for r in bound.collect()) == [(1, 10), (3, 400)]
+    assert empty.columns == ["id", "v"] and [r.id for r in empty.collect()] == [2]
+    taken, stay = streams.drain_once(df, F.col("id") < 3, folder + "c")
+    assert taken.count() == 2 and [r.id for r in stay.collect()] == [3]
