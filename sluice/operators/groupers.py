@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.masks import code_length, narrowed_mask, parse_code, parse_mask, trim_code, write_code, write_mask
+from sluice.operators.bins import packed
 from sluice.operators.collectors import Collector, listing
 from sluice.operators.grouping import Keys, finish, group_by, merge_partials, part_labels, partials
 from sluice.operators.lookups import hamming_collisions
@@ -260,7 +261,8 @@ def greedy_bins(costs: Column | str, limit: int) -> Column:
     """Split a cost dictionary into buckets of at most ``limit``.
 
     Items at or over the limit stand alone; the others, dearest first, go to
-    the first bucket with room.  Equal costs are taken in name order.
+    the first bucket with room, found in a tree of rooms.  Equal costs are
+    taken in name order.
     """
     entries = F.map_entries(col(costs))
     dear = F.filter(entries, lambda e: e["value"] >= limit)
@@ -270,28 +272,8 @@ def greedy_bins(costs: Column | str, limit: int) -> Column:
             lambda e: F.struct((-e["value"]).cast("bigint").alias("c"), e["key"].alias("k")),
         )
     )
-    empty = F.array().cast("array<struct<room:bigint,names:array<string>>>")
-
-    def place(bins: Column, item: Column) -> Column:
-        cost = -item["c"]
-        fits = F.transform(bins, lambda b: (b["room"] > 0) & (b["room"] >= cost))
-
-        def put(at: Column) -> Column:
-            taken = F.transform(
-                bins,
-                lambda b, i: F.when(
-                    i + 1 == at,
-                    F.struct((b["room"] - cost).alias("room"), F.array_append(b["names"], item["k"]).alias("names")),
-                ).otherwise(b),
-            )
-            opened = F.array_append(
-                bins, F.struct((F.lit(limit).cast("bigint") - cost).alias("room"), F.array(item["k"]).alias("names"))
-            )
-            return F.when(at > 0, taken).otherwise(opened)
-
-        return bind(F.array_position(fits, F.lit(True)), put)
-
-    filled = F.aggregate(cheap, empty, place, lambda bins: F.transform(bins, lambda b: F.sort_array(b["names"])))
+    items = F.transform(cheap, lambda e: F.struct((-e["c"]).alias("cost"), e["k"].alias("name")))
+    filled = F.transform(packed(items, limit), lambda names: F.sort_array(names))
     return F.sort_array(F.concat(F.transform(dear, lambda e: F.array(e["key"])), filled))
 
 

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import masks
+from sluice.operators import bins
 from sluice.operators import collectors as c
 from sluice.operators import groupers as g
 from sluice.operators import lookups as k
@@ -389,3 +391,38 @@ def test_config_lookup(spark):
 
 def test_utc(spark):
     assert spark.range(1).select(F.timestamp_seconds(F.lit(0)).alias("t")).first().t.replace(tzinfo=timezone.utc) is not None
+
+
+def plain_first_fit(costs, limit):
+    rooms, chosen = [], []
+    for cost in costs:
+        at = next((i for i, room in enumerate(rooms) if room > 0 and room >= cost), len(rooms))
+        if at == len(rooms):
+            rooms.append(limit)
+        rooms[at] -= cost
+        chosen.append(at)
+    return chosen
+
+
+def test_first_fit_by_a_tree():
+    rnd = random.Random(5)
+    for n in range(200):
+        limit = rnd.choice([1, 7, 50, 1000])
+        costs = sorted((rnd.randint(rnd.choice([-3, 0, min(1, limit - 1)]), limit - 1) for _ in range(rnd.randint(0, 40))), reverse=True)
+        assert bins.first_fit(costs, limit) == plain_first_fit(costs, limit), (costs, limit)
+    assert bins.first_fit([], 5) == [] and bins.first_fit([-1, -2], 0) == plain_first_fit([-1, -2], 0)
+
+
+def test_greedy_bins_of_a_large_dictionary(spark):
+    rnd = random.Random(6)
+    costs = {f"n{i:05d}": rnd.randint(0, 120) for i in range(10_000)}
+    df = spark.createDataFrame([(1, costs), (2, None), (3, {})], "i int, costs map<string,int>")
+    start = time.perf_counter()
+    out = {r.i: r.b for r in df.select("i", g.greedy_bins("costs", 100).alias("b")).collect()}
+    assert time.perf_counter() - start < 20
+    cheap = sorted(((-v, k) for k, v in costs.items() if v < 100))
+    filled = {}
+    for (_, name), at in zip(cheap, plain_first_fit([-c for c, _ in cheap], 100)):
+        filled.setdefault(at, []).append(name)
+    assert out[1] == sorted([*map(sorted, filled.values()), *([k] for k, v in costs.items() if v >= 100)])
+    assert out[2] is None and out[3] == []
