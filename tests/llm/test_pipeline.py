@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from sluice.llm.pieces import load_pieces
 from test_decontaminate import windows, words
 from test_jaccard import brute as components
@@ -92,6 +93,17 @@ def test_stages_keep_the_columns(spark, tmp_path, documents, odd):
         assert len(last) == docs.count() and all(r["lossless"] for r in last)
 
 
+@pytest.mark.parametrize("empty", ["documents", "benchmark"])
+def test_the_whole_run_over_an_empty_table(spark, tmp_path, empty):
+    some = passages(3)
+    rows = [] if empty == "documents" else [(1, some(80), "en", "s", 1), (2, some(90), None, None, None)]
+    items = [] if empty == "benchmark" else [(1, some(30))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(r[:2] for r in rows) and all(r["lossless"] for r in found)
+
+
 def test_entry_works_without_the_subpackage():
     script = """
 import sys
@@ -111,7 +123,7 @@ def test_entry_lists_the_dealt_queries():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names
 
 
