@@ -7,14 +7,17 @@ score is its mean loss per token under the target model less that under the
 background model: the lower, the more like the target.
 
 Counts cover every row, every target row and every word and pair, and stay
-distributed tables that grow with the corpus.  Rows are dealt into slices of
-bounded size; a slice's pairs are reduced in its task, summed over all slices
-by a shuffle, and come back to the slice, where its rows are scored.  So the
-driver sees totals only.  Absolute discounting gives what is taken from the
-pairs of a word back to the words' add-one shares, so both models sum to one.
-``least_word`` and ``least_pair`` leave out words (they become one unknown
-word) and pairs with a smaller share of tokens, averaged over both corpora; by
-default nothing is left out.
+distributed tables that grow with the corpus.  Texts are read once and become
+sequences of word numbers, in parts of bounded size.  The matrix of pair counts
+is summed in blocks: a part sends to each cell of the matrix its pairs there,
+sorted, as one compressed block; the cell adds its blocks up and answers each
+with the sums in the order of its pairs, so that no pair travels back.  A word
+with many tokens is spread over several cells.  The driver sees totals only.
+Absolute discounting gives what is taken from the pairs of a word back to the
+words' add-one shares, so both models sum to one.  ``least_word`` and
+``least_pair`` leave out words (they become one unknown word) and pairs with a
+smaller share of tokens, averaged over both corpora; by default nothing is left
+out.
 
 Words are maximal runs of ASCII letters, digits and characters outside ASCII,
 lower-cased in ASCII, and are told apart by 64-bit hashes; a row begins with a
@@ -33,115 +36,156 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from sluice.llm.common import ALPHANUMERIC, body_sizes, keyed_text, saved, schema_with_key, slices
+from sluice.llm.common import ALPHANUMERIC, body_sizes, keyed_text, mixed, saved, schema_with_key, slices
 
 #: Bytes of text whose pairs are counted, and whose rows are scored, together.
 PART_BYTES = 16 << 20
+#: Tokens whose pairs are summed together, on average.
+CELL_TOKENS = 2_000_000
+#: Words are numbered in this many groups, by frequency inside each.
+NUMBER_GROUPS = 1024
+#: Tokens that are scored at once inside a task.
+SCORED_TOKENS = 500_000
 DISCOUNT = 0.5
 _UNKNOWN, _START = 0, 1
-#: In place of a word's hash.
-_START_HASH = 0
+#: The row of a part that holds the hashes of its words.
+_VOCABULARY = -1
 
 
-class WordHashes(dict):
-    """Word to a signed 64-bit hash, remembered for a bounded number of words."""
+def words_of(body: bytes | None) -> list[bytes]:
+    return body.translate(ALPHANUMERIC).split() if body else []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        h = self[word] = h - 2**64 if h >= 2**63 else h
-        return h
 
+class Places(dict):
+    """Word to its place in the part's vocabulary, from 1 on in order of appearance."""
 
-def words_of(body: bytes | None) -> list[bytes]:
-    return body.translate(ALPHANUMERIC).split() if body else []
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self) + 1
+        return place
 
 
-def hashed(bodies: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words per row, and the hash of each word and of the word before it."""
-    found = [words_of(b) for b in bodies]
-    sizes = np.array([len(x) for x in found], np.int64)
-    after = np.fromiter((h for x in found for h in map(hashes.__getitem__, x)), np.int64, sizes.sum())
-    before = np.concatenate([np.full(1, _START_HASH), after[:-1]])[: len(after)]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START_HASH
-    return sizes, before, after
+def packed(x: np.ndarray) -> bytes:
+    """Integers as planes of bytes, compressed: planes of zeros cost nothing."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
 
-def marked(docs: DataFrame, target: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """part (rows of about ``part_bytes`` bytes of text), key, body and whether the row is of the target, saved."""
-    chosen = target.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct().withColumn("hit", F.lit(True))
-    rows = keyed_text(docs, key, text).join(chosen.hint("merge"), "key", "left").select("key", "body", F.coalesce("hit", F.lit(False)).alias("target"))
+def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).ravel()
 
-    def dealt(batches):
-        part, total = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            parts = []
-            for n in body_sizes(batch.column(1)).tolist():
-                if total and total + n > part_bytes:
-                    part, total = part + 1, 0
-                total += n
-                parts.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *batch.columns], names=["part", "key", "body", "target"])
 
-    return saved(rows.mapInArrow(dealt, StructType([StructField("part", LongType()), *rows.schema.fields])), "rows")
+@dataclass
+class Rows:
+    """``sequences`` (part, row, key, n_words, body: the places of its words; row -1: the part's word hashes) and ``hits`` (part, row, n_words: rows of the target), saved."""
+
+    sequences: DataFrame
+    hits: DataFrame
 
 
-def counted_pairs(rows: DataFrame) -> DataFrame:
-    """part, a, b (hashes of a word and of the next), every (count in all rows), target (count in target rows)."""
+def marked(docs: DataFrame, target: DataFrame, key: str, text: str, part_bytes: int = PART_BYTES) -> Rows:
+    """The texts as sequences, in parts of about ``part_bytes`` bytes of text, and which rows are of the target."""
+    bodies = keyed_text(docs, key, text)
+    schema = schema_with_key(bodies, "key", "part bigint, row int, n_words bigint, body binary")
 
-    def reduced(held):
-        a, b, every, target = (np.concatenate([h[i] for h in held]) for i in range(4))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        if not len(first):
-            return a, b, every, target
-        return a[first], b[first], np.add.reduceat(every[order], first), np.add.reduceat(target[order], first)
+    def dealt(batches):
+        part, total, row, places, null = TaskContext.get().partitionId() << 32, 0, 0, Places(), None
 
-    def count(batches):
-        hashes, held, at = WordHashes(), [], None
+        def batch_of(keys, rows, sizes, bodies):
+            return pa.RecordBatch.from_arrays(
+                [keys, pa.array(np.full(len(rows), part)), pa.array(rows, pa.int32()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary())], names=schema.names
+            )
 
-        def flushed():
-            columns = reduced(held)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), at)), *map(pa.array, columns)], names=["part", "a", "b", "every", "target"])
+        def vocabulary():
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in places), np.uint64, len(places))
+            return batch_of(null, [_VOCABULARY], [len(places)], [hashes.tobytes()])
 
         for batch in batches:
-            parts = batch.column(0).to_numpy()
-            bounds = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
-            for x, y in zip(bounds, bounds[1:]):
-                if held and parts[x] != at:
-                    yield flushed()
-                    held = []
-                for i, j in slices(body_sizes(batch.column(1).slice(x, y - x))):
-                    at = parts[x]
-                    sizes, before, after = hashed(batch.column(1).slice(x + i, j - i).to_pylist(), hashes)
-                    hits = np.repeat(batch.column(2).slice(x + i, j - i).to_numpy(zero_copy_only=False), sizes).astype(np.int64)
-                    held.append(reduced([(before, after, np.ones(len(after), np.int64), hits)]))
-                    if len(held) > 8:
-                        held = [reduced(held)]
-        if held:
-            yield flushed()
-
-    return rows.select("part", "body", "target").mapInArrow(count, "part bigint, a bigint, b bigint, every bigint, target bigint")
+            null = pa.nulls(1, batch.column(0).type)
+            sizes = body_sizes(batch.column(1)).tolist()
+            start = 0
+            for i in range(len(sizes) + 1):
+                full = i < len(sizes) and total and total + sizes[i] > part_bytes
+                if (full or i == len(sizes)) and i > start:
+                    found = [np.fromiter(map(places.__getitem__, words_of(b.as_py())), np.int32) for b in batch.column(1).slice(start, i - start)]
+                    yield batch_of(batch.column(0).slice(start, i - start), np.arange(row, row + i - start), [len(x) for x in found], [packed(x) for x in found])
+                    row, start = row + i - start, i
+                if full:
+                    yield vocabulary()
+                    part, total, row, places = part + 1, 0, 0, Places()
+                total += sizes[i] if i < len(sizes) else 0
+        if row:
+            yield vocabulary()
+
+    sequences = saved(bodies.mapInArrow(dealt, schema), "sequences")
+    chosen = target.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
+    hits = sequences.filter(F.col("row") > _VOCABULARY).join(chosen.hint("merge"), "key").select("part", "row", "n_words")
+    return Rows(sequences, saved(hits, "hits"))
+
+
+class Part:
+    """A part's sequences: ``before`` and ``after`` (places of each word and of the one before it, 0: the start), row by row."""
+
+    def __init__(self, rows: pa.Table):
+        import pyarrow.compute as pc
+
+        self.words = np.frombuffer(rows.filter(pc.equal(rows.column("row"), _VOCABULARY)).column("body")[0].as_py(), np.int64)
+        self.rows = rows.filter(pc.greater(rows.column("row"), _VOCABULARY)).sort_by("row").combine_chunks()
+        self.sizes = self.rows.column("n_words").to_numpy()
+        found = [unpacked(b.as_py(), n, np.int32) for b, n in zip(self.rows.column("body"), self.sizes.tolist())]
+        self.after = np.concatenate(found) if found else np.zeros(0, np.int32)
+        self.before = np.concatenate([np.zeros(1, np.int32), self.after[:-1]])[: len(self.after)]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+
+    def hit(self, rows: pa.Table) -> np.ndarray:
+        """Which words are of target rows."""
+        return np.repeat(np.isin(self.rows.column("row").to_numpy(), rows.column("row").to_numpy()), self.sizes)
+
+    def numbers(self, found: pa.Table, starts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the word at each place, and its tokens in all rows."""
+        number, tokens = np.zeros(len(self.words) + 1, np.int64), np.zeros(len(self.words) + 1, np.int64)
+        number[0], tokens[0] = _START, starts
+        place = found.column("place").to_numpy()
+        number[place], tokens[place] = found.column("number").to_numpy(), found.column("every").to_numpy()
+        return number, tokens
+
+    def pairs(self, number: np.ndarray, tokens: np.ndarray, cells: int, weights: np.ndarray | None = None):
+        """Distinct pairs of known words in order of cell and number: cell, pair of numbers, pair of places, count, weight."""
+        known = (number[self.before] != _UNKNOWN) & (number[self.after] != _UNKNOWN)
+        place, where, count = np.unique(self.before[known].astype(np.int64) << 32 | self.after[known], return_inverse=True, return_counts=True)
+        a, b = place >> 32, place & 0xFFFFFFFF
+        key, spread = number[a] << 32 | number[b], (tokens[a] // CELL_TOKENS + 1).astype(np.uint64)
+        lane = mixed(number[b]) % spread
+        cell = (mixed(mixed(number[a]) + lane) % np.uint64(cells)).astype(np.int64)
+        order = np.lexsort((key, cell))
+        weight = count if weights is None else np.bincount(where, weights[known], len(place)).astype(np.int64)
+        return cell[order], key[order], place[order], count[order], weight[order]
+
+
+def runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_keys)), bool), sorted_keys[1:] != sorted_keys[:-1]]))
 
 
 def share(every: int, target: int):
-    """Mean share of a count in both corpora (in the one that there is)."""
-    both = [F.col(c) / F.lit(float(n)) for c, n in (("every", every), ("target", target)) if n]
-    return sum(both[1:], both[0]) / F.lit(float(len(both)))
+    """Mean share of a count in both corpora (in the one that there is), from the counts."""
+    known = [(i, n) for i, n in enumerate((every, target)) if n]
+    return lambda *counts: sum(counts[i] / float(n) for i, n in known) / float(max(1, len(known)))
 
 
 @dataclass
 class Counts:
-    """Both models' counts: ``pairs`` (part, a, b, every, target, copy: over all parts, in each part that has the pair; copy 1 is one of each pair),
-    ``words`` (word, every, target, and what is taken from its pairs) and ``asked`` (part, word: the words of each part), all distributed; and totals."""
+    """Both models' counts: ``words`` (number, every, target, and what is taken from its pairs), ``places`` (part, place, number, every), ``blocks`` (cell,
+    part, n, keys, every, target: a part's pairs) and ``sums`` (cell, part, n, every, target: over all parts, in the order of the block), all distributed; and totals."""
 
-    pairs: DataFrame
     words: DataFrame
-    asked: DataFrame
+    places: DataFrame
+    blocks: DataFrame
+    sums: DataFrame
+    cells: int
     size: int
     unknown: np.ndarray
     totals: np.ndarray
@@ -154,32 +198,86 @@ def scales(totals) -> np.ndarray:
     return np.array([totals[1] / max(totals[0], 1) if totals[1] else 1.0, 1.0])
 
 
-def counts_of(rows: DataFrame, least_word: float, least_pair: float) -> Counts:
-    whole = Window.partitionBy("a", "b").orderBy("part")
-    total = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = counted_pairs(rows).select(
-        "part", "a", "b", F.sum("every").over(total).alias("every"), F.sum("target").over(total).alias("target"), F.row_number().over(whole).alias("copy")
-    )
-    pairs = saved(summed, "pairs")
-    asked = pairs.select("part", F.col("b").alias("word")).distinct()
-    each = pairs.filter("copy = 1")
-    words = each.groupBy(F.col("b").alias("word")).agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
-    words = saved(words, "words")
-    totals = np.array([x or 0 for x in words.agg(F.sum("every"), F.sum("target")).first()])
+def word_counts(rows: Rows) -> DataFrame:
+    """part, place, word (hash), every, target: the words of each part."""
+
+    def count(texts, hits):
+        part, texts = texts.column("part")[0].as_py(), Part(texts)
+        n = len(texts.words)
+        every, target = (np.bincount(x, minlength=n + 1)[1:] for x in (texts.after, texts.after[texts.hit(hits)]))
+        columns = [np.full(n, part), np.arange(1, n + 1, dtype=np.int32), texts.words, every.astype(np.int64), target.astype(np.int64)]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], names=["part", "place", "word", "every", "target"])
+
+    return rows.sequences.groupBy("part").cogroup(rows.hits.groupBy("part")).applyInArrow(count, "part bigint, place int, word bigint, every bigint, target bigint")
+
+
+def pair_blocks(rows: Rows, places: DataFrame, cells: int, starts: int) -> DataFrame:
+    """A part's distinct pairs, one block per cell."""
+    asked = rows.hits.select("part", "row").unionByName(places, allowMissingColumns=True)
+
+    def blocks(texts, asked):
+        import pyarrow.compute as pc
+
+        part, texts = texts.column("part")[0].as_py(), Part(texts)
+        is_hit = pc.is_valid(asked.column("row"))
+        cell, key, _, every, target = texts.pairs(*texts.numbers(asked.filter(pc.invert(is_hit)), starts), cells, texts.hit(asked.filter(is_hit)))
+        first = runs(cell)
+        last = np.append(first[1:], len(cell))
+        blobs = [[packed(x[i:j]) for i, j in zip(first, last)] for x in (every, target)]
+        keys = [packed(np.diff(key[i:j], prepend=np.int64(0))) for i, j in zip(first, last)]
+        columns = [pa.array(cell[first]), pa.array(np.full(len(first), part)), pa.array(last - first), *(pa.array(x, pa.binary()) for x in (keys, *blobs))]
+        return pa.Table.from_arrays(columns, names=["cell", "part", "n", "keys", "every", "target"])
+
+    schema = "cell bigint, part bigint, n bigint, keys binary, every binary, target binary"
+    return rows.sequences.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(blocks, schema)
+
+
+def block_sums(blocks: DataFrame, totals: np.ndarray, least_pair: float) -> DataFrame:
+    """cell, part, n, every, target: sums over all parts for each block; number, every_taken, target_taken: what a cell's pairs take from a word."""
+    scale, names = scales(totals), ["cell", "part", "n", "every", "target", "number", "every_taken", "target_taken"]
+
+    def add(found):
+        sizes = found.column("n").to_numpy()
+        read = lambda c: [unpacked(x.as_py(), n, np.int64) for x, n in zip(found.column(c), sizes.tolist())]
+        key, where = np.unique(np.concatenate([np.cumsum(x) for x in read("keys")]), return_inverse=True)
+        sums = np.stack([np.bincount(where, np.concatenate(read(c)), len(key)) for c in ("every", "target")]).astype(np.int64)
+        if totals[0] and least_pair:
+            sums[:, share(*totals.tolist())(*sums) < least_pair] = 0
+        first = runs(key >> 32)
+        taken = np.add.reduceat(np.maximum(sums * scale[:, None] - DISCOUNT, 0.0), first, axis=1)
+        ends = np.cumsum(sizes)
+        answers = [pa.array([packed(x[where[i:j]]) for i, j in zip(ends - sizes, ends)], pa.binary()) for x in sums]
+        n = len(first)
+        words = [pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.binary())] * 2 + [pa.array(key[first] >> 32), *map(pa.array, taken)]
+        n = len(sizes)
+        blocks = [*(found.column(c).combine_chunks() for c in names[:3]), *answers, pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())]
+        return pa.concat_tables([pa.Table.from_arrays(x, names=names) for x in (blocks, words)])
+
+    return blocks.groupBy("cell").applyInArrow(add, "cell bigint, part bigint, n bigint, every binary, target binary, number bigint, every_taken double, target_taken double")
+
+
+def counts_of(rows: Rows, least_word: float, least_pair: float) -> Counts:
+    texts = rows.sequences.filter(F.col("row") > _VOCABULARY)
+    sizes = [x.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.lit(1))).first() for x in (texts, rows.hits)]
+    totals, starts = (np.array([x[i] for x in sizes]) for i in (0, 1))
+    vocabulary = saved(word_counts(rows), "vocabulary")
+    words = vocabulary.groupBy("word").agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
     if totals[0] and least_word:
-        words = words.filter(share(*totals.tolist()) >= least_word)
-        each = each.join(words.select(F.col("word").alias("b")).hint("merge"), "b")
-    if totals[0] and least_pair:
-        enough = share(*totals.tolist()) >= least_pair
-        pairs, each = pairs.filter(enough), each.filter(enough)
-    taken = [F.sum(F.greatest(F.col(c) * F.lit(float(x)) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"{c}_taken") for c, x in zip(("every", "target"), scales(totals))]
-    taken = saved(each.groupBy(F.col("a").alias("word")).agg(*taken), "taken")
-    words = saved(words.join(taken.hint("merge"), "word", "left").na.fill(0.0, ["every_taken", "target_taken"]), "words")
-    size, *known = words.agg(F.count(F.lit(1)), F.sum("every"), F.sum("target")).first()
-    start = taken.filter(F.col("word") == _START_HASH).first()
+        words = words.filter(share(*totals.tolist())(F.col("every"), F.col("target")) >= least_word)
+    group = F.pmod("word", F.lit(NUMBER_GROUPS))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("every"), "word"))
+    words = saved(words.withColumn("number", rank * F.lit(NUMBER_GROUPS).cast("bigint") + group), "words")
+    places = saved(vocabulary.select("part", "place", "word").join(words.select("word", "number", "every").hint("merge"), "word").drop("word"), "places")
+    size, *known = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("every"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
+    cells = int(totals[0]) // CELL_TOKENS + 1
+    blocks = pair_blocks(rows, places, cells, int(starts[0]))
+    sums = saved(block_sums(blocks, totals, least_pair), "sums")
+    taken = sums.filter("number IS NOT NULL").groupBy("number").agg(F.sum("every_taken").alias("every_taken"), F.sum("target_taken").alias("target_taken"))
+    start = taken.filter(F.col("number") == _START).first()
+    words = words.join(taken.hint("merge"), "number", "left").na.fill(0.0, ["every_taken", "target_taken"])
     return Counts(
-        pairs, words, asked, size, totals - np.array([x or 0 for x in known]), totals, np.array(rows.agg(F.count(F.lit(1)), F.count_if("target")).first()),
-        np.array([start.every_taken, start.target_taken] if start else [0.0, 0.0]),
+        words.select("number", "every", "target", "every_taken", "target_taken"), places, blocks, sums.filter("part IS NOT NULL").select("cell", "part", "n", "every", "target"),
+        cells, size, totals - np.array(known), totals, starts, np.array([start.every_taken, start.target_taken] if start else [0.0, 0.0]),
     )
 
 
@@ -209,33 +307,21 @@ class Models:
         return out[0], out[1]
 
 
-def numbers_of(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """The place of each hash in a sorted vocabulary, from 2 on."""
-    at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
-    known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-    return np.where(hashes == _START_HASH, _START, np.where(known, at + 2, _UNKNOWN))
-
-
-def arrays(words: pa.Table, pairs: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """The sorted vocabulary, and what ``Models`` needs of words (word, every, target, every_taken, target_taken) and pairs (a, b, every, target)."""
-
-    def of(t, *names):
-        return np.stack([t.column(c).to_numpy() for c in names])
-
-    words = words.sort_by("word")
-    vocabulary = words.column("word").to_numpy()
-    before, after = (numbers_of(pairs.column(c).to_numpy(), vocabulary) for c in ("a", "b"))
-    known = np.flatnonzero((before > _UNKNOWN) & (after > _START))
-    key, first = np.unique(before[known] << 32 | after[known], return_index=True)
-    return vocabulary, (of(words, "every", "target"), of(words, "every_taken", "target_taken"), key, of(pairs, "every", "target")[:, known[first]])
-
-
-def fitted(rows: DataFrame, least_word: float = 0.0, least_pair: float = 0.0):
-    """The models of a small corpus in memory, as broadcasts of the vocabulary and of the numbers that ``Models`` is made of."""
+def fitted(rows: Rows, least_word: float = 0.0, least_pair: float = 0.0):
+    """The models of a small corpus in memory, as broadcasts of the vocabulary (numbers) and of what ``Models`` is made of."""
     c = counts_of(rows, least_word, least_pair)
-    vocabulary, numbers = arrays(c.words.toArrow(), c.pairs.toArrow())
-    context = rows.sparkSession.sparkContext
-    return context.broadcast(vocabulary), context.broadcast((*numbers, c.size, c.unknown, c.totals, c.starts, c.taken))
+    words = c.words.toArrow().sort_by("number")
+    vocabulary = words.column("number").to_numpy()
+    of = lambda *names: np.stack([words.column(n).to_numpy() for n in names])
+    blocks = c.blocks.select("cell", "part", "keys").join(c.sums, ["cell", "part"]).toArrow().to_pylist()
+    read = lambda name: np.concatenate([np.zeros(0, np.int64), *(unpacked(x[name], x["n"], np.int64) for x in blocks)])
+    keys = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpacked(x["keys"], x["n"], np.int64)) for x in blocks)])
+    key, first = np.unique(keys, return_index=True)
+    local = lambda number: np.where(number == _START, _START, np.searchsorted(vocabulary, number) + 2)
+    pairs = local(key >> 32) << 32 | local(key & 0xFFFFFFFF)
+    counts = np.stack([read("every"), read("target")])[:, first]
+    context = rows.sequences.sparkSession.sparkContext
+    return context.broadcast(vocabulary), context.broadcast((of("every", "target"), of("every_taken", "target_taken"), pairs, counts, c.size, c.unknown, c.totals, c.starts, c.taken))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", least_word: float = 0.0, least_pair: float = 0.0) -> DataFrame:
@@ -245,29 +331,39 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, key: str = "doc
     """
     rows = marked(docs, target, key, text)
     c = counts_of(rows, least_word, least_pair)
-    asked = c.asked.join(c.words.hint("merge"), "word").select("part", F.lit(None).cast("bigint").alias("a"), F.col("word").alias("b"), "every", "target", "every_taken", "target_taken")
-    pairs = c.pairs.select("part", "a", "b", "every", "target", *(F.lit(None).cast("double").alias(x) for x in ("every_taken", "target_taken")))
-    totals = (c.size, c.unknown, c.totals, c.starts, c.taken)
-    schema = schema_with_key(rows, key, "n_words bigint, target_loss double, background_loss double, score double")
+    of_words = c.places.drop("every").join(c.words.withColumnsRenamed({"every": "all_rows", "target": "target_rows"}).hint("merge"), "number")
+    asked = of_words.unionByName(c.sums, allowMissingColumns=True)
+    cells, totals = c.cells, (c.size, c.unknown, c.totals, c.starts, c.taken)
+    schema = schema_with_key(rows.sequences, key, "n_words bigint, target_loss double, background_loss double, score double")
     names = schema.names
 
     def score(texts, found):
         import pyarrow.compute as pc
 
-        is_word = pc.is_null(found.column("a"))
-        words = found.filter(is_word).rename_columns({"b": "word"})
-        vocabulary, numbers = arrays(words, found.filter(pc.invert(is_word)))
-        models, hashes, out = Models(*numbers, *totals), WordHashes(), []
-        texts = texts.combine_chunks()
-        bodies = texts.column("body")
-        for a, b in slices(body_sizes(bodies.combine_chunks())):
-            sizes, before, after = hashed(bodies.slice(a, b - a).to_pylist(), hashes)
+        texts = Part(texts)
+        is_word = pc.is_valid(found.column("place"))
+        words, sums = found.filter(is_word), found.filter(pc.invert(is_word)).sort_by("cell")
+        at = words.column("place").to_numpy() - 1
+        columns = np.zeros((4, len(texts.words)))
+        for i, c in enumerate(("all_rows", "target_rows", "every_taken", "target_taken")):
+            columns[i, at] = words.column(c).to_numpy()
+        number, tokens = texts.numbers(words.rename_columns({"all_rows": "every", "every": "unused"}), int(totals[3][0]))
+        _, _, place, _, _ = texts.pairs(number, tokens, cells)
+        read = lambda c: [unpacked(x.as_py(), n, np.int64) for x, n in zip(sums.column(c), sums.column("n").to_pylist())]
+        counts = np.stack([np.concatenate([np.zeros(0, np.int64), *read(c)]) for c in ("every", "target")])
+        # a place is its number in the part's models less one
+        order = np.argsort(place)
+        models = Models(columns[:2], columns[2:], place[order] + (1 << 32 | 1), counts[:, order], *totals)
+        model_number = np.where(number == _UNKNOWN, _UNKNOWN, np.arange(len(number)) + 1)
+        ends, out = np.cumsum(texts.sizes), []
+        for a, b in slices(texts.sizes.tolist(), SCORED_TOKENS):
+            i, j, sizes = ends[a] - texts.sizes[a], ends[b - 1], texts.sizes[a:b]
             row = np.repeat(np.arange(b - a), sizes)
-            losses = models.losses(numbers_of(before, vocabulary), numbers_of(after, vocabulary))
+            losses = models.losses(model_number[texts.before[i:j]], model_number[texts.after[i:j]])
             means = [np.bincount(row, loss, b - a) / np.maximum(sizes, 1) for loss in losses]
             none = sizes == 0
-            columns = [texts.column("key").slice(a, b - a).combine_chunks(), pa.array(sizes), *(pa.array(x, pa.float64(), mask=none) for x in (means[1], means[0], means[1] - means[0]))]
-            out.append(pa.Table.from_arrays(columns, names=names))
+            values = [texts.rows.column("key").slice(a, b - a).combine_chunks(), pa.array(sizes), *(pa.array(x, pa.float64(), mask=none) for x in (means[1], means[0], means[1] - means[0]))]
+            out.append(pa.Table.from_arrays(values, names=names))
         return pa.concat_tables(out)
 
-    return rows.select("part", "key", "body").groupBy("part").cogroup(asked.unionByName(pairs).groupBy("part")).applyInArrow(score, schema)
+    return rows.sequences.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(score, schema)
