@@ -110,13 +110,19 @@ def matches(text: Column | str, pattern: str, flags: str = "") -> Column:
 def capture(text: Column | str, pattern: str, groups: int, flags: str = "") -> Column:
     """Whole match as an optional tuple of optional groups.
 
-    Spark reports a group that took no part as an empty string, so a group
-    that matched the empty string also counts as missing.
+    Spark reports a group that took no part as an empty string.  A back-reference
+    tells it from one that matched the empty string: after the match, which the
+    atomic group keeps as it is, it fails only if its group took no part.
     """
     inline = f"(?{flags})" if flags else ""
     anchored = rf"{inline}\A(?:{pattern})\z"
     t = col(text)
-    parts = [F.nullif(F.regexp_extract(t, anchored, i + 1), F.lit("")).alias(f"_{i}") for i in range(groups)]
+
+    def group(i: int) -> Column:
+        found, took_part = F.regexp_extract(t, anchored, i), rf"{inline}\A(?>(?:{pattern})\z)\{i}"
+        return F.when((found != "") | t.rlike(took_part), found)
+
+    parts = [group(i + 1).alias(f"_{i}") for i in range(groups)]
     return F.when(t.rlike(anchored), F.struct(*parts))
 
 

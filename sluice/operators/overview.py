@@ -175,6 +175,16 @@ def action_sort(df: DataFrame, id_: str, key: Column | str | None = None) -> Dat
     return df.orderBy(F.desc_nulls_last(key) if isinstance(key, str) else key.desc_nulls_last(), F.asc(id_))
 
 
+def action_page(df: DataFrame, id_: str, key: Column | str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
+    """``limit`` rows in the order of ``action_sort`` after the first ``skip``.
+
+    Each task keeps only its first ``skip + limit`` rows, so the table is never sorted whole.
+    """
+    if skip < 0 or limit < 1:
+        raise ValueError(f"a page needs skip >= 0 and limit >= 1, not {skip} and {limit}")
+    return action_sort(df, id_, key).limit(skip + limit).offset(skip)
+
+
 def tag_list(df: DataFrame, tags: Column | str, condition: Column | None = None) -> DataFrame:
     """Every tag of the matching rows, once each."""
     chosen = df if condition is None else df.filter(condition)

@@ -149,6 +149,17 @@ columns("x_regex_bind", "pages", PAGE, _captured, {
     "ending": f"coalesce(nullif(regexp_extract(url, '^{URL_RE}$', 5), ''), '-')",
 })
 
+def _captured_empty():
+    found = x.capture("o_orderpriority", r"([0-9])-(U?)(RGENT)?(.*)", 4)
+    return {"letter": F.coalesce(found["_1"], F.lit("-")), "urgent": F.coalesce(found["_2"], F.lit("-")), "rest": F.coalesce(found["_3"], F.lit("-"))}
+
+
+columns("x_regex_bind_empty", "orders", ["o_orderkey"], _captured_empty, {
+    "letter": "CASE WHEN o_orderpriority LIKE '%-U%' THEN 'U' ELSE '' END",
+    "urgent": "CASE WHEN o_orderpriority LIKE '%-URGENT%' THEN 'RGENT' ELSE '-' END",
+    "rest": "CASE WHEN o_orderpriority LIKE '%-URGENT%' THEN substr(o_orderpriority, 9) ELSE substr(o_orderpriority, 3) END",
+})
+
 columns("x_add_num", "lineitem", LINE, lambda: {
     "i": F.col("l_orderkey") + F.col("l_linenumber"), "f": F.col("l_quantity") + F.col("l_linenumber"),
 }, {"i": "l_orderkey + l_linenumber", "f": "l_quantity + l_linenumber"})

@@ -128,6 +128,12 @@ def action_sort(t: Tables):
     return ordered.select("id", "state", F.coalesce(F.unix_millis("external_timestamp"), F.lit(-1)).alias("moment"))
 
 
+@plan("action_page", f"SELECT id, state, coalesce(epoch_us(external_timestamp) // 1000, -1) AS moment FROM {ACTIONS} ORDER BY external_timestamp DESC NULLS LAST, id LIMIT 50 OFFSET 100")
+def action_page(t: Tables):
+    page = o.action_page(actions(t), "id", "external_timestamp", skip=100, limit=50)
+    return page.select("id", "state", F.coalesce(F.unix_millis("external_timestamp"), F.lit(-1)).alias("moment"))
+
+
 @plan("tag_list", f"""
     SELECT tag_user AS tag FROM {ACTIONS} WHERE state = 'FAILED' UNION SELECT tag_kind FROM {ACTIONS} WHERE state = 'FAILED'
 """)

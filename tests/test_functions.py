@@ -79,6 +79,10 @@ def test_full_match_and_groups(spark):
     assert value(spark, x.matches(F.lit("ABC"), "a.c", "i")) is True
     assert tuple(value(spark, x.capture(F.lit("ab"), "(a)(x)?(b)", 3))) == ("a", None, "b")
     assert value(spark, x.capture(F.lit("zz"), "(a)(x)?(b)", 3)) is None
+    # a group that matched the empty string is not one that took no part
+    assert tuple(value(spark, x.capture(F.lit("aB"), "(x*)(a)(y)?(b)(z*)", 5, "i"))) == ("", "a", None, "B", "")
+    # the match that is found first counts, not another one in which the group takes part
+    assert tuple(value(spark, x.capture(F.lit("ab"), "ab|ab()", 1))) == (None,)
 
 
 def test_padding_never_cuts(spark):

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import overview as o
@@ -76,3 +77,13 @@ def test_orphans(spark):
 def test_sort_puts_missing_keys_last(spark):
     df = spark.createDataFrame([("a", None), ("b", 1), ("c", 5), ("d", 5)], "id string, k int")
     assert [r.id for r in o.action_sort(df, "id", "k").collect()] == ["c", "d", "b", "a"]
+
+
+def test_pages_follow_the_sort(spark):
+    df = spark.createDataFrame([(str(i), i % 7 or None) for i in range(100)], "id string, k int")
+    whole = [tuple(r) for r in o.action_sort(df, "id", "k").collect()]
+    assert [tuple(r) for r in o.action_page(df, "id", "k", 10, 25).collect()] == whole[10:35]
+    assert [tuple(r) for r in o.action_page(df, "id", "k", 95, 25).collect()] == whole[95:]
+    assert o.action_page(df, "id", skip=100).collect() == []
+    with pytest.raises(ValueError, match="a page needs"):
+        o.action_page(df, "id", limit=0)
