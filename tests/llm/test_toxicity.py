@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -45,3 +49,36 @@ def test_odd_rows_labels_and_empty_tables(spark, documents, odd):
     assert len(score(docs, model).collect()) == len(odd)
     assert all(r["severity"] == 0 and not r["toxic"] for r in score(docs, OrdinalModel()).collect())
     assert score(documents([]), model).collect() == []
+
+
+def brute_features(text):
+    """Each word and each stem of four to eight letters of a longer word, with the number of different words that have it."""
+    words = {w for w in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))}
+    stems = [w[:n] + b"*" for w in words for n in (4, 5, 6, 7, 8) if len(w) > n]
+    return {f: ([*words] + stems).count(f) for f in {*words, *stems}}
+
+
+@pytest.mark.parametrize("least_chi2,max_features", [(10.0, 1500), (0.5, 40)])
+def test_features_choice_and_severity_equal_the_definition(spark, odd, least_chi2, max_features):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-i, t) for i, (_, t) in enumerate(odd, 1)], "doc_id bigint, text string"))
+    model = fit(docs, labels, least_chi2=least_chi2, max_features=max_features)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {i: brute_features(t) for i, t in texts.items()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and r["doc_id"] in texts}
+    size = [sum(v == side for v in truth.values()) for side in (0, 1)]
+    has = [Counter(f for i, v in truth.items() if v == side for f in found[i]) for side in (0, 1)]
+
+    def chi2(f):
+        share, apart = (has[0][f] + has[1][f]) / sum(size), has[1][f] / size[1] - has[0][f] / size[0]
+        return apart * apart / max(share * (1 - share) * (1 / size[1] + 1 / size[0]), 1e-12)
+
+    ranked = sorted(((-chi2(f), f) for f in has[0] | has[1] if chi2(f) >= least_chi2))[:max_features]
+    assert len(ranked) > 5 and set(model.weights) == {f for _, f in ranked}
+    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 3
+    for r in score(docs, model).collect():
+        z = sum(w * math.log2(1 + found[r["doc_id"]].get(f, 0)) for f, w in model.weights.items())
+        above = [1, *(1 / (1 + math.exp(t - z)) for t in model.thresholds), 0]
+        assert r["severity"] == pytest.approx(sum(above[1:]), abs=1e-9) and r["p_toxic"] == pytest.approx(above[1], abs=1e-9)
+        chance = [a - b for a, b in zip(above, above[1:])]
+        assert chance[r["grade"]] == pytest.approx(max(chance), abs=1e-9) and r["toxic"] == (r["p_toxic"] >= 0.5)
