@@ -31,6 +31,8 @@ from sluice.llm.common import saved
 
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 24 << 20
+#: Buckets whose rows are counted up together.
+BLOCK_BUCKETS = 1000
 
 
 def size_of(text) -> F.Column:
@@ -48,6 +50,17 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(items, np.int64)
 
 
+def starts_of(scattered: DataFrame) -> DataFrame:
+    """bucket_, before_ (rows in the buckets before it); only blocks of buckets are summed in one task."""
+    counts = scattered.groupBy("bucket_").count().withColumn("block_", F.floor(F.col("bucket_") / F.lit(BLOCK_BUCKETS)))
+    inside = Window.partitionBy("block_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = counts.groupBy("block_").agg(F.sum("count").alias("rows_"))
+    earlier = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.select("block_", (F.sum("rows_").over(earlier) - F.col("rows_")).alias("first_"))
+    placed = counts.withColumn("inside_", F.sum("count").over(inside) - F.col("count")).join(blocks, "block_")
+    return placed.select("bucket_", (F.col("first_") + F.col("inside_")).alias("before_"))
+
+
 def shuffle_into_shards(
     docs: DataFrame, shards: int = 8, seed: int = 11, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
@@ -69,21 +82,18 @@ def shuffle_into_shards(
         # row numbers are given once, so what is counted below is what is dealt out
         scattered = saved(marked.select(*plain.columns, F.when(F.col("hot_"), spread).otherwise(own).alias("bucket_")), "scattered")
     by_rank = [F.col(k), F.xxhash64(t), F.octet_length(t)]
-    # the numbers of rows of the buckets, and of rows before each: a few rows, taken without the texts
-    before = scattered.groupBy("bucket_").count().select(
-        F.col("bucket_").alias("b_"), (F.sum("count").over(Window.orderBy("bucket_")) - F.col("count")).alias("before_")
-    )
-    starts = {r["b_"]: r["before_"] for r in before.collect()}
-    arranged = scattered.repartitionById(buckets, "bucket_").sortWithinPartitions("bucket_", *by_rank)
+    # a row before each bucket's records says how many rows stand in the buckets before it
+    arranged = scattered.unionByName(starts_of(scattered), allowMissingColumns=True)
+    arranged = arranged.repartitionById(buckets, "bucket_").sortWithinPartitions("bucket_", F.col("before_").isNull(), *by_rank)
     n = len(names)
 
     def deal(batches):
-        held, bucket = [], None
+        held, bucket, start = [], None, 0
 
         def dealt():
             whole = pa.Table.from_batches(held).combine_chunks()
             order = fisher_yates(whole.num_rows, seed, bucket)
-            place = starts[bucket] + np.arange(whole.num_rows)
+            place = start + np.arange(whole.num_rows)
             out = whole.select(list(range(n))).take(pa.array(order))
             out = out.append_column("shard", pa.array(place % shards, pa.int32())).append_column("slot", pa.array(place // shards, pa.int64()))
             yield from out.to_batches(max_chunksize=5000)
@@ -95,9 +105,10 @@ def shuffle_into_shards(
                 if held and marks[a] != bucket:
                     yield from dealt()
                     held = []
+                if b > a and batch.column(n + 1)[a].is_valid:
+                    bucket, start, a = int(marks[a]), batch.column(n + 1)[a].as_py(), a + 1
                 if b > a:
                     held.append(batch.slice(a, b - a))
-                    bucket = int(marks[a])
         if held:
             yield from dealt()
 
