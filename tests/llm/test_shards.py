@@ -54,3 +54,23 @@ def test_permutations_are_fair():
     seen = Counter(tuple(fisher_yates(3, 5, b)) for b in range(3000))
     assert len(seen) == 6 and min(seen.values()) > 400
     assert list(fisher_yates(0, 1, 1)) == [] and list(fisher_yates(1, 1, 1)) == [0]
+
+
+def test_equal_to_a_plain_rebuild_of_both_passes(spark, documents, odd, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sluice.llm import shards
+
+    monkeypatch.setattr(shards, "BLOCK_BUCKETS", 3)
+    df = documents(odd + [(100 + i, f"text {i}") for i in range(200)])
+    total = sum(len((t or "").encode()) + 1 for t in [r["text"] for r in df.collect()])
+    buckets = -(-total // 9000)
+    hashed = df.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(buckets)).alias("b"), F.xxhash64("text").alias("h")).collect()
+    expected, before = [], 0
+    for b in range(buckets):
+        own = sorted((r for r in hashed if r["b"] == b), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+        for place, at in enumerate(fisher_yates(len(own), 11, b).tolist(), before):
+            expected.append((own[at]["doc_id"], own[at]["text"], place % 5, place // 5))
+        before += len(own)
+    assert buckets > 9
+    assert sorted(dealt(df, shards=5, bucket_bytes=9000), key=str) == sorted(expected, key=str)
