@@ -1,9 +1,13 @@
 """Alerts that run out, as events from timers.
 
 The state of a label set is its open episodes: spans of time in which each
-refresh came before the last one had run out.  Each has an event-time timer at
-its end.  A refresh moves the timer; when the watermark passes it, the episode
-is closed and one expiry event is emitted.  No row that comes later can touch a
+refresh came before the last one had run out.  Label sets are dealt by hash to a
+fixed number of buckets, and a bucket is what Spark keeps state for: its open
+label sets are read and written as one list per batch, and it has one event-time
+timer, at the first end.  So calls from the task to the store grow with buckets,
+not with label sets or episodes.  A refresh moves the timer; when the watermark
+passes it, every episode of the bucket that has run out by then is closed with
+one expiry event, and the timer goes on to the next end.  No row that comes later can touch a
 closed episode, since it would be late, so the events of a stream are those of a
 batch over the same rows, in whatever order and however divided they came.
 State is held only for label sets with an open episode.
@@ -21,6 +25,9 @@ from sluice.semantics import travels
 
 travels(__name__)
 
+#: Keys of the state; a batch with rows or ends for a bucket rewrites the open label sets of that bucket.
+BUCKETS = 1 << 14
+
 EVENTS = "id string, labels string, starts bigint, ends bigint"
 
 
@@ -41,48 +48,57 @@ def _timer(end: int) -> int:
 
 
 class Expiry(StatefulProcessor):
-    """One key per label set; rows are (id, labels, at, ends) in microseconds."""
+    """One key per bucket of label sets; rows are (id, labels, at, ends) in microseconds."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "labels string, spans string")
+        self.open = handle.getListState("open", "id string, labels string, spans string")
+
+    def _read(self) -> dict[str, tuple[str, list[tuple[int, int]]]]:
+        return {i: (labels, [tuple(map(int, s.split(":"))) for s in spans.split(",")]) for i, labels, spans in self.open.get()}
 
-    def _spans(self) -> list[tuple[int, int]]:
-        if not self.open.exists():
-            return []
-        return [tuple(map(int, s.split(":"))) for s in self.open.get()[1].split(",")]
+    @staticmethod
+    def _next(held: dict[str, tuple[str, list[tuple[int, int]]]]) -> int | None:
+        # episodes of a label set do not overlap, so its first one ends first
+        return min((_timer(spans[0][1]) for _, spans in held.values()), default=None)
 
-    def _keep(self, labels: str, spans: list[tuple[int, int]]) -> None:
-        if spans:
-            self.open.update((labels, ",".join(f"{a}:{b}" for a, b in spans)))
+    def _keep(self, held: dict[str, tuple[str, list[tuple[int, int]]]]) -> None:
+        if held:
+            self.open.put([(i, labels, ",".join(f"{a}:{b}" for a, b in spans)) for i, (labels, spans) in held.items()])
         else:
             self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        old, labels, new = self._spans(), None, []
+        held, new = self._read(), {}
+        before = self._next(held)
         for row in rows:
-            labels = row.labels
-            new.append((row.at, row.ends))
-            if len(new) == 10_000:
-                # a batch holds at most its own episodes and so many refreshes
-                new = merged(new)
-        spans = merged([*old, *new])
-        before, after = {_timer(e) for _, e in old}, {_timer(e) for _, e in spans}
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
-        self._keep(labels, spans)
+            _, spans = new.setdefault(row.id, (row.labels, []))
+            spans.append((row.at, row.ends))
+            if len(spans) % 10_000 == 0:
+                # a label set holds at most its own episodes and so many refreshes
+                spans[:] = merged(spans)
+        for i, (labels, spans) in new.items():
+            held[i] = labels, merged([*held.get(i, (labels, []))[1], *spans])
+        after = self._next(held)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
+        self._keep(held)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, spans = expiredTimerInfo.getExpiryTimeInMs(), self._spans()
-        over = [s for s in spans if _timer(s[1]) <= now]
-        if over:
-            labels = self.open.get()[0]
-            self._keep(labels, [s for s in spans if _timer(s[1]) > now])
-            for start, end in over:
-                yield Row(id=key[0], labels=labels, starts=start, ends=end)
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over, rest = [], {}
+        for i, (labels, spans) in self._read().items():
+            n = sum(_timer(end) <= now for _, end in spans)
+            over += [Row(id=i, labels=labels, starts=start, ends=end) for start, end in spans[:n]]
+            if spans[n:]:
+                rest[i] = labels, spans[n:]
+        self._keep(rest)
+        if rest:
+            self.handle.registerTimer(self._next(rest))
+        yield from over
 
     def close(self) -> None:
         pass
@@ -93,7 +109,8 @@ def expired_alerts(refreshes: DataFrame, delay: str) -> DataFrame:
     rows = refreshes.withWatermark("at", delay).select(
         "id", F.to_json("labels").alias("labels"), F.unix_micros("at").alias("at"), F.unix_micros("ends_at").alias("ends"), F.col("at").alias("event_time"),
     )
-    events = rows.groupBy("id").transformWithState(Expiry(), EVENTS, "append", "EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+    events = rows.groupBy("bucket").transformWithState(Expiry(), EVENTS, "append", "EventTime")
     return events.select("id", "labels", F.timestamp_micros("starts").alias("starts_at"), F.timestamp_micros("ends").alias("ends_at"))
 
 

@@ -219,3 +219,33 @@ def test_an_action_is_stored_again_once_the_watermark_has_passed(spark, source):
     assert minutes(one["created"]) == 0 and minutes(one["last_added"]) == 210
     assert read_batches(spark, table).filter("params = '{\"user\":1}'").count() == 2
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+
+
+def test_a_bucket_has_one_timer_and_few_calls_however_many_episodes():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from sluice.streaming.expiry import Expiry
+
+    calls, state, timers = [], [], set()
+
+    def put(items):
+        calls.append("put")
+        state[:] = items
+
+    def register(at):
+        calls.append("register")
+        timers.add(at)
+
+    opened = SimpleNamespace(get=lambda: iter(list(state)), put=put, clear=lambda: put([]))
+    expiry = Expiry()
+    expiry.init(SimpleNamespace(getListState=lambda *_: opened, registerTimer=register, deleteTimer=timers.remove))
+    rows = [Row(id=f"{i % 50}", labels=f"l{i % 50}", at=k * 10_000, ends=k * 10_000 + 5_000) for i in range(50) for k in range(40)]
+    assert list(expiry.handleInputRows((3,), iter(rows), None)) == []
+    assert sorted(calls) == ["put", "register"] and timers == {5}
+    calls.clear()
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 205)
+    over = list(expiry.handleExpiredTimer((3,), watermark, SimpleNamespace(getExpiryTimeInMs=lambda: 5)))
+    assert sorted((r.id, r.starts, r.ends) for r in over) == sorted((f"{i}", k * 10_000, k * 10_000 + 5_000) for i in range(50) for k in range(21))
+    assert sorted(calls) == ["put", "register"] and 215 in timers and len(state) == 50
