@@ -148,7 +148,7 @@ def merge_sets(
 
     The rows are read and reduced once, per lane and per whether they are
     identified; everything after that works on lanes, under one partitioning by
-    the group.
+    the group and one sort by group and lane, so that a task holds its lanes once.
     """
     by = list(by)
     rows = df.withColumns({
@@ -161,14 +161,14 @@ def merge_sets(
     names = F.sort_array(F.filter(F.transform(F.col(ids), lambda e: e["k"]), lambda k: k.isNotNull()))
     placed = _heads(cells.withColumn("__own", names).drop(ids), by)
 
-    # identifiers of a joining lane must be none, or exactly those of its head (an empty set is the smallest)
+    # identifiers of a joining lane must be none, or exactly those of its head (an empty set is the smallest);
+    # subgroups are runs of lanes, so the last first lane at or before a lane is its head
+    along = Window.partitionBy(*by).orderBy("__lane")
     placed = placed.withColumn("__mine", F.max("__own").over(Window.partitionBy(*by, "__lane")))
-    theirs = F.max(F.when(F.col("__lane") == F.col("__head"), F.col("__mine")))
-    placed = placed.withColumn("__theirs", theirs.over(Window.partitionBy(*by, "__head")))
+    theirs = F.last(F.when(F.col("__lane") == F.col("__head"), F.col("__mine")), ignorenulls=True)
+    placed = placed.withColumn("__theirs", theirs.over(along))
     clash = (F.col("__lane") != F.col("__head")) & (F.size("__mine") > 0) & (F.col("__mine") != F.col("__theirs"))
-    # the lanes of one subgroup are bounded by the permitted-merges value itself
-    listed = F.sort_array(F.collect_set("__lane").over(Window.partitionBy(*by, "__head")))
-    placed = placed.withColumn("merged_lanes", listed).withColumn("__clash", F.max(clash).over(Window.partitionBy(*by)))
+    placed = placed.withColumn("__clash", F.max(clash).over(Window.partitionBy(*by)))
     kept = placed.filter(~F.col("__clash") & ((F.col("__lane") == F.col("__head")) | F.col("__blank")))
     merged = _merged_again(kept, [*by, "merged_lanes"], into)
     merged, ok, out = finish(merged, [*by, "merged_lanes"], into)
@@ -189,32 +189,32 @@ def _merged_again(parts: DataFrame, keys: Sequence[str], into: Mapping[str, Coll
 
 
 def _heads(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add the first lane of each cell's subgroup; unsound groups disappear."""
-    whole = Window.partitionBy(*by)
-    merges = F.col("__merges")
+    """Add the first lane of each cell's subgroup, and the subgroup's lanes; unsound groups disappear."""
+    whole = Window.partitionBy(*by).orderBy("__lane").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merges, lane, lanes, target = (F.col(n) for n in ("__merges", "__lane", "__lanes", "__target"))
     lanes_of = F.flatten(merges)
-    own_set = F.get(F.filter(merges, lambda s: F.array_contains(s, F.col("__lane"))), F.lit(0))
-    target = F.when(F.size(lanes_of) == F.size(F.array_distinct(lanes_of)), F.array_min(own_set))
-    cells = cells.withColumn("__target", target)
-    cells = (
-        cells.withColumn("__mixed", F.min("__merges").over(whole) != F.max("__merges").over(whole))
-        .withColumn("__lost", F.max(F.col("__target").isNull()).over(whole))
-        .withColumn("__rank", F.dense_rank().over(whole.orderBy("__lane")))
-    )
-    in_set = Window.partitionBy(*by, "__target")
-    cells = (
-        cells.filter(~F.col("__mixed") & ~F.col("__lost"))
-        .withColumn("__step", F.dense_rank().over(in_set.orderBy("__lane")))
-        .withColumn("__lead_lane", F.min("__lane").over(in_set))
-        .withColumn("__lead_rank", F.min("__rank").over(in_set))
-    )
-    joins = (
-        (F.col("__lead_lane") == F.col("__target"))
-        & (F.col("__rank") - F.col("__lead_rank") == F.col("__step") - 1)
-    )
-    head = F.when(joins, F.col("__target")).otherwise(F.col("__lane"))
-    extra = ["__merges", "__target", "__mixed", "__lost", "__rank", "__step", "__lead_lane", "__lead_rank"]
-    return cells.withColumn("__head", head).drop(*extra)
+    own_set = F.get(F.filter(merges, lambda s: F.array_contains(s, lane)), F.lit(0))
+    cells = cells.withColumn("__set", own_set)
+    first = F.when(F.size(lanes_of) == F.size(F.array_distinct(lanes_of)), F.array_min("__set"))
+    cells = cells.withColumn("__target", first)
+    cells = cells.withColumns({
+        "__mixed": F.min("__merges").over(whole) != F.max("__merges").over(whole), "__lost": F.max(target.isNull()).over(whole),
+    }).filter(~F.col("__mixed") & ~F.col("__lost"))
+    # the lanes of a sound group are bounded by the permitted-merges value itself
+    cells = cells.withColumn("__lanes", F.sort_array(F.collect_set("__lane").over(whole)))
+    gap = F.array_min(F.filter(lanes, lambda x: (x > target) & ~F.array_contains("__set", x)))
+
+    def placed(end: Column) -> Column:
+        def before(x: Column) -> Column:
+            return end.isNull() | (x < end)
+
+        joins = F.array_contains(lanes, target) & before(lane)
+        run = F.filter(lanes, lambda x: (x >= target) & before(x))
+        return F.struct(F.when(joins, target).otherwise(lane).alias("head"), F.when(joins, run).otherwise(F.array(lane)).alias("lanes"))
+
+    cells = cells.withColumn("__placed", bind(gap, placed))
+    cells = cells.withColumns({"__head": F.col("__placed.head"), "merged_lanes": F.col("__placed.lanes")})
+    return cells.drop("__merges", "__set", "__target", "__mixed", "__lost", "__lanes", "__placed")
 
 
 def barcodes(
