@@ -110,3 +110,12 @@ def test_a_declared_format_reads_arrays(spark, tmp_path, small_blocks):
     (tmp_path / "f.json").write_text('[{"k": "not a number", "s": "x", "at": null}]')
     with pytest.raises(Exception):
         scan_declared(spark, fmt, str(tmp_path)).collect()
+
+
+def test_objects_are_cut_as_one_array():
+    cutter = arrays.Cutter(False, 0, 1)
+    parts, objects = cutter.cut(b'[{"a": 1},\n{"a": "}"} , {"a": 3')
+    assert parts == [] and objects.to_pylist() == [b'{"a": 1}', b'{"a": "}"}']
+    parts, objects = cutter.cut(b'}, {"a": {"b": 4}}, {')
+    assert parts == [("whole", b'{"a": 3}')] and objects.to_pylist() == [b'{"a": {"b": 4}}']
+    assert cutter.rest() == [("tail", b"{")]
