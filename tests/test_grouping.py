@@ -237,3 +237,46 @@ def test_powerset_of_a_large_group_is_an_error(spark):
         rows = spark.range(size).selectExpr("1 AS g", "id")
         with pytest.raises(Exception, match="63 rows or more"):
             powerset(rows, ["g"], "id").count()
+
+
+def test_tasks_after_a_shuffle_are_bounded_unless_the_session_says_how(spark):
+    from sluice.semantics import pin_session
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    fresh = spark.newSession()
+    assert fresh.conf.get(name, None) is None
+    assert pin_session(fresh).conf.get(name) == "16m"
+    own = spark.newSession()
+    own.conf.set(name, "8m")
+    assert pin_session(own).conf.get(name) == "8m"
+
+
+def test_merge_sets_sorts_the_lanes_of_a_task_once(spark, capsys):
+    import random
+
+    from sluice.operators.groupers import merge_sets
+
+    rng = random.Random(5)
+    sets = [[1, 2], [4, 5, 6]]
+    rows = [(rng.choice([None, *range(60)]), rng.choice([1, 2, 4, 5, 6]), rng.choice([None, None, None, "a", "b"])) for _ in range(220)]
+    df = spark.createDataFrame([(g, x, s, sets) for g, x, s in rows], "g int, lane int, s string, p array<array<int>>")
+    out = merge_sets(df, ["g"], "p", "s", "lane", {"n": c.count()})
+    out.explain()
+    assert capsys.readouterr().out.count(" Sort [") == 1
+    expected = []
+    for g in {g for g, _, _ in rows}:
+        own = [(x, s) for h, x, s in rows if h == g]
+        lanes = sorted({x for x, _ in own})
+        ids = {x: {s for y, s in own if y == x and s} for x in lanes}
+        heads = {}
+        for x in lanes:
+            run = next(m for m in sets if x in m)
+            heads[x] = run[0] if run[0] in lanes and all(y in run for y in lanes if run[0] <= y <= x) else x
+        if any(heads[x] != x and ids[x] and ids[x] != ids[heads[x]] for x in lanes):
+            continue
+        for h in set(heads.values()):
+            members = [x for x in lanes if heads[x] == h]
+            n = sum(1 for x, s in own if x in members and (x == h or s is None))
+            expected.append((-1 if g is None else g, members, n))
+    found = [(-1 if r["g"] is None else r["g"], r["merged_lanes"], r["n"]) for r in out.collect()]
+    assert sorted(found) == sorted(e for e in expected if e[2])
