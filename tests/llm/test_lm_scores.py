@@ -1,10 +1,12 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from sluice.llm.lm_scores import DISCOUNT, cross_entropy_difference, fitted, marked, Models
+from sluice.llm.lm_scores import _START, _UNKNOWN, DISCOUNT, cross_entropy_difference, fitted, marked, Models, Part
 
 ROWS = [
     (1, "The cat sat. The cat ran!"), (2, "the dog sat"), (3, "a cat and the dog"), (4, None), (5, ""), (None, "the cat"), (6, "zebra"), (6, "zebra"),
@@ -107,3 +109,23 @@ def test_parts_are_scored_alike(spark, documents, keys, monkeypatch):
     assert len(parts) == len(ROWS)
     for r in parts:
         assert tuple(r)[2:] == pytest.approx(whole[r["doc_id"], r["n_words"]], abs=1e-9)
+
+
+def test_pairs_are_counted_in_little_memory():
+    part, words = Part.__new__(Part), 300
+    part.after = np.random.default_rng(5).integers(1, words, 1_000_000, np.int32)
+    part.before = np.concatenate([np.zeros(1, np.int32), part.after[:-1]])
+    number, tokens, hit = np.arange(words) + _START, np.ones(words, np.int64), part.after % 3 == 0
+    number[7] = _UNKNOWN
+    tracemalloc.start()
+    try:
+        cell, key, place, count, weight = part.pairs(number, tokens, 4, hit)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * len(part.after)
+    known = [(a, b, h) for a, b, h in zip(part.before.tolist(), part.after.tolist(), hit.tolist()) if 7 not in (a, b)]
+    every, target = Counter((a, b) for a, b, _ in known), Counter((a, b) for a, b, h in known if h)
+    assert {(p >> 32, p & 0xFFFFFFFF): (n, m) for p, n, m in zip(place.tolist(), count.tolist(), weight.tolist())} == {p: (n, target[p]) for p, n in every.items()}
+    assert sorted(zip(cell.tolist(), key.tolist())) == list(zip(cell.tolist(), key.tolist()))
+    assert (key == (number[place >> 32] << 32 | number[place & 0xFFFFFFFF])).all()
