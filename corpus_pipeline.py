@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccard, quality, repeats, sampled_pieces
+from sluice.llm.bloom import bloom_filter, may_be_in
 from sluice.llm.common import saved, small_batches, table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
@@ -28,7 +29,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """One row of each group of linked rows: that with the smallest id (of one id, hash of the text); of repeated rows one."""
     small_batches(spark)
     others = saved(jaccard.copies(docs), "others")
-    kept = docs.join(others, (docs["doc_id"] == others["copy_key"]) & (jaccard.digest("text") == others["copy_digest"]), "left_anti").select(*docs.columns)
+    key, digest = docs["doc_id"], jaccard.digest("text")
+    asked = may_be_in(bloom_filter(others.select("copy_key", "copy_digest")), key, digest)
+    left = docs.filter(asked).join(others, (key == others["copy_key"]) & (digest == others["copy_digest"]), "left_anti")
+    # texts that are no copies never move
+    kept = docs.filter(~asked).union(left).select(*docs.columns)
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL"))

@@ -137,3 +137,19 @@ def test_rows_of_one_id_are_judged_apart(spark, documents):
         assert sum(n for (i, t), n in found.items() if i == k and t in texts) == 1
     assert found[None, a] == 1 and found[2, None] == 1
     assert sum(found.values()) == 5
+
+
+def test_only_likely_copies_are_joined(spark, documents):
+    some = passages(6)
+    rows = [(i, some(60)) for i in range(40)]
+    rows.append((50, rows[0][1]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.jaccard_join(spark, documents(rows), "")
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(rows[:40])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joined = plan[plan.index("Join LeftAnti") :]
+    assert "Union" in plan and re.search(r"Filter \w*pythonUDF|ArrowEvalPython", joined)
