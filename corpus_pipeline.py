@@ -19,6 +19,9 @@ from sluice.llm.common import saved, small_batches, table
 from sluice.llm.pieces import load_pieces
 from sluice.semantics import pin_session
 
+#: Words of a passage that may stand only once.
+PASSAGE = 51
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
@@ -44,9 +47,9 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that stand anywhere else, too."""
+    """Documents without the byte strings and the passages of over 50 words that stand anywhere else, too."""
     small_batches(spark)
-    return counted(repeats.without_repeats(docs))
+    return counted(repeats.without_repeats(docs, words=PASSAGE))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,3 +153,12 @@ def test_only_likely_copies_are_joined(spark, documents):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joined = plan[plan.index("Join LeftAnti") :]
     assert "Union" in plan and re.search(r"Filter \w*pythonUDF|ArrowEvalPython", joined)
+
+
+def test_passages_of_over_50_words_are_cut(spark, documents):
+    some = passages(9)
+    short, under = " ".join(w[:4] for w in some(51).split()), some(50)
+    rows = [(i, some(60) + "\n" + short + "\n" + some(60)) for i in range(3)] + [(10 + i, some(60) + "\n" + under + "\n" + some(60)) for i in range(3)]
+    assert len(short) < 400 and len(under) < 400
+    cut = corpus_pipeline.suffix_array_dedup(spark, documents(rows), "").collect()
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in cut) == Counter((k, t.replace(short, ""), len(t.replace(short, ""))) for k, t in rows)
