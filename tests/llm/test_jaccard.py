@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sluice.llm import jaccard
+from sluice.llm.common import keyed_text
 from sluice.llm.jaccard import component_ids
 from sluice.llm.links import components
 
@@ -79,6 +81,27 @@ def test_sampling_and_group_size_do_not_change_the_result(spark, documents, monk
     assert found(documents(rows), every=every) == brute(rows)
 
 
+@pytest.mark.parametrize("run,cell", [(1 << 21, 8 << 20), (50, 64)])
+def test_all_rows_tell_which_ngrams_are_frequent(spark, documents, odd, monkeypatch, run, cell):
+    """30 rows make an n-gram frequent here, wherever in the table they stand and whether or not their keys are null or repeat."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = list(odd)
+    for times in (1, 3, 28, 29, 30, 31, 100):
+        passage = " ".join(word() for _ in range(8))
+        rows += [(rng.choice([None, 7, 1000 + len(rows)]), f"{passage} {word()} {passage}") for _ in range(times)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard, "SAMPLE_ROWS", 1)
+    monkeypatch.setattr(jaccard, "RUN_GRAMS", run, raising=False)
+    monkeypatch.setattr(jaccard, "CELL_BYTES", cell, raising=False)
+    sets = jaccard.ngram_sets([t and t.encode() for _, t in rows], jaccard.WordHashes())
+    counts = Counter(h for s in sets for h in s.tolist())
+    assert {28, 29, 30, 31, 100} <= set(counts.values())
+    bits = jaccard.frequent_ngrams(keyed_text(documents(rows).repartition(3)), 4, 10)
+    marked = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+    assert marked.tolist() == sorted({h >> (64 - jaccard.MAP_BITS) for h, n in counts.items() if n >= 30})
+
+
 def test_product_alone_finds_every_link(spark, documents, monkeypatch):
     """Without contraction: no pair of near copies is settled before the product."""
     rows = near_copies(3)
